@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, sharding
+from ledgerloom.llm import ann, bpe, licenses, quality, sharding
 from ledgerloom.llm.common import load
 
 
@@ -22,10 +22,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_ld_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.features(load(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return out.select(*base, (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return ann.search(ann.build(vectors), vectors.where("vec_id % 50 = 0"))
@@ -34,7 +44,9 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_quality": op2_quality,
         "op5_bpe": op5_bpe,
+        "op7_licenses": op7_licenses,
         "op10_nearest": op10_nearest,
     }
 
