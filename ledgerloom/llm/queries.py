@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, licenses, quality, sharding
+from ledgerloom.llm import ann, bpe, licenses, ppm, quality, sharding
 from ledgerloom.llm.common import load
 
 
@@ -36,6 +36,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(load(spark, sf_dir, "documents"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return ann.search(ann.build(vectors), vectors.where("vec_id % 50 = 0"))
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op5_bpe": op5_bpe,
         "op7_licenses": op7_licenses,
+        "op8_ppm": op8_ppm,
         "op10_nearest": op10_nearest,
     }
 
