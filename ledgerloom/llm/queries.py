@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, licenses, ppm, quality, sharding
+from ledgerloom.llm import ann, bpe, licenses, ngram_join, ppm, quality, sharding
 from ledgerloom.llm.common import load
 
 
@@ -28,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*base, (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(load(spark, sf_dir, "documents"), span=4, percent=85)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_quality": op2_quality,
+        "op3_ngram_join": op3_ngram_join,
         "op5_bpe": op5_bpe,
         "op7_licenses": op7_licenses,
         "op8_ppm": op8_ppm,
