@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, licenses, ngram_join, ppm, quality, sharding
+from ledgerloom.llm import ann, bpe, licenses, ngram_join, pii, ppm, quality, sharding
 from ledgerloom.llm.common import load
 
 
@@ -44,6 +44,10 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(load(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(load(spark, sf_dir, "documents"), count_col="n_entities")
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return ann.search(ann.build(vectors), vectors.where("vec_id % 50 = 0"))
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op7_licenses": op7_licenses,
         "op8_ppm": op8_ppm,
+        "op9_pii": op9_pii,
         "op10_nearest": op10_nearest,
     }
 
