@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, licenses, ngram_join, pii, ppm, quality, sharding
+from ledgerloom.llm import ann, bpe, chat, licenses, mixing, ngram_join, pii, ppm, quality, sharding
 from ledgerloom.llm.common import load
 
 
@@ -32,6 +32,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(load(spark, sf_dir, "documents"), span=4, percent=85)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(load(spark, sf_dir, "conversations"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "weight", "probability", "kept")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,7 +66,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_quality": op2_quality,
         "op3_ngram_join": op3_ngram_join,
+        "op4_chat": op4_chat,
         "op5_bpe": op5_bpe,
+        "op6_mixing": op6_mixing,
         "op7_licenses": op7_licenses,
         "op8_ppm": op8_ppm,
         "op9_pii": op9_pii,
