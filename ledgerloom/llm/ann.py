@@ -64,9 +64,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with each row, in double; equal rows get equal scores wherever they stand."""
-    q, x = q / np.abs(q).max(), x / np.abs(x).max(1, keepdims=True)
-    return np.clip((x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum())), -1.0, 1.0)
+    """Cosines of the rows of q with those of x, in double; equal pairs get equal scores wherever they stand."""
+    q, x = q / np.abs(q).max(1, keepdims=True), x / np.abs(x).max(1, keepdims=True)
+    return np.clip((x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1))), -1.0, 1.0)
 
 
 def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, lists: int = 64, sample_rows: int = 20_000, seed: int = 7) -> Index | None:
@@ -100,7 +100,7 @@ def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     return Index(rotation, centers, materialize(listed, "ann-lists"), k + 1)
 
 
-def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int = 24, piece: int = 4096, block: int = 16, eps: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int = 40, piece: int = 4096, block: int = 16, eps: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by cosine, itself left out; ties to the smaller id.
 
     probes: lists read for each query. block: columns between tests. eps: width of the test; larger
@@ -139,18 +139,22 @@ def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int =
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         turn, _ = both.value
-        out: list[tuple] = []
+        parts = []
         if len(left) and len(right):
-            raw = np.stack(right["vector"].to_numpy())
-            ids = right["ids"].to_numpy()
-            turned = np.ascontiguousarray((unit(raw) @ turn).T)  # columns together
-            for qh, qv in zip(left["vec_hash"], left["vector"], strict=True):
-                q = np.asarray(qv, np.float64)
-                alive = adaptive(turned, (unit(q[None]) @ turn)[0], keep, block, eps)
-                score = cosine(q, raw[alive])
-                found = sorted((-s, int(i)) for s, at in zip(score, alive, strict=True) for i in ids[at])[:keep]
-                out += [(qh, i, -s) for s, i in found]
-        return pd.DataFrame(out, columns=["vec_hash", "vec_id", "score"])
+            raw = np.stack(right["vector"].to_numpy()).astype(np.float64)
+            turned, ids = unit(raw) @ turn, right["ids"].to_numpy()
+            least = np.array([x[0] for x in ids])
+            for at in range(0, len(left), 512):
+                some = left.iloc[at : at + 512]
+                q = np.stack(some["vector"].to_numpy()).astype(np.float64)
+                row, col = adaptive(turned, unit(q) @ turn, keep, block, eps)
+                score = cosine(q[row], raw[col])
+                order = np.lexsort((least[col], -score, row))
+                row, col, score = row[order], col[order], score[order]
+                near = np.arange(len(row)) - np.searchsorted(row, row) < keep  # each vector stands for one id at least
+                parts.append(pd.DataFrame({"vec_hash": some["vec_hash"].to_numpy()[row[near]], "vec_id": ids[col[near]], "score": score[near]}).explode("vec_id"))
+        out = pd.concat(parts) if parts else pd.DataFrame({"vec_hash": [], "vec_id": [], "score": []})
+        return out.astype({"vec_id": np.int64})
 
     hits = dealt.groupBy("list_id", "piece", "q_piece").cogroup(stored.groupBy("list_id", "piece", "q_piece")).applyInPandas(scan, "vec_hash binary, vec_id bigint, score double")
     best = W.partitionBy("vec_hash").orderBy(F.desc("score"), "vec_id")
@@ -161,22 +165,28 @@ def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int =
     return answered.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 
-def adaptive(turned: np.ndarray, q: np.ndarray, keep: int, block: int, eps: float) -> np.ndarray:
-    """Rows that may be among the `keep` nearest: columns are read in blocks, and a row is dropped once its partial
-    squared distance exceeds what a row at the threshold would show, but for chance (1 + eps / sqrt(columns read))."""
-    d, n = turned.shape
-    alive, partial = np.arange(n), np.zeros(n)
-    for at in range(0, d, block):
-        cols = turned[at : at + block]
-        part = cols[:, alive] - q[at : at + block, None]
-        partial = partial + (part * part).sum(0)
+def adaptive(turned: np.ndarray, q: np.ndarray, keep: int, block: int, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, candidate row) pairs that may be among a query's `keep` nearest.
+
+    Columns are read in blocks. A pair is abandoned once its partial squared distance exceeds what a
+    candidate at the query's threshold would show, but for chance: (1 + eps / sqrt(columns read)).
+    """
+    n, d = turned.shape
+    first = min(block, d)
+    x, y = turned[:, :first], q[:, :first]
+    partial = (y * y).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (y @ x.T)
+    # The threshold: the keep-th full distance among those that look nearest after the first block.
+    m = min(n, 4 * keep)
+    look = np.argpartition(partial, m - 1, axis=1)[:, :m]
+    full = ((turned[look] - q[:, None, :]) ** 2).sum(2)
+    limit = np.partition(full, min(keep, m) - 1, axis=1)[:, min(keep, m) - 1]
+    slack = lambda read: (read / d) * (1 + eps / np.sqrt(read)) ** 2 if read < d else 1.0
+    row, col = np.nonzero(partial <= limit[:, None] * slack(first) + 1e-9)
+    partial = partial[row, col]
+    for at in range(first, d, block):
         read = min(at + block, d)
-        if len(alive) <= keep or read == d:
-            continue
-        # The threshold: the keep-th full distance among the rows that look nearest so far.
-        look = np.argpartition(partial, min(len(alive), 4 * keep) - 1)[: 4 * keep]
-        full = ((turned[:, alive[look]] - q[:, None]) ** 2).sum(0)
-        limit = np.partition(full, min(keep, len(full)) - 1)[min(keep, len(full)) - 1]
-        stay = partial <= limit * (read / d) * (1 + eps / np.sqrt(read)) ** 2 + 1e-12
-        alive, partial = alive[stay], partial[stay]
-    return alive
+        part = turned[col, at:read] - q[row, at:read]
+        partial = partial + (part * part).sum(1)
+        stay = partial <= limit[row] * slack(read) + 1e-9
+        row, col, partial = row[stay], col[stay], partial[stay]
+    return row, col
