@@ -10,7 +10,7 @@ automaton of single bytes in which every arc exists:
 
 With 50,000 merges the full table has 2.5e9 cells, so arcs are materialised when first asked for: an
 arc's entry follows from the gadgets of its two ends, newest first, and is then kept in the transition
-table. A word's tokenization is the one path that spells it: each prefix has exactly one last token.
+table. A word's tokenization is the one path that spells it.
 Decoding walks the arcs and emits their labels.
 
 Memory: the transition table and the table of whole words are emptied when they reach a fixed number of
@@ -41,10 +41,25 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Tokens of whole words, kept for the next time; a full table is emptied."""
+
+    def __init__(self, auto: Automaton):
+        self.auto = auto
+
+    def __missing__(self, w: str) -> list[int]:
+        ids = self.auto._word(w.encode("utf-8", "replace"))
+        if len(w) <= self.auto.MAX_WORD:
+            if len(self) >= self.auto.MAX_WORDS:
+                self.clear()
+            self[w] = ids
+        return ids
+
+
 class Automaton:
     """The compiled tokenizer of a byte-level BPE file (tokenizers JSON)."""
 
-    MAX_ARCS, MAX_WORDS, MAX_WORD = 1_000_000, 250_000, 48
+    MAX_ARCS, MAX_WORDS, MAX_WORD = 1_000_000, 600_000, 48
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -74,7 +89,7 @@ class Automaton:
             self.born[w], self.made[w] = k, (a, b)
             self.closed[a << 32 | b] = k
         self.arcs: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words = _Words(self)
         made = [(self.label[i], i) for i in vocab.values() if len(self.label[i]) == 1 or self.made[i] is not None]
         self.trie: dict = {}
         for text, i in made:
@@ -84,6 +99,15 @@ class Automaton:
             for byte in text:
                 node = node.setdefault(byte, {})
             node[-1] = i
+        self.length = [len(x) for x in self.label]
+        self.shorter = [-1] * self.size  # the next shorter label that begins a token's label
+        for text, i in made:
+            node = self.trie
+            for byte in text[:-1]:
+                node = node.get(byte)
+                if node is None:
+                    break
+                self.shorter[i] = node.get(-1, self.shorter[i])
         self.offsets = np.zeros(self.size + 1, np.int64)
         np.cumsum([len(x) for x in self.label], out=self.offsets[1:])
         self.flat = np.frombuffer(b"".join(self.label), np.uint8)
@@ -110,50 +134,50 @@ class Automaton:
                 p, when = made[p][1], born[p]
 
     def _word(self, raw: bytes) -> list[int]:
-        """The tokens of one word: last[j] is the last token of the only path that spells raw[:j]."""
-        n, arcs, root = len(raw), self.arcs, self.trie
-        last: list[int] = [-1] * (n + 1)
-        for i in range(n):
-            p = last[i] if i else -2
-            if p == -1:
+        """The tokens of one word: the only path of the automaton that spells it. The longest arc is tried first;
+        places from which no path goes on are marked, so each is left at most once."""
+        n, arcs, root, shorter, length = len(raw), self.arcs, self.trie, self.shorter, self.length
+        dead: set[int] = set()
+        out: list[int] = []
+        p, i, t = -1, 0, -1
+        while i < n:
+            if t < 0:  # the longest label that stands here
+                node, j = root, i
+                while j < n and (node := node.get(raw[j])) is not None:
+                    j += 1
+                    t = node.get(-1, t)
+            while t >= 0:
+                if i + length[t] not in dead:
+                    if p < 0:
+                        break
+                    key = p << 32 | t
+                    ok = arcs.get(key)
+                    if ok is None:
+                        if len(arcs) >= self.MAX_ARCS:
+                            arcs.clear()
+                        ok = arcs[key] = self._arc(p, t)
+                    if ok:
+                        break
+                t = shorter[t]
+            if t >= 0:
+                out.append(t)
+                i += length[t]
+                p, t = t, -1
                 continue
-            node, j = root, i
-            while j < n and (node := node.get(raw[j])) is not None:
-                j += 1
-                t = node.get(-1)
-                if t is not None and last[j] == -1:
-                    if p >= 0:
-                        key = p << 32 | t
-                        ok = arcs.get(key)
-                        if ok is None:
-                            if len(arcs) >= self.MAX_ARCS:
-                                arcs.clear()
-                            ok = arcs[key] = self._arc(p, t)
-                        if not ok:
-                            continue
-                    last[j] = t
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= len(self.label[last[j]])
-        return out[::-1]
-
-    def word(self, w: str) -> list[int]:
-        ids = self.words.get(w)
-        if ids is None:
-            ids = self._word(w.encode("utf-8", "replace"))
-            if len(w) <= self.MAX_WORD:
-                if len(self.words) >= self.MAX_WORDS:
-                    self.words.clear()
-                self.words[w] = ids
-        return ids
+            while t < 0:  # back to the nearest place that has a shorter arc to try
+                dead.add(i)
+                last = out.pop()
+                i -= length[last]
+                p, t = (out[-1] if out else -1), shorter[last]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
+        word = self.words.__getitem__
         if self.cut and any(s in text for s in self.special):
             parts = self.cut(text)
-            ids = list(chain.from_iterable([self.special[x]] if k % 2 else chain.from_iterable(map(self.word, self.split(x))) for k, x in enumerate(parts)))
+            ids = list(chain.from_iterable([self.special[x]] if k % 2 else chain.from_iterable(map(word, self.split(x))) for k, x in enumerate(parts)))
         else:
-            ids = list(chain.from_iterable(map(self.word, self.split(text))))
+            ids = list(chain.from_iterable(map(word, self.split(text))))
         return np.array(ids, np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
