@@ -116,8 +116,8 @@ def locale_number(text: Column, kind: str = "decimal(38,10)") -> Column:
 
 
 def format_money(amount: Column) -> Column:
-    """Whole kronor with blanks between thousands."""
-    return F.translate(F.format_number(amount, 0), ",", " ")
+    """Whole kronor with no-break spaces between thousands."""
+    return F.translate(F.format_number(amount, 0), ",", "\u00a0")
 
 
 def format_money_signed(amount: Column) -> Column:
