@@ -5,7 +5,8 @@ cells can reach the threshold follows from set sizes alone, and only those are a
 
   size       |y| >= t |x|;
   prefix     in one order of the n-grams (rare first), a pair shares one of the first |x| - ceil(t|x|) + 1;
-  place      at the first shared n-gram, at places p and q, min(|x| - p, |y| - q) >= t/(1+t) (|x| + |y|).
+  place      at the first shared n-gram, at places p and q, min(|x| - p, |y| - q) >= t/(1+t) (|x| + |y|);
+  count      the overlap of the two prefixes, and all that follows them, must reach t/(1+t) (|x| + |y|).
 
 Equal sets are collapsed first. The cells are then taken in two turns, which leave the components exact
 without ever listing the pairs of a large group: the first turn accumulates, for each n-gram, the cells
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import as_bytes, materialize, mix64, word_hashes
 from ledgerloom.llm.graph import components
 
-BUCKETS, CHUNK = 1 << 18, 1 << 12
+BUCKETS, CHUNK = 1 << 22, 1 << 14
+BITS = 1 << 23
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -67,15 +69,19 @@ def _sketch(docs: DataFrame, span: int) -> np.ndarray:
             for text in b.column(0).to_pylist():
                 held.append(shingles(text, span))
                 size += len(held[-1])
-                if size > 500_000:
+                if size > 1_000_000:
                     cells += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                     held, size = [], 0
         if held:
             cells += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        if cells.any():
-            kind = np.min_scalar_type(int(cells.max()))
-            part = TaskContext.get().partitionId()
-            parts = [(k // CHUNK, part % 64, kind.str, cells[k : k + CHUNK].astype(kind).tobytes()) for k in range(0, BUCKETS, CHUNK)]
+        part = TaskContext.get().partitionId()
+        parts = []
+        for k in range(0, BUCKETS, CHUNK):
+            some = cells[k : k + CHUNK]
+            if some.any():
+                kind = np.min_scalar_type(int(some.max()))
+                parts.append((k // CHUNK, part % 64, kind.str, some.astype(kind).tobytes()))
+        if parts:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["chunk", "part", "kind", "cells"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,21 +130,48 @@ def admissible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return size & (F.least(na - pa_, nb - pb) * (100 + percent) >= (na + nb) * percent)
 
 
+def _reachable(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can still reach the threshold once the overlap of their prefixes is counted.
+
+    Whichever prefix ends first in the order holds all the n-grams up to there that both have, so the overlap
+    is at most that count and what follows the prefix: ceil(t|x|) - 1 of x, or the same of y.
+    """
+    a = short.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    b = short.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    both = pairs.join(b, "b").join(a, "a")
+    after = F.ceil(F.greatest("na", "nb") * percent / F.lit(100)) - 1
+    most = F.size(F.array_intersect("pa", "pb")) + after
+    return both.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+
 def _members(rows: DataFrame, sets: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(sid, grams) of the wanted sets, from the text of the document that stands for each."""
-    keys = sets.join(wanted, "sid").select("sid", F.col("min_id").alias("id"), "k1", "k2")
+    """(sid, grams) of the wanted sets, from the text of the document that stands for each.
+
+    A bitmap of BITS hashed ids, the same size for any corpus, spares most other documents the way; those
+    that pass it by chance fall out in the join.
+    """
+    keys = materialize(sets.join(wanted, "sid").select("sid", F.col("min_id").alias("id"), "k1", "k2"), "ngram-keys")
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
+    cells = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bitmap = np.zeros(BITS // 8, np.uint8)
+    for r in cells:
+        at = (r["bucket"] - 1) * 4096  # bucket k holds the places from 32768 * (k - 1) + 1 on
+        bitmap[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for b in batches:
-            sids, out = [], []
-            for sid, text, k1, k2 in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                grams = np.unique(shingles(text, span))
-                if digest(grams) == (k1, k2):  # a repeated id may belong to another text
-                    sids.append(sid), out.append(grams.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["sid", "grams"])
+            p = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) - 1
+            at = np.flatnonzero((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+            some = b.take(pa.array(at))
+            grams = [np.unique(shingles(t, span)) for t in some.column(1).to_pylist()]
+            marks = [digest(g) for g in grams]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], names=["id", "k1", "k2", "grams"])
 
-    found = rows.join(keys, "id").select("sid", "text", "k1", "k2").mapInArrow(run, "sid bigint, grams array<bigint>")
-    return found.dropDuplicates(["sid"])
+    found = rows.where("id is not null").select("id", "text", place.alias("p")).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, grams array<bigint>")
+    return found.join(keys, ["id", "k1", "k2"]).select("sid", "grams").dropDuplicates(["sid"])
 
 
 def _accumulate(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
@@ -192,9 +225,10 @@ def classes(docs: DataFrame, *, span: int = 4, percent: int = 85, id_col: str =
     heads = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "sid")).alias("head")).where("c > 1").select("tok", "head")
     posting = materialize(tokens.join(heads, "tok").select("tok", "sid", "n", "pos", "head"), "ngram-postings")
 
+    short = sets.select("sid", "n", "prefix")
     star = posting.where("sid != head.sid").where(admissible(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), percent))
     first = materialize(star.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct(), "ngram-pairs")
-    links = _links(rows, sets, first, span, percent)
+    links = _links(rows, sets, materialize(_reachable(first, short, percent), "ngram-pairs"), span, percent)
     roots = components(links)
 
     held = posting.select("tok", "sid", "n", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -205,10 +239,9 @@ def classes(docs: DataFrame, *, span: int = 4, percent: int = 85, id_col: str =
     cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & admissible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
     rest = cross.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = materialize(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-    more = _links(rows, sets, second, span, percent)
-    if more is not None and more.limit(1).count():
-        roots = components(links.union(more))
+    second = materialize(_reachable(rest.join(tried, ["a", "b"], "left_anti"), short, percent), "ngram-pairs")
+    if second.limit(1).count():
+        roots = components(links.union(_links(rows, sets, second, span, percent)))
 
     named = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
@@ -226,11 +259,18 @@ def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, span: int, percen
 
 
 def dedupe(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one row of each component: the row of the smallest id (of repeated rows, one).
+    """docs without all but one row of each component: the row of its smallest id.
 
-    Null ids, and rows of texts without words, all stay.
+    Of rows with equal id and text one stays. Rows with a null id, and of texts without words, all stay.
     """
-    id_col = options.get("id_col", "doc_id")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     found = classes(docs, **options)
-    kept = found.where((F.col(id_col) == F.col("component_id")) | F.col(id_col).isNull()).select(F.col(id_col).alias("_ld_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_ld_id"])).drop("_ld_id")
+    own = found.where((F.col(id_col) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(F.col(id_col).alias("_ld_id")).agg(F.count(F.lit(1)).alias("_ld_rows"))
+    empty = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") == 0)).select(F.col(id_col).alias("_ld_id"), F.lit(0).cast("long").alias("_ld_rows"))
+    kept = materialize(own.unionByName(empty).groupBy("_ld_id").agg(F.max("_ld_rows").alias("_ld_rows")), "ngram-kept")
+    held = docs.join(kept, docs[id_col] == kept["_ld_id"])
+    once = held.where("_ld_rows <= 1").drop("_ld_id", "_ld_rows")
+    more = held.where("_ld_rows > 1").withColumn("_ld_text", F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).dropDuplicates(["_ld_id", "_ld_text"]).drop("_ld_id", "_ld_rows", "_ld_text")
+    if kept.where("_ld_rows > 1").limit(1).count():
+        once = once.unionByName(more)
+    return once.unionByName(docs.where(F.col(id_col).isNull()))
