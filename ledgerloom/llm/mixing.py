@@ -2,7 +2,9 @@
 
 Token counts are summed by cell (source, language, topic). The cells' weights are raked: scaled to each
 marginal in turn until all are met. A document is then kept with a probability in proportion to its
-cell's calibrated weight, the largest being 1, by a keyed hash of its id, so a sample can be repeated.
+cell's calibrated weight, by a keyed hash of its id, so a sample can be repeated. Probabilities end at 1:
+the weight from which they are 1 is the one that `full` of all tokens lie at or below, so a rare cell
+with an extreme weight does not thin out all the others; what such cells cannot supply is missing.
 
 Cells are bounded by the targets: a category without a target of its own falls under '*other*'. So only
 (sources + 1) x (languages + 1) x (topics + 1) numbers come to the driver, whatever the corpus.
@@ -10,8 +12,6 @@ Cells are bounded by the targets: a category without a target of its own falls u
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,7 +75,7 @@ def _known(column: Column, names: list[str]) -> Column:
     return F.when(column.isin(names), column).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
 
 
-def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None, *, power: float = 0.8, most: int = 1000) -> tuple[DataFrame, pd.DataFrame]:
+def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None, *, power: float = 0.8, full: float = 0.99, most: int = 1000) -> tuple[DataFrame, pd.DataFrame]:
     """(docs with _ld_source, _ld_lang, _ld_topic, _ld_tokens; the table of cells with weight and probability).
 
     docs must have source, lang and topic. targets: shares by dimension and category, OTHER among them if it
@@ -108,15 +108,18 @@ def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None, *, p
         given.append(np.array([own.get(k, 0.0) for k in axes[d]]))
     weight = rake(cells, given)
     got["weight"] = weight[tuple(where)]
-    got["probability"] = got["weight"] / got["weight"].max()
+    order = np.argsort(got["weight"].to_numpy(), kind="stable")
+    held = np.cumsum(got["tokens"].to_numpy(float)[order])
+    whole = got["weight"].to_numpy()[order][np.searchsorted(held, full * held[-1] * (1 - 1e-12))]
+    got["probability"] = np.minimum(1.0, got["weight"] / whole)
     return docs, got.sort_values(keys).reset_index(drop=True)
 
 
-def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, power: float = 0.8, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", topic_of=topic) -> DataFrame:
+def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, power: float = 0.8, full: float = 0.99, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", topic_of=topic) -> DataFrame:
     """docs with weight (the cell's), probability and kept.
 
     Null sources, languages and topics count as OTHER. Equal ids draw alike; a null id draws by its text.
-    An existing topic column is used as it is; else topic_of(text). Columns beginning with _ld_ are the
+    full: see above. An existing topic column is used as it is; else topic_of(text). Columns beginning with _ld_ are the
     operator's own; weight, probability and kept are replaced where they exist. An empty table stays empty.
     """
     text = F.col(f"`{text_col}`")
@@ -124,7 +127,7 @@ def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None,
     ready = docs.select(*(F.col(f"`{c}`") for c in names), tokens(text).alias("_ld_tokens"))
     ready = ready if "topic" in names else ready.withColumn("topic", topic_of(text))
     spark = docs.sparkSession
-    ready, cells = calibrate(ready, targets, power=power)
+    ready, cells = calibrate(ready, targets, power=power, full=full)
     keys = [f"_ld_{d}" for d in DIMENSIONS]
     table = spark.createDataFrame(cells[[*keys, "weight", "probability"]], f"{', '.join(f'{k} string' for k in keys)}, weight double, probability double")
     # At most one row a cell of the targets: small by construction.
@@ -132,8 +135,3 @@ def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None,
     draw = F.conv(F.substring(F.sha2(F.encode(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.sha2(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 256))), "utf-8"), 256), 1, 13), 16, 10).cast("double") / float(16**13)
     out = met.withColumn("kept", draw < F.col("probability"))
     return out.drop(*keys, "_ld_tokens")
-
-
-def cells_of(targets: dict[str, dict[str, float]]) -> int:
-    """The bound on the table of cells."""
-    return len(list(product(*[[*targets[d], OTHER] for d in DIMENSIONS])))
