@@ -31,21 +31,24 @@ LAST = {
 
 _NAMES = "|".join(n for names in FIRST.values() for n in names)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Detectors by type, in order of precedence (Java regular expressions without capturing groups).
+_TAILS = "|".join(sorted({n[1:] for names in FIRST.values() for n in names}))
+_INITIALS = "".join(sorted({n[0] for names in FIRST.values() for n in names}))
+#: Detectors by type, in order of precedence (Java regular expressions without capturing groups). Each begins
+#: with the cheapest test that rules out most places.
 DETECTORS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[0-9A-Za-z_\-]{12,}+",
-    "key": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{12,20}+(?![0-9A-Za-z])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)",
-    "ipv4": rf"(?<![\w.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\.?\d)",
-    "card": r"(?<![\w.])\d{4}(?:\d{9,12}|[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})(?![\d])",
-    "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}[\p{{L}}'\-]+(?!\p{{L}})",
+    "secret": r"(?<![0-9A-Za-z_\-])(?=[0-9A-Za-z_\-]{12})(?<=[=:\s\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[0-9A-Za-z_\-]{12,}+",
+    "key": r"(?=AKIA)(?<![0-9A-Za-z])AKIA[0-9A-Z]{12,20}+(?![0-9A-Za-z])",
+    "phone": r"(?=\+)(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)",
+    "ipv4": rf"(?=\d)(?<![\w.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\.?\d)",
+    "card": r"(?=\d{4})(?<![\w.])\d{4}(?:\d{9,12}|[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})(?![\d])",
+    "ssn": r"(?=\d{3}-)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "iban": r"(?=[A-Z]{2}\d)(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?![0-9A-Za-z])",
+    "name": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}[\p{{L}}'\-]+(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in DETECTORS.values())
-#: Characters that a match can begin with or hold; texts without any are not looked at further.
-HINT = rf"[0-9@]|{_NAMES}|(?i:token|secret|password|passwd|api_key|apikey)"
+#: Every match has one of these in or right before it; texts without are not looked at further.
+HINTS = ("[0-9@=:]", rf"[{_INITIALS}](?:{_TAILS}) \p{{Lu}}")
 HEX = "0123456789abcdef"
 
 
@@ -169,16 +172,16 @@ def replace(docs: DataFrame, *, secret: str = "corpus", text_col: str = "text",
     Columns beginning with _ld_ are the operator's own.
     """
     names, text = docs.columns, F.col(f"`{text_col}`")
-    hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    has = F.coalesce(F.when(hinted, text.rlike(PATTERN)), F.lit(False))
-    found = docs.where(has).select(F.md5(F.encode(text, "utf-8")).alias("_ld_key"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("values"))
+    has = F.coalesce(F.when(text.rlike(HINTS[0]) | text.rlike(HINTS[1]), text.rlike(PATTERN)), F.lit(False))
+    held = materialize(docs.where(has), "pii-texts")
+    found = held.select(F.md5(F.encode(text, "utf-8")).alias("_ld_key"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("values"))
     texts = found.groupBy("_ld_key").agg(F.first("values").alias("values"))
     rows = texts.select("_ld_key", F.posexplode("values").alias("pos", "value")).withColumn("kind", _type(F.col("value")))
     rows = materialize(rows.withColumn("norm", _norm(F.col("kind"), F.col("value"))), "pii-found")
     cores = surrogates(rows.select("kind", "norm").distinct(), secret)
     formed = rows.join(cores, ["kind", "norm"]).select("_ld_key", F.struct("pos", _formed(F.col("kind"), F.col("value"), F.col("core")).alias("new")).alias("_ld_new"))
     lists = formed.groupBy("_ld_key").agg(F.sort_array(F.collect_list("_ld_new")).alias("_ld_new"))
-    dirty = docs.where(has).withColumn("_ld_key", F.md5(F.encode(text, "utf-8"))).join(lists, "_ld_key")
+    dirty = held.withColumn("_ld_key", F.md5(F.encode(text, "utf-8"))).join(lists, "_ld_key")
     # Texts between the matches, and the surrogates, one after the other.
     between = F.split(text, PATTERN, -1)
     joined = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get("_ld_new", i)["new"], F.lit("")))), "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, chat, licenses, mixing, ngram_join, pii, ppm, quality, sharding
+from ledgerloom.llm import ann, bpe, chat, licenses, mixing, ngram_join, oracles, pii, ppm, quality, sharding
 from ledgerloom.llm.common import load
 
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
