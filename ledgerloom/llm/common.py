@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: ASCII white space that bytes.split() cuts at; the contracts' word class is its complement.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: Rows that a Python worker takes at a time.
+BATCH = 1000
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -37,7 +40,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:  # long texts and arrays: what a Python worker holds at a time is a batch
+        spark.conf.set(rows, str(min(int(before), BATCH)) if int(before) > 0 else str(BATCH))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,5 +87,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def slices(batch, rows: int = 250):
+    """An Arrow batch in pieces, so that only a piece of its texts is held as Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

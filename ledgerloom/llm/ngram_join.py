@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, materialize, mix64, word_hashes
+from ledgerloom.llm.common import as_bytes, materialize, mix64, slices, word_hashes
 from ledgerloom.llm.graph import components
 
 BUCKETS, CHUNK = 1 << 22, 1 << 14
@@ -65,7 +65,7 @@ def _sketch(docs: DataFrame, span: int) -> np.ndarray:
         from pyspark import TaskContext
 
         cells, held, size = np.zeros(BUCKETS, np.int64), [], 0
-        for b in batches:
+        for b in (piece for whole in batches for piece in slices(whole)):
             for text in b.column(0).to_pylist():
                 held.append(shingles(text, span))
                 size += len(held[-1])
@@ -103,12 +103,12 @@ def _sketch(docs: DataFrame, span: int) -> np.ndarray:
 
 def _signatures(rows: DataFrame, cells: np.ndarray, span: int, percent: int) -> DataFrame:
     """id, n, k1, k2 and the prefix of each row's set, in the order of rising counts."""
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    shared = rows.sparkSession.sparkContext.broadcast(np.minimum(cells, np.iinfo(np.uint32).max).astype(np.uint32))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for b in batches:
+        for b in (piece for whole in batches for piece in slices(whole)):
             n, k1, k2, prefix = [], [], [], []
             for text in b.column(1).to_pylist():
                 grams = np.unique(shingles(text, span))
@@ -162,7 +162,7 @@ def _members(rows: DataFrame, sets: DataFrame, wanted: DataFrame, span: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for b in batches:
+        for b in (piece for whole in batches for piece in slices(whole)):
             p = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) - 1
             at = np.flatnonzero((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
             some = b.take(pa.array(at))
@@ -221,12 +221,16 @@ def classes(docs: DataFrame, *, span: int = 4, percent: int = 85, id_col: str =
     signed = materialize(_signatures(rows, cells, span, percent), "ngram-docs")
     grouped = signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("min_id"), F.first("prefix").alias("prefix"))
     sets = materialize(grouped.withColumn("sid", F.monotonically_increasing_id()), "ngram-sets")
+    # Narrow rows, as there is one for each n-gram of a prefix: size and place share a number.
     tokens = sets.where("min_id is not null").select("sid", "n", F.posexplode("prefix").alias("pos", "tok"))
-    heads = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "sid")).alias("head")).where("c > 1").select("tok", "head")
-    posting = materialize(tokens.join(heads, "tok").select("tok", "sid", "n", "pos", "head"), "ngram-postings")
+    tokens = tokens.select("tok", "sid", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("np"))
+    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
+    posting = tokens.join(shared, "tok", "left_semi")
+    posting = materialize(posting.select("tok", "sid", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")), "ngram-postings")
+    heads = posting.groupBy("tok").agg(F.min(F.struct("pos", "n", "sid")).alias("head"))
 
     short = sets.select("sid", "n", "prefix")
-    star = posting.where("sid != head.sid").where(admissible(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), percent))
+    star = posting.join(heads, "tok").where("sid != head.sid").where(admissible(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), percent))
     first = materialize(star.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct(), "ngram-pairs")
     links = _links(rows, sets, materialize(_reachable(first, short, percent), "ngram-pairs"), span, percent)
     roots = components(links)
