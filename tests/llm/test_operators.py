@@ -346,15 +346,48 @@ def test_base_score_equals_counting(docs, empty):
     assert all(r["base_score"] == 0 or r["n_tokens"] for r in got(ppm.score(docs, is_held=lambda i: True)))
 
 
-def test_table_is_a_distribution_and_agrees_with_the_scalar_coder():
-    raw = [t.encode() for t in (BASE, "abracadabra", "日本")]
-    codes, n = np.unique(np.concatenate([ppm.trigram_codes(x) for x in raw]), return_counts=True)
-    table = ppm.log_table(codes, n)
-    assert np.allclose((10.0 ** table.reshape(65536, ppm.SYMBOLS).astype(float)[:: 97]).sum(1), 1, atol=1e-4)
-    first = ppm.adaptive_score(b"abababababab")
-    assert first > ppm.adaptive_score(b"azbycxdwevfu") and ppm.adaptive_score(b"") == pytest.approx(-np.log10(257))
-    seen, strange = (table[ppm.trigram_codes(x)].sum() / len(x) for x in (b"w1 w2 w3 w4", b"QZQZQZQZQZQ"))
-    assert seen > strange
+def scalar_score(trained, raw):
+    """A text by a trie that was filled before and does not learn: the definition, one symbol at a time."""
+    trie = defaultdict(Counter)
+    for t in trained:
+        past = b"\n\n\n"
+        for s in (*t, ppm.END):
+            for order in (0, 1, 2, 3):
+                trie[past[3 - order :]][s] += 1
+            past = past[1:] + bytes((s & 255,))
+    past, total = b"\n\n\n", 0.0
+    for s in (*raw, ppm.END):
+        out, left, p = set(), 1.0, None
+        for order in (3, 2, 1, 0):
+            c = {k: v for k, v in trie.get(past[3 - order :], {}).items() if k not in out}
+            if c:
+                esc = len(c) if ppm.SYMBOLS - len(out) - len(c) > 0 else 0
+                if s in c:
+                    p = left * c[s] / (sum(c.values()) + esc)
+                    break
+                left *= esc / (sum(c.values()) + esc)
+                out |= set(c)
+        total += np.log10(left / (ppm.SYMBOLS - len(out)) if p is None else p)
+        past = past[1:] + bytes((s & 255,))
+    return total
+
+
+def test_scores_agree_with_the_scalar_coder(spark):
+    texts = [BASE, "Abracadabra", "日本", BASE[::-1], "", "w1 w2", "QZQZ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    trained = [t.encode().lower() for i, t in enumerate(texts) if not ppm.held_out(i)]
+    for r in got(ppm.score(df)):
+        assert r["score"] == pytest.approx(scalar_score(trained, texts[r["doc_id"]].encode().lower()), rel=1e-5)
+    few = {r["doc_id"]: r["score"] for r in got(ppm.score(df, deep=2))}
+    assert len(few) == len(texts) and all(x < 0 for x in few.values())
+
+
+def test_tables_are_distributions_and_the_adaptive_coder_learns():
+    codes, n = np.unique(np.concatenate([ppm.trigram_codes(t.encode()) for t in (BASE, "abracadabra")]), return_counts=True)
+    model = ppm.Model(codes, n, np.array([6382179]), np.array([3, 98]), np.array([1, 5]))
+    assert np.allclose((10.0 ** model.two.reshape(65536, ppm.SYMBOLS).astype(float)[::97]).sum(1), 1, atol=1e-4)
+    assert (10.0 ** model.three.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    assert ppm.adaptive_score(b"abababababab") > ppm.adaptive_score(b"azbycxdwevfu") and ppm.adaptive_score(b"") == pytest.approx(-np.log10(257))
 
 
 # --- 9 ---
@@ -429,3 +462,39 @@ def test_nearest(spark):
     few = df.where("vec_id < 3")
     assert len(got(ann.search(ann.build(few, lists=2), few, k=5))) == 6
     assert got(ann.search(ann.build(df.limit(0)), df.limit(0))) == []
+
+
+# --- SQL ---
+
+
+def test_sql_agrees(spark, docs):
+    import duckdb
+    import pandas as pd
+
+    from ledgerloom.llm import oracles, queries
+    from tests.test_queries import canonical
+
+    chats = pd.DataFrame(
+        [(1, 0, "user", "How do I sort?\nThanks"), (1, 1, "assistant", "> How do I  sort?\n> thanks\nUse sorted."), (1, 2, "user", "Fine."), (1, 3, "user", "> > How do I sort?\n> > Thanks\n> Use sorted.\nOr so?"), (2, 0, "user", "> Use sorted.\nHello"), (2, 1, None, None), (3, 0, "user", "> nobody said\n\n  x")],
+        columns=["conv_id", "turn", "role", "text"],
+    )
+    # Repeated ids are told apart by neither SQL; the texts' own rows are enough here.
+    table = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).toPandas()
+    con = duckdb.connect()
+    con.register("documents", table)
+    con.register("conversations", chats)
+    frames = {"op2_quality": table, "op3_ngram_join": table, "op4_chat": chats, "op7_licenses": table}
+    schema = {True: "conv_id bigint, turn bigint, role string, text string", False: SCHEMA}
+
+    def fake(df, chat):
+        rows = [tuple(None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in r) for r in df.itertuples(index=False)]
+        return spark.createDataFrame(rows, schema[chat])
+
+    for name, sql in oracles.oracle_sql().items():
+        chat = name == "op4_chat"
+        original, queries.load = queries.load, lambda s, d, t, df=fake(frames[name], chat): df
+        try:
+            out = queries.queries()[name](spark, "").toPandas()
+        finally:
+            queries.load = original
+        assert canonical(out) == canonical(con.sql(sql).df()), name
