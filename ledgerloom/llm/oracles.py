@@ -38,6 +38,28 @@ def op3(span: int = 4, percent: int = 85) -> str:
     SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, r.c AS component_id FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reached GROUP BY x) r ON r.x = d.doc_id"""
 
 
+def op4() -> str:
+    marks = "'^[ \\t]{0,3}((?:>[ \\t]?)+)'"
+    return rf"""WITH RECURSIVE m AS MATERIALIZED (SELECT conv_id, turn, min(struct_pack(role := role, text := coalesce(text, ''))) AS m FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+    parts AS (SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT conv_id, turn, string_split_regex(m.text, '?
+') AS l FROM m)),
+    lines AS MATERIALIZED (SELECT conv_id, turn, i, len(regexp_extract(line, {marks}, 1)) - len(replace(regexp_extract(line, {marks}, 1), '>', '')) AS level, regexp_replace(line, {marks}, '') AS line FROM parts),
+    runs AS (SELECT *, sum(CASE WHEN level = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) AS before FROM lines)),
+    passages AS MATERIALIZED (SELECT * FROM (SELECT conv_id, turn, level, lower(trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '[ 	
+]+', ' ', 'g'))) AS body FROM runs GROUP BY conv_id, turn, run, level) WHERE body <> ''),
+    clean AS (SELECT conv_id, turn, trim(string_agg(line, chr(10) ORDER BY i)) AS text FROM lines WHERE level = 0 GROUP BY conv_id, turn),
+    here AS (SELECT conv_id, body, min(turn) AS own_turn FROM passages WHERE level = 0 GROUP BY ALL),
+    anywhere AS (SELECT body, min(struct_pack(conv_id := conv_id, turn := turn)) AS first FROM passages WHERE level = 0 GROUP BY body),
+    found AS (SELECT q.conv_id, q.turn, q.level, CASE WHEN own_turn < q.turn THEN struct_pack(conv_id := q.conv_id, turn := own_turn) END AS inside, CASE WHEN first < struct_pack(conv_id := q.conv_id, turn := q.turn) THEN first END AS outside
+      FROM (SELECT conv_id, turn, body, min(level) AS level FROM passages WHERE level > 0 GROUP BY ALL) q LEFT JOIN here h ON h.conv_id = q.conv_id AND h.body = q.body LEFT JOIN anywhere a ON a.body = q.body),
+    quoted AS (SELECT conv_id, turn, arg_min(coalesce(inside, outside), struct_pack(l := level, o := inside IS NULL, t := -coalesce(inside.turn, outside.turn))) AS parent FROM found WHERE inside IS NOT NULL OR outside IS NOT NULL GROUP BY ALL),
+    links AS MATERIALIZED (SELECT b.conv_id, b.turn, coalesce(q.parent, CASE WHEN before IS NOT NULL THEN struct_pack(conv_id := b.conv_id, turn := before) END) AS parent, CASE WHEN q.parent IS NOT NULL THEN 'quote' WHEN before IS NOT NULL THEN 'turn' ELSE 'root' END AS linked
+      FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM m) b LEFT JOIN quoted q ON q.conv_id = b.conv_id AND q.turn = b.turn),
+    tree AS (SELECT conv_id, turn, conv_id AS thread_conv, turn AS thread_turn, 0 AS depth FROM links WHERE parent IS NULL UNION ALL SELECT l.conv_id, l.turn, t.thread_conv, t.thread_turn, t.depth + 1 FROM tree t JOIN links l ON l.parent.conv_id = t.conv_id AND l.parent.turn = t.turn)
+    SELECT m.conv_id, m.turn, m.m.role AS role, l.parent.conv_id AS parent_conv, l.parent.turn AS parent_turn, linked, thread_conv, thread_turn, CAST(depth AS INTEGER) AS depth, row_number() OVER (PARTITION BY thread_conv, thread_turn ORDER BY depth, m.conv_id, m.turn) - 1 AS position, coalesce(c.text, '') AS text
+    FROM m JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn JOIN tree t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN clean c ON c.conv_id = m.conv_id AND c.turn = m.turn"""
+
+
 def op7(threshold: float = 0.8) -> str:
     split = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     templates = ", ".join(f"({_quoted(k)}, {split.format(f'lower({_quoted(v)})')})" for k, v in TEMPLATES.items())
@@ -55,4 +77,4 @@ def op7(threshold: float = 0.8) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": op2(), "op3_ngram_join": op3(), "op7_licenses": op7()}
+    return {"op2_quality": op2(), "op3_ngram_join": op3(), "op4_chat": op4(), "op7_licenses": op7()}
