@@ -144,3 +144,12 @@ def heat_alpha(value: Column, largest: Column) -> Column:
 
 def warns(leverage: Column, target: Column, headroom: Column) -> Column:
     return (leverage > target + 0.02) | (headroom < 0.05)
+
+
+def weight_input(value: Column) -> Column:
+    """A target weight as typed: above 1.5 it is read as a percentage."""
+    return F.when(value > 1.5, value / 100.0).otherwise(value)
+
+
+def weights_balanced(total: Column, tolerance: float = 1e-6) -> Column:
+    return F.abs(total - 1.0) <= tolerance

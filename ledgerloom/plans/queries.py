@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
+from ledgerloom.functions import serialize
 from ledgerloom.operators import cash, ledger, mutate, nav, valuation
 from ledgerloom.operators.asof import asof_join
 from ledgerloom.plans import history, oracles, risk
@@ -389,6 +390,35 @@ def pnl_sign(spark, d):
     return _valued(spark, d).select("id", X.sign_class(X.from_units(F.col("unrealized_pnl"))).alias("sign"))
 
 
+@register(query("SELECT CAST(floor(sum(target_weight) * 1000000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS target_weight_sum, abs(sum(target_weight) - 1.0) <= 1e-6 AS balanced FROM sleeves", "sleeves"))
+def target_weight_sum(spark, d):
+    one = fixtures.sleeves(spark, d).agg(F.sum(X.weight_input(F.col("target_weight"))).alias("target_weight_sum"))
+    return one.select(q("target_weight_sum", 6), X.weights_balanced(F.col("target_weight_sum")).alias("balanced"))
+
+
+@register(query("SELECT v.id, v.symbol, s.code AS sleeve_code, CAST(v.acquired_at AS VARCHAR) AS acquired_at, v.market_value FROM valued v LEFT JOIN sleeves s ON s.id = v.sleeve_id", "valued", "sleeves"))
+def holding_rows(spark, d):
+    """Holdings in the form of the interface, with the code of their sleeve."""
+    rows = serialize.holding_rows(_valued(spark, d), fixtures.sleeves(spark, d))
+    return rows.select("id", "symbol", "sleeve_code", "acquired_at", "market_value")
+
+
+@register(query("SELECT count(*) FILTER (quantity > 0) AS open_holdings, count(*) FILTER (quantity = 0) AS closed_holdings, min(acquired_at) AS first_buy FROM holdings", "holdings"))
+def open_holdings(spark, d):
+    h = fixtures.holdings(spark, d)
+    return h.agg(F.count_if(F.col("quantity") > 0).alias("open_holdings"), F.count_if(F.col("quantity") == 0).alias("closed_holdings"), F.min("acquired_at").alias("first_buy"))
+
+
+@register(query("SELECT min(date) AS first_trade, count(DISTINCT symbol) AS symbols, count(DISTINCT date) AS days FROM trades", "trades"))
+def ledger_extent(spark, d):
+    return _trades(spark, d).agg(F.min("date").alias("first_trade"), F.countDistinct("symbol").alias("symbols"), F.countDistinct("date").alias("days"))
+
+
+@register(query("SELECT id, date, amount_sek > 0 AS incoming, kind FROM flows ORDER BY date, id LIMIT 50", "flows"))
+def list_cash_flows(spark, d):
+    return fixtures.flows(spark, d).orderBy("date", "id").limit(50).select("id", "date", (F.col("amount_sek") > 0).alias("incoming"), "kind")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

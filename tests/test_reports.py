@@ -188,3 +188,18 @@ def test_display(spark):
     assert value(spark, X.format_money_short(F.col("x")), x=2_500_000.0) == "2.50M"
     assert value(spark, X.warns(F.col("x"), F.lit(1.3), F.lit(0.2)), x=1.33)
     assert value(spark, X.locale_number(F.col("x")).cast("double"), x="1 234,50") == 1234.5 and value(spark, X.locale_number(F.col("x")), x="n/a") is None
+
+
+def test_rows_of_the_interface(spark, make):
+    import json
+
+    from ledgerloom.functions import serialize
+
+    h = make.holdings({"id": 1, "symbol": "A", "sleeve_id": 1, "acquired_at": day("2026-01-02")})
+    sleeves = spark.createDataFrame([(1, "ONE")], "id bigint, code string")
+    r = json.loads(serialize.to_json(serialize.holding_rows(h, sleeves)).first()["json"])
+    assert (r["sleeve_code"], r["acquired_at"], r["last_price"]) == ("ONE", "2026-01-02", None)
+    assert serialize.holding_rows(h).first()["sleeve_code"] is None
+    d = spark.sql("SELECT CAST(1.5 AS DECIMAL(20, 4)) AS x, TIMESTAMP '2026-01-02 03:04:05' AS t")
+    assert json.loads(serialize.to_json(d).first()["json"]) == {"x": 1.5, "t": "2026-01-02T03:04:05"}
+    assert value(spark, X.weight_input(F.col("x")), x=24.0) == 0.24 and value(spark, X.weights_balanced(F.col("x")), x=1.0)
