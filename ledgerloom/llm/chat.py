@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize
 
-MARKS = r"^\s{0,3}((?:>[ \t]?)+)"
+MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 
 
 def levels(text: Column) -> Column:
@@ -36,10 +36,8 @@ def passages(lines: Column) -> Column:
     start = F.array().cast("array<struct<level:int,body:string>>")
 
     def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
         same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"])
         grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(F.try_element_at(acc, F.lit(-1))["body"], F.lit("\n"), x["line"]).alias("body"))))
-        del last
         return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("body")))))
 
     runs = F.aggregate(lines, start, add)
@@ -47,7 +45,7 @@ def passages(lines: Column) -> Column:
 
 
 def normal(body: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(body, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(body, r"[ \t\n\x0B\f\r]+", " ")))
 
 
 def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -105,12 +103,15 @@ def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    """(node, root, depth) of a forest of (node, parent) by pointer doubling: a round halves every way to the root."""
-    now = links.select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"))
-    while True:
-        now = materialize(now, "chat-roots")
-        tops = now.where("node = up").select(F.col("node").alias("up"))
-        if not now.where("node != up").join(tops, "up", "left_anti").limit(1).count():
-            return now.select("node", F.col("up").alias("root"), "depth")
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        now = now.join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+    """(node, root, depth) of a forest of (node, parent) by pointer doubling: a round halves every way to the root.
+
+    A node that has its root takes no part in later rounds but as a step for others.
+    """
+    start = links.select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("parent").isNull().alias("done"))
+    settled, active = start.where("done"), start.where("not done")
+    while active.limit(1).count():
+        above = settled.unionByName(active).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("end"))
+        moved = active.drop("done").join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("done"))
+        moved = materialize(moved, "chat-roots")
+        settled, active = settled.unionByName(moved.where("done")), moved.where("not done")
+    return settled.select("node", F.col("up").alias("root"), "depth")
