@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import materialize
+
 OTHER = "*other*"
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -81,16 +83,19 @@ def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None, *, p
     docs must have source, lang and topic. targets: shares by dimension and category, OTHER among them if it
     is to hold any. None: the corpus's own marginals, tempered by `power`, of the `most` largest categories.
     """
+    # One pass over the texts: token sums of the categories as they are, from which all else follows.
+    sums = materialize(docs.groupBy(*DIMENSIONS).agg(F.sum("_ld_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-cells")
     if targets is None:
         targets = {}
         for d in DIMENSIONS:
-            sums = docs.where(F.col(d).isNotNull()).groupBy(d).agg(F.sum("_ld_tokens").alias("n")).orderBy(F.desc("n"), d).limit(most)
-            targets[d] = {r[d]: float(r["n"]) for r in sums.collect()}
+            shares = sums.where(F.col(d).isNotNull()).groupBy(d).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), d).limit(most)
+            targets[d] = {r[d]: float(r["n"]) for r in shares.collect()}
     names = {d: sorted(k for k in targets[d] if k != OTHER) for d in DIMENSIONS}
     for d in DIMENSIONS:
         docs = docs.withColumn(f"_ld_{d}", _known(F.col(d), names[d]))
+        sums = sums.withColumn(f"_ld_{d}", _known(F.col(d), names[d]))
     keys = [f"_ld_{d}" for d in DIMENSIONS]
-    got = docs.groupBy(*keys).agg(F.sum("_ld_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).toPandas()
+    got = sums.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).toPandas()
     if not len(got):
         return docs, pd.DataFrame(columns=[*keys, "tokens", "docs", "weight", "probability"])
     axes = {d: [*names[d], OTHER] for d in DIMENSIONS}
