@@ -40,8 +40,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text; intact: they decode to it again."""
-    out = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("intact"))
+    out = bpe.encode(docs, tokenizer_path(), intact="intact")
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "intact")
 
 
 STAGES = [

@@ -25,10 +25,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import slices
+
 #: The byte-level scheme's pre-splitting pattern (fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
@@ -42,24 +44,33 @@ def byte_symbols() -> dict[str, int]:
 
 
 class _Words(dict):
-    """Tokens of whole words, kept for the next time; a full table is emptied."""
+    """Tokens of whole words, kept for the next time. A full table becomes the older one, from which words
+    that come again are taken over; the one before that is dropped."""
 
     def __init__(self, auto: Automaton):
         self.auto = auto
+        self.older: dict[str, list[int]] = {}
 
     def __missing__(self, w: str) -> list[int]:
-        ids = self.auto._word(w.encode("utf-8", "replace"))
+        ids = self.older.get(w)
+        if ids is None:
+            ids = self.auto._word(w.encode("utf-8", "replace"))
         if len(w) <= self.auto.MAX_WORD:
             if len(self) >= self.auto.MAX_WORDS:
-                self.clear()
+                self.older = dict(self)
+                super().clear()
             self[w] = ids
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
 
 class Automaton:
     """The compiled tokenizer of a byte-level BPE file (tokenizers JSON)."""
 
-    MAX_ARCS, MAX_WORDS, MAX_WORD = 600_000, 300_000, 48
+    MAX_ARCS, MAX_WORDS, MAX_WORD = 250_000, 200_000, 48
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -205,54 +216,65 @@ def automaton(path: str) -> Automaton:
     return _compiled[path]
 
 
-def encode_column(text: Column, path: str) -> Column:
-    """Token ids (array<int>) of a text column; null: no tokens. Whole texts, row by row in Arrow batches."""
+def _added(df: DataFrame, source: str, out: dict[str, str], fill) -> DataFrame:
+    """df with columns (name: type) made from another, in small pieces of Arrow batches; columns of those names are replaced.
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        auto = automaton(path)
-        for b in batches:
-            yield pd.Series([auto.encode(x or "") for x in b], index=b.index, dtype=object)
+    The table of words is emptied at the end of a task: an idle worker holds the automaton and little else.
+    """
+    rest = [c for c in df.columns if c not in out]
+    table = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{source}`").alias("_ld_source"))
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in table.dtypes[:-1]), *(f"`{n}` {t}" for n, t in out.items())])
 
-    return encode(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *fill(b.columns[-1])], names=[*rest, *out])
+        for auto in _compiled.values():
+            auto.words.clear()
 
+    return table.mapInArrow(run, schema)
 
-def decode_column(ids: Column, path: str) -> Column:
-    """Texts of an array<int> column; null: empty."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        auto = automaton(path)
-        for b in batches:
-            yield pd.Series([auto.decode(() if x is None else x) for x in b], index=b.index, dtype=object)
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", out: str = "ids", intact: str | None = None) -> DataFrame:
+    """docs with `out`: token ids (array<int>) of each whole text; a null or empty text has none.
 
-    return decode(ids)
+    intact: also add a column of this name, whether the ids decode to the text again (null counts as empty).
+    """
 
+    def fill(texts: pa.Array) -> list[pa.Array]:
+        auto = automaton(path)
+        plain = [t or "" for t in texts.to_pylist()]
+        ids = [auto.encode(t) for t in plain]
+        column = pa.array(ids, pa.list_(pa.int32()))
+        return [column] if intact is None else [column, pa.array([auto.decode(x) == t for x, t in zip(ids, plain, strict=True)], pa.bool_())]
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with `out`: token ids of each whole text (null or empty text: none). A column named `out` is replaced."""
-    return docs.withColumn(out, encode_column(F.col(f"`{text_col}`"), path))
+    return _added(docs, text_col, {out: "array<int>"} | ({} if intact is None else {intact: "boolean"}), fill)
 
 
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """tokens with `out`: the text of each row's ids."""
-    return tokens.withColumn(out, decode_column(F.col(f"`{ids_col}`"), path))
+    """tokens with `out`: the text of each row's ids; null ids make an empty text."""
+
+    def fill(ids: pa.Array) -> list[pa.Array]:
+        auto = automaton(path)
+        return [pa.array([auto.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else ()) for x in ids], pa.string())]
+
+    return _added(tokens, ids_col, {out: "string"}, fill)
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded from the ids, in one pass over the texts."""
+    ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(path)
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                ids = auto.encode(text or "")
-                rows.append((len(ids), hashlib.sha256(auto.joined(ids).encode()).hexdigest(), hashlib.sha256(auto.decode(ids).encode("utf-8", "replace")).hexdigest()))
-            got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            got.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield got
-
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = dict(ids.dtypes)["doc_id"]
-    return ids.mapInPandas(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)
+        sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
+        for whole in batches:
+            for b in slices(whole):
+                n, first, second = [], [], []
+                for text in b.columns[1].to_pylist():
+                    tokens = auto.encode(text or "")
+                    n.append(len(tokens)), first.append(sha(auto.joined(tokens))), second.append(sha(auto.decode(tokens)))
+                yield pa.RecordBatch.from_arrays([b.columns[0], pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        auto.words.clear()
+
+    return ids.mapInArrow(digest, f"doc_id {dict(ids.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)
