@@ -126,7 +126,7 @@ def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int =
     # Pieces of a list by its size; a table of one row a list.
     pieces = index.vectors.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).cast("int").alias("pieces"))
     asked_of = probed.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).cast("int").alias("q_pieces"))
-    cut = pieces.join(asked_of, "list_id")
+    cut = F.broadcast(pieces.join(asked_of, "list_id"))  # at most one row a list, and `lists` is a parameter
     stored = (
         index.vectors.join(cut, "list_id").withColumn("piece", F.pmod(F.xxhash64("vec_hash"), F.col("pieces")).cast("int"))
         .select("list_id", "piece", F.explode(F.sequence(F.lit(0), F.col("q_pieces") - 1)).alias("q_piece"), "vec_hash", "vector", "ids")
