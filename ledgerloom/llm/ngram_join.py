@@ -130,14 +130,43 @@ def admissible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return size & (F.least(na - pa_, nb - pb) * (100 + percent) >= (na + nb) * percent)
 
 
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITS)) + 1
+
+
+def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """BITS bits, those at the places of the keys' column set: the same size for any number of keys."""
+    cells = keys.select(_place(column).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bitmap = np.zeros(BITS // 8, np.uint8)
+    for r in cells:
+        at = (r["bucket"] - 1) * 4096  # bucket k holds the places from 32768 * (k - 1) + 1 on
+        bitmap[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bitmap
+
+
+def _in_bitmap(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose place, the last column, is set."""
+    p = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64) - 1
+    return batch.take(pa.array(np.flatnonzero((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1)))
+
+
 def _reachable(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
-    """The pairs that can still reach the threshold once the overlap of their prefixes is counted.
+    """The pairs, a written table, that can still reach the threshold once the overlap of their prefixes is counted.
 
     Whichever prefix ends first in the order holds all the n-grams up to there that both have, so the overlap
-    is at most that count and what follows the prefix: ceil(t|x|) - 1 of x, or the same of y.
+    is at most that count and what follows the prefix: ceil(t|x|) - 1 of x, or the same of y. A bitmap keeps
+    most prefixes that are in no pair out of the shuffle.
     """
-    a = short.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    b = short.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    shared = short.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("sid")), "sid"))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = _in_bitmap(b, shared.value)
+            yield pa.RecordBatch.from_arrays(some.columns[:3], names=["sid", "n", "prefix"])
+
+    few = short.select("sid", "n", "prefix", _place("sid").alias("p")).mapInArrow(thin, "sid bigint, n int, prefix array<bigint>")
+    a = few.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    b = few.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
     both = pairs.join(b, "b").join(a, "a")
     after = F.ceil(F.greatest("na", "nb") * percent / F.lit(100)) - 1
     most = F.size(F.array_intersect("pa", "pb")) + after
@@ -151,26 +180,17 @@ def _members(rows: DataFrame, sets: DataFrame, wanted: DataFrame, span: int) ->
     that pass it by chance fall out in the join.
     """
     keys = materialize(sets.join(wanted, "sid").select("sid", F.col("min_id").alias("id"), "k1", "k2"), "ngram-keys")
-    place = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
-    cells = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bitmap = np.zeros(BITS // 8, np.uint8)
-    for r in cells:
-        at = (r["bucket"] - 1) * 4096  # bucket k holds the places from 32768 * (k - 1) + 1 on
-        bitmap[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(keys, "id"))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for b in (piece for whole in batches for piece in slices(whole)):
-            p = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) - 1
-            at = np.flatnonzero((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
-            some = b.take(pa.array(at))
+            some = _in_bitmap(b, shared.value)
             grams = [np.unique(shingles(t, span)) for t in some.column(1).to_pylist()]
             marks = [digest(g) for g in grams]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], names=["id", "k1", "k2", "grams"])
 
-    found = rows.where("id is not null").select("id", "text", place.alias("p")).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, grams array<bigint>")
+    found = rows.where("id is not null").select("id", "text", _place("id").alias("p")).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, grams array<bigint>")
     return found.join(keys, ["id", "k1", "k2"]).select("sid", "grams").dropDuplicates(["sid"])
 
 
@@ -243,7 +263,8 @@ def classes(docs: DataFrame, *, span: int = 4, percent: int = 85, id_col: str =
     cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & admissible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
     rest = cross.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = materialize(_reachable(rest.join(tried, ["a", "b"], "left_anti"), short, percent), "ngram-pairs")
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    second = materialize(_reachable(rest, short, percent), "ngram-pairs")
     if second.limit(1).count():
         roots = components(links.union(_links(rows, sets, second, span, percent)))
 
@@ -272,9 +293,22 @@ def dedupe(docs: DataFrame, **options) -> DataFrame:
     own = found.where((F.col(id_col) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(F.col(id_col).alias("_ld_id")).agg(F.count(F.lit(1)).alias("_ld_rows"))
     empty = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") == 0)).select(F.col(id_col).alias("_ld_id"), F.lit(0).cast("long").alias("_ld_rows"))
     kept = materialize(own.unionByName(empty).groupBy("_ld_id").agg(F.max("_ld_rows").alias("_ld_rows")), "ngram-kept")
-    held = docs.join(kept, docs[id_col] == kept["_ld_id"])
+    # Only documents whose id may be one that goes, or that has several rows, take their texts through a join.
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_ld_id"))
+    doubt = materialize(gone.unionByName(kept.where("_ld_rows > 1").select("_ld_id")), "ngram-doubt")
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(doubt, "_ld_id"))
+
+    @F.pandas_udf("boolean")
+    def in_doubt(place: pd.Series) -> pd.Series:
+        p = place.to_numpy(np.int64) - 1
+        return pd.Series(((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool))
+
+    known = docs.where(F.col(id_col).isNotNull()).withColumn("_ld_doubt", in_doubt(_place(id_col)))
+    sure = known.where("not _ld_doubt").drop("_ld_doubt")
+    held = known.where("_ld_doubt").drop("_ld_doubt").join(kept, F.col(id_col) == F.col("_ld_id"))
     once = held.where("_ld_rows <= 1").drop("_ld_id", "_ld_rows")
     more = held.where("_ld_rows > 1").withColumn("_ld_text", F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).dropDuplicates(["_ld_id", "_ld_text"]).drop("_ld_id", "_ld_rows", "_ld_text")
+    out = sure.unionByName(once)
     if kept.where("_ld_rows > 1").limit(1).count():
-        once = once.unionByName(more)
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+        out = out.unionByName(more)
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
