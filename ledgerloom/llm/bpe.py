@@ -70,7 +70,7 @@ class _Words(dict):
 class Automaton:
     """The compiled tokenizer of a byte-level BPE file (tokenizers JSON)."""
 
-    MAX_ARCS, MAX_WORDS, MAX_WORD = 250_000, 200_000, 48
+    MAX_ARCS, MAX_WORDS, MAX_WORD = 250_000, 120_000, 48
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

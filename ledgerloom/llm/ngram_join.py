@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -298,10 +297,10 @@ def dedupe(docs: DataFrame, **options) -> DataFrame:
     doubt = materialize(gone.unionByName(kept.where("_ld_rows > 1").select("_ld_id")), "ngram-doubt")
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(doubt, "_ld_id"))
 
-    @F.pandas_udf("boolean")
-    def in_doubt(place: pd.Series) -> pd.Series:
-        p = place.to_numpy(np.int64) - 1
-        return pd.Series(((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool))
+    @F.arrow_udf("boolean")
+    def in_doubt(place: pa.Array) -> pa.Array:
+        p = place.to_numpy(zero_copy_only=False).astype(np.int64) - 1
+        return pa.array(((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool))
 
     known = docs.where(F.col(id_col).isNotNull()).withColumn("_ld_doubt", in_doubt(_place(id_col)))
     sure = known.where("not _ld_doubt").drop("_ld_doubt")
