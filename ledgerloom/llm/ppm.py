@@ -5,11 +5,13 @@ seen in the longest context is coded there; otherwise an escape (method C: disti
 leads to the next shorter context, where the symbols already offered are excluded; below the empty
 context every byte and the end of text that is still open is equally likely.
 
-Counts come from all training documents. What is broadcast has a provable bound at any corpus size: all
-256 x 256 contexts of two bytes and the DEEP most frequent of three, with 257 symbols each, 68 MB of
-log-probabilities for either. Word counts (for the base score) have no such bound, so only the `frequent`
-most frequent words are broadcast, and a document's other words meet their counts in a shuffled join; the
-two parts add up to exact sums.
+Counts come from all training documents, and every context of three bytes seen in them is in the model.
+What is broadcast has a provable bound at any corpus size: all 256 x 256 contexts of two bytes and the DEEP
+most frequent of three, with 257 symbols each, 68 MB of log-probabilities for either, and a bit for each
+context of three that was seen. The other contexts of three stay a distributed table of counts, which the
+symbols that documents have after them meet in a shuffled join. Word counts (for the base score) have no
+bound either, so only the `frequent` most frequent words are broadcast, and a document's other words meet
+their counts in a join likewise; the parts add up to exact sums.
 
 Words are keyed by a 64-bit hash: with a billion distinct words, some pair collides with probability 0.03.
 """
@@ -91,15 +93,21 @@ class Model:
             three = three.reshape(len(some), SYMBOLS)
             self.three[at * SYMBOLS : (at + len(some)) * SYMBOLS] = np.log10(_mix([three, dense[(some >> 8) & 255, some & 255], one[some & 255], np.broadcast_to(zero, three.shape)])).ravel()
 
-    def score(self, raw: bytes, index: np.ndarray) -> float:
+    def score(self, raw: bytes, index: np.ndarray, seen: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score but for contexts that were seen and are not in deep; of these: context * 257 + symbol, and how often."""
         three, two, symbol = _around(raw)
         at = index[three].astype(np.int32)
         deep = at != NONE
-        total = self.two[two[~deep] * SYMBOLS + symbol[~deep]].sum(dtype=np.float64)
-        return float(total + self.three[at[deep] * SYMBOLS + symbol[deep]].sum(dtype=np.float64))
+        other = ~deep
+        if other.any():
+            other[other] = (seen[three[other] >> 3] >> (7 - (three[other] & 7))) & 1
+        short = ~(deep | other)
+        total = self.two[two[short] * SYMBOLS + symbol[short]].sum(dtype=np.float64)
+        total += self.three[at[deep] * SYMBOLS + symbol[deep]].sum(dtype=np.float64)
+        return float(total), *np.unique(three[other].astype(np.int64) * SYMBOLS + symbol[other], return_counts=True)
 
 
-#: Contexts of three bytes in the model at most, and the mark of those that are not.
+#: Contexts of three bytes that are broadcast at most, and the mark of those that are not.
 DEEP = NONE = 65535
 
 
@@ -190,13 +198,22 @@ def _add(grid: np.ndarray, grams: list[np.ndarray]) -> None:
 
 
 def _deep_counts(docs: DataFrame, is_held, deep: np.ndarray) -> DataFrame:
-    """(key, n): what follows each context of `deep` in the training documents, as place in deep * 257 + symbol."""
+    """(kind, key, n): what follows the contexts of three bytes in the training documents.
+
+    Those of `deep` (kind 0) as place in deep * 257 + symbol, the others (kind 1) as context * 257 + symbol.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(deep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of(shared.value)
         grid = np.zeros(len(shared.value) * SYMBOLS, np.int32)
-        grams, held = [], 0
+        grams, others, held = [], [], 0
+
+        def flush_others():
+            if sum(map(len, others)):
+                yield _batch(1, *np.unique(np.concatenate(others), return_counts=True))
+            others.clear()
+
         for b in (piece for whole in batches for piece in slices(whole)):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if is_held(doc_id):
@@ -204,34 +221,78 @@ def _deep_counts(docs: DataFrame, is_held, deep: np.ndarray) -> DataFrame:
                 three, _, symbol = _around(as_bytes(text).lower())
                 at = index[three].astype(np.int32)
                 grams.append((at * SYMBOLS + symbol)[at != NONE])
+                others.append((three.astype(np.int64) * SYMBOLS + symbol)[at == NONE])
                 held += len(three)
                 if held > 1_000_000:
                     _add(grid, grams)
+                    yield from flush_others()
                     held = 0
         _add(grid, grams)
+        yield from flush_others()
         at = np.flatnonzero(grid)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(grid[at].astype(np.int64))], names=["key", "n"])
+            yield _batch(0, at.astype(np.int64), grid[at].astype(np.int64))
 
-    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _batch(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
 
-def _model(rows: DataFrame, is_held, codes: np.ndarray, counts: np.ndarray, most: int) -> Model:
-    """The model of the training documents: the `most` most frequent trigrams of bytes are its contexts of three."""
+def _model(rows: DataFrame, is_held, codes: np.ndarray, counts: np.ndarray, most: int) -> tuple[Model, np.ndarray, DataFrame | None]:
+    """The model of the training documents, a bit for each context of three seen in them, and the counts after those not in the model.
+
+    The start of a text and the most frequent trigrams of bytes, `most` in all, are the model's contexts of
+    three. The counts (key, n) are of context * 257 + symbol; None if all contexts are in the model.
+    """
     before, symbol = codes // SYMBOLS, codes % SYMBOLS
     byte = symbol != END
-    best = np.lexsort((codes[byte], -counts[byte]))[: min(most, DEEP)]
-    deep = np.sort((before[byte] * 256 + symbol[byte])[best])
-    if not len(deep):
-        return Model(codes, counts, deep, np.empty(0, np.int64), np.empty(0, np.int64))
-    found = materialize(_deep_counts(rows, is_held, deep), "ppm-deep").toArrow()  # at most DEEP * 257 rows
-    key, n = found["key"].to_numpy(), found["n"].to_numpy()
+    best = np.lexsort((codes[byte], -counts[byte]))[: max(0, min(most, DEEP) - 1)]
+    contexts, start = before[byte] * 256 + symbol[byte], START * 65793
+    seen = np.zeros(1 << 24, bool)
+    seen[contexts] = True
+    if not len(codes):
+        return Model(codes, counts, contexts, np.empty(0, np.int64), np.empty(0, np.int64)), np.packbits(seen), None
+    seen[start] = True
+    deep = np.union1d(contexts[best], [start])
+    found = materialize(_deep_counts(rows, is_held, deep), "ppm-deep")
+    head = found.where("kind = 0").select("key", "n").toArrow()  # at most DEEP * 257 rows
+    key, n = head["key"].to_numpy(), head["n"].to_numpy()
     order = np.argsort(key)
-    return Model(codes, counts, deep, key[order], n[order])
+    others = found.where("kind = 1").select("key", "n") if seen.sum() > len(deep) else None
+    return Model(codes, counts, deep, key[order], n[order]), np.packbits(seen), others
+
+
+def _other_scores(asked: DataFrame, others: DataFrame, grams: DataFrame, shared, follow: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, log): log10 probability of each context * 257 + symbol in asked, for contexts counted in others.
+
+    As in _mix. What follows a context follows its last two bytes too, so what exclusion leaves of the
+    shorter context is its sums less those of the longer one's symbols. follow: total and distinct symbols
+    after each two bytes.
+    """
+    followed = asked.sparkSession.sparkContext.broadcast(follow)
+    context, two = F.expr(f"key div {SYMBOLS}"), F.expr(f"(key div {SYMBOLS}) % 65536 * {SYMBOLS} + key % {SYMBOLS}")
+    short = grams.select(F.col("key").alias("two"), F.col("n").alias("n_two"))
+    sums = others.select(context.alias("context"), two.alias("two"), "n").join(short, "two").groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n_two").alias("out"))
+    rows = asked.select("key").distinct().select("key", context.alias("context"), two.alias("two")).join(others, "key", "left").join(sums, "context").join(short, "two", "left")
+    rows = rows.select("key", "two", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_two", F.lit(0)).alias("n_two"), "total", "kinds", "out")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, (totals, distinct) = shared.value[0].two, followed.value
+        for b in batches:
+            key, two, n, n_two, total, kinds, out = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            whole, all_kinds = totals[two // SYMBOLS], distinct[two // SYMBOLS]
+            esc = np.where(kinds < SYMBOLS, kinds, 0)
+            rest, more = whole - out, all_kinds - kinds
+            esc_two = np.where(all_kinds < SYMBOLS, more, 0)
+            # Below two bytes both ways exclude the same symbols.
+            below = 10.0 ** logs[two].astype(np.float64) * (whole + all_kinds) / all_kinds
+            after = np.where(n_two > 0, n_two, esc_two * below) / np.maximum(rest + esc_two, 1)
+            p = np.where(n > 0, n, esc * np.where(rest > 0, after, below)) / (total + esc)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.log10(p))], names=["key", "log"])
+
+    return rows.mapInArrow(run, "key bigint, log double")
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", is_held=held_out, frequent: int = 200_000, deep: int = DEEP) -> DataFrame:
@@ -247,8 +308,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", is
     words = counts.where("kind = 0")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = int(sums["n"]), int(sums["v"])
-    grams = counts.where("kind = 1").select("key", "n").toArrow()  # at most 65536 * 257 rows
-    model = _model(rows, is_held, grams["key"].to_numpy(), grams["n"].to_numpy(), deep)
+    grams = counts.where("kind = 1").select("key", "n")
+    held_grams = grams.toArrow()  # at most 65536 * 257 rows
+    codes, follows = held_grams["key"].to_numpy(), held_grams["n"].to_numpy()
+    model, seen, others = _model(rows, is_held, codes, follows, deep)
     # The least count that at most `frequent` words reach, from a table of counts by twentieths of a doubling.
     step = F.floor(F.log2("n") * 20).cast("int")
     steps = sorted(((r["step"], r["count"]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)
@@ -261,13 +324,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", is
     top = words.where(step >= F.lit(least) if least is not None else F.lit(False)).select("key", "n").toArrow()
     order = np.argsort(top["key"].to_numpy())
     keys, tops = top["key"].to_numpy()[order], top["n"].to_numpy()[order]
-    shared = spark.sparkContext.broadcast((model, keys, np.log10(tops + 1.0)))
+    shared = spark.sparkContext.broadcast((model, keys, np.log10(tops + 1.0), seen))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, keys, logs = shared.value
+        model, keys, logs, seen = shared.value
         index = index_of(model.deep)
         row = TaskContext.get().partitionId() << 40
         for b in (piece for whole in batches for piece in slices(whole)):
@@ -280,18 +343,24 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", is
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 tail = np.argsort(h[~hit])
-                out.append((row, bool(is_held(doc_id)), int(n.sum()), int(n[hit].sum()), float((logs[at[hit]] * n[hit]).sum()) if len(keys) else 0.0, model.score(raw, index), h[~hit][tail], n[~hit][tail].astype(np.int32)))
+                total, codes, times = model.score(raw, index, seen)
+                out.append((row, bool(is_held(doc_id)), int(n.sum()), int(n[hit].sum()), float((logs[at[hit]] * n[hit]).sum()) if len(keys) else 0.0, total, h[~hit][tail], n[~hit][tail].astype(np.int32), codes, times.astype(np.int32)))
                 row += 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["id", "row", "held_out", "n_tokens", "n_known", "log_sum", "score", "tail", "tail_n"])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 10
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["id", "row", "held_out", "n_tokens", "n_known", "log_sum", "score", "tail", "tail_n", "other", "other_n"])
 
-    scored = materialize(rows.mapInArrow(run, f"id {kind}, row bigint, held_out boolean, n_tokens bigint, n_known bigint, log_sum double, score double, tail array<bigint>, tail_n array<int>"), "ppm-rows")
+    scored = materialize(rows.mapInArrow(run, f"id {kind}, row bigint, held_out boolean, n_tokens bigint, n_known bigint, log_sum double, score double, tail array<bigint>, tail_n array<int>, other array<bigint>, other_n array<int>"), "ppm-rows")
     tails = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("tf"))
     met = tails.join(words.select("key", "n"), "key")
     rare = met.groupBy("row").agg(F.sum("tf").alias("rare_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("rare_log"))
     per_token = float(np.log10(n_all + 1.0 * (v_all + 1)))
-    out = scored.drop("tail", "tail_n").join(rare, "row", "left")
+    out = scored.drop("tail", "tail_n", "other", "other_n").join(rare, "row", "left")
+    if others is not None:
+        asked = scored.select("row", F.explode(F.arrays_zip("other", "other_n")).alias("t")).select("row", F.col("t.other").alias("key"), F.col("t.other_n").alias("tf"))
+        total = np.bincount(codes // SYMBOLS, follows, 65536).astype(np.int64), np.bincount(codes // SYMBOLS, minlength=65536)
+        deeper = asked.join(_other_scores(asked, others, grams, shared, total), "key").groupBy("row").agg(F.sum(F.col("tf") * F.col("log")).alias("deeper"))
+        out = out.join(deeper, "row", "left").withColumn("score", F.col("score") + F.coalesce("deeper", F.lit(0.0)))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("log_sum") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), "score",

@@ -382,6 +382,15 @@ def test_scores_agree_with_the_scalar_coder(spark):
     assert len(few) == len(texts) and all(x < 0 for x in few.values())
 
 
+def test_contexts_that_are_not_broadcast_count_as_much(spark):
+    texts = [BASE, "Abracadabra", "日本", BASE[::-1], "", "w1 w2", "QZQZ", "w1 w3 abrakadabra", "".join(map(chr, range(1, 700))), "w1 w2 w9"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    trained = [t.encode().lower() for i, t in enumerate(texts) if not ppm.held_out(i)]
+    for deep in (0, 2, 40, ppm.DEEP):
+        scores = {r["doc_id"]: r["score"] for r in got(ppm.score(df, deep=deep))}
+        assert scores == {i: pytest.approx(scalar_score(trained, t.encode().lower()), rel=1e-5) for i, t in enumerate(texts)}
+
+
 def test_tables_are_distributions_and_the_adaptive_coder_learns():
     codes, n = np.unique(np.concatenate([ppm.trigram_codes(t.encode()) for t in (BASE, "abracadabra")]), return_counts=True)
     model = ppm.Model(codes, n, np.array([6382179]), np.array([3, 98]), np.array([1, 5]))
