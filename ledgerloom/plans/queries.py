@@ -46,11 +46,11 @@ def _trades(spark, d):
 
 
 def _series(spark, d):
-    return history.reconstruct(_trades(spark, d), fixtures.flows(spark, d), fixtures.holdings(spark, d), fixtures.closes(spark, d), CFG, end=END)
+    return history.reconstruct(_trades(spark, d), fixtures.flows(spark, d), fixtures.holdings(spark, d), fixtures.closes(spark, d), CFG, end=fixtures.last_day(spark, d))
 
 
 def _journal(spark, d):
-    return history.journal(_trades(spark, d), fixtures.holdings(spark, d), fixtures.closes(spark, d), CFG, end=END)
+    return history.journal(_trades(spark, d), fixtures.holdings(spark, d), fixtures.closes(spark, d), CFG, end=fixtures.last_day(spark, d))
 
 
 def _valued(spark, d):
@@ -288,8 +288,8 @@ def _snapshots(spark, d):
   SELECT ((SELECT sum(market_value) FROM valued) + greatest(k.cash, 0::BIGINT))::DOUBLE / 10000.0::DOUBLE AS gross, greatest(-k.cash, 0::BIGINT)::DOUBLE / 10000.0::DOUBLE AS loan, p.equity AS pe, p.nav_index AS pi,
     NOT (abs(k.flows) * 2 < (SELECT sum(cost_basis) FROM valued WHERE sleeve_id IS NOT NULL)) AS reliable FROM (SELECT * FROM cash WHERE date <= DATE '{END}' ORDER BY date DESC LIMIT 1) k, (SELECT * FROM nav_rows WHERE date <= DATE '{MID}' ORDER BY date DESC LIMIT 1) p)""", "valued"))
 def current_risk(spark, d):
-    """The live panel on a fixed day, against the last stored snapshot."""
-    out = risk.current_risk(_valued(spark, d), _trades(spark, d), fixtures.flows(spark, d), _snapshots(spark, d), CFG, END)
+    """The live panel on the last day of the tables, against the last stored snapshot."""
+    out = risk.current_risk(_valued(spark, d), _trades(spark, d), fixtures.flows(spark, d), _snapshots(spark, d), CFG, fixtures.last_day(spark, d))
     return out.select(q("gross_asset_value", 4), q("loan_balance", 4), q("equity", 4), q("twr_period", 5), q("nav_index", 4), "nav_index_reliable")
 
 

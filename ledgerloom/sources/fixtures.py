@@ -59,6 +59,13 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"), X.flow_amount(F.col("kind"), F.col("o_totalprice")).alias("amount_sek"), "kind", F.when(F.col("o_orderpriority") == "1-URGENT", "manual").otherwise("avanza").alias("source"), F.lit(None).cast("string").alias("note"))
 
 
+def last_day(spark: SparkSession, sf_dir: str) -> str:
+    """The latest day with a trade (closes are of trades) or a flow; END if there is neither."""
+    days = trades(spark, sf_dir).select("date").union(flows(spark, sf_dir).select("date"))
+    last = days.agg(F.max("date").alias("last")).first()["last"]
+    return str(last) if last else END
+
+
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, ins = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F' and l_suppkey % 10 != 0"), instruments(spark, sf_dir)
     price = F.floor(F.col("l_extendedprice") / (F.col("l_quantity") * F.col("fx"))).cast("double")
