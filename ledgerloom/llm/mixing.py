@@ -6,8 +6,9 @@ cell's calibrated weight, by a keyed hash of its id, so a sample can be repeated
 the weight from which they are 1 is the one that `full` of all tokens lie at or below, so a rare cell
 with an extreme weight does not thin out all the others; what such cells cannot supply is missing.
 
-Cells are bounded by the targets: a category without a target of its own falls under '*other*'. So only
-(sources + 1) x (languages + 1) x (topics + 1) numbers come to the driver, whatever the corpus.
+With targets, cells are bounded by them: a category without a target of its own falls under '*other*'. So only
+(sources + 1) x (languages + 1) x (topics + 1) numbers come to the driver, whatever the corpus. Without, every
+category has its own; where an axis has more than `most`, the cells are raked as a distributed table.
 """
 
 from __future__ import annotations
@@ -77,19 +78,55 @@ def _known(column: Column, names: list[str]) -> Column:
     return F.when(column.isin(names), column).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
 
 
-def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None, *, power: float = 0.8, full: float = 0.99, most: int = 1000) -> tuple[DataFrame, pd.DataFrame]:
+def _rake_table(cells: DataFrame, keys: list[str], power: float, full: float, *, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """As rake and the probabilities in calibrate, to tempered own marginals, on (keys, tokens) that need not fit the driver."""
+    whole = float(cells.agg(F.sum("tokens")).first()[0])
+    now = materialize(cells.withColumn("fitted", F.col("tokens") / whole), "mixing-raked")
+    wanted = {}
+    for k in keys:
+        raised = materialize(now.groupBy(k).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("want")), "mixing-wanted")
+        wanted[k] = raised.withColumn("want", F.col("want") / raised.agg(F.sum("want")).first()[0])
+    step = lambda t, k: t.groupBy(k).agg(F.sum("fitted").alias("have")).join(wanted[k], k)
+    for _ in range(rounds):
+        off = [step(now, k).agg(F.max(F.abs(F.col("have") - F.col("want"))).alias("off")) for k in keys]
+        if off[0].union(off[1]).union(off[2]).agg(F.max("off")).first()[0] < tolerance:
+            break
+        for k in keys:
+            now = now.join(step(now, k), k).withColumn("fitted", F.col("fitted") * F.col("want") / F.col("have")).drop("want", "have")
+        now = materialize(now, "mixing-raked")
+    now = materialize(now.withColumn("weight", F.col("fitted") * whole / F.col("tokens")), "mixing-raked")
+    # The least weight that `full` of all tokens lie at or below: ever finer pieces of the range that holds it.
+    need, under, some = full * whole * (1 - 1e-12), 0.0, now
+    low, high = some.agg(F.min("weight"), F.max("weight")).first()
+    while low < high:
+        at = F.least(F.floor((F.col("weight") - low) / F.lit((high - low) / 1000)), F.lit(999))
+        for r in sorted(some.groupBy(at.alias("at")).agg(F.sum("tokens").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high")).collect(), key=lambda r: r["at"]):
+            if under + r["n"] >= need:
+                break
+            under += r["n"]
+        low, high = r["low"], r["high"]
+        some = now.where(F.col("weight").between(low, high))
+    return now.select(*keys, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(low)).alias("probability"))
+
+
+def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None, *, power: float = 0.8, full: float = 0.99, most: int = 1000) -> tuple[DataFrame, pd.DataFrame | DataFrame]:
     """(docs with _ld_source, _ld_lang, _ld_topic, _ld_tokens; the table of cells with weight and probability).
 
-    docs must have source, lang and topic. targets: shares by dimension and category, OTHER among them if it
-    is to hold any. None: the corpus's own marginals, tempered by `power`, of the `most` largest categories.
+    docs must have source, lang and topic. targets: shares by dimension and category; where OTHER is not among
+    them it keeps its share of the tokens. None: the corpus's own marginals, tempered by `power`; with more than
+    `most` categories in a dimension the table of cells stays distributed.
     """
     # One pass over the texts: token sums of the categories as they are, from which all else follows.
     sums = materialize(docs.groupBy(*DIMENSIONS).agg(F.sum("_ld_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-cells")
-    if targets is None:
+    temper = targets is None
+    if temper:
         targets = {}
         for d in DIMENSIONS:
-            shares = sums.where(F.col(d).isNotNull()).groupBy(d).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), d).limit(most)
+            shares = sums.where(F.col(d).isNotNull()).groupBy(d).agg(F.sum("tokens").alias("n")).limit(most + 1)
             targets[d] = {r[d]: float(r["n"]) for r in shares.collect()}
+        if any(len(t) > most for t in targets.values()):
+            known = {f"_ld_{d}": F.coalesce(d, F.lit(OTHER)) for d in DIMENSIONS}
+            return docs.withColumns(known), _rake_table(sums.withColumns(known).groupBy(*known).agg(F.sum("tokens").alias("tokens")), list(known), power, full)
     names = {d: sorted(k for k in targets[d] if k != OTHER) for d in DIMENSIONS}
     for d in DIMENSIONS:
         docs = docs.withColumn(f"_ld_{d}", _known(F.col(d), names[d]))
@@ -106,9 +143,11 @@ def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None, *, p
     given = []
     for axis, d in enumerate(DIMENSIONS):
         own = dict(targets[d])
-        if OTHER not in own:  # the unnamed keep their own share
-            own[OTHER] = float(cells.sum(tuple(i for i in range(3) if i != axis))[-1] / cells.sum()) * sum(own.values())
-        if all(v > 1 for v in own.values() if v) and power != 1:
+        if temper or OTHER not in own:  # the unnamed keep their own share of all
+            rest = float(cells.sum(tuple(i for i in range(3) if i != axis))[-1])
+            named = float(cells.sum()) - rest
+            own[OTHER] = rest if temper or not named else rest / named * sum(own.values())
+        if temper and power != 1:
             own = tempered(own, power)
         given.append(np.array([own.get(k, 0.0) for k in axes[d]]))
     weight = rake(cells, given)
@@ -134,9 +173,11 @@ def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None,
     spark = docs.sparkSession
     ready, cells = calibrate(ready, targets, power=power, full=full)
     keys = [f"_ld_{d}" for d in DIMENSIONS]
-    table = spark.createDataFrame(cells[[*keys, "weight", "probability"]], f"{', '.join(f'{k} string' for k in keys)}, weight double, probability double")
-    # At most one row a cell of the targets: small by construction.
-    met = ready.join(F.broadcast(table), keys, "left")
+    if isinstance(cells, DataFrame):
+        met = ready.join(cells, keys, "left")
+    else:  # at most one row a cell of the targets: small by construction
+        table = spark.createDataFrame(cells[[*keys, "weight", "probability"]], f"{', '.join(f'{k} string' for k in keys)}, weight double, probability double")
+        met = ready.join(F.broadcast(table), keys, "left")
     draw = F.conv(F.substring(F.sha2(F.encode(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.sha2(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 256))), "utf-8"), 256), 1, 13), 16, 10).cast("double") / float(16**13)
     out = met.withColumn("kept", draw < F.col("probability"))
     return out.drop(*keys, "_ld_tokens")

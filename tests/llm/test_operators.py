@@ -297,6 +297,30 @@ def test_mix(spark, docs, empty):
     assert got(mixing.mix(empty)) == [] and len(got(mixing.mix(docs))) == docs.count()
 
 
+def test_mix_tempers_every_category(spark):
+    rows = [(k, "word " * (50 + k % 7), "en" if k % 4 else "fr", [None, "a", "b"][k % 3] if k % 5 else f"s{k % 25}", 1) for k in range(300)] + [(300, "one", "xx", None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("topic", F.lit("prose"))
+    made = df.withColumn("_ld_tokens", mixing.tokens(F.col("text")))
+    _, table = mixing.calibrate(made, None)
+    for k in ("source", "lang"):
+        raw = Counter()
+        for r in rows:
+            raw[r[3 if k == "source" else 2] or mixing.OTHER] += max(1, len(r[1].split()))
+        have = (table["tokens"] * table["weight"]).groupby(table[f"_ld_{k}"]).sum() / table["tokens"].sum()
+        want = {c: v**0.8 for c, v in raw.items()}
+        assert have.to_dict() == pytest.approx({c: v / sum(want.values()) for c, v in want.items()}, rel=1e-6)
+    # A table of cells that stays distributed says the same.
+    _, far = mixing.calibrate(made, None, most=2)
+    keys = ["_ld_source", "_ld_lang", "_ld_topic"]
+    cell = lambda rows, c: {tuple(r[k] for k in keys): r[c] for r in rows}
+    for c in ("weight", "probability"):
+        assert cell(got(far), c) == pytest.approx(cell(table.to_dict("records"), c), rel=1e-6)
+    # Unnamed categories keep their share of all tokens beside given targets.
+    thirds = spark.createDataFrame([(k, "word " * 10, "en", [None, "a", "b"][k % 3], 1) for k in range(300)], SCHEMA)
+    even = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 1.0}, "topic": {"brief": 1.0}}
+    assert [r["weight"] for r in got(mixing.mix(thirds, targets=even))] == pytest.approx([1.0] * 300)
+
+
 # --- 7 ---
 
 
