@@ -3,11 +3,12 @@
 A message's lines are parsed by their level of quotation (leading '>' marks, blanks between them
 allowed). Runs of lines of one level are passages; each is normalised (marks, case and runs of white
 space fall away) and hashed. Passages at level 0 are original writing; quoted ones are looked up among
-the originals, the outermost level of a message being what it replies to. Messages that quote nothing
-found reply to the turn before them. Conversations are then ordered by reply and stripped of quotes.
+the originals, the outermost level of a message being what it replies to. Where no passage is found
+whole, its paragraphs and lines are looked up among those of the originals, and the longest that is
+found links. Messages that quote nothing found reply to the turn before them. Conversations are then ordered by reply and stripped of quotes.
 
-Scale: lookups are two joins by hash against one row a passage (the first message with it, in the
-conversation and anywhere), so a passage that a third of all messages share matches once. Ordering needs
+Scale: lookups are two joins by hash against one row a passage or piece (the first message with it, in the
+conversation and anywhere), so a passage or line that a third of all messages share matches once. Ordering needs
 no table of whole conversations: roots are found by pointer doubling, and ranks are dealt over pieces.
 """
 
@@ -31,8 +32,8 @@ def levels(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), one)
 
 
-def passages(lines: Column) -> Column:
-    """array<struct<level int, body string>>: runs of lines of one level, normalised; blank ones fall away."""
+def runs(lines: Column) -> Column:
+    """array<struct<level int, body string>>: runs of lines of one level."""
     start = F.array().cast("array<struct<level:int,body:string>>")
 
     def add(acc: Column, x: Column) -> Column:
@@ -40,8 +41,20 @@ def passages(lines: Column) -> Column:
         grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(F.try_element_at(acc, F.lit(-1))["body"], F.lit("\n"), x["line"]).alias("body"))))
         return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("body")))))
 
-    runs = F.aggregate(lines, start, add)
-    return F.filter(F.transform(runs, lambda p: F.struct(p["level"].alias("level"), normal(p["body"]).alias("body"))), lambda p: p["body"] != "")
+    return F.aggregate(lines, start, add)
+
+
+def pieces(runs: Column) -> Column:
+    """array<struct<level int, part int, size int, body string>>: passages (part 0), and as part 1 all that may be quoted of them.
+
+    These are the passage, its paragraphs and its lines. All are normalised; blank ones fall away.
+    """
+    def of(p: Column) -> Column:
+        some = F.concat(F.array(p["body"]), F.split(p["body"], r"\n(?:[ \t\x0B\f\r]*\n)+"), F.split(p["body"], "\n"))
+        parts = F.transform(some, lambda x: F.struct(p["level"].alias("level"), F.lit(1).alias("part"), F.length(normal(x)).alias("size"), normal(x).alias("body")))
+        return F.concat(F.array(F.struct(p["level"].alias("level"), F.lit(0).alias("part"), F.length(normal(p["body"])).alias("size"), normal(p["body"]).alias("body"))), F.array_distinct(parts))
+
+    return F.filter(F.flatten(F.transform(runs, of)), lambda p: p["body"] != "")
 
 
 def normal(body: Column) -> Column:
@@ -53,7 +66,7 @@ def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
 
     linked: the parent was found by a quotation ('quote'), is the turn before ('turn') or is missing ('root').
     A parent is always an earlier turn of the conversation, or, for a quote not found there, the first
-    message anywhere with that passage if its (conv, turn) is smaller. thread_*: the message from which the
+    message anywhere with that passage or piece if its (conv, turn) is smaller. thread_*: the message from which the
     replies start; depth: replies from it; position: gapless from 0 within the thread, by (depth, conv, turn).
     text: the level-0 lines, trimmed. Messages without conv or turn are left out; null texts are empty;
     of repeated (conv, turn) rows the one with the smallest (role, text) stands; other columns are left out.
@@ -61,21 +74,21 @@ def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
     c = lambda name: F.col(f"`{name}`")
     base = messages.select(c(conv_col).alias("conv_id"), c(turn_col).alias("turn"), c(role_col).alias("role"), F.coalesce(c(text_col), F.lit("")).alias("text")).where("conv_id is not null and turn is not null")
     one = base.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
-    parsed = one.withColumn("lines", levels(F.col("text"))).withColumn("passages", passages(F.col("lines")))
+    parsed = one.withColumn("lines", levels(F.col("text"))).withColumn("runs", runs(F.col("lines"))).withColumn("passages", pieces(F.col("runs")))
     clean = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
-    parsed = materialize(parsed.select("conv_id", "turn", "role", clean.alias("text"), F.transform("passages", lambda p: F.struct(p["level"].alias("level"), F.unhex(F.md5(F.encode(p["body"], "utf-8"))).alias("hash"))).alias("passages")), "chat-parsed")
+    parsed = materialize(parsed.select("conv_id", "turn", "role", clean.alias("text"), F.transform("passages", lambda p: F.struct(p["level"].alias("level"), p["part"].alias("part"), p["size"].alias("size"), F.unhex(F.md5(F.encode(F.concat(p["part"].cast("string"), p["body"]), "utf-8"))).alias("hash"))).alias("passages")), "chat-parsed")
 
-    flat = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.hash")
+    flat = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.part", "p.size", "p.hash")
     originals = flat.where("level = 0")
-    quotes = flat.where("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"))
+    quotes = flat.where("level > 0").groupBy("conv_id", "turn", "hash", "part", "size").agg(F.min("level").alias("level"))
     here = originals.groupBy("conv_id", "hash").agg(F.min("turn").alias("own_turn"))
     anywhere = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     found = quotes.join(here, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
     inside = F.when(F.col("own_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("conv_id"), F.col("own_turn").alias("turn")))
     outside = F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))
     found = found.withColumn("inside", inside).withColumn("outside", outside).where("inside is not null or outside is not null")
-    # The outermost quotation that is found; inside the conversation first, then the latest message.
-    rank = F.struct(F.col("level"), F.col("inside").isNull(), -F.coalesce("inside.turn", "outside.turn"))
+    # The outermost quotation that is found, whole or else its longest piece; inside the conversation first, then the latest message.
+    rank = F.struct(F.col("level"), F.col("part"), -F.col("part") * F.col("size"), F.col("inside").isNull(), -F.coalesce("inside.turn", "outside.turn"))
     parent = found.groupBy("conv_id", "turn").agg(F.min_by(F.coalesce("inside", "outside"), rank).alias("quoted"))
 
     # The turn before: a lag over small pieces and the pieces' last turns, so that no conversation meets in one task.

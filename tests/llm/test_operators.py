@@ -244,6 +244,18 @@ def test_chat(spark):
     assert got(chat.format_chats(df.limit(0))) == []
 
 
+def test_chat_links_by_parts_of_a_message(spark):
+    long = "First paragraph here,\nover two lines.\n\nSecond one.\nIts last line."
+    rows = [
+        (1, 0, "user", long), (1, 1, "assistant", "something else\nSecond one."), (1, 2, "user", "> Its last line.\nNo."), (1, 3, "user", "> First paragraph here, over\n> two lines.\nYes.\n> Second one.\nNo."),
+        (1, 4, "user", "> First paragraph here,\n> over two lines.\n\n> Second one.\n> Its last line.\nAll of it."), (1, 5, "user", "> First paragraph\nhalf a line"), (1, 6, "user", "Second one."), (1, 7, "user", "> Second one.\nwhole first"), (2, 0, "user", "> over two lines.\nfrom elsewhere"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out = {(r["conv_id"], r["turn"]): (r["linked"], r["parent_conv"], r["parent_turn"]) for r in got(chat.format_chats(df))}
+    assert all(out[k] == ("quote", 1, 0) for k in ((1, 2), (1, 3), (1, 4), (2, 0)))
+    assert out[1, 5] == ("turn", 1, 4) and out[1, 7] == ("quote", 1, 6)
+
+
 # --- 5 ---
 
 
