@@ -33,13 +33,16 @@ _NAMES = "|".join(n for names in FIRST.values() for n in names)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TAILS = "|".join(sorted({n[1:] for names in FIRST.values() for n in names}))
 _INITIALS = "".join(sorted({n[0] for names in FIRST.values() for n in names}))
+#: The rest of a phone number after its area code: in one piece, in two groups, or in groups of two digits.
+_REST = r"(?:\d{6,8}|\d{3,4}[ .\-]\d{3,4}|\d{2,3}(?:[ .\-]\d{2}){2,3})"
 #: Detectors by type, in order of precedence (Java regular expressions without capturing groups). Each begins
 #: with the cheapest test that rules out most places.
 DETECTORS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z_\-])(?=[0-9A-Za-z_\-]{12})(?<=[=:\s\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[0-9A-Za-z_\-]{12,}+",
     "key": r"(?=AKIA)(?<![0-9A-Za-z])AKIA[0-9A-Z]{12,20}+(?![0-9A-Za-z])",
-    "phone": r"(?=\+)(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)",
+    "phone": r"(?=[+(0])(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}"
+    rf"|\+\d{{1,3}}[ .\-]\(?\d{{1,4}}\)?(?:[ .\-]\d{{2,4}}){{3,5}}|\(\d{{2,5}}\) ?{_REST}|(?<![.,\-])0\d{{1,4}}[ /]{_REST})(?!\d)",
     "ipv4": rf"(?=\d)(?<![\w.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\.?\d)",
     "card": r"(?=\d{4})(?<![\w.])\d{4}(?:\d{9,12}|[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})(?![\d])",
     "ssn": r"(?=\d{3}-)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -48,7 +51,7 @@ DETECTORS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in DETECTORS.values())
 #: Every match has one of these in or right before it; texts without are not looked at further.
-HINTS = ("[0-9@=:]", rf"[{_INITIALS}](?:{_TAILS}) \p{{Lu}}")
+HINTS = ("[0-9@=:]|AKIA", rf"[{_INITIALS}](?:{_TAILS}) \p{{Lu}}")
 HEX = "0123456789abcdef"
 
 
@@ -57,7 +60,7 @@ def _type(value: Column) -> Column:
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike(r"^AKIA[0-9A-Z]{12,20}$"), "key")
-        .when(value.startswith("+"), "phone")
+        .when(value.rlike(r"^[+(]|^0\d{1,4}[ /]"), "phone")
         .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(value.rlike(r"^\d{13,16}$|^\d{4}([ \-]\d{4}){3}$"), "card")
@@ -101,7 +104,8 @@ def _core(kind: Column, norm: Column, h: Column, attempt: Column) -> Column:
     """The surrogate of an entity in normal form."""
     n = F.length(norm)
     stream = F.translate(h, HEX, "0123456789012345")
-    country = F.greatest(n - 10, F.lit(0))
+    # National numbers keep their leading 0.
+    country = F.greatest(n - 10, norm.startswith("0").cast("int"))
     phone = F.concat(F.substring(norm, F.lit(1), country), F.substring(stream, F.lit(1), n - country))
     body = F.concat(F.substring(norm, 1, 1), F.substring(stream, F.lit(2), n - 2))
     check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
