@@ -13,6 +13,12 @@ from ledgerloom.sources import broker_csv, price_lake, rates
 from ledgerloom.store import Store
 
 
+def listing(rows: DataFrame, order: list[str], limit: int | None = None, newest_first: bool = False) -> DataFrame:
+    """rows in order, or the other way round; a limit takes the first of them."""
+    rows = rows.orderBy(*[F.desc(c) if newest_first else F.asc(c) for c in order])
+    return rows if limit is None else rows.limit(limit)
+
+
 class Portfolio:
     def __init__(self, store: Store, *, lake_root: str | None = None, closes: DataFrame | None = None):
         """lake_root: the price lake; closes: (date, ticker, close) to use instead of it."""
@@ -46,18 +52,23 @@ class Portfolio:
         key = (isin or "").strip().upper()
         return self.holdings().where(F.upper("isin") == key).first() if key else None
 
-    def transactions(self, isin: str | None = None, limit: int | None = None) -> DataFrame:
+    def transactions(self, isin: str | None = None, limit: int | None = None, *, newest_first: bool = False) -> DataFrame:
         rows = self.store.read("transactions")
-        rows = (rows if isin is None else rows.where(F.col("isin") == isin.strip().upper())).orderBy("date", "id")
-        return rows if limit is None else rows.limit(limit)
+        return listing(rows if isin is None else rows.where(F.col("isin") == isin.strip().upper()), ["date", "id"], limit, newest_first)
+
+    def cash_flows(self, limit: int | None = None, *, newest_first: bool = False) -> DataFrame:
+        return listing(self.store.read("cash_flows"), ["date", "id"], limit, newest_first)
+
+    def snapshots(self, limit: int | None = None, *, newest_first: bool = False) -> DataFrame:
+        return listing(self.store.read("nav_snapshots"), ["as_of"], limit, newest_first)
 
-    def cash_flows(self, limit: int | None = None) -> DataFrame:
-        rows = self.store.read("cash_flows").orderBy("date", "id")
-        return rows if limit is None else rows.limit(limit)
+    def tickers(self) -> DataFrame:
+        """The ledger's distinct symbols, sorted."""
+        return self._trades().where("coalesce(symbol, '') != ''").select(F.upper("symbol").alias("ticker")).distinct().orderBy("ticker")
 
-    def snapshots(self, limit: int | None = None) -> DataFrame:
-        rows = self.store.read("nav_snapshots").orderBy("as_of")
-        return rows if limit is None else rows.limit(limit)
+    def trading_days(self) -> DataFrame:
+        """The days of the ledger, sorted."""
+        return self._trades().where("date is not null").select("date").distinct().orderBy("date")
 
     def position_history(self, isin: str) -> DataFrame:
         return ledger.position_history(self._trades(), isin).orderBy("date", "id")
@@ -81,15 +92,17 @@ class Portfolio:
     def add_transaction(self, **trade: Any) -> None:
         row = mutate.trade_row(self.spark, mutate.next_id(self.store.read("transactions")), **trade)
         isin = row.first()["isin"]
-        self.store.change("transactions", lambda t: t.unionByName(row))
-        self.recompute([isin])
+        with self.store.transaction():
+            self.store.change("transactions", lambda t: t.unionByName(row))
+            self.recompute([isin])
 
     def delete_transaction(self, row_id: int) -> bool:
         row = self.store.read("transactions").where(F.col("id") == row_id).first()
         if row is None:
             return False
-        self._delete("transactions", row_id)
-        self.recompute([row["isin"]])
+        with self.store.transaction():
+            self._delete("transactions", row_id)
+            self.recompute([row["isin"]])
         return True
 
     def add_cash_flow(self, **flow: Any) -> None:
@@ -122,18 +135,19 @@ class Portfolio:
         return {"summary": parsed.summary.first().asDict(), "positions": ledger.positions(ledger.normalized(parsed.trades))}
 
     def import_csv(self, path: str) -> dict[str, Any]:
-        """Replace the imported rows in the export's span of dates by it; importing again changes nothing.
+        """Replace the imported rows in the export's span of dates by it, all tables at once; importing again changes nothing.
 
         The span is that of all rows of the file; trades are replaced only if it has any, flows likewise.
         """
         parsed = broker_csv.parse(broker_csv.read(self.spark, path))
         s = parsed.summary.first()
         lo, hi = s["date_min"], s["date_max"]
-        if s["n_trades"]:
-            self._replace("transactions", parsed.trades, lo, hi)
-            self.recompute()
-        if s["n_flows"]:
-            self._replace("cash_flows", parsed.flows, lo, hi)
+        with self.store.transaction():
+            if s["n_trades"]:
+                self._replace("transactions", parsed.trades, lo, hi)
+                self.recompute()
+            if s["n_flows"]:
+                self._replace("cash_flows", parsed.flows, lo, hi)
         open_ = self.store.read("holdings").where("quantity > 0").count()
         return s.asDict() | {"open_holdings": open_}
 
@@ -215,8 +229,7 @@ class Portfolio:
         if self._closes is not None or self._root is not None:
             try:
                 rows = self._closes.withColumn("file", F.lit("")) if self._closes is not None else price_lake.lake(self.spark, self._root)
-                symbols = [r["symbol"] for r in table.where("symbol != ''").select("symbol").distinct().collect()]  # the portfolio's own symbols
-                closes = price_lake.latest_closes(rows, symbols)
+                closes = price_lake.latest_closes(rows, table.where("symbol != ''").select(F.col("symbol").alias("ticker")))
                 closes.count()
             except Exception as e:  # a lake out of reach leaves the quotes
                 closes, error = None, f"{type(e).__name__}: {e}"[:300]
@@ -226,10 +239,11 @@ class Portfolio:
         return counts | {"ok": closes is not None or quotes is not None, "lake_error": error}
 
     def daily_job(self, fetch: rates.Fetch = rates.http_get, quotes: DataFrame | None = None, today: str | None = None) -> dict[str, Any]:
-        """Exchange rates, then prices (only where there is a lake), then the day's snapshot in place of any before."""
+        """Exchange rates, then prices (only where there is a lake), then the day's snapshot in place of any before; stored at once."""
         day = today or risk.today()
-        out: dict[str, Any] = {"fx": self.refresh_fx(fetch)}
-        if self._root is not None or self._closes is not None:
-            out["prices"] = self.refresh_prices(quotes, day)
-        self.add_snapshot(day, replace=True)
+        with self.store.transaction():
+            out: dict[str, Any] = {"fx": self.refresh_fx(fetch)}
+            if self._root is not None or self._closes is not None:
+                out["prices"] = self.refresh_prices(quotes, day)
+            self.add_snapshot(day, replace=True)
         return out

@@ -9,6 +9,7 @@ however long an instrument's history is, and the sort spills to disk.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal, localcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
+from ledgerloom.schemas import MONEY, PRICE, QTY
 
-STATE = "isin string, id bigint, date date, quantity double, cost_ccy double, cost_sek double, acquired_at date, name string, currency string"
+#: Quantities and costs are decimals throughout: sums are exact, and quotients have 28 digits.
+STATE = "isin string, id bigint, date date, quantity decimal(28,8), cost_ccy decimal(38,16), cost_sek decimal(38,16), acquired_at date, name string, currency string"
 _NAMES = ["isin", "id", "date", "quantity", "cost_ccy", "cost_sek", "acquired_at", "name", "currency"]
 
 
@@ -31,7 +34,7 @@ def normalized(trades: DataFrame) -> DataFrame:
     return trades.select(
         F.coalesce(col("id", "bigint"), F.lit(0)).alias("id"), col("date", "date").alias("date"), X.norm_isin(col("isin", "string")).alias("isin"), col("symbol", "string").alias("symbol"),
         col("name", "string").alias("name"), X.norm_currency(col("currency", "string")).alias("currency"), F.lower(col("kind", "string")).alias("kind"),
-        F.coalesce(col("quantity", "double"), F.lit(0.0)).alias("quantity"), F.coalesce(col("price", "double"), F.lit(0.0)).alias("price"), col("amount_sek", "double").alias("amount_sek"),
+        F.coalesce(col("quantity", QTY), F.lit(0)).cast(QTY).alias("quantity"), F.coalesce(col("price", PRICE), F.lit(0)).cast(PRICE).alias("price"), col("amount_sek", MONEY).alias("amount_sek"),
         F.coalesce(col("fees_sek", "double"), F.lit(0.0)).alias("fees_sek"), col("fx_rate", "double").alias("fx_rate"), col("source", "string").alias("source"), col("note", "string").alias("note"),
     ).where("isin != ''")
 
@@ -42,8 +45,8 @@ def _fold(trades: DataFrame, every: bool) -> DataFrame:
     dealt = rows.repartition("isin").sortWithinPartitions("isin", F.col("date").asc_nulls_first(), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        isin = None
-        q = c = s = 0.0
+        isin, zero = None, Decimal(0)
+        q = c = s = zero
         since = name = currency = date = last_id = None
         for b in batches:
             out: list[tuple] = []
@@ -51,7 +54,7 @@ def _fold(trades: DataFrame, every: bool) -> DataFrame:
                 if i != isin:
                     if isin is not None and not every:
                         out.append((isin, last_id, date, q, c, s, since, name, currency))
-                    isin, q, c, s, since, name, currency = i, 0.0, 0.0, 0.0, None, None, None
+                    isin, q, c, s, since, name, currency = i, zero, zero, zero, None, None, None
                 if kind == "buy":
                     q += x
                     c += x * p
@@ -77,8 +80,11 @@ def _fold(trades: DataFrame, every: bool) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.date32(), pa.float64(), pa.float64(), pa.float64(), pa.date32(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
+    kinds = [pa.string(), pa.int64(), pa.date32(), pa.decimal128(28, 8), pa.decimal128(38, 16), pa.decimal128(38, 16), pa.date32(), pa.string(), pa.string()]
+    places = {3: Decimal(1).scaleb(-8), 4: Decimal(1).scaleb(-16), 5: Decimal(1).scaleb(-16)}
+    with localcontext(prec=38):
+        cols = [[x.quantize(places[j]) for x in c] if j in places else list(c) for j, c in enumerate(zip(*rows, strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_NAMES)
 
 
 def states(trades: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def positions(trades: DataFrame, *, through: str | None = None) -> DataFrame:
     """Open positions: isin, quantity, avg_price, cost_sek, acquired_at (the first buy ever), name, currency."""
     rows = trades if through is None else trades.where(F.col("date") <= F.lit(through).cast("date"))
     last = _fold(rows, False).where("quantity > 0")
-    return last.select("isin", "quantity", (F.col("cost_ccy") / F.col("quantity")).alias("avg_price"), "cost_sek", "acquired_at", "name", "currency")
+    return last.select("isin", "quantity", (F.col("cost_ccy").cast("decimal(32,14)") / F.col("quantity").cast("decimal(24,8)")).alias("avg_price"), "cost_sek", "acquired_at", "name", "currency")
 
 
 def end_of_day(every_state: DataFrame) -> DataFrame:
@@ -118,9 +124,11 @@ def recompute_holdings(holdings: DataFrame, trades: DataFrame, isins: list[str]
     scope = None if isins is None else [i.strip().upper() for i in isins]
     pos = positions(trades)
     pos = pos if scope is None else pos.where(F.col("isin").isin(scope))
+    # Holdings without an isin are never derived; they are not numbered, as they would all meet in one task.
     first = W.partitionBy("_key").orderBy(F.col("sleeve_id").asc_nulls_last(), "symbol", "id")
     keyed = holdings.withColumn("_key", F.upper(F.coalesce("isin", F.lit(""))))
-    keyed = keyed.withColumn("_first", F.row_number().over(first) == 1)
+    named = keyed.where("_key != ''").withColumn("_first", F.row_number().over(first) == 1)
+    keyed = named.unionByName(keyed.where("_key = ''").withColumn("_first", F.lit(False)))
     p = pos.select(F.col("isin").alias("_key"), *[F.col(c).alias(f"p_{c}") for c in ("quantity", "avg_price", "cost_sek", "acquired_at", "name", "currency")])
     both = keyed.join(p, "_key", "full_outer")
     in_scope = (F.col("_key") != "") & (F.lit(True) if scope is None else F.col("_key").isin(scope))
@@ -131,9 +139,9 @@ def recompute_holdings(holdings: DataFrame, trades: DataFrame, isins: list[str]
         "symbol": F.when(F.col("_first").isNull(), F.lit("")).otherwise(F.col("symbol")),
         "name": F.when(derived & (F.coalesce("name", F.lit("")) == ""), F.col("p_name")).otherwise(F.col("name")),
         "currency": F.when(derived, F.col("p_currency")).otherwise(F.col("currency")),
-        "quantity": F.when(derived, F.col("p_quantity")).when(closed, F.lit(0.0)).otherwise(F.col("quantity").cast("double")),
-        "avg_price": F.when(derived, F.col("p_avg_price")).otherwise(F.col("avg_price").cast("double")),
-        "cost_basis_sek": F.when(derived, F.col("p_cost_sek")).when(closed, F.lit(0.0)).otherwise(F.col("cost_basis_sek").cast("double")),
+        "quantity": F.when(derived, F.col("p_quantity")).when(closed, F.lit(0.0)).otherwise(F.col("quantity")),
+        "avg_price": F.when(derived, F.col("p_avg_price")).otherwise(F.col("avg_price")),
+        "cost_basis_sek": F.when(derived, F.col("p_cost_sek")).when(closed, F.lit(0.0)).otherwise(F.col("cost_basis_sek")),
         "acquired_at": F.when(derived, F.col("p_acquired_at")).otherwise(F.col("acquired_at")),
     }
     kinds = dict(holdings.dtypes)

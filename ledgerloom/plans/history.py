@@ -44,7 +44,7 @@ def _value_changes(trades: DataFrame, holdings: DataFrame, closes: DataFrame, cf
     w = W.partitionBy("isin").orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
     filled = points.select("isin", "date", F.last("s", ignorenulls=True).over(w).alias("s"), F.last("close", ignorenulls=True).over(w).alias("close")).where("s is not null")
     held = F.col("s.quantity") > 0
-    price = F.coalesce("close", F.when(held, F.col("s.cost_ccy") / F.col("s.quantity")))
+    price = F.coalesce("close", F.when(held, F.col("s.cost_ccy").cast("double") / F.col("s.quantity").cast("double")))
     value = F.when(held, X.to_units(F.col("s.quantity") * price * X.fx_factor(F.col("s.currency"), cfg))).otherwise(F.lit(0))
     return filled.select("isin", "date", value.alias("value"), F.when(held, X.to_units(F.col("s.cost_sek"))).otherwise(F.lit(0)).alias("cost"))
 

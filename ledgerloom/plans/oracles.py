@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.sources.fixtures import END
-
+#: The last day of the tables.
+LAST = "(SELECT max(d) FROM (SELECT CAST(max(l_shipdate) AS DATE) AS d FROM lineitem UNION ALL SELECT CAST(max(o_orderdate) AS DATE) FROM orders))"
 UNITS = "CAST(floor(({}) * 10000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
 
 
@@ -36,8 +36,8 @@ CTES = {
     "moves": f"SELECT date, {units("coalesce(amount_sek, CASE WHEN kind = 'buy' THEN -(quantity * price * fx) - fees_sek ELSE quantity * price * fx - fees_sek END)")} AS units, 0::BIGINT AS flow_units FROM trades UNION ALL SELECT date, {units('amount_sek')}, {units('amount_sek')} FROM flows",
     "cash": "SELECT date, CAST(sum(sum(units)) OVER w AS BIGINT) AS cash, CAST(sum(sum(flow_units)) OVER w AS BIGINT) AS flows FROM moves GROUP BY date WINDOW w AS (ORDER BY date)",
     "eod": "SELECT f.isin, f.date, q, c, s, fx FROM (SELECT * FROM folded QUALIFY step = max(step) OVER (PARTITION BY isin, date)) f JOIN instruments USING (isin)",
-    "calendar": f"SELECT DISTINCT date FROM (SELECT date FROM closes WHERE date BETWEEN (SELECT min(date) FROM trades) AND DATE '{END}' UNION ALL SELECT min(date) FROM trades UNION ALL SELECT DATE '{END}')",
-    "dense": f"SELECT CAST(unnest(generate_series(greatest((SELECT min(date) FROM trades), DATE '{END}' - 364), DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS date",
+    "calendar": f"SELECT DISTINCT date FROM (SELECT date FROM closes WHERE date BETWEEN (SELECT min(date) FROM trades) AND {LAST} UNION ALL SELECT min(date) FROM trades UNION ALL SELECT {LAST})",
+    "dense": f"SELECT CAST(unnest(generate_series(greatest((SELECT min(date) FROM trades), {LAST} - 364), {LAST}, INTERVAL 1 DAY)) AS DATE) AS date",
 }
 #: What each expression is built on.
 NEEDS = {

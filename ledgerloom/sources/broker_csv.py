@@ -24,9 +24,13 @@ class Parsed:
     summary: DataFrame  # one row: rows, date_min, date_max, deposits_total, flow_net, n_trades, n_flows
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; a byte-order mark is dropped and undecodable bytes are replaced."""
-    return spark.read.csv(path, sep=";", header=True, encoding="UTF-8", multiLine=True, quote='"', escape='"')
+def read(spark: SparkSession, path: str, *, lines_in_cells: bool = True) -> DataFrame:
+    """All columns as text; a byte-order mark is dropped and undecodable bytes are replaced.
+
+    lines_in_cells: quoted cells may hold line ends, for which a file must be read in one task; without,
+    large files are split.
+    """
+    return spark.read.csv(path, sep=";", header=True, encoding="UTF-8", multiLine=lines_in_cells, quote='"', escape='"')
 
 
 def _column(raw: DataFrame, *names: str) -> Column:

@@ -12,12 +12,13 @@ def lake(spark: SparkSession, root: str, tf: str = "1day") -> DataFrame:
     return rows.select(F.col("date").cast("string").try_cast("date").alias("date"), F.upper("ticker").alias("ticker"), F.col("close").cast("double").alias("close"), F.col("_metadata.file_path").alias("file")).where("date is not null and ticker is not null and close is not null")
 
 
-def latest_closes(rows: DataFrame, tickers: list[str]) -> DataFrame:
-    """(ticker, close, date) of the newest day in the lake; if that has several files, the first counts."""
+def latest_closes(rows: DataFrame, tickers: DataFrame) -> DataFrame:
+    """(ticker, close, date) of the newest day in the lake for the tickers of a table; if that day has several files, the first counts."""
     newest = F.broadcast(rows.agg(F.max("date").alias("date")))  # one row, which prunes the folders read
     day = rows.join(newest, "date", "left_semi")
     first = F.broadcast(day.agg(F.min("file").alias("file")))
-    return day.join(first, "file", "left_semi").where(F.col("ticker").isin([t.upper() for t in tickers])).groupBy("ticker").agg(F.max("close").alias("close"), F.max("date").alias("date"))
+    wanted = tickers.select(F.upper("ticker").alias("ticker")).distinct()
+    return day.join(first, "file", "left_semi").withColumn("ticker", F.upper("ticker")).join(wanted, "ticker", "left_semi").groupBy("ticker").agg(F.max("close").alias("close"), F.max("date").alias("date"))
 
 
 def closes_in_range(rows: DataFrame, tickers: DataFrame, start: str, end: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,8 +14,9 @@ def rows(df, *order):
 
 def fold(trades):
     """Average cost, one trade at a time."""
-    q = c = s = 0.0
+    q = c = s = Decimal(0)
     for kind, x, p in trades:
+        x, p = Decimal(str(x)), Decimal(str(p))
         if kind == "buy":
             q, c, s = q + x, c + x * p, s + x * p
         elif q > 0:
@@ -66,7 +67,27 @@ def test_fold_equals_one_trade_at_a_time(make, books):
     t = make.trades(*[(k, "2026-01-01", f"I{b}", *x) for b, book in enumerate(books) for k, x in enumerate(book)])
     got = {r["isin"]: r for r in rows(ledger._fold(ledger.normalized(t), False))}
     for b, book in enumerate(books):
-        assert (got[f"I{b}"]["quantity"], got[f"I{b}"]["cost_ccy"], got[f"I{b}"]["cost_sek"]) == fold(book)
+        with localcontext(prec=38):
+            want = [x.quantize(Decimal("1e-16")) for x in fold28(book)]
+        assert [got[f"I{b}"]["quantity"], got[f"I{b}"]["cost_ccy"], got[f"I{b}"]["cost_sek"]] == want
+
+
+def fold28(book):
+    with localcontext(prec=28):
+        return fold(book)
+
+
+def test_a_long_ledger_keeps_every_digit(spark):
+    """100,000 trades of a tenth and a third of odd prices against decimals one at a time; doubles would drift."""
+    import random
+
+    r = random.Random(3)
+    book = [("buy" if r.random() < 0.6 else "sell", f"{r.randint(1, 999)}.{r.randint(0, 99999999):08d}", f"{r.randint(0, 9)}.{r.randint(1, 99999999):08d}") for _ in range(100_000)]
+    df = spark.createDataFrame([(k, "D1", kind, x, p) for k, (kind, x, p) in enumerate(book)], "id bigint, isin string, kind string, quantity string, price string")
+    t = ledger.normalized(df.selectExpr("id", "date '2026-01-01' as date", "isin", "kind", "cast(quantity as decimal(24,8)) as quantity", "cast(price as decimal(20,8)) as price"))
+    (p,) = rows(ledger._fold(t, False))
+    q, c, s = fold28(book)
+    assert p["quantity"] == q and abs(p["cost_ccy"] - c) < Decimal("1e-15") and abs(p["cost_sek"] - s) < Decimal("1e-15")
 
 
 def test_recompute_keeps_metadata_and_zeroes_closed(make):

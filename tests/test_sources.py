@@ -99,7 +99,7 @@ def test_price_lake(spark, tmp_path):
     closes = spark.createDataFrame([(dt.date(2026, 1, 1), "aaa", 1.0), (dt.date(2026, 1, 2), "AAA", 2.0), (dt.date(2026, 1, 2), "BBB", 3.0)], "date date, ticker string, close double")
     price_lake.write(closes, str(tmp_path))
     lake = price_lake.lake(spark, str(tmp_path))
-    assert [(r["ticker"], r["close"]) for r in price_lake.latest_closes(lake, ["aaa"]).collect()] == [("AAA", 2.0)]
+    assert [(r["ticker"], r["close"]) for r in price_lake.latest_closes(lake, spark.createDataFrame([("aaa",)], "ticker string")).collect()] == [("AAA", 2.0)]
     wanted = spark.createDataFrame([("aaa",)], "ticker string")
     assert price_lake.closes_in_range(lake, wanted, "2026-01-01", "2026-01-02").count() == 2
 
