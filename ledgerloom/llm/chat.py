@@ -9,7 +9,7 @@ found links. Messages that quote nothing found reply to the turn before them. Co
 
 Scale: lookups are two joins by hash against one row a passage or piece (the first message with it, in the
 conversation and anywhere), so a passage or line that a third of all messages share matches once. Ordering needs
-no table of whole conversations: roots are found by pointer doubling, and ranks are dealt over pieces.
+no table of whole conversations: roots are found by pointer doubling, and messages are ordered over ranges.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize
+from ledgerloom.llm.quality import bound
 
 MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 
@@ -33,15 +34,17 @@ def levels(text: Column) -> Column:
 
 
 def runs(lines: Column) -> Column:
-    """array<struct<level int, body string>>: runs of lines of one level."""
-    start = F.array().cast("array<struct<level:int,body:string>>")
+    """array<struct<level int, body string>>: runs of lines of one level, each cut out once, so the work is that of the lines."""
 
-    def add(acc: Column, x: Column) -> Column:
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"])
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(F.try_element_at(acc, F.lit(-1))["body"], F.lit("\n"), x["line"]).alias("body"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("body")))))
+    def of(all_: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (F.get(all_, i)["level"] != F.get(all_, i - 1)["level"]))
 
-    return F.aggregate(lines, start, add)
+        def cut(begins: Column) -> Column:
+            return F.transform(begins, lambda i, k: F.struct(F.get(all_, i)["level"].alias("level"), F.array_join(F.transform(F.slice(all_, i + 1, F.coalesce(F.get(begins, k + 1), F.size(all_)) - i), lambda x: x["line"]), "\n").alias("body")))
+
+        return bound(starts, cut)
+
+    return bound(lines, of)
 
 
 def pieces(runs: Column) -> Column:
@@ -61,28 +64,36 @@ def normal(body: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(body, r"[ \t\n\x0B\f\r]+", " ")))
 
 
-def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def stripped(text: Column) -> Column:
+    """text without ASCII white space at its ends."""
+    return F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+
+
+def format_chats(messages: DataFrame, *, far: int = 8, far_common: int = 32, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, parent_conv, parent_turn, linked, thread_conv, thread_turn, depth, position, text.
 
     linked: the parent was found by a quotation ('quote'), is the turn before ('turn') or is missing ('root').
     A parent is always an earlier turn of the conversation, or, for a quote not found there, the first
-    message anywhere with that passage or piece if its (conv, turn) is smaller. thread_*: the message from which the
+    message anywhere with that passage or piece if its (conv, turn) is smaller. Beyond the conversation a
+    piece must tell whom it quotes: it has `far` characters or more and stands in one message alone, or
+    `far_common` or more. thread_*: the message from which the
     replies start; depth: replies from it; position: gapless from 0 within the thread, by (depth, conv, turn).
-    text: the level-0 lines, trimmed. Messages without conv or turn are left out; null texts are empty;
+    text: the level-0 lines, without white space at the ends. Messages without conv or turn are left out; null texts are empty;
     of repeated (conv, turn) rows the one with the smallest (role, text) stands; other columns are left out.
     """
     c = lambda name: F.col(f"`{name}`")
     base = messages.select(c(conv_col).alias("conv_id"), c(turn_col).alias("turn"), c(role_col).alias("role"), F.coalesce(c(text_col), F.lit("")).alias("text")).where("conv_id is not null and turn is not null")
     one = base.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
     parsed = one.withColumn("lines", levels(F.col("text"))).withColumn("runs", runs(F.col("lines"))).withColumn("passages", pieces(F.col("runs")))
-    clean = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
+    clean = stripped(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
     parsed = materialize(parsed.select("conv_id", "turn", "role", clean.alias("text"), F.transform("passages", lambda p: F.struct(p["level"].alias("level"), p["part"].alias("part"), p["size"].alias("size"), F.unhex(F.md5(F.encode(F.concat(p["part"].cast("string"), p["body"]), "utf-8"))).alias("hash"))).alias("passages")), "chat-parsed")
 
     flat = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.part", "p.size", "p.hash")
     originals = flat.where("level = 0")
     quotes = flat.where("level > 0").groupBy("conv_id", "turn", "hash", "part", "size").agg(F.min("level").alias("level"))
     here = originals.groupBy("conv_id", "hash").agg(F.min("turn").alias("own_turn"))
-    anywhere = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    told = (F.col("size") >= far_common) | ((F.col("size") >= far) & (F.min(F.struct("conv_id", "turn")) == F.max(F.struct("conv_id", "turn"))))
+    anywhere = originals.groupBy("hash", "size").agg(F.min(F.struct("conv_id", "turn")).alias("first"), told.alias("told")).where("told").select("hash", "first")
     found = quotes.join(here, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
     inside = F.when(F.col("own_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("conv_id"), F.col("own_turn").alias("turn")))
     outside = F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))
@@ -106,13 +117,15 @@ def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
     rooted = _roots(links.select(F.struct("conv_id", "turn").alias("node"), "parent"))
 
     whole = parsed.drop("passages").join(links, ["conv_id", "turn"]).withColumn("node", F.struct("conv_id", "turn")).join(rooted, "node").drop("node")
-    # Positions: numbers within pieces of (thread, depth range), plus the sizes of the pieces before.
-    whole = whole.withColumn("piece", F.floor(F.col("depth") / 64))
-    sizes = whole.groupBy("root", "piece").count()
-    offsets = sizes.select("root", "piece", F.coalesce(F.sum("count").over(W.partitionBy("root").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    order = W.partitionBy("root", "piece").orderBy("depth", "conv_id", "turn")
-    placed = whole.withColumn("at", F.row_number().over(order) - 1).join(offsets, ["root", "piece"])
-    return placed.select("conv_id", "turn", "role", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"), "linked", F.col("root.conv_id").alias("thread_conv"), F.col("root.turn").alias("thread_turn"), F.col("depth").cast("int").alias("depth"), (F.col("offset") + F.col("at")).cast("long").alias("position"), "text")
+    # Positions: rows are dealt by ranges of their order, so that a thread of any shape spreads over tasks. A row's
+    # place is its number in its part, plus the sizes of its thread's parts before: a row a thread and part.
+    order = ["root", "depth", "conv_id", "turn"]
+    dealt = whole.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    dealt = materialize(dealt.withColumn("part", F.shiftright("row", 33)), "chat-ordered")
+    sizes = dealt.groupBy("root", "part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("root").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.join(sizes.select("root", "part", (before - F.col("first")).alias("offset")), ["root", "part"])
+    return placed.select("conv_id", "turn", "role", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"), "linked", F.col("root.conv_id").alias("thread_conv"), F.col("root.turn").alias("thread_turn"), F.col("depth").cast("int").alias("depth"), (F.col("offset") + F.col("row")).cast("long").alias("position"), "text")
 
 
 def _roots(links: DataFrame) -> DataFrame:
