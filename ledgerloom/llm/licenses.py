@@ -1,7 +1,9 @@
 """License scan: an exact containment join of text blocks with license templates.
 
-A block is one line of a document; sets are its distinct words. A block meets a template T when it holds
-at least threshold * |T| of T's words. The join is exact by three filters over one global order, rare
+A block begins at each line of a document: that line, and those after it until they have as many words as
+the longest template, but no further than a line without words. A notice wrapped over lines thus lies whole
+in the block of the line where it begins. Sets are blocks' distinct words. A block meets a template T when
+it holds at least threshold * |T| of T's words. The join is exact by three filters over one global order, rare
 words first, taken from document frequencies over the whole corpus:
 
   prefix    a block that meets T holds one of the |T| - need + 1 rarest words of T;
@@ -72,6 +74,20 @@ class Templates:
             self.order.append(own)
             self.need.append(need)
         self.probes = frozenset(self.prefix)
+        self.longest = longest(templates)
+
+    def blocks(self, lines: list[list[bytes]]) -> Iterator[tuple[int, list[bytes]]]:
+        """(number of its first line, words) of the blocks that hold a word of a prefix."""
+        probed = [not self.probes.isdisjoint(x) for x in lines]
+        for k, first in enumerate(lines):
+            if not first:
+                continue
+            end, more = k + 1, 0
+            while end < len(lines) and lines[end] and more < self.longest:
+                more += len(lines[end])
+                end += 1
+            if any(probed[k:end]):
+                yield k, first if end == k + 1 else [w for x in lines[k:end] for w in x]
 
     def match(self, words: list[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of every template that a block of these words meets."""
@@ -86,7 +102,12 @@ class Templates:
             own, need = self.order[t], self.need[t]
             if len(have) >= need and len(own) - p >= need and (n := sum(w in have for w in own[p:])) >= need:
                 out.append((self.label[t], n / len(own)))
-        return out
+        return sorted(out)
+
+
+def longest(templates: dict[str, str]) -> int:
+    """Words of the longest template."""
+    return max((len(license_words(as_bytes(t))) for t in templates.values()), default=0)
 
 
 def word_frequencies(docs: DataFrame, templates: dict[str, str], *, text_col: str = "text") -> dict[bytes, int]:
@@ -119,7 +140,7 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
 def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    blocks: (line number, label, containment) of every block that meets a template; labels: those of the
+    blocks: (number of its first line, label, containment) of every block that meets a template; labels: those of the
     phrases and of the blocks; score: the largest containment, 1 where a phrase stands, else 0. Null and
     empty texts have no words; repeated rows each get their row; extra columns are not carried along.
     """
@@ -142,9 +163,8 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, threshold: f
                         if found := places(words, phrase):
                             starts += found
                             base.add(label)
-                for k, x in enumerate(lines):
-                    if x:
-                        blocks += [{"line": k, "label": label, "containment": c} for label, c in known.match(x)]
+                for k, x in known.blocks(lines):
+                    blocks += [{"line": k, "label": label, "containment": c} for label, c in known.match(x)]
                 labels = base | {x["label"] for x in blocks}
                 score = 1.0 if base else max((x["containment"] for x in blocks), default=0.0)
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks))
