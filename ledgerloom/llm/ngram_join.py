@@ -8,10 +8,13 @@ cells can reach the threshold follows from set sizes alone, and only those are a
   place      at the first shared n-gram, at places p and q, min(|x| - p, |y| - q) >= t/(1+t) (|x| + |y|);
   count      the overlap of the two prefixes, and all that follows them, must reach t/(1+t) (|x| + |y|).
 
-Equal sets are collapsed first. The cells are then taken in two turns, which leave the components exact
-without ever listing the pairs of a large group: the first turn accumulates, for each n-gram, the cells
-between its best-placed document and the others; the second takes every admissible cell whose documents
-are still in different components. n-grams whose documents are all in one component need no second turn.
+Equal sets are collapsed first. The cells are then taken in three turns, none of which lists the pairs of a
+large group. The first takes, for each n-gram, the cells between its best-placed document and the others;
+the second every admissible cell whose documents are still in different components (n-grams whose documents
+are all in one need none); with these the components are exact. The third accumulates the product within
+each component, where all links lie: its sets are dealt into blocks by size and hash, each two blocks of
+sizes that can reach the threshold meet once, and their overlaps are summed up over the incidence matrix of
+the n-grams that any two of them share. Only each document's number of links leaves a block.
 
 The n-gram order comes from a fixed-size table of hashed counts over all documents; it decides how much
 work the filters save, not what is found. n-grams are compared by 64-bit hashes of their words.
@@ -31,6 +34,8 @@ from ledgerloom.llm.graph import components
 
 BUCKETS, CHUNK = 1 << 22, 1 << 14
 BITS = 1 << 23
+#: Sets and n-grams in a block of the product, on average; documents of an n-gram that meet in a piece.
+BLOCK_SETS, BLOCK_GRAMS, HOT = 256, 1 << 20, 1000
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -101,7 +106,7 @@ def _sketch(docs: DataFrame, span: int) -> np.ndarray:
 
 
 def _signatures(rows: DataFrame, cells: np.ndarray, span: int, percent: int) -> DataFrame:
-    """id, n, k1, k2 and the prefix of each row's set, in the order of rising counts."""
+    """id, row, n, k1, k2 and the prefix of each row's set, in the order of rising counts."""
     shared = rows.sparkSession.sparkContext.broadcast(np.minimum(cells, np.iinfo(np.uint32).max).astype(np.uint32))
     kind = dict(rows.dtypes)["id"]
 
@@ -109,7 +114,7 @@ def _signatures(rows: DataFrame, cells: np.ndarray, span: int, percent: int) ->
         order = shared.value
         for b in (piece for whole in batches for piece in slices(whole)):
             n, k1, k2, prefix = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 grams = np.unique(shingles(text, span))
                 a, c = digest(grams)
                 size = len(grams)
@@ -118,9 +123,9 @@ def _signatures(rows: DataFrame, cells: np.ndarray, span: int, percent: int) ->
                     rank = np.lexsort((grams, order[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:keep]
                     grams = grams[rank]
                 n.append(size), k1.append(a), k2.append(c), prefix.append(grams[:keep].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "row", "n", "k1", "k2", "prefix"])
 
-    return rows.mapInArrow(run, f"id {kind}, n int, k1 bigint, k2 bigint, prefix array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, row bigint, n int, k1 bigint, k2 bigint, prefix array<bigint>")
 
 
 def admissible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
@@ -173,24 +178,23 @@ def _reachable(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(rows: DataFrame, sets: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(sid, grams) of the wanted sets, from the text of the document that stands for each.
+    """(sid, grams) of the wanted sets, from the text of the row that stands for each.
 
-    A bitmap of BITS hashed ids, the same size for any corpus, spares most other documents the way; those
+    A bitmap of BITS hashed rows, the same size for any corpus, spares most other rows the way; those
     that pass it by chance fall out in the join.
     """
-    keys = materialize(sets.join(wanted, "sid").select("sid", F.col("min_id").alias("id"), "k1", "k2"), "ngram-keys")
-    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(keys, "id"))
-    kind = dict(rows.dtypes)["id"]
+    keys = materialize(sets.join(wanted, "sid").select("sid", "row", "k1", "k2"), "ngram-keys")
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(keys, "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (piece for whole in batches for piece in slices(whole)):
             some = _in_bitmap(b, shared.value)
             grams = [np.unique(shingles(t, span)) for t in some.column(1).to_pylist()]
             marks = [digest(g) for g in grams]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], names=["id", "k1", "k2", "grams"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], names=["row", "k1", "k2", "grams"])
 
-    found = rows.where("id is not null").select("id", "text", _place("id").alias("p")).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, grams array<bigint>")
-    return found.join(keys, ["id", "k1", "k2"]).select("sid", "grams").dropDuplicates(["sid"])
+    found = rows.select("row", "text", _place("row").alias("p")).mapInArrow(run, "row bigint, k1 bigint, k2 bigint, grams array<bigint>")
+    return found.join(keys, ["row", "k1", "k2"]).select("sid", "grams").dropDuplicates(["sid"])
 
 
 def _accumulate(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
@@ -227,21 +231,111 @@ def _accumulate(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
-def classes(docs: DataFrame, *, span: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id for every row of docs.
+def _block_links(first: tuple, second: tuple | None, percent: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Links of the sets of one block, among themselves or with those of another, in rows of documents.
+
+    A block: (sizes, rows of documents, n-grams of all its sets). Overlaps accumulate over pieces of the columns.
+    """
+    blocks = [first] if second is None else [first, second]
+    sets = [len(x[0]) for x in blocks]
+    column, seen = np.unique(np.concatenate([x[2] for x in blocks]), return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(sum(sets)), np.concatenate([x[0] for x in blocks]))
+    common = seen[column] > 1
+    names = np.cumsum(seen > 1) - 1
+    row, column = row[common], names[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((sets[0], sets[-1]), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        incidence = np.zeros((sum(sets), 4096), np.float32)
+        incidence[row[lo:hi], column[lo:hi] - at] = 1
+        overlap += (incidence[: sets[0]] @ incidence[-sets[-1] :].T).astype(np.int64)
+    n, m = blocks[0][0], blocks[-1][0]
+    linked = overlap * 100 >= (n[:, None] + m[None, :] - overlap) * percent
+    if second is None:
+        np.fill_diagonal(linked, False)
+        return linked @ first[1], None
+    return linked @ second[1], linked.T @ first[1]
+
+
+def _link_counts(sets: DataFrame, roots: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(sid, links): rows of documents with other sets that each set of a component links with."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) if percent < 100 else 1.0)).cast("int")
+    member = roots.select(F.col("node").alias("sid"), "root").join(sets.select("sid", "n", "rows"), "sid").withColumn("band", band)
+    blocks = member.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "ngram-blocks")
+    near = lambda step, name: blocks.select("root", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    placed = member.join(blocks, ["root", "band"]).join(near(1, "above"), ["root", "band"], "left").join(near(-1, "below"), ["root", "band"], "left")
+    placed = placed.withColumn("h", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    to = lambda n: F.when(n.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
+    met = lambda b1, h1, b2, h2: F.struct(b1.alias("b1"), h1.alias("h1"), b2.alias("b2"), h2.alias("h2"))
+    b, h = F.col("band"), F.col("h")
+    tasks = F.concat(
+        F.transform(to(F.col("blocks")), lambda j: met(b, F.least(h, j), b, F.greatest(h, j))),
+        F.transform(to(F.col("above")), lambda j: met(b, h, b + 1, j)), F.transform(to(F.col("below")), lambda j: met(b - 1, j, b, h)),
+    )
+    key = ["root", "b1", "h1", "b2", "h2"]
+    dealt = placed.withColumn("t", tasks).join(grams, "sid").select("root", F.explode("t").alias("t"), b.alias("band"), h.alias("h"), "sid", "n", "rows", "grams")
+    dealt = dealt.select("root", "t.*", "sid", "n", "rows", ((F.col("band") == F.col("t.b1")) & (F.col("h") == F.col("t.h1"))).alias("mine"), "grams")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple]] = {True: [], False: []}
+        now, sids, links = None, [], []
+
+        def close() -> None:
+            sides = {k: (np.array([r[0] for r in v], np.int64), np.array([r[1] for r in v], np.int64), np.array([r[2] for r in v], np.int64), np.concatenate([r[3] for r in v])) for k, v in held.items() if v}
+            held[True], held[False] = [], []
+            alone = now[1:3] == now[3:5]
+            if True in sides and (alone or False in sides):
+                counts = _block_links(sides[True][1:], None if alone else sides[False][1:], percent)
+                for side, found in zip((True, False), counts, strict=True):
+                    if found is not None:
+                        sids.append(sides[side][0]), links.append(found)
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64()) for x in (sids, links)], names=["sid", "links"])
+            sids.clear(), links.clear()
+            return batch
+
+        for b in batches:
+            keys = list(zip(*(b.column(j).to_pylist() for j in range(5)), strict=True))
+            sid, n, rows, mine = (b.column(j).to_pylist() for j in range(5, 9))
+            for i, k in enumerate(keys):
+                if k != now:
+                    if now is not None:
+                        close()
+                    now = k
+                held[mine[i]].append((sid[i], n[i], rows[i], b.column(9)[i].values.to_numpy(zero_copy_only=False).copy()))
+            yield out()
+        if now is not None:
+            close()
+        yield out()
+
+    return dealt.mapInArrow(run, "sid bigint, links bigint").groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def classes(docs: DataFrame, *, span: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """id, n_shingles, component_id and, with count_links, n_links for every row of docs.
 
     Two rows link when 100 * |x & y| >= percent * |x | y| for their sets of distinct `span`-word runs
-    (A-Z lowered; a shorter text is one run). component_id: the smallest id reachable by links. Null and
-    empty texts have the empty set, link with nothing and are their own component; repeated rows are
-    equal sets; a null id takes part with its text, but is nobody's smallest. Extra columns are left out.
+    (A-Z lowered; a shorter text is one run). component_id: the smallest id reachable by links. n_links: rows
+    that a row links with, those of equal sets included. Null and empty texts have the empty set, link with
+    nothing and are their own component; repeated rows are equal sets; a null id takes part with its text, but
+    is nobody's smallest, so a component of null ids alone has none. Extra columns are left out.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.select("id", F.xxhash64("id", "text").alias("row"), "text")
     cells = _sketch(rows.select("text"), span)
     signed = materialize(_signatures(rows, cells, span, percent), "ngram-docs")
-    grouped = signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("min_id"), F.first("prefix").alias("prefix"))
+    # The row of its smallest id stands for a set: later stages take the set's n-grams from its text.
+    least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row"))
+    grouped = signed.where("n > 0").groupBy("n", "k1", "k2").agg(least.alias("least"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("rows"))
+    grouped = grouped.select("n", "k1", "k2", F.col("least.id").alias("min_id"), F.col("least.row").alias("row"), "prefix", "rows")
     sets = materialize(grouped.withColumn("sid", F.monotonically_increasing_id()), "ngram-sets")
     # Narrow rows, as there is one for each n-gram of a prefix: size and place share a number.
-    tokens = sets.where("min_id is not null").select("sid", "n", F.posexplode("prefix").alias("pos", "tok"))
+    tokens = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "tok"))
     tokens = tokens.select("tok", "sid", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("np"))
     shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
     posting = tokens.join(shared, "tok", "left_semi")
@@ -251,35 +345,41 @@ def classes(docs: DataFrame, *, span: int = 4, percent: int = 85, id_col: str =
     short = sets.select("sid", "n", "prefix")
     star = posting.join(heads, "tok").where("sid != head.sid").where(admissible(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), percent))
     first = materialize(star.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct(), "ngram-pairs")
-    links = _links(rows, sets, materialize(_reachable(first, short, percent), "ngram-pairs"), span, percent)
+    links, grams = _links(rows, sets, materialize(_reachable(first, short, percent), "ngram-pairs"), span, percent)
     roots = components(links)
 
     held = posting.select("tok", "sid", "n", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     held = materialize(held, "ngram-held")
-    mixed = held.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("tok")
-    open_ = materialize(held.join(mixed, "tok"), "ngram-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & admissible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
+    mixed = held.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("salts")).where("lo != hi").select("tok", "salts")
+    # The documents of a frequent n-gram meet in pieces: one side is dealt over them, the other is in each.
+    open_ = materialize(held.join(mixed, "tok").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int")), "ngram-open")
+    x, y = open_.alias("x"), open_.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & admissible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
     rest = cross.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
     second = materialize(_reachable(rest, short, percent), "ngram-pairs")
     if second.limit(1).count():
-        roots = components(links.union(_links(rows, sets, second, span, percent)))
+        more, others = _links(rows, sets, second, span, percent)
+        roots, grams = components(links.union(more)), grams.unionByName(others.join(grams, "sid", "left_anti"))
 
     named = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    of_set = named.join(least, "root").select("n", "k1", "k2", "component_id")
-    linked = signed.where("n > 0").select("id", "n", "k1", "k2").join(of_set, ["n", "k1", "k2"]).select("id", "n", "component_id")
-    alone = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    smallest = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
+    of_set = named.join(smallest, "root").select("sid", "n", "k1", "k2", "component_id", (F.col("rows") - 1).alias("n_links"))
+    if count_links:
+        counts = materialize(_link_counts(sets, roots, grams, percent), "ngram-counts")
+        of_set = of_set.join(counts, "sid", "left").withColumn("n_links", F.col("n_links") + F.coalesce("links", F.lit(0)))
+    linked = signed.where("n > 0").select("id", "n", "k1", "k2").join(of_set, ["n", "k1", "k2"]).select("id", "n", "component_id", "n_links")
+    alone = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", *(["n_links"] if count_links else []))
 
 
-def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, span: int, percent: int) -> DataFrame:
+def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, span: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs that link, and the n-grams of all sets in pairs."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     grams = materialize(_members(rows, sets, wanted, span), "ngram-grams")
-    return materialize(_accumulate(pairs, grams, percent), "ngram-links")
+    return materialize(_accumulate(pairs, grams, percent), "ngram-links"), grams
 
 
 def dedupe(docs: DataFrame, **options) -> DataFrame:
@@ -288,7 +388,7 @@ def dedupe(docs: DataFrame, **options) -> DataFrame:
     Of rows with equal id and text one stays. Rows with a null id, and of texts without words, all stay.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = classes(docs, **options)
+    found = classes(docs, count_links=False, **options)
     own = found.where((F.col(id_col) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(F.col(id_col).alias("_ld_id")).agg(F.count(F.lit(1)).alias("_ld_rows"))
     empty = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") == 0)).select(F.col(id_col).alias("_ld_id"), F.lit(0).cast("long").alias("_ld_rows"))
     kept = materialize(own.unionByName(empty).groupBy("_ld_id").agg(F.max("_ld_rows").alias("_ld_rows")), "ngram-kept")
