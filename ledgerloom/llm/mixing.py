@@ -6,13 +6,15 @@ cell's calibrated weight, by a keyed hash of its id, so a sample can be repeated
 the weight from which they are 1 is the one that `full` of all tokens lie at or below, so a rare cell
 with an extreme weight does not thin out all the others; what such cells cannot supply is missing.
 
-With targets, cells are bounded by them: a category without a target of its own falls under '*other*'. So only
-(sources + 1) x (languages + 1) x (topics + 1) numbers come to the driver, whatever the corpus. Without, every
+With targets, cells are bounded by them: a category without a target of its own falls under '*other*'. At most
+(sources + 1) x (languages + 1) x (topics + 1) cells that hold documents come to the driver, whatever the corpus. Without, every
 category has its own; where an axis has more than `most`, the cells are raked as a distributed table.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,30 +50,39 @@ def tempered(marginal: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / whole for k, v in raised.items()}
 
 
-def rake(cells: np.ndarray, targets: list[np.ndarray], *, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
-    """Weights w, shaped as cells, with cells * w meeting every marginal; targets are shares over each axis.
+def rake_cells(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], *, rounds: int = 1000, tolerance: float = 1e-9) -> np.ndarray:
+    """Weights of cells, given as a code on each axis and tokens, with tokens * weights meeting every marginal.
 
-    A target share of categories that hold no tokens cannot be met; it is dealt to the rest in proportion.
+    targets: shares by code. A target share of categories that hold no tokens cannot be met; it is dealt to the
+    rest in proportion. Marginals that contradict each other (as some cells are missing) never meet: after
+    `rounds` rounds the last fit stands, and a warning names how far it is off.
     """
-    fitted = cells / cells.sum()
-    wanted = []
-    for axis, t in enumerate(targets):
-        there = fitted.sum(tuple(i for i in range(cells.ndim) if i != axis)) > 0
-        t = np.where(there, t, 0.0)
+    share = tokens / tokens.sum()
+    fitted, wanted = share.copy(), []
+    for axis, (code, t) in enumerate(zip(codes, targets, strict=True)):
+        t = np.where(np.bincount(code, share, len(t)) > 0, t, 0.0)
         if t.sum() <= 0:
             raise ValueError(f"no category of axis {axis} has both tokens and a target")
         wanted.append(t / t.sum())
     for _ in range(rounds):
         worst = 0.0
-        for axis, t in enumerate(wanted):
-            others = tuple(i for i in range(cells.ndim) if i != axis)
-            have = fitted.sum(others)
+        for code, t in zip(codes, wanted, strict=True):
+            have = np.bincount(code, fitted, len(t))
             worst = max(worst, float(np.abs(have - t).max()))
-            ratio = np.divide(t, have, out=np.zeros_like(t), where=have > 0)
-            fitted = fitted * ratio.reshape([-1 if i == axis else 1 for i in range(cells.ndim)])
+            fitted = fitted * np.divide(t, have, out=np.zeros_like(t), where=have > 0)[code]
         if worst < tolerance:
             break
-    return np.divide(fitted, cells / cells.sum(), out=np.zeros_like(fitted), where=cells > 0)
+    else:
+        warnings.warn(f"raking is still off by a share of {worst:.2g} after {rounds} rounds", stacklevel=2)
+    return np.divide(fitted, share, out=np.zeros_like(fitted), where=share > 0)
+
+
+def rake(cells: np.ndarray, targets: list[np.ndarray], **options) -> np.ndarray:
+    """As rake_cells, for a table with an axis a dimension; weights of cells without tokens are 0."""
+    codes = np.nonzero(cells)
+    out = np.zeros(cells.shape)
+    out[codes] = rake_cells(list(codes), cells[codes].astype(float), targets, **options)
+    return out
 
 
 def _known(column: Column, names: list[str]) -> Column:
@@ -94,6 +105,8 @@ def _rake_table(cells: DataFrame, keys: list[str], power: float, full: float, *,
         for k in keys:
             now = now.join(step(now, k), k).withColumn("fitted", F.col("fitted") * F.col("want") / F.col("have")).drop("want", "have")
         now = materialize(now, "mixing-raked")
+    else:
+        warnings.warn(f"raking has not met all marginals after {rounds} rounds", stacklevel=2)
     now = materialize(now.withColumn("weight", F.col("fitted") * whole / F.col("tokens")), "mixing-raked")
     # The least weight that `full` of all tokens lie at or below: ever finer pieces of the range that holds it.
     need, under, some = full * whole * (1 - 1e-12), 0.0, now
@@ -137,21 +150,19 @@ def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None, *, p
         return docs, pd.DataFrame(columns=[*keys, "tokens", "docs", "weight", "probability"])
     axes = {d: [*names[d], OTHER] for d in DIMENSIONS}
     at = {d: {k: i for i, k in enumerate(v)} for d, v in axes.items()}
-    cells = np.zeros([len(axes[d]) for d in DIMENSIONS])
-    where = [got[k].map(at[d]).to_numpy() for k, d in zip(keys, DIMENSIONS, strict=True)]
-    np.add.at(cells, tuple(where), got["tokens"].to_numpy(float))
+    codes = [got[k].map(at[d]).to_numpy(np.int64) for k, d in zip(keys, DIMENSIONS, strict=True)]
+    held = got["tokens"].to_numpy(float)
     given = []
-    for axis, d in enumerate(DIMENSIONS):
+    for code, d in zip(codes, DIMENSIONS, strict=True):
         own = dict(targets[d])
         if temper or OTHER not in own:  # the unnamed keep their own share of all
-            rest = float(cells.sum(tuple(i for i in range(3) if i != axis))[-1])
-            named = float(cells.sum()) - rest
+            rest = float(held[code == at[d][OTHER]].sum())
+            named = float(held.sum()) - rest
             own[OTHER] = rest if temper or not named else rest / named * sum(own.values())
         if temper and power != 1:
             own = tempered(own, power)
         given.append(np.array([own.get(k, 0.0) for k in axes[d]]))
-    weight = rake(cells, given)
-    got["weight"] = weight[tuple(where)]
+    got["weight"] = rake_cells(codes, held, given)
     order = np.argsort(got["weight"].to_numpy(), kind="stable")
     held = np.cumsum(got["tokens"].to_numpy(float)[order])
     whole = got["weight"].to_numpy()[order][np.searchsorted(held, full * held[-1] * (1 - 1e-12))]
