@@ -178,7 +178,7 @@ class Encoder:
         self.length = np.diff(auto.offsets)
         self.tokens = auto.order.tolist()
         self.row, self.col = auto.row.tolist(), auto.col.tolist()
-        self.closed, self.until = array("q", auto.closed.tobytes()), array("q", auto.until.tobytes())
+        self.closed, self.until = memoryview(auto.closed), memoryview(auto.until)
         # The trie of labels: its nodes' tokens, and the range of labels below them (without their own) in order.
         self.child: dict[int, int] = {}
         self.final, self.low, self.high = [-1], [0], [len(self.tokens)]
@@ -392,7 +392,7 @@ def _added(df: DataFrame, auto: Automaton, source: str, out: dict[str, str], fil
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared.value)
         for whole in batches:
-            for b in slices(whole, 500):
+            for b in slices(whole, 150):
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *fill(coder, b.columns[-1])], names=[*rest, *out])
 
     return table.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm.licenses import PHRASES, TEMPLATES
+from ledgerloom.llm.licenses import PHRASES, TEMPLATES, longest
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
 _WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
@@ -21,9 +21,10 @@ def op2() -> str:
     repeated AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM found) GROUP BY r),
     f AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(len(list_filter(all_lines, lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]'))) - len(list_distinct(list_filter(all_lines, lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')))) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
-      len(regexp_extract_all(coalesce(text, ''), '!!')) AS shouts, len(all_lines) AS lines, len(list_distinct(all_lines)) AS kinds FROM d LEFT JOIN repeated ON repeated.r = d.r)
+      len(regexp_extract_all(coalesce(text, ''), '!!')) AS shouts, len(regexp_extract_all(coalesce(text, ''), '[0-9]')) AS digits, list_filter(all_lines, lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines FROM d LEFT JOIN repeated ON repeated.r = d.r)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols * 10 > n_words * 3 OR shouts * 5 > n_words OR word_chars > 20 * n_words OR (lines - kinds) * 2 > lines + 2) AS kept FROM f"""
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols * 10 > n_words * 3 OR shouts * 5 > n_words OR word_chars > 20 * n_words OR digits * 4 > word_chars * 3
+        OR n_dup_lines * 2 > len(lines) + 2 OR len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) * 2 > len(lines) + 4 OR len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•][ \t]'))) * 10 > len(lines) * 9 + 40) AS kept FROM f"""
 
 
 def op3(span: int = 4, percent: int = 85) -> str:
@@ -35,24 +36,28 @@ def op3(span: int = 4, percent: int = 85) -> str:
     links AS MATERIALIZED (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * o >= {percent} * (s.n + t.n - o)),
     both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
     reached AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, b.y FROM reached r JOIN both_ways b ON b.x = r.y)
-    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, r.c AS component_id FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reached GROUP BY x) r ON r.x = d.doc_id"""
+    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, r.c AS component_id, coalesce(k.links, 0) AS n_links FROM d LEFT JOIN (SELECT x, count(*) AS links FROM both_ways GROUP BY x) k ON k.x = d.doc_id LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reached GROUP BY x) r ON r.x = d.doc_id"""
 
 
-def op4() -> str:
+def op4(far: int = 8, far_common: int = 32) -> str:
     marks = "'^[ \\t]{0,3}((?:>[ \\t]?)+)'"
+    space = r"[ \t\n\x0B\f\r]"
+    normal = f"lower(trim(regexp_replace(x, '{space}+', ' ', 'g')))"
+    blank = r"\n(?:[ \t\x0B\f\r]*\n)+"
     return rf"""WITH RECURSIVE m AS MATERIALIZED (SELECT conv_id, turn, min(struct_pack(role := role, text := coalesce(text, ''))) AS m FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-    parts AS (SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT conv_id, turn, string_split_regex(m.text, '?
-') AS l FROM m)),
+    parts AS (SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT conv_id, turn, string_split_regex(m.text, '\r?\n') AS l FROM m)),
     lines AS MATERIALIZED (SELECT conv_id, turn, i, len(regexp_extract(line, {marks}, 1)) - len(replace(regexp_extract(line, {marks}, 1), '>', '')) AS level, regexp_replace(line, {marks}, '') AS line FROM parts),
     runs AS (SELECT *, sum(CASE WHEN level = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) AS before FROM lines)),
-    passages AS MATERIALIZED (SELECT * FROM (SELECT conv_id, turn, level, lower(trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '[ 	
-]+', ' ', 'g'))) AS body FROM runs GROUP BY conv_id, turn, run, level) WHERE body <> ''),
-    clean AS (SELECT conv_id, turn, trim(string_agg(line, chr(10) ORDER BY i)) AS text FROM lines WHERE level = 0 GROUP BY conv_id, turn),
-    here AS (SELECT conv_id, body, min(turn) AS own_turn FROM passages WHERE level = 0 GROUP BY ALL),
-    anywhere AS (SELECT body, min(struct_pack(conv_id := conv_id, turn := turn)) AS first FROM passages WHERE level = 0 GROUP BY body),
-    found AS (SELECT q.conv_id, q.turn, q.level, CASE WHEN own_turn < q.turn THEN struct_pack(conv_id := q.conv_id, turn := own_turn) END AS inside, CASE WHEN first < struct_pack(conv_id := q.conv_id, turn := q.turn) THEN first END AS outside
-      FROM (SELECT conv_id, turn, body, min(level) AS level FROM passages WHERE level > 0 GROUP BY ALL) q LEFT JOIN here h ON h.conv_id = q.conv_id AND h.body = q.body LEFT JOIN anywhere a ON a.body = q.body),
-    quoted AS (SELECT conv_id, turn, arg_min(coalesce(inside, outside), struct_pack(l := level, o := inside IS NULL, t := -coalesce(inside.turn, outside.turn))) AS parent FROM found WHERE inside IS NOT NULL OR outside IS NOT NULL GROUP BY ALL),
+    whole AS MATERIALIZED (SELECT conv_id, turn, run, level, string_agg(line, chr(10) ORDER BY i) AS x FROM runs GROUP BY conv_id, turn, run, level),
+    pieces AS MATERIALIZED (SELECT DISTINCT conv_id, turn, level, part, {normal} AS body FROM (SELECT conv_id, turn, level, 0 AS part, x FROM whole UNION ALL SELECT conv_id, turn, level, 1, x FROM whole
+      UNION ALL SELECT conv_id, turn, level, 1, unnest(string_split_regex(x, '{blank}')) FROM whole UNION ALL SELECT conv_id, turn, level, 1, unnest(string_split(x, chr(10))) FROM whole) WHERE {normal} <> ''),
+    clean AS (SELECT conv_id, turn, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^{space}+|{space}+$', '', 'g') AS text FROM lines WHERE level = 0 GROUP BY conv_id, turn),
+    here AS (SELECT conv_id, part, body, min(turn) AS own_turn FROM pieces WHERE level = 0 GROUP BY ALL),
+    anywhere AS (SELECT part, body, min(struct_pack(conv_id := conv_id, turn := turn)) AS first FROM pieces WHERE level = 0 GROUP BY part, body
+      HAVING length(body) >= {far_common} OR length(body) >= {far} AND min(struct_pack(conv_id := conv_id, turn := turn)) = max(struct_pack(conv_id := conv_id, turn := turn))),
+    found AS (SELECT q.conv_id, q.turn, q.level, q.part, length(q.body) AS size, CASE WHEN own_turn < q.turn THEN struct_pack(conv_id := q.conv_id, turn := own_turn) END AS inside, CASE WHEN first < struct_pack(conv_id := q.conv_id, turn := q.turn) THEN first END AS outside
+      FROM (SELECT conv_id, turn, part, body, min(level) AS level FROM pieces WHERE level > 0 GROUP BY ALL) q LEFT JOIN here h ON h.conv_id = q.conv_id AND h.part = q.part AND h.body = q.body LEFT JOIN anywhere a ON a.part = q.part AND a.body = q.body),
+    quoted AS (SELECT conv_id, turn, arg_min(coalesce(inside, outside), struct_pack(l := level, p := part, s := -part * size, o := inside IS NULL, t := -coalesce(inside.turn, outside.turn))) AS parent FROM found WHERE inside IS NOT NULL OR outside IS NOT NULL GROUP BY ALL),
     links AS MATERIALIZED (SELECT b.conv_id, b.turn, coalesce(q.parent, CASE WHEN before IS NOT NULL THEN struct_pack(conv_id := b.conv_id, turn := before) END) AS parent, CASE WHEN q.parent IS NOT NULL THEN 'quote' WHEN before IS NOT NULL THEN 'turn' ELSE 'root' END AS linked
       FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM m) b LEFT JOIN quoted q ON q.conv_id = b.conv_id AND q.turn = b.turn),
     tree AS (SELECT conv_id, turn, conv_id AS thread_conv, turn AS thread_turn, 0 AS depth FROM links WHERE parent IS NULL UNION ALL SELECT l.conv_id, l.turn, t.thread_conv, t.thread_turn, t.depth + 1 FROM tree t JOIN links l ON l.parent.conv_id = t.conv_id AND l.parent.turn = t.turn)
@@ -67,13 +72,15 @@ def op7(threshold: float = 0.8) -> str:
     return rf"""WITH t AS (SELECT label, list_distinct(w) AS w FROM (VALUES {templates}) v(label, w)), p AS (SELECT * FROM (VALUES {phrases}) v(label, w)),
     d AS (SELECT doc_id, {_LOWER} AS text, {split.format(_LOWER)} AS w FROM documents),
     base AS (SELECT doc_id, p.label, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) x JOIN p ON x.w[i] = p.w[1] AND x.w[i:i + len(p.w) - 1] = p.w),
-    lines AS (SELECT doc_id, list_distinct({split.format('line')}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-    blocks AS (SELECT doc_id, t.label, len(list_intersect(lines.w, t.w))::DOUBLE / len(t.w)::DOUBLE AS c FROM lines JOIN t ON len(lines.w) >= ceil({threshold} * len(t.w) - 1e-9) AND len(list_intersect(lines.w, t.w)) >= ceil({threshold} * len(t.w) - 1e-9)),
+    lines AS (SELECT doc_id, i, {split.format('line')} AS w FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d))),
+    placed AS MATERIALIZED (SELECT doc_id, i, w, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS para, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS till FROM lines),
+    runs AS (SELECT a.doc_id, a.i, list_distinct(flatten(list(b.w))) AS w FROM (SELECT * FROM placed WHERE len(w) > 0) a JOIN (SELECT * FROM placed WHERE len(w) > 0) b ON a.doc_id = b.doc_id AND a.para = b.para AND b.i >= a.i AND (b.i = a.i OR b.till - len(b.w) - a.till < {longest(TEMPLATES)}) GROUP BY a.doc_id, a.i),
+    blocks AS (SELECT doc_id, i, t.label, len(list_intersect(runs.w, t.w))::DOUBLE / len(t.w)::DOUBLE AS c FROM runs JOIN t ON len(runs.w) >= ceil({threshold} * len(t.w) - 1e-9) AND len(list_intersect(runs.w, t.w)) >= ceil({threshold} * len(t.w) - 1e-9)),
     b AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM base GROUP BY doc_id),
     m AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM blocks) GROUP BY doc_id),
-    s AS (SELECT doc_id, max(c) AS c FROM blocks GROUP BY doc_id)
+    s AS (SELECT doc_id, max(c) AS c, string_agg(i || ':' || label, ',' ORDER BY i, label) AS names FROM blocks GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, b.lo AS first_word, b.hi AS last_word, coalesce(b.names, '') AS base_labels, coalesce(m.names, '') AS labels,
-      CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(s.c, 0.0::DOUBLE) END AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)"""
+      CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(s.c, 0.0::DOUBLE) END AS score, coalesce(s.names, '') AS blocks FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -45,7 +45,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(load(spark, sf_dir, "documents")).drop("blocks")
+    out = licenses.scan(load(spark, sf_dir, "documents"))
+    return out.withColumn("blocks", F.array_join(F.transform("blocks", lambda b: F.concat_ws(":", b["line"], b["label"])), ","))
 
 
 def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
