@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,23 +9,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.api import Portfolio, listing
 from ledgerloom.functions import exprs as X
-from ledgerloom.operators import ledger, mutate
+from ledgerloom.operators import ledger, mutate, valuation
 from ledgerloom.plans import oracles, risk
 from ledgerloom.plans.oracles import query, units
-from ledgerloom.plans.queries import MID, _snapshots, _trades, _valued, num, q, register, sq
+from ledgerloom.plans.queries import MID, _book, _reconstructed, _series, _stored, _trades, _valued, folder, num, q, register, sq
 from ledgerloom.schemas import Config
 from ledgerloom.sources import broker_csv, fixtures, price_lake, rates
 from ledgerloom.sources.fixtures import CFG
 from ledgerloom.store import ConcurrentChange, Store
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: that of the checkpoints, or else the warehouse."""
-    conf = spark.sparkContext.getConf()
-    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _signed():
     return F.sum(X.signed(F.col("kind"), F.col("quantity").cast("double")))
 
@@ -91,7 +83,7 @@ def upsert_and_delete_holding(spark, d):
 @register("SELECT 1.5::DOUBLE AS leverage_target, 9.5::DOUBLE AS fx_usd_sek, 10.87::DOUBLE AS fx_eur_sek, CAST(NULL AS VARCHAR) AS notes, 0.25::DOUBLE AS belaningsgrad_cliff")
 def update_config(spark, d):
     """Known settings change; None and unknown names are ignored. Stored and read back."""
-    port = Portfolio(Store(spark, _folder(spark, "config")))
+    port = Portfolio(Store(spark, folder(spark, "config")))
     port.update_config(leverage_target=1.5, fx_usd_sek=Decimal("9.5"), notes=None, no_such_setting=3)
     c = port.config()
     return spark.createDataFrame([(c.leverage_target, c.fx_usd_sek, c.fx_eur_sek, c.notes, c.belaningsgrad_cliff)], "leverage_target double, fx_usd_sek double, fx_eur_sek double, notes string, belaningsgrad_cliff double")
@@ -101,8 +93,9 @@ def update_config(spark, d):
   FROM (SELECT * FROM nav_rows WHERE date <= DATE '{MID}' ORDER BY date DESC LIMIT 1), (SELECT count(*) AS n FROM nav_rows WHERE date <= DATE '{MID}') k"""))
 def upsert_snapshot(spark, d):
     """An observation with given amounts, chained to the snapshot before it; storing it again takes its place."""
-    stored = _snapshots(spark, d)
-    row = risk.snapshot_row(_valued(spark, d), _trades(spark, d), fixtures.flows(spark, d), stored, CFG, "1999-06-20", gross=200_000, loan=50_000, contribution=10, notes="by hand")
+    b = _book(spark, d)
+    stored = _stored(_reconstructed(b))
+    row = risk.snapshot_row(valuation.value(b.holdings, CFG), b.trades, b.flows, stored, CFG, "1999-06-20", gross=200_000, loan=50_000, contribution=10, notes="by hand")
     out = risk.upsert_snapshot(risk.upsert_snapshot(stored, row), row)
     n = out.agg(F.count(F.lit(1)).alias("rows"))
     return out.where("as_of = date '1999-06-20'").crossJoin(F.broadcast(n)).select("as_of", q("equity", 4), q("twr_period", 5), q("nav_index", 4), q("effective_leverage", 6), q("belaningsgrad", 6), "notes", "rows")
@@ -120,8 +113,6 @@ def list_transactions_newest(spark, d):
 @register(oracles.nav("SELECT date AS as_of, row_number() OVER (ORDER BY date DESC) AS place FROM nav_rows ORDER BY date DESC LIMIT 30"))
 def list_snapshots_newest(spark, d):
     """The 30 newest days of the series, the newest first, with their places in the listing."""
-    from ledgerloom.plans.queries import _series
-
     some = listing(_series(spark, d).select(F.col("date").alias("as_of")), ["as_of"], 30, newest_first=True)
     return some.agg(F.collect_list("as_of").alias("l")).select(F.posexplode("l").alias("place", "as_of")).select("as_of", (F.col("place") + 1).cast("bigint").alias("place"))
 
@@ -140,7 +131,7 @@ def sorted_tickers_and_days(spark, d):
   UNION ALL SELECT 'sleeve', code, row_number() OVER (ORDER BY sort_order, code) FROM sleeves UNION ALL SELECT 'isin', CAST(id AS VARCHAR), 1 FROM holdings WHERE isin = 'XX0000000004' UNION ALL SELECT 'flow', CAST(id AS VARCHAR), row_number() OVER (ORDER BY date DESC, id DESC) FROM (SELECT * FROM flows ORDER BY date DESC, id DESC LIMIT 10)""", "holdings", "sleeves", "flows"))
 def service_listings(spark, d):
     """Holdings of a sleeve, sleeves, a holding by isin and the newest flows, as the service lists them from its store."""
-    store = Store(spark, _folder(spark, "listings"))
+    store = Store(spark, folder(spark, "listings"))
     with store.transaction():
         store.write("sleeves", fixtures.sleeves(spark, d))
         store.write("holdings", fixtures.holdings(spark, d))
@@ -196,7 +187,7 @@ EXPORT = """﻿Datum;Konto;Typ av transaktion;Värdepapper/beskrivning;Antal;Kur
 
 
 def _export(spark: SparkSession) -> str:
-    path = _folder(spark, "export")
+    path = folder(spark, "export")
     spark.createDataFrame([(EXPORT,)], "value string").coalesce(1).write.text(path)
     return path
 
@@ -204,7 +195,7 @@ def _export(spark: SparkSession) -> str:
 @register("""SELECT * FROM (VALUES ('A1', 150.0::DOUBLE, 60.0::DOUBLE, 9000.0::DOUBLE, 'Aye', 'SEK', DATE '2026-01-10'), ('B2', 10.0::DOUBLE, 20.0::DOUBLE, 1868.0::DOUBLE, 'Bee', 'USD', DATE '2026-01-12')) v(isin, quantity, avg_price, cost_sek, name, currency, acquired_at)""")
 def preview_import(spark, d):
     """What an export alone would make; nothing is stored."""
-    port = Portfolio(Store(spark, _folder(spark, "preview")))
+    port = Portfolio(Store(spark, folder(spark, "preview")))
     return port.preview_import(_export(spark))["positions"].select("isin", *num("quantity", "avg_price", "cost_sek"), "name", "currency", "acquired_at")
 
 
@@ -217,7 +208,7 @@ def preview_summary(spark, d):
 @register(query("SELECT ticker, close, date FROM closes WHERE date = (SELECT max(date) FROM closes)", "closes"))
 def lake_latest_close(spark, d):
     """The newest day of a lake of folders, one of which is no date and one of which holds only a later file."""
-    root, c = _folder(spark, "lake"), fixtures.closes(spark, d)
+    root, c = folder(spark, "lake"), fixtures.closes(spark, d)
     newest = c.agg(F.max("date").alias("m"))
     price_lake.write(c.join(F.broadcast(newest), c["date"] >= F.date_sub("m", 20)).drop("m"), root)
     c.limit(1).select("ticker", "close").write.parquet(f"{root}/bars/tf=1day/date=latest")
@@ -230,7 +221,7 @@ def lake_latest_close(spark, d):
 def session(spark: SparkSession) -> list[tuple[str, str]]:
     """The service's operations one after the other on a small store: (what, result)."""
     closes = spark.createDataFrame([("2026-01-10", "AAA", 50.0), ("2026-02-10", "AAA", 70.0), ("2026-03-25", "aaa", 110.0)], "date string, ticker string, close double").withColumn("date", F.col("date").cast("date"))
-    store = Store(spark, _folder(spark, "service"))
+    store = Store(spark, folder(spark, "service"))
     port, out = Portfolio(store, closes=closes), []
     say = lambda what, *r: out.append((what, " ".join("-" if x is None else f"{x:.4f}" if isinstance(x, (float, Decimal)) else str(x) for x in r)))
     holding = lambda isin: (lambda h: [float(h["quantity"]), float(h["avg_price"]), float(h["cost_basis_sek"])])(port.holding_by_isin(isin))

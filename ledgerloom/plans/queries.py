@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +48,53 @@ def sq(expr: str, name: str, digits: int = 8) -> str:
     return f"CAST(floor(({expr}) * {10**digits}.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS {name}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under that of the checkpoints, or else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a stored table: computed once, however often a report reads it."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _trades(spark, d):
     return ledger.normalized(fixtures.trades(spark, d))
 
 
+@dataclass(frozen=True)
+class Book:
+    """The stored tables that the reports over time read, and the last day in them."""
+
+    trades: DataFrame
+    flows: DataFrame
+    holdings: DataFrame
+    closes: DataFrame
+    end: str
+
+
+def _book(spark, d) -> Book:
+    trades, closes = written(_trades(spark, d), "trades"), written(fixtures.closes(spark, d), "closes")
+    flows = fixtures.flows(spark, d)
+    holdings = written(ledger.recompute_holdings(fixtures.bare_holdings(spark, d, closes), trades), "holdings")
+    last = trades.select("date").union(flows.select("date")).agg(F.max("date").alias("last")).first()["last"]
+    return Book(trades, flows, holdings, closes, str(last or fixtures.END))
+
+
+def _reconstructed(b: Book) -> DataFrame:
+    return history.reconstruct(b.trades, b.flows, b.holdings, b.closes, CFG, end=b.end)
+
+
 def _series(spark, d):
-    return history.reconstruct(_trades(spark, d), fixtures.flows(spark, d), fixtures.holdings(spark, d), fixtures.closes(spark, d), CFG, end=fixtures.last_day(spark, d))
+    return _reconstructed(_book(spark, d))
 
 
 def _journal(spark, d):
-    return history.journal(_trades(spark, d), fixtures.holdings(spark, d), fixtures.closes(spark, d), CFG, end=fixtures.last_day(spark, d))
+    b = _book(spark, d)
+    return history.journal(b.trades, b.holdings, b.closes, CFG, end=b.end)
 
 
 def _valued(spark, d):
@@ -225,7 +264,8 @@ def refresh_price_counts(spark, d):
   FROM (SELECT * FROM folded WHERE date <= DATE '{MID}' QUALIFY step = max(step) OVER (PARTITION BY isin)) l JOIN instruments i USING (isin) LEFT JOIN (SELECT ticker, arg_max(close, date) AS close FROM closes WHERE date <= DATE '{MID}' GROUP BY ticker) n ON n.ticker = i.symbol
   WHERE l.q > 0 AND i.sleeve_id IS NOT NULL)""", "folded", "instruments", "closes"))
 def holdings_on(spark, d):
-    h = history.holdings_on(_trades(spark, d), fixtures.holdings(spark, d), fixtures.closes(spark, d), CFG, MID)
+    b = _book(spark, d)
+    h = history.holdings_on(b.trades, b.holdings, b.closes, CFG, MID)
     return h.withColumns({"price": q("price", 6), "quantity": F.col("quantity").cast("double")})
 
 
@@ -283,9 +323,13 @@ def day_pnl_summary(spark, d):
 # --- risk and snapshots ----------------------------------------------------------------------------
 
 
+def _stored(series: DataFrame) -> DataFrame:
+    """The stored ledger for the examples: a series up to a day, written."""
+    return written(risk.as_snapshots(series.where(F.col("date") <= F.lit(MID).cast("date")).withColumnRenamed("date", "as_of").withColumn("notes", F.lit(None).cast("string"))), "snapshots")
+
+
 def _snapshots(spark, d):
-    """The stored ledger for the examples: the reconstructed series up to a day."""
-    return risk.as_snapshots(_series(spark, d).where(F.col("date") <= F.lit(MID).cast("date")).withColumnRenamed("date", "as_of").withColumn("notes", F.lit(None).cast("string")))
+    return _stored(_series(spark, d))
 
 
 RISK = f"""SELECT *, nav_index / peak_nav_index - 1.0::DOUBLE AS drawdown FROM (SELECT *, greatest(pp, nav_index) AS peak_nav_index FROM (SELECT *, (gross - loan - pe) / pe AS twr, pi * (1.0::DOUBLE + (gross - loan - pe) / pe) AS nav_index FROM (
@@ -301,7 +345,8 @@ PNL_SLEEVED = "(SELECT CAST(sum(market_value) AS BIGINT) AS mv, CAST(sum(cost_ba
   mv AS pnl_market_value, cb AS pnl_cost_basis, mv - cb AS pnl_unrealized_pnl, {sq('(mv - cb)::DOUBLE / cb::DOUBLE', 'pnl_return_pct', 6)}, priced AS pnl_priced, at_cost AS pnl_at_cost FROM ({RISK}), {PNL_SLEEVED}""", "valued"))
 def current_risk(spark, d):
     """The live panel on the last day of the tables, against the last stored snapshot: every column of it."""
-    out = risk.current_risk(_valued(spark, d), _trades(spark, d), fixtures.flows(spark, d), _snapshots(spark, d), CFG, fixtures.last_day(spark, d))
+    b = _book(spark, d)
+    out = risk.current_risk(valuation.value(b.holdings, CFG), b.trades, b.flows, _stored(_reconstructed(b)), CFG, b.end)
     digits = {"gross_asset_value": 4, "loan_balance": 4, "equity": 4, "twr_period": 5, "nav_index": 4, "drawdown": 4, "headroom_to_half": 4, "headroom_to_full": 4, "headroom_to_forced_sale": 4} | dict.fromkeys(("effective_leverage", "belaningsgrad", "belaningsgrad_headroom", "target_leverage", "pnl_return_pct"), 6)
     return out.select(*[q(c, digits[c]) if c in digits else F.col(c) for c in out.columns])
 
@@ -310,7 +355,8 @@ def current_risk(spark, d):
   FROM (SELECT sum(cost_basis) AS cost FROM valued), (SELECT sum({units('amount_sek')}) AS net FROM flows WHERE date <= DATE '{MID}'), (VALUES ('one'), ('all'), ('no flows')) v(which))""", "valued", "flows"))
 def index_reliability(spark, d):
     """Why the index cannot be trusted: with one snapshot stored, with all of them, and with all but without flows."""
-    stored, pnl, flows = _snapshots(spark, d), valuation.portfolio_pnl(_valued(spark, d)), fixtures.flows(spark, d)
+    b = _book(spark, d)
+    stored, pnl, flows = _stored(_reconstructed(b)), valuation.portfolio_pnl(valuation.value(b.holdings, CFG)), b.flows
     newest = stored.orderBy(F.desc("as_of")).limit(1)  # the case with a single one
     cases = (("one", newest, cash.net_flow(flows, None, MID)), ("all", stored, cash.net_flow(flows, None, MID)), ("no flows", stored, cash.net_flow(flows.where("false"), None, MID)))
     out = None
@@ -323,8 +369,9 @@ def index_reliability(spark, d):
 @register(oracles.nav(f"SELECT date AS as_of, {sq('equity', 'equity', 4)}, CASE WHEN date >= DATE '1997-01-01' THEN 'reconstructed' END AS notes FROM nav_rows WHERE date <= DATE '{MID}'"))
 def backfill_snapshots(spark, d):
     """Stored snapshots with those from 1997 on replaced by reconstructed ones."""
-    stored = _snapshots(spark, d)
-    again = _series(spark, d).where(F.col("date").between(F.lit("1997-01-01").cast("date"), F.lit(MID).cast("date")))
+    series = written(_series(spark, d), "series")
+    stored = _stored(series)
+    again = series.where(F.col("date").between(F.lit("1997-01-01").cast("date"), F.lit(MID).cast("date")))
     return risk.backfill(stored, again).select("as_of", F.floor(F.col("equity") * 10000).cast("bigint").alias("equity"), "notes")
 
 
@@ -336,14 +383,15 @@ def latest_snapshot(spark, d):
 @register(oracles.nav(f"SELECT date AS as_of, {sq('equity', 'equity', 4)} FROM nav_rows WHERE date <= DATE '{MID}'"))
 def nav_series(spark, d):
     """Two or more are stored: they are the series."""
-    return risk.nav_series(_snapshots(spark, d), _series(spark, d)).select("as_of", F.floor(F.col("equity") * 10000).cast("bigint").alias("equity"))
+    series = written(_series(spark, d), "series")
+    return risk.nav_series(_stored(series), series).select("as_of", F.floor(F.col("equity") * 10000).cast("bigint").alias("equity"))
 
 
 @register(oracles.nav(f"SELECT date AS as_of, {sq('equity', 'equity', 4)} FROM nav_rows"))
 def nav_series_rebuilt(spark, d):
     """One is stored: the series is reconstructed."""
-    series = _series(spark, d)
-    return risk.nav_series(_snapshots(spark, d).orderBy("as_of").limit(1), series).select("as_of", F.floor(F.col("equity") * 10000).cast("bigint").alias("equity"))
+    series = written(_series(spark, d), "series")
+    return risk.nav_series(_stored(series).orderBy("as_of").limit(1), series).select("as_of", F.floor(F.col("equity") * 10000).cast("bigint").alias("equity"))
 
 
 # --- ingest and changes ----------------------------------------------------------------------------

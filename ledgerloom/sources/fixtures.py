@@ -73,9 +73,9 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.to_date("l_shipdate").alias("date"), F.col("symbol").alias("ticker")).agg(F.max(price).alias("close"))
 
 
-def bare_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One holding per instrument with its metadata and newest close, before anything is derived from the ledger."""
-    last = closes(spark, sf_dir).groupBy(F.col("ticker").alias("symbol")).agg(F.max(F.struct("date", "close")).alias("c"))
+def bare_holdings(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """One holding per instrument with its metadata and newest close (of the given table), before anything is derived from the ledger."""
+    last = (closes(spark, sf_dir) if of is None else of).groupBy(F.col("ticker").alias("symbol")).agg(F.max(F.struct("date", "close")).alias("c"))
     rows = instruments(spark, sf_dir).join(last, "symbol", "left")
     none = lambda kind: F.lit(None).cast(kind)
     return rows.select(

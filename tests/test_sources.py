@@ -1,11 +1,13 @@
 import datetime as dt
 import json
 
+import pytest
+
 from ledgerloom.api import Portfolio
 from ledgerloom.operators import ledger, mutate
 from ledgerloom.schemas import SLEEVES, Config
 from ledgerloom.sources import broker_csv, price_lake, rates
-from ledgerloom.store import Store
+from ledgerloom.store import ConcurrentChange, Store
 from ledgerloom.streaming import ingest
 
 HEAD = "Datum;Konto;Typ av transaktion;Värdepapper/beskrivning;Antal;Kurs;Belopp;Transaktionsvaluta;Courtage;Valutakurs;Instrumentvaluta;ISIN;Resultat\n"
@@ -147,3 +149,44 @@ def test_windowed_cash(spark, tmp_path):
     q = ingest.windowed_cash(s).writeStream.outputMode("complete").format("memory").queryName("wc").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["units"] for r in spark.table("wc").collect()) == [1, 15]
+
+
+def test_a_change_that_fails_leaves_everything_as_it_was(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    port = Portfolio(store)
+    (tmp_path / "a.csv").write_text(HEAD + BODY)
+    port.import_csv(str(tmp_path / "a.csv"))
+    before = [sorted(map(str, store.read(t).collect())) for t in ("transactions", "holdings", "cash_flows")]
+
+    def state():
+        fresh = Store(spark, store.root)
+        return [sorted(map(str, fresh.read(t).collect())) for t in ("transactions", "holdings", "cash_flows")]
+
+    def lost(*_):
+        raise OSError("the driver is gone")
+
+    # Before the commit of a single change, and between two tables of an import.
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lost)
+        with pytest.raises(OSError):
+            port.add_transaction(date="2026-03-15", isin="A1", kind="buy", quantity=1, price=1)
+    assert state() == before
+    (tmp_path / "b.csv").write_text(HEAD + BODY.replace("12,5", "13,5"))
+    with monkeypatch.context() as m:
+        real = port._replace
+        m.setattr(port, "_replace", lambda name, *a: lost() if name == "cash_flows" else real(name, *a))
+        with pytest.raises(OSError):
+            port.import_csv(str(tmp_path / "b.csv"))
+    assert state() == before
+    port.import_csv(str(tmp_path / "a.csv"))
+    assert [len(x) for x in state()] == [len(x) for x in before]
+
+
+def test_no_writer_undoes_another(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    with pytest.raises(ConcurrentChange), one.transaction():
+        two.set_config(Config(notes="two"))
+        one.set_config(Config(notes="one"))
+    assert one.config().notes == two.config().notes == "two"
+    one.set_config(Config(notes="one"))
+    assert two.config().notes == "one" and len(list((tmp_path / "s" / "_commits").glob("0*.json"))) == 2
