@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests) one of this machine."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, one of this machine if Spark runs in one process.
+
+    On a cluster without the setting it raises: executors would write to disks that the others cannot read.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
