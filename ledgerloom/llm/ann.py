@@ -7,8 +7,10 @@ that they lie beyond the query's current k-th. Survivors are scored exactly on t
 
 Scale: lists are cut into pieces of about `piece` candidates, so a list (or a group of equal vectors)
 of any size spreads over tasks; equal vectors are one candidate that stands for the k+1 smallest ids,
-which is all that the tie rule can return. The rotation and the centroids are the only broadcasts:
-lists x d and d x d numbers, whatever the data.
+which is all that the tie rule can return. There are about as many lists as the square root of the rows, up
+to `most`, and as many of them are read as it takes to hold the wanted share of the true nearest, measured
+for some of the vectors against all: vectors in clusters need few lists, vectors without many. The rotation
+and the centroids are the only broadcasts: at most `most` x d and d x d numbers, whatever the data.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ class Index:
     centroids: np.ndarray
     vectors: DataFrame  # vec_hash, list_id, vector (original), ids: the smallest k+1 ids of each distinct vector
     keep: int
+    probes: int  # lists that hold the wanted share of the nearest
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -69,8 +72,13 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip((x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1))), -1.0, 1.0)
 
 
-def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, lists: int = 64, sample_rows: int = 20_000, seed: int = 7) -> Index | None:
-    """Index every usable row. sample_rows bounds only the rows that the centroids are fitted on. None: no usable row."""
+def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, lists: int | None = None, most: int = 4096, sample_rows: int = 20_000, recall: float = 0.96, tuned_on: int = 100, seed: int = 7) -> Index | None:
+    """Index every usable row; None if there is none.
+
+    sample_rows bounds only the rows that the centroids are fitted on, tuned_on those whose true nearest (over
+    all rows) choose the number of probes for `recall`. Repeated rows count once; an id with several vectors
+    stands for each of them; other columns may have any name. Vectors of different lengths raise ValueError.
+    """
     rows = usable(df, id_col, vector_col)
     width = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if width is None:
@@ -81,12 +89,15 @@ def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     # The k+1 smallest ids of each distinct vector: first within pieces of it, then over all.
     piece = W.partitionBy("vec_hash", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     whole = W.partitionBy("vec_hash").orderBy("vec_id")
-    least = hashed.withColumn("_r", F.row_number().over(piece)).where(F.col("_r") <= k + 1).withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k + 1)
+    fresh = ~F.col("vec_id").eqNullSafe(F.lag("vec_id").over(piece))
+    least = hashed.withColumns({"_r": F.dense_rank().over(piece), "_new": fresh}).where(F.col("_new") & (F.col("_r") <= k + 1)).drop("_new").withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k + 1)
     distinct = least.groupBy("vec_hash").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    share = min(1.0, 2 * sample_rows / max(1, width["count"]))
+    lists = lists or int(min(most, max(64, 2 ** np.ceil(np.log2(width["count"]) / 2))))
+    share = min(1.0, 1.2 * sample_rows / max(1, width["count"]))
     drawn = rows.sample(share, seed=seed) if share < 1 else rows
-    sample = np.stack(drawn.select("vector").limit(sample_rows).toPandas()["vector"].to_numpy())
-    rotation, centers = fit(sample.astype(np.float64), lists, seed)
+    # By a hash, as a plain limit would take the first partitions.
+    sample = np.stack(drawn.orderBy(F.xxhash64("vec_id", "vector")).select("vector").limit(sample_rows).toPandas()["vector"].to_numpy()).astype(np.float64)
+    rotation, centers = fit(sample, lists, seed)
     both = df.sparkSession.sparkContext.broadcast((rotation, centers))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,19 +108,46 @@ def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
                 yield b.assign(list_id=(x @ mid.T).argmax(1).astype(np.int32))
 
     listed = distinct.mapInPandas(assign, "vec_hash binary, vector array<double>, ids array<bigint>, list_id int")
-    return Index(rotation, centers, materialize(listed, "ann-lists"), k + 1)
+    listed = materialize(listed, "ann-lists")
+    return Index(rotation, centers, listed, k + 1, _probes(listed, rotation, centers, sample[:tuned_on], k, recall))
+
 
+def _probes(listed: DataFrame, rotation: np.ndarray, centers: np.ndarray, some: np.ndarray, k: int, recall: float) -> int:
+    """Lists to read so that `recall` of the k + 1 nearest of some vectors, found among all, lie in them."""
+    q = unit(some) @ rotation
+    shared = listed.sparkSession.sparkContext.broadcast((rotation, q))
 
-def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int = 40, piece: int = 4096, block: int = 16, eps: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn, asked = shared.value
+        best = pd.DataFrame({"query": np.empty(0, np.int32), "score": np.empty(0), "list_id": np.empty(0, np.int32)})
+        for b in batches:
+            if len(b):
+                score = asked @ (unit(np.stack(b["vector"].to_numpy()).astype(np.float64)) @ turn).T
+                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                row = np.repeat(np.arange(len(asked)), top.shape[1])
+                new = pd.DataFrame({"query": row.astype(np.int32), "score": score[row, top.ravel()], "list_id": b["list_id"].to_numpy()[top.ravel()]})
+                best = pd.concat([best, new]).sort_values(["query", "score"], ascending=[True, False], kind="stable").groupby("query").head(k + 1)
+        yield best
+
+    found = listed.select("list_id", "vector").mapInPandas(nearest, "query int, score double, list_id int")
+    top = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "list_id"))).where(F.col("r") <= k + 1).select("query", "list_id").toPandas()  # tuned_on x (k + 1) rows
+    place = np.empty((len(q), len(centers)), np.int64)
+    np.put_along_axis(place, np.argsort(-(q @ centers.T), axis=1, kind="stable"), np.arange(len(centers))[None].repeat(len(q), 0), axis=1)
+    needed = np.sort(place[top["query"].to_numpy(), top["list_id"].to_numpy()] + 1)
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
+
+def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int | None = None, piece: int = 4096, block: int = 16, eps: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by cosine, itself left out; ties to the smaller id.
 
-    probes: lists read for each query. block: columns between tests. eps: width of the test; larger
+    probes: lists read for each query (None: as many as the index measured). A query given twice is answered once. block: columns between tests. eps: width of the test; larger
     abandons less. A null or zero vector, or one with null or non-finite components, takes no part.
     """
     spark = queries.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if index is None:
         return spark.createDataFrame([], schema)
+    probes = probes or index.probes
     wanted = usable(queries, id_col, vector_col).withColumn("vec_hash", F.unhex(F.md5(F.to_json("vector"))))
     both = spark.sparkContext.broadcast((index.rotation, index.centroids))
     asked = wanted.groupBy("vec_hash").agg(F.first("vector").alias("vector"))
@@ -161,7 +199,7 @@ def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int =
     top = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep)
     lists = top.groupBy("vec_hash").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    answered = wanted.select("vec_hash", F.col("vec_id").alias("query_id")).join(lists, "vec_hash").select("query_id", F.posexplode(own).alias("pos", "hit"))
+    answered = wanted.select("vec_hash", F.col("vec_id").alias("query_id")).distinct().join(lists, "vec_hash").select("query_id", F.posexplode(own).alias("pos", "hit"))
     return answered.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 

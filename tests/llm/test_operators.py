@@ -739,6 +739,22 @@ def test_nearest(spark):
     assert got(ann.search(ann.build(df.limit(0)), df.limit(0))) == []
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_at_the_query_s_settings(spark, clusters):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((4000, 32)) + (5 * r.standard_normal((clusters, 32))[r.integers(clusters, size=4000)] if clusters else 0)
+    rows = [(int(i), [float(v) for v in np.float32(row)], "x") for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:7], "vec_id bigint, embedding array<float>, vector string").repartition(4)
+    index = ann.build(df)
+    out = defaultdict(list)
+    for h in got(ann.search(index, df.where("vec_id % 50 = 0"))):
+        out[h["query_id"]].append(h["vec_id"])
+    want = exact(list(range(4000)), np.float32(x).astype(float), 5)
+    assert len(out) == 80 and all(len(v) == len(set(v)) == 5 for v in out.values())
+    assert sum(len(set(v) & set(want[q])) for q, v in out.items()) >= 0.9 * 5 * len(out)
+    assert len(index.centroids) == 64 and (not clusters or index.probes < 16)
+
+
 # --- SQL ---
 
 
