@@ -1,17 +1,20 @@
 """LM scoring by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts up to three bytes deep with counts of what follows each. A symbol
+The model is a trie of byte contexts up to four bytes deep with counts of what follows each. A symbol
 seen in the longest context is coded there; otherwise an escape (method C: distinct / (total + distinct))
 leads to the next shorter context, where the symbols already offered are excluded; below the empty
 context every byte and the end of text that is still open is equally likely.
 
-Counts come from all training documents, and every context of three bytes seen in them is in the model.
-What is broadcast has a provable bound at any corpus size: all 256 x 256 contexts of two bytes and the DEEP
-most frequent of three, with 257 symbols each, 68 MB of log-probabilities for either, and a bit for each
-context of three that was seen. The other contexts of three stay a distributed table of counts, which the
-symbols that documents have after them meet in a shuffled join. Word counts (for the base score) have no
-bound either, so only the `frequent` most frequent words are broadcast, and a document's other words meet
-their counts in a join likewise; the parts add up to exact sums.
+What follows a context follows its suffix too. So what exclusion leaves of the suffix is its total less the
+counts, there, of the longer context's symbols: one sum a context, kept with its total and number of symbols
+(`out`). With these a symbol's probability is a chain of table look-ups, a step a level.
+
+Counts come from all training documents, and every context of four bytes seen in them is in the model: tables
+of counts that grow with the corpus, summed by context in the cluster. Of the levels of three and four bytes
+the most frequent contexts with at most `entries` symbols each are broadcast, 40 MB in all at any corpus size; the levels
+below are bounded by 65536 x 257 entries. Symbols after the other contexts meet their counts in a shuffled
+join. Word counts (for the base score) have no bound either, so only the `frequent` most frequent words are
+broadcast, and a document's other words meet their counts in a join likewise; the parts add up to exact sums.
 
 Words are keyed by a 64-bit hash: with a billion distinct words, some pair collides with probability 0.03.
 """
@@ -21,111 +24,130 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import as_bytes, materialize, slices, word_hashes
 
 END = 256
 SYMBOLS = 257
+ORDER = 4
 #: What stands before a text.
 START = 0x0A
 #: Hash that stands for the end token; words have 64-bit hashes, and none of them is known to have this one.
 END_WORD = np.int64(-(1 << 63))
-FLUSH = 400_000
-
+#: Words, and symbols in contexts, that a task sums up before it hands them on.
+FLUSH, FLUSH_CODES = 400_000, 3_000_000
+#: Symbols after broadcast contexts of a level, at most.
+ENTRIES = 1_000_000
 
-def _around(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every position of a text and of its end: the three bytes before, the two before, and the symbol."""
-    x = np.frombuffer(bytes((START,) * 3) + raw, np.uint8).astype(np.int32)
-    two = x[1:-1] * 256 + x[2:]
-    return x[:-2] * 65536 + two, two, np.append(x[3:], END).astype(np.int32)
 
+def codes_of(raw: bytes) -> np.ndarray:
+    """(four bytes before, symbol) of every position and of the end, as context * 257 + symbol."""
+    x = np.frombuffer(bytes((START,) * ORDER) + raw, np.uint8).astype(np.int64)
+    context = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+    return context * SYMBOLS + np.append(x[ORDER:], END)
 
-def trigram_codes(raw: bytes) -> np.ndarray:
-    """(two bytes before, symbol) of every position and of the end, as context * 257 + symbol."""
-    _, two, symbol = _around(raw)
-    return two * SYMBOLS + symbol
 
+def shorter(codes, order: int):
+    """The same symbols after the last `order` bytes of their contexts."""
+    return codes % ((1 << 8 * order) * SYMBOLS)
 
-def _mix(levels: list[np.ndarray]) -> np.ndarray:
-    """Escape estimation with exclusion, for a row of contexts: counts of the longest context first."""
-    open_ = np.ones(levels[0].shape, bool)
-    left = np.ones((levels[0].shape[0], 1))
-    p = np.zeros(levels[0].shape)
-    for counts in levels:
-        c = np.where(open_, counts, 0.0)
-        total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        rest = open_.sum(1, keepdims=True) - kinds
-        esc = np.where(rest > 0, kinds, 0)  # nothing is left to escape to: no escape
-        seen = total > 0
-        p = np.where(seen & (c > 0), left * c / np.maximum(total + esc, 1), p)
-        left = np.where(seen, left * esc / np.maximum(total + esc, 1), left)
-        open_ &= ~(c > 0)
-    return np.where(open_, left / np.maximum(open_.sum(1, keepdims=True), 1), p)
 
+def chain(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """log10 probability of `size` symbols. levels, the longest context first: (count of the symbol, total, distinct, out).
 
+    A context that was never seen has total 0 and is passed over.
+    """
+    log, open_ = np.zeros(size), np.ones(size, bool)
+    kinds_before, out_before = np.zeros(size), np.zeros(size)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n, total, kinds, out in levels:
+            rest, fresh = total - out_before, kinds - kinds_before
+            escape = np.where(kinds < SYMBOLS, fresh, 0)  # nothing is left to escape to: no escape
+            here = open_ & (rest > 0)
+            hit = here & (n > 0)
+            log += np.where(here, np.log10(np.where(hit, n, escape) / (rest + escape)), 0)
+            open_ &= ~hit
+            kinds_before, out_before = np.where(total > 0, kinds, kinds_before), np.where(total > 0, out, out_before)
+        log -= np.where(open_, np.log10(SYMBOLS - kinds_before), 0)
+    return log
+
+
+@dataclass
+class Level:
+    """Counts of symbols after contexts of one length: sorted keys (context * 257 + symbol) and contexts."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    out: np.ndarray
+
+    def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n, at = np.zeros(len(codes)), self.find(self.keys, codes)
+        n[at >= 0] = self.counts[at[at >= 0]]
+        at = self.find(self.contexts, codes // SYMBOLS)
+        rows = [np.where(at >= 0, x[at], 0).astype(float) if len(x) else np.zeros(len(codes)) for x in (self.total, self.kinds, self.out)]
+        return n, *rows
+
+    @staticmethod
+    def find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Places of the wanted in a sorted table, -1 where they are not in it."""
+        if not len(table):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+        return np.where(table[at] == wanted, at, -1)
+
+
+def level(keys: np.ndarray, counts: np.ndarray, order: int, below: Level | None) -> Level:
+    """All counts after contexts of `order` bytes, from sorted keys and the level below."""
+    contexts, first = np.unique(keys // SYMBOLS, return_index=True)
+    add = lambda x: np.add.reduceat(x, first) if len(first) else np.empty(0)
+    suffix = np.zeros(len(keys)) if below is None else below.look(shorter(keys, order - 1))[0]
+    return Level(keys, counts, contexts, add(counts.astype(float)), add(np.ones(len(keys))), add(suffix))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+@dataclass
 class Model:
-    """log10 P(symbol | bytes before), as tables: `two` for all contexts of two bytes, `three` for some of three."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, deep: np.ndarray, deep_codes: np.ndarray, deep_counts: np.ndarray):
-        """codes, counts: of trigram_codes. deep: sorted contexts of three bytes, at most DEEP; deep_codes: place in deep * 257 + symbol."""
-        dense = np.zeros(65536 * SYMBOLS, np.float64)
-        dense[codes] = counts
-        dense = dense.reshape(256, 256, SYMBOLS)
-        one = dense.sum(0)  # by the last byte
-        zero = one.sum(0)
-        self.two = np.zeros((256, 256, SYMBOLS), np.float32)
-        for first in range(256):
-            self.two[first] = np.log10(_mix([dense[first], one, np.broadcast_to(zero, one.shape)]))
-        self.two = self.two.ravel()
-        self.deep = deep.astype(np.int32)
-        self.three = np.zeros(len(deep) * SYMBOLS, np.float32)
-        for at in range(0, len(deep), 512):
-            some = self.deep[at : at + 512]
-            lo, hi = np.searchsorted(deep_codes, (at * SYMBOLS, (at + len(some)) * SYMBOLS))
-            three = np.zeros(len(some) * SYMBOLS)
-            three[deep_codes[lo:hi] - at * SYMBOLS] = deep_counts[lo:hi]
-            three = three.reshape(len(some), SYMBOLS)
-            self.three[at * SYMBOLS : (at + len(some)) * SYMBOLS] = np.log10(_mix([three, dense[(some >> 8) & 255, some & 255], one[some & 255], np.broadcast_to(zero, three.shape)])).ravel()
-
-    def score(self, raw: bytes, index: np.ndarray, seen: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The score but for contexts that were seen and are not in deep; of these: context * 257 + symbol, and how often."""
-        three, two, symbol = _around(raw)
-        at = index[three].astype(np.int32)
-        deep = at != NONE
-        other = ~deep
-        if other.any():
-            other[other] = (seen[three[other] >> 3] >> (7 - (three[other] & 7))) & 1
-        short = ~(deep | other)
-        total = self.two[two[short] * SYMBOLS + symbol[short]].sum(dtype=np.float64)
-        total += self.three[at[deep] * SYMBOLS + symbol[deep]].sum(dtype=np.float64)
-        return float(total), *np.unique(three[other].astype(np.int64) * SYMBOLS + symbol[other], return_counts=True)
-
-
-#: Contexts of three bytes that are broadcast at most, and the mark of those that are not.
-DEEP = NONE = 65535
-
-
-def index_of(deep: np.ndarray) -> np.ndarray:
-    """Place in deep of each context of three bytes, or NONE: 34 MB, made on each worker."""
-    index = np.full(1 << 24, NONE, np.uint16)
-    index[deep] = np.arange(len(deep))
-    return index
+    """levels: of four, three, two, one and no bytes; the two longest hold the most frequent contexts only."""
+
+    levels: list[Level]
+
+    def score(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of each, whether its context of four bytes is here: else the number means nothing)."""
+        top = self.levels[0].look(codes)
+        known = top[1] > 0
+        log, rest = np.zeros(len(codes)), np.flatnonzero(known & (top[0] == 0))
+        direct = known & (top[0] > 0)
+        n, total, kinds = (x[direct] for x in top[:3])
+        log[direct] = np.log10(n / (total + np.where(kinds < SYMBOLS, kinds, 0)))
+        some = codes[rest]
+        log[rest] = chain([tuple(x[rest] for x in top), *(x.look(shorter(some, k)) for x, k in zip(self.levels[1:], (3, 2, 1, 0), strict=True))], len(some))
+        return log, known
 
 
 def adaptive_score(raw: bytes, prior: dict | None = None) -> float:
     """log10 probability of one text by a trie that starts empty (or from `prior`) and learns as it reads."""
     trie: dict[bytes, Counter] = {k: Counter(v) for k, v in (prior or {}).items()}
-    past, total = bytes((START,) * 3), 0.0
+    past, total = bytes((START,) * ORDER), 0.0
     for s in (*raw, END):
         out, left, p = set(), 1.0, None
-        for order in (3, 2, 1, 0):
-            seen = trie.get(past[3 - order :])
+        for order in range(ORDER, -1, -1):
+            seen = trie.get(past[ORDER - order :])
             if not seen:
                 continue
             c = {k: v for k, v in seen.items() if k not in out}
@@ -139,8 +161,8 @@ def adaptive_score(raw: bytes, prior: dict | None = None) -> float:
             left *= esc / whole
             out |= set(c)
         total += np.log10(left / (SYMBOLS - len(out)) if p is None else p)
-        for order in (0, 1, 2, 3):
-            trie.setdefault(past[3 - order :], Counter())[s] += 1
+        for order in range(ORDER + 1):
+            trie.setdefault(past[ORDER - order :], Counter())[s] += 1
         past = past[1:] + bytes((s & 0xFF,))
     return float(total)
 
@@ -150,14 +172,24 @@ def held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
-def _counts(docs: DataFrame, is_held) -> tuple[DataFrame, DataFrame]:
-    """(kind, key, n) of the training documents: words by hash (kind 0) and trigram codes (kind 1), summed over the corpus."""
+def _counts(docs: DataFrame, is_held) -> DataFrame:
+    """(kind, key, n) of the training documents: words by hash (kind 0) and codes_of (kind 1), summed over the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        grams: list[np.ndarray] = []
+        codes, sums = [], [(np.empty(0, np.int64), np.empty(0, np.int64))]
         held, docs_seen = 0, 0
-        grid = np.zeros(65536 * SYMBOLS, np.int32)
+
+        def add_codes():
+            if codes:
+                sums.append(np.unique(np.concatenate(codes), return_counts=True))
+                codes.clear()
+                sums[:] = [summed(*map(np.concatenate, zip(*sums, strict=True)))]
+
+        def flush_codes():
+            if len(sums[0][0]):
+                yield _batch(1, *sums[0])
+                sums[:] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
 
         def flush_words():
             if words:
@@ -172,135 +204,90 @@ def _counts(docs: DataFrame, is_held) -> tuple[DataFrame, DataFrame]:
                 raw = as_bytes(text).lower()
                 words.update(raw.split())
                 docs_seen += 1
-                grams.append(trigram_codes(raw))
+                codes.append(codes_of(raw))
                 held += len(raw) + 1
-                if held > 1_000_000:
-                    _add(grid, grams)
+                if held > 2_000_000:
+                    add_codes()
                     held = 0
+                    if len(sums[0][0]) > FLUSH_CODES:
+                        yield from flush_codes()
                 if len(words) > FLUSH:
                     yield from flush_words()
-        _add(grid, grams)
+        add_codes()
+        yield from flush_codes()
         yield from flush_words()
         if docs_seen:
             yield _batch(0, np.array([END_WORD]), np.array([docs_seen]))
-        at = np.flatnonzero(grid)
-        if len(at):
-            yield _batch(1, at.astype(np.int64), grid[at].astype(np.int64))
 
     parts = docs.mapInArrow(run, "kind int, key bigint, n bigint")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _add(grid: np.ndarray, grams: list[np.ndarray]) -> None:
-    if grams:
-        np.add.at(grid, np.concatenate(grams), np.int32(1))
-        grams.clear()
+def _batch(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
 
-def _deep_counts(docs: DataFrame, is_held, deep: np.ndarray) -> DataFrame:
-    """(kind, key, n): what follows the contexts of three bytes in the training documents.
+def _cut(key: str, order: int) -> Column:
+    """The keys' symbols after contexts of `order` bytes."""
+    return F.expr(f"{key} % {(1 << 8 * order) * SYMBOLS}")
 
-    Those of `deep` (kind 0) as place in deep * 257 + symbol, the others (kind 1) as context * 257 + symbol.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(deep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of(shared.value)
-        grid = np.zeros(len(shared.value) * SYMBOLS, np.int32)
-        grams, others, held = [], [], 0
+def _contexts(entries: DataFrame, order: int, below: DataFrame) -> DataFrame:
+    """(context, total, kinds, out) of all entries (key, n) of a length; below: those of the next shorter."""
+    rows = entries.withColumn("suffix", _cut("key", order - 1)).join(below.select(F.col("key").alias("suffix"), F.col("n").alias("n_suffix")), "suffix")
+    return rows.groupBy(F.expr(f"key div {SYMBOLS}").alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n_suffix").alias("out"))
 
-        def flush_others():
-            if sum(map(len, others)):
-                yield _batch(1, *np.unique(np.concatenate(others), return_counts=True))
-            others.clear()
 
-        for b in (piece for whole in batches for piece in slices(whole)):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if is_held(doc_id):
-                    continue
-                three, _, symbol = _around(as_bytes(text).lower())
-                at = index[three].astype(np.int32)
-                grams.append((at * SYMBOLS + symbol)[at != NONE])
-                others.append((three.astype(np.int64) * SYMBOLS + symbol)[at == NONE])
-                held += len(three)
-                if held > 1_000_000:
-                    _add(grid, grams)
-                    yield from flush_others()
-                    held = 0
-        _add(grid, grams)
-        yield from flush_others()
-        at = np.flatnonzero(grid)
-        if len(at):
-            yield _batch(0, at.astype(np.int64), grid[at].astype(np.int64))
+def _step() -> Column:
+    """Totals by twentieths of a doubling."""
+    return F.floor(F.log2("total") * 20).cast("int")
 
-    return docs.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
+def _least(steps: list[tuple[int, int]], most: int) -> int | None:
+    """The least step such that it and all above hold at most `most`; None if the first is too many."""
+    least, held = None, 0
+    for at, count in sorted(steps, reverse=True):
+        held += count
+        if held > most:
+            break
+        least = at
+    return least
 
-def _batch(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
+def _head(entries: DataFrame, contexts: DataFrame, least: int | None) -> Level:
+    """The entries of the contexts whose total reaches a step: a bounded number, see _least."""
+    some = contexts.where(_step() >= F.lit(least) if least is not None else F.lit(False))
+    c = some.toArrow()
+    e = entries.join(some.select(F.col("context").alias("c")), F.expr(f"key div {SYMBOLS}") == F.col("c"), "left_semi").toArrow()
+    order, rank = np.argsort(e["key"].to_numpy()), np.argsort(c["context"].to_numpy())
+    return Level(e["key"].to_numpy()[order], e["n"].to_numpy()[order], *(c[x].to_numpy()[rank] for x in ("context", "total", "kinds", "out")))
 
-def _model(rows: DataFrame, is_held, codes: np.ndarray, counts: np.ndarray, most: int) -> tuple[Model, np.ndarray, DataFrame | None]:
-    """The model of the training documents, a bit for each context of three seen in them, and the counts after those not in the model.
 
-    The start of a text and the most frequent trigrams of bytes, `most` in all, are the model's contexts of
-    three. The counts (key, n) are of context * 257 + symbol; None if all contexts are in the model.
-    """
-    before, symbol = codes // SYMBOLS, codes % SYMBOLS
-    byte = symbol != END
-    best = np.lexsort((codes[byte], -counts[byte]))[: max(0, min(most, DEEP) - 1)]
-    contexts, start = before[byte] * 256 + symbol[byte], START * 65793
-    seen = np.zeros(1 << 24, bool)
-    seen[contexts] = True
-    if not len(codes):
-        return Model(codes, counts, contexts, np.empty(0, np.int64), np.empty(0, np.int64)), np.packbits(seen), None
-    seen[start] = True
-    deep = np.union1d(contexts[best], [start])
-    found = materialize(_deep_counts(rows, is_held, deep), "ppm-deep")
-    head = found.where("kind = 0").select("key", "n").toArrow()  # at most DEEP * 257 rows
-    key, n = head["key"].to_numpy(), head["n"].to_numpy()
-    order = np.argsort(key)
-    others = found.where("kind = 1").select("key", "n") if seen.sum() > len(deep) else None
-    return Model(codes, counts, deep, key[order], n[order]), np.packbits(seen), others
-
-
-def _other_scores(asked: DataFrame, others: DataFrame, grams: DataFrame, shared, follow: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, log): log10 probability of each context * 257 + symbol in asked, for contexts counted in others.
-
-    As in _mix. What follows a context follows its last two bytes too, so what exclusion leaves of the
-    shorter context is its sums less those of the longer one's symbols. follow: total and distinct symbols
-    after each two bytes.
-    """
-    followed = asked.sparkSession.sparkContext.broadcast(follow)
-    context, two = F.expr(f"key div {SYMBOLS}"), F.expr(f"(key div {SYMBOLS}) % 65536 * {SYMBOLS} + key % {SYMBOLS}")
-    short = grams.select(F.col("key").alias("two"), F.col("n").alias("n_two"))
-    sums = others.select(context.alias("context"), two.alias("two"), "n").join(short, "two").groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n_two").alias("out"))
-    rows = asked.select("key").distinct().select("key", context.alias("context"), two.alias("two")).join(others, "key", "left").join(sums, "context").join(short, "two", "left")
-    rows = rows.select("key", "two", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_two", F.lit(0)).alias("n_two"), "total", "kinds", "out")
+def _tail_scores(asked: DataFrame, deep: list[tuple[DataFrame, DataFrame]], shared) -> DataFrame:
+    """(key, log): log10 probability of the asked codes, whose counts of four and three bytes are met in joins."""
+    rows = asked.select("key").distinct()
+    for order, (entries, contexts) in zip((4, 3), deep, strict=True):
+        rows = rows.withColumn("cut", _cut("key", order)).withColumn("context", F.expr(f"cut div {SYMBOLS}"))
+        rows = rows.join(entries.select(F.col("key").alias("cut"), F.col("n").alias(f"n{order}")), "cut", "left").join(contexts.select("context", *[F.col(c).alias(f"{c}{order}") for c in ("total", "kinds", "out")]), "context", "left").drop("cut", "context")
+    found = rows.select("key", *[F.coalesce(F.col(f"{c}{k}").cast("double"), F.lit(0.0)).alias(f"{c}{k}") for k in (4, 3) for c in ("n", "total", "kinds", "out")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, (totals, distinct) = shared.value[0].two, followed.value
+        low = shared.value[0].levels[2:]
         for b in batches:
-            key, two, n, n_two, total, kinds, out = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            whole, all_kinds = totals[two // SYMBOLS], distinct[two // SYMBOLS]
-            esc = np.where(kinds < SYMBOLS, kinds, 0)
-            rest, more = whole - out, all_kinds - kinds
-            esc_two = np.where(all_kinds < SYMBOLS, more, 0)
-            # Below two bytes both ways exclude the same symbols.
-            below = 10.0 ** logs[two].astype(np.float64) * (whole + all_kinds) / all_kinds
-            after = np.where(n_two > 0, n_two, esc_two * below) / np.maximum(rest + esc_two, 1)
-            p = np.where(n > 0, n, esc * np.where(rest > 0, after, below)) / (total + esc)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.log10(p))], names=["key", "log"])
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            log = chain([tuple(cols[1:5]), tuple(cols[5:9]), *(x.look(shorter(cols[0], k)) for x, k in zip(low, (2, 1, 0), strict=True))], len(cols[0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(log)], names=["key", "log"])
 
-    return rows.mapInArrow(run, "key bigint, log double")
+    return found.mapInArrow(run, "key bigint, log double")
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", is_held=held_out, frequent: int = 200_000, deep: int = DEEP) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", is_held=held_out, frequent: int = 200_000, entries: int = ENTRIES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs.
 
     Training texts are those whose id is not held out by is_held. Null texts are empty: one end token.
     With nothing to train on, every count is 0 and the model is uniform. Repeated rows are scored each
-    by itself. Extra columns are not carried along.
+    by itself. Extra columns are not carried along. frequent, entries: how much is broadcast; the scores
+    are the same whatever they are.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -308,43 +295,54 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", is
     words = counts.where("kind = 0")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = int(sums["n"]), int(sums["v"])
-    grams = counts.where("kind = 1").select("key", "n")
-    held_grams = grams.toArrow()  # at most 65536 * 257 rows
-    codes, follows = held_grams["key"].to_numpy(), held_grams["n"].to_numpy()
-    model, seen, others = _model(rows, is_held, codes, follows, deep)
-    # The least count that at most `frequent` words reach, from a table of counts by twentieths of a doubling.
+    # The trie, level by level: what follows three bytes is what follows any four that end in them.
+    four = counts.where("kind = 1").select("key", "n")
+    three = materialize(four.groupBy(_cut("key", 3).alias("key")).agg(F.sum("n").alias("n")), "ppm-three")
+    two = materialize(three.groupBy(_cut("key", 2).alias("key")).agg(F.sum("n").alias("n")), "ppm-two")
+    small = two.toArrow()  # at most 65536 * 257 rows
+    keys, n = summed(small["key"].to_numpy(), small["n"].to_numpy())
+    low: list[Level] = []
+    for order in (0, 1, 2):
+        low.insert(0, level(*summed(shorter(keys, order), n), order, low[0] if low else None))
+    contexts = [materialize(_contexts(four, 4, three), "ppm-contexts"), materialize(_contexts(three, 3, two), "ppm-contexts")]
+    least4, least3 = (_least([(r["step"], r["n"]) for r in c.groupBy(_step().alias("step")).agg(F.sum("kinds").alias("n")).collect()], entries) for c in contexts)
+    if least3 is None or least4 is None:
+        least4 = None
+    else:  # whatever context of four bytes is broadcast, its last three bytes are too
+        least4 = max(least3, least4)
+    model = Model([_head(four, contexts[0], least4), _head(three, contexts[1], least3), *low])
     step = F.floor(F.log2("n") * 20).cast("int")
-    steps = sorted(((r["step"], r["count"]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)
-    least, held = None, 0
-    for at, count in steps:
-        held += count
-        if held > frequent:
-            break
-        least = at
+    least = _least([(r["step"], r["count"]) for r in words.groupBy(step.alias("step")).count().collect()], frequent)
     top = words.where(step >= F.lit(least) if least is not None else F.lit(False)).select("key", "n").toArrow()
     order = np.argsort(top["key"].to_numpy())
-    keys, tops = top["key"].to_numpy()[order], top["n"].to_numpy()[order]
-    shared = spark.sparkContext.broadcast((model, keys, np.log10(tops + 1.0), seen))
+    word_keys, tops = top["key"].to_numpy()[order], top["n"].to_numpy()[order]
+    shared = spark.sparkContext.broadcast((model, word_keys, np.log10(tops + 1.0)))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, keys, logs, seen = shared.value
-        index = index_of(model.deep)
+        model, keys, logs = shared.value
         row = TaskContext.get().partitionId() << 40
         for b in (piece for whole in batches for piece in slices(whole)):
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = as_bytes(text).lower()
+            out, ids = [], b.column(0).to_pylist()
+            texts = [as_bytes(t).lower() for t in b.column(1).to_pylist()]
+            # The distinct symbols in contexts of each text, and how often: the text's number stands above the code.
+            pairs, times = np.unique(np.concatenate([np.empty(0, np.int64), *(codes_of(t) | k << 48 for k, t in enumerate(texts))]), return_counts=True)
+            of, codes = pairs >> 48, pairs & ((1 << 48) - 1)
+            log, known = model.score(codes)
+            total = np.bincount(of, np.where(known, log * times, 0.0), len(texts))
+            of, codes, times = of[~known], codes[~known], times[~known].astype(np.int32)
+            ends = np.searchsorted(of, np.arange(len(texts) + 1))
+            for k, (doc_id, raw) in enumerate(zip(ids, texts, strict=True)):
                 tf = Counter(raw.split())
                 h = np.append(word_hashes(list(tf)).view(np.int64), END_WORD)
                 n = np.append(np.fromiter(tf.values(), np.int64, len(tf)), 1)
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                at = Level.find(keys, h)
+                hit = at >= 0
                 tail = np.argsort(h[~hit])
-                total, codes, times = model.score(raw, index, seen)
-                out.append((row, bool(is_held(doc_id)), int(n.sum()), int(n[hit].sum()), float((logs[at[hit]] * n[hit]).sum()) if len(keys) else 0.0, total, h[~hit][tail], n[~hit][tail].astype(np.int32), codes, times.astype(np.int32)))
+                other = slice(ends[k], ends[k + 1])
+                out.append((row, bool(is_held(doc_id)), int(n.sum()), int(n[hit].sum()), float((logs[at[hit]] * n[hit]).sum()), float(total[k]), h[~hit][tail], n[~hit][tail].astype(np.int32), codes[other], times[other]))
                 row += 1
             cols = list(zip(*out, strict=True)) if out else [[]] * 10
             types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -355,13 +353,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", is
     met = tails.join(words.select("key", "n"), "key")
     rare = met.groupBy("row").agg(F.sum("tf").alias("rare_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("rare_log"))
     per_token = float(np.log10(n_all + 1.0 * (v_all + 1)))
-    out = scored.drop("tail", "tail_n", "other", "other_n").join(rare, "row", "left")
-    if others is not None:
-        asked = scored.select("row", F.explode(F.arrays_zip("other", "other_n")).alias("t")).select("row", F.col("t.other").alias("key"), F.col("t.other_n").alias("tf"))
-        total = np.bincount(codes // SYMBOLS, follows, 65536).astype(np.int64), np.bincount(codes // SYMBOLS, minlength=65536)
-        deeper = asked.join(_other_scores(asked, others, grams, shared, total), "key").groupBy("row").agg(F.sum(F.col("tf") * F.col("log")).alias("deeper"))
-        out = out.join(deeper, "row", "left").withColumn("score", F.col("score") + F.coalesce("deeper", F.lit(0.0)))
+    asked = scored.select("row", F.explode(F.arrays_zip("other", "other_n")).alias("t")).select("row", F.col("t.other").alias("key"), F.col("t.other_n").alias("tf"))
+    deeper = asked.join(_tail_scores(asked, list(zip((four, three), contexts, strict=True)), shared), "key").groupBy("row").agg(F.sum(F.col("tf") * F.col("log")).alias("deeper"))
+    out = scored.drop("tail", "tail_n", "other", "other_n").join(rare, "row", "left").join(deeper, "row", "left")
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("log_sum") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), "score",
+        (F.col("log_sum") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), (F.col("score") + F.coalesce("deeper", F.lit(0.0))).alias("score"),
     )

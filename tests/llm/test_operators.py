@@ -548,16 +548,16 @@ def scalar_score(trained, raw):
     """A text by a trie that was filled before and does not learn: the definition, one symbol at a time."""
     trie = defaultdict(Counter)
     for t in trained:
-        past = b"\n\n\n"
+        past = b"\n" * 4
         for s in (*t, ppm.END):
-            for order in (0, 1, 2, 3):
-                trie[past[3 - order :]][s] += 1
+            for order in range(5):
+                trie[past[4 - order :]][s] += 1
             past = past[1:] + bytes((s & 255,))
-    past, total = b"\n\n\n", 0.0
+    past, total = b"\n" * 4, 0.0
     for s in (*raw, ppm.END):
         out, left, p = set(), 1.0, None
-        for order in (3, 2, 1, 0):
-            c = {k: v for k, v in trie.get(past[3 - order :], {}).items() if k not in out}
+        for order in (4, 3, 2, 1, 0):
+            c = {k: v for k, v in trie.get(past[4 - order :], {}).items() if k not in out}
             if c:
                 esc = len(c) if ppm.SYMBOLS - len(out) - len(c) > 0 else 0
                 if s in c:
@@ -571,29 +571,25 @@ def scalar_score(trained, raw):
 
 
 def test_scores_agree_with_the_scalar_coder(spark):
-    texts = [BASE, "Abracadabra", "日本", BASE[::-1], "", "w1 w2", "QZQZ"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
-    trained = [t.encode().lower() for i, t in enumerate(texts) if not ppm.held_out(i)]
-    for r in got(ppm.score(df)):
-        assert r["score"] == pytest.approx(scalar_score(trained, texts[r["doc_id"]].encode().lower()), rel=1e-5)
-    few = {r["doc_id"]: r["score"] for r in got(ppm.score(df, deep=2))}
-    assert len(few) == len(texts) and all(x < 0 for x in few.values())
-
-
-def test_contexts_that_are_not_broadcast_count_as_much(spark):
     texts = [BASE, "Abracadabra", "日本", BASE[::-1], "", "w1 w2", "QZQZ", "w1 w3 abrakadabra", "".join(map(chr, range(1, 700))), "w1 w2 w9"] * 2
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     trained = [t.encode().lower() for i, t in enumerate(texts) if not ppm.held_out(i)]
-    for deep in (0, 2, 40, ppm.DEEP):
-        scores = {r["doc_id"]: r["score"] for r in got(ppm.score(df, deep=deep))}
-        assert scores == {i: pytest.approx(scalar_score(trained, t.encode().lower()), rel=1e-5) for i, t in enumerate(texts)}
-
-
-def test_tables_are_distributions_and_the_adaptive_coder_learns():
-    codes, n = np.unique(np.concatenate([ppm.trigram_codes(t.encode()) for t in (BASE, "abracadabra")]), return_counts=True)
-    model = ppm.Model(codes, n, np.array([6382179]), np.array([3, 98]), np.array([1, 5]))
-    assert np.allclose((10.0 ** model.two.reshape(65536, ppm.SYMBOLS).astype(float)[::97]).sum(1), 1, atol=1e-4)
-    assert (10.0 ** model.three.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    # Whatever is broadcast: nothing, some contexts, all.
+    for entries in (0, 60, ppm.ENTRIES):
+        scores = {r["doc_id"]: r["score"] for r in got(ppm.score(df, entries=entries))}
+        assert scores == {i: pytest.approx(scalar_score(trained, t.encode().lower()), rel=1e-9) for i, t in enumerate(texts)}
+
+
+def test_levels_are_distributions_and_the_adaptive_coder_learns():
+    texts = [BASE.encode(), b"abracadabra", bytes(range(256)) * 2]
+    keys, n = ppm.summed(np.concatenate([ppm.codes_of(t) for t in texts]), np.ones(sum(len(t) + 1 for t in texts), np.int64))
+    low = []
+    for order in range(5):
+        low.insert(0, ppm.level(*ppm.summed(ppm.shorter(keys, order), n), order, low[0] if low else None))
+    for context in (b"abra", b"\n\n\n\n", b"w1 w", b"\x01\x02\x03\x04", b"zzzz", b"zabr"):
+        codes = int.from_bytes(context, "big") * ppm.SYMBOLS + np.arange(ppm.SYMBOLS)
+        p = 10.0 ** ppm.chain([x.look(ppm.shorter(codes, k)) for x, k in zip(low, (4, 3, 2, 1, 0), strict=True)], ppm.SYMBOLS)
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
     assert ppm.adaptive_score(b"abababababab") > ppm.adaptive_score(b"azbycxdwevfu") and ppm.adaptive_score(b"") == pytest.approx(-np.log10(257))
 
 
