@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of the
 documents table; the last returns token ids. Stages are written as tables and read again in between, so
 a lost executor costs the running stage at most.
+
+Every stage takes an empty table and keeps it empty, keeps only the columns of the documents table whatever
+else there is, and takes null ids, texts, languages and sources: a null or empty text has no words and goes in
+the first stage. Of repeated rows one stays in the second; a null id is nobody's copy there and stays.
 """
 
 from __future__ import annotations
