@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import queries
@@ -39,6 +40,27 @@ def test_stages(spark, folder):
     assert all(r["intact"] and r["n_tokens"] == len(r["ids"]) for r in last) and sorted(r["doc_id"] for r in last) == ids(mixed)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_tables(spark, name):
+    text = prose(80)
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (None, text + " x", None, None, None), (2, None, None, "s", None), (3, "", "en", None, 0), (4, prose(90) + " mail to a.b@mail.org", "fr", "t", 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    odd = df.withColumns({c: F.lit(1) for c in ("id", "n", "kept", "ids", "value", "_value", "row", "weight", "rejected_by")})
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = [r.asDict() for r in stage(spark, odd, "").collect()]
+    assert all(r["doc_id"] in (None, 1, 2, 3, 4) for r in out) and stage(spark, odd.limit(0), "").collect() == []
+    if name == "quality_rules":
+        assert sorted(str(r["doc_id"]) for r in out) == ["1", "1", "4", "None"]
+    if name == "near_duplicates":
+        assert sorted(str(r["doc_id"]) for r in out) == ["1", "2", "3", "4", "None"]
+    if name == "private_data":
+        assert len(out) == 6 and not any("a.b@" in (r["text"] or "") for r in out)
+    if name == "token_ids":
+        assert len(out) == 6 and sorted(r["n_tokens"] for r in out)[:2] == [0, 0]
+    else:
+        assert not out or list(out[0]) == corpus_pipeline.COLUMNS
+
+
 def test_run(spark, folder):
     d, _ = folder
     first, second = (sorted((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, d).collect()) for _ in range(2))
