@@ -44,6 +44,13 @@ TEMPLATES = {
     "cc-by-sa": "Creative Commons Attribution-ShareAlike License CC BY-SA",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "Copyright All rights reserved",
+    "agpl": "under the terms of the GNU Affero General Public License",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "boost": "Distributed under the Boost Software License, Version 1.0",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cc0": "the author has waived all copyright and related or neighboring rights to this work",
+    "odbl": "made available under the Open Database License",
 }
 
 #: Bytes outside words: all ASCII but letters and digits.
