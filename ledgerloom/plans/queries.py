@@ -44,6 +44,19 @@ def q(c: str, digits: int = 8):
     return F.floor(F.col(c).cast("double") * float(10**digits) + 0.5).cast("bigint").alias(c)
 
 
+#: Costs are exact decimals here and doubles in the SQL, which fall on either side of an exact half; so the results
+#: of both are rounded at a point beside it.
+BESIDE_HALF = 0.5123456789
+
+
+def cost(c: str, digits: int = 4):
+    return F.floor(F.col(c).cast("double") * float(10**digits) + BESIDE_HALF).cast("bigint").alias(c)
+
+
+def scost(expr: str, name: str, digits: int = 4) -> str:
+    return f"CAST(floor(({expr}) * {10**digits}.0::DOUBLE + {BESIDE_HALF}::DOUBLE) AS BIGINT) AS {name}"
+
+
 def sq(expr: str, name: str, digits: int = 8) -> str:
     return f"CAST(floor(({expr}) * {10**digits}.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS {name}"
 
@@ -104,17 +117,17 @@ def _valued(spark, d):
 # --- the ledger ------------------------------------------------------------------------------------
 
 
-@register(query(f"SELECT isin, quantity, {sq('avg_price', 'avg_price', 6)}, {units('cost_sek')} AS cost_sek, acquired_at, name, currency FROM positions", "positions"))
+@register(query(f"SELECT isin, quantity, {sq('avg_price', 'avg_price', 6)}, {scost('cost_sek', 'cost_sek')}, acquired_at, name, currency FROM positions", "positions"))
 def positions_avg_cost(spark, d):
     """Average-cost positions of the whole ledger."""
-    return ledger.positions(_trades(spark, d)).select("isin", *num("quantity"), q("avg_price", 6), X.to_units(F.col("cost_sek")).alias("cost_sek"), "acquired_at", "name", "currency")
+    return ledger.positions(_trades(spark, d)).select("isin", *num("quantity"), q("avg_price", 6), cost("cost_sek"), "acquired_at", "name", "currency")
 
 
-@register(query(f"SELECT isin, id, date, q AS quantity, {units('c')} AS cost_ccy, {units('s')} AS cost_sek FROM states", "states"))
+@register(query(f"SELECT isin, id, date, q AS quantity, {scost('c', 'cost_ccy')}, {scost('s', 'cost_sek')} FROM states", "states"))
 def ledger_states(spark, d):
     """The state of an instrument after each trade."""
     s = ledger.states(_trades(spark, d))
-    return s.select("isin", "id", "date", *num("quantity"), X.to_units(F.col("cost_ccy")).alias("cost_ccy"), X.to_units(F.col("cost_sek")).alias("cost_sek"))
+    return s.select("isin", "id", "date", *num("quantity"), cost("cost_ccy"), cost("cost_sek"))
 
 
 @register(query("SELECT id, isin, date, kind, quantity, price, source, sum(CASE WHEN kind = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY isin ORDER BY date, id) AS running_qty FROM trades", "trades"))
@@ -269,13 +282,13 @@ def holdings_on(spark, d):
     return h.withColumns({"price": q("price", 6), "quantity": F.col("quantity").cast("double")})
 
 
-NAV_COLS = ["equity", "net_contribution", "gross_asset_value", "cost_basis", "loan_balance"]
+NAV_COLS = ["equity", "net_contribution", "gross_asset_value", "loan_balance"]
 
 
-@register(oracles.nav(f"SELECT date, {', '.join(sq(c, c, 4) for c in NAV_COLS)}, {', '.join(sq(c, c, 6) for c in ('twr_period', 'nav_index', 'peak_nav_index', 'drawdown', 'effective_leverage', 'belaningsgrad'))}, {STATE} AS delever_status FROM nav_rows"))
+@register(oracles.nav(f"SELECT date, {', '.join(sq(c, c, 4) for c in NAV_COLS)}, {scost('cost_basis', 'cost_basis', 2)}, {', '.join(sq(c, c, 6) for c in ('twr_period', 'nav_index', 'peak_nav_index', 'drawdown', 'effective_leverage', 'belaningsgrad'))}, {STATE} AS delever_status FROM nav_rows"))
 def nav_reconstruct(spark, d):
     """The daily NAV series with its chained index."""
-    return _series(spark, d).select("date", *[q(c, 4) for c in NAV_COLS], *[q(c, 6) for c in ("twr_period", "nav_index", "peak_nav_index", "drawdown", "effective_leverage", "belaningsgrad")], "delever_status")
+    return _series(spark, d).select("date", *[q(c, 4) for c in NAV_COLS], cost("cost_basis", 2), *[q(c, 6) for c in ("twr_period", "nav_index", "peak_nav_index", "drawdown", "effective_leverage", "belaningsgrad")], "delever_status")
 
 
 @register(oracles.nav(f"SELECT {STATE} AS delever_status, count(*) AS days, min(date) AS first_day, max(date) AS last_day FROM nav_rows GROUP BY 1"))
