@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize
+from ledgerloom.llm.quality import bound
 
 #: First names by script and gender, and last names by script: what names are told by and surrogates are made of.
 FIRST = {
@@ -39,6 +40,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _GIVEN = [n for names in FIRST.values() for n in names] + LEADING
 _TAILS = "|".join(sorted({n[1:] for n in _GIVEN}))
 _INITIALS = "".join(sorted({n[0] for n in _GIVEN}))
+_TITLE_BEGINS, _TITLE_ENDS = ("".join(sorted({t[k] for t in TITLES})) for k in (0, -1))
 _PARTICLES = "von|van|de|der|den|la|da|di|del|bin|al"
 _WORD = r"\p{Lu}[\p{L}'\-]+"
 #: The rest of a phone number after its area code: in one piece, in two groups, or in groups of two digits.
@@ -56,11 +58,11 @@ DETECTORS = {
     "ssn": r"(?=\d{3}-)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"(?=[A-Z]{2}\d)(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "name": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:{'|'.join(_GIVEN)})(?: (?:\p{{Lu}}\.|{_PARTICLES}))*(?: {_WORD}){{1,2}}(?!\p{{L}})"
-    rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? )(?:\p{{Lu}}\. )*{_WORD}(?: {_WORD})?(?!\p{{L}})",
+    rf"|(?=\p{{Lu}})(?<=[{_TITLE_ENDS}.] )(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? )(?:\p{{Lu}}\. )*{_WORD}(?: {_WORD})?(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in DETECTORS.values())
 #: Every match has one of these in or right before it; texts without are not looked at further.
-HINTS = ("[0-9@=:]|AKIA", rf"[{_INITIALS}](?:{_TAILS}) [\p{{L}}]|(?:{'|'.join(TITLES)})\.? \p{{Lu}}")
+HINTS = ("[0-9@=:]|AKIA", rf"[{_INITIALS}](?:{_TAILS}) [\p{{L}}]|(?=[{_TITLE_BEGINS}])(?:{'|'.join(TITLES)})\.? \p{{Lu}}")
 HEX = "0123456789abcdef"
 
 
@@ -118,7 +120,7 @@ def _mod97(digits: Column) -> Column:
     return F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), F.lit(0), add)
 
 
-def _person(norm: Column, h: Column, attempt: Column) -> Column:
+def _person(norm: Column, h: Column, attempt: Column, tries: int) -> Column:
     """As many words as the name has: given names of its gender and script, a family name at the end; initials stay initials."""
     words = F.split(norm, " ")
     at = lambda i: F.conv(F.substring(h, (i * 8 % 64 + 1).cast("int"), F.lit(8)), 16, 10).cast("bigint")
@@ -140,7 +142,7 @@ def _person(norm: Column, h: Column, attempt: Column) -> Column:
     # More attempts, more family names: two, then three of them joined, then letters that always leave room.
     more = F.concat(
         F.when(attempt > 0, F.concat(F.lit("-"), family(F.lit(""), F.lit(5)))).otherwise(F.lit("")), F.when(attempt > 3, F.concat(F.lit("-"), family(F.lit(""), F.lit(6)))).otherwise(F.lit("")),
-        F.when(attempt > 12, F.initcap(F.translate(F.substring(h, 90, 24), HEX, "abcdefghiklmnopr"))).otherwise(F.lit("")),
+        F.when(attempt > tries, F.initcap(F.translate(F.substring(h, 90, 24), HEX, "abcdefghiklmnopr"))).otherwise(F.lit("")),
     )
     first_leads = words[0].isin([x.lower() for x in LEADING])
     last_at = F.when(first_leads, F.lit(0)).otherwise(F.size(words) - 1)
@@ -152,10 +154,10 @@ def _person(norm: Column, h: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(words, one), " ")
 
 
-def _core(kind: Column, norm: Column, h: Column, attempt: Column) -> Column:
+def _core(kind: Column, norm: Column, h: Column, attempt: Column, tries: int = 12) -> Column:
     """The surrogate of an entity in normal form.
 
-    After many collisions the form is given up for a token of 128 bits, so that drawing ends for every kind.
+    After `tries` collisions the form is given up for a token of 128 bits, so that drawing ends for every kind.
     """
     n = F.length(norm)
     stream = F.translate(h, HEX, "0123456789012345")
@@ -168,7 +170,7 @@ def _core(kind: Column, norm: Column, h: Column, attempt: Column) -> Column:
     card = F.concat(body, F.when(_luhn(norm) % 10 == 0, check).otherwise(F.substring(stream, n, F.lit(1))))
     ipv4 = F.concat_ws(".", *[(_number(h, 1 + 8 * k) % 254 + 1).cast("string") for k in range(4)])
     tld = F.regexp_extract(norm, r"(\.[a-z]+)$", 1)
-    longer = F.when(attempt > 12, F.concat(F.lit("."), F.substring(h, 100, 24))).otherwise(F.lit(""))
+    longer = F.when(attempt > tries, F.concat(F.lit("."), F.substring(h, 100, 24))).otherwise(F.lit(""))
     local, domain = F.substring_index(norm, "@", 1), F.regexp_replace(F.substring_index(norm, "@", -1), r"\.[a-z]+$", "")
     email = F.concat(_char_map(local, h), longer, F.lit("@"), _char_map(domain, F.reverse(h)), tld)
     hexes = F.substring(F.repeat(h, F.ceil(n / 128).cast("int")), F.lit(1), n)
@@ -178,7 +180,7 @@ def _core(kind: Column, norm: Column, h: Column, attempt: Column) -> Column:
     iban = F.concat(F.substring(norm, 1, 2), F.lpad((98 - _mod97(F.concat(bban, F.substring(norm, 1, 2), F.lit("00")))).cast("string"), 2, "0"), bban)
     token = F.concat(kind, F.lit("-"), F.substring(h, 1, 32))
     formed = F.when(kind == "phone", phone).when(kind == "ssn", F.substring(stream, F.lit(1), n)).when(kind == "card", card).when(kind == "ipv4", ipv4).when(kind == "key", key).when(kind == "iban", iban).otherwise(secret)
-    return F.when(kind == "email", email).when(kind == "name", _person(norm, h, attempt)).when(attempt > 12, token).otherwise(formed)
+    return F.when(kind == "email", email).when(kind == "name", _person(norm, h, attempt, tries)).when(attempt > tries, token).otherwise(formed)
 
 
 def _formed(kind: Column, value: Column, core: Column) -> Column:
@@ -194,16 +196,17 @@ def _formed(kind: Column, value: Column, core: Column) -> Column:
     return F.when(core.startswith(F.concat(kind, F.lit("-"))), core).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", blocks).when(kind.isin("email", "name"), upper).otherwise(core)
 
 
-def surrogates(entities: DataFrame, secret: str) -> DataFrame:
+def surrogates(entities: DataFrame, secret: str, *, tries: int = 12) -> DataFrame:
     """(kind, norm, core) for a table of distinct (kind, norm).
 
     Those whose surrogate is a real entity, or also that of an entity before them, draw again until none is left:
-    from the 13th round on surrogates have 96 bits or more, so that collisions end whatever the entities are.
+    after `tries` collisions surrogates have 96 bits or more, so that drawing ends whatever the entities are.
     """
     known = materialize(entities.select("kind", "norm"), "pii-entities")
     now, settled = known.withColumn("attempt", F.lit(0)), None
     while True:
-        drawn = now.withColumn("core", _core(F.col("kind"), F.col("norm"), _keyed(secret, F.col("kind"), F.col("norm"), F.col("attempt")), F.col("attempt")))
+        keyed = _keyed(secret, F.col("kind"), F.col("norm"), F.col("attempt"))  # once an entity, not once a character of it
+        drawn = now.withColumn("core", bound(keyed, lambda h: _core(F.col("kind"), F.col("norm"), h, F.col("attempt"), tries)))
         drawn = drawn.withColumn("probe", _norm(F.col("kind"), F.col("core")))
         drawn = drawn.withColumn("fresh", F.lit(True))
         both = drawn if settled is None else drawn.unionByName(settled.withColumn("fresh", F.lit(False)))
