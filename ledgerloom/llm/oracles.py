@@ -83,5 +83,48 @@ def op7(threshold: float = 0.8) -> str:
       CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(s.c, 0.0::DOUBLE) END AS score, coalesce(s.names, '') AS blocks FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+def op11(group: int = 5, heads: int = 9) -> str:
+    # CRC-32 of a short text: its table of 256 by the reflected polynomial, then one step a character.
+    table = "(SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, x::BIGINT) ORDER BY x) FROM range(256) t(x))"
+    return rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    crc AS MATERIALIZED (SELECT {table} AS k),
+    c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % {group} AS base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: xor(crc.k[xor(a & 255, x) + 1], a >> 8), 4294967295::BIGINT), 4294967295::BIGINT) % {heads} AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+    l AS MATERIALIZED (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+    r AS MATERIALIZED (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h UNION ALL SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(l.n, 0)), t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h LEFT JOIN l ON l.conv_id = c.base),
+    keyed AS (SELECT conv_id, pos + 1 AS depth, text, sha256(length(role) || ':' || role || text) AS own FROM r),
+    p AS MATERIALIZED (SELECT conv_id, 0::BIGINT AS depth, '' AS key, '' AS text FROM c UNION ALL SELECT p.conv_id, k.depth, sha256(p.key || k.own), k.text FROM p JOIN keyed k ON k.conv_id = p.conv_id AND k.depth = p.depth + 1),
+    n AS MATERIALIZED (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(strlen(text)) AS size FROM p GROUP BY depth, key),
+    named AS MATERIALIZED (SELECT p.conv_id AS member, n.* FROM p JOIN n ON n.depth = p.depth AND n.key = p.key),
+    up AS MATERIALIZED (SELECT n.depth, n.conv_id, a.conv_id AS parent FROM n JOIN named a ON a.member = n.conv_id AND a.depth = n.depth - 1),
+    kids AS (SELECT depth - 1 AS depth, parent AS conv_id, count(*) AS k FROM up GROUP BY ALL),
+    below AS (SELECT a.depth, a.conv_id, count(*) FILTER (kids.k IS NULL) AS leaves, sum((u.n_convs - 1) * u.size) AS saved FROM n u JOIN named a ON a.member = u.conv_id AND a.depth <= u.depth LEFT JOIN kids ON kids.depth = u.depth AND kids.conv_id = u.conv_id GROUP BY ALL),
+    ends AS (SELECT depth, conv_id, string_agg(member::VARCHAR, ',' ORDER BY member) AS ids FROM (SELECT named.*, max(depth) OVER (PARTITION BY member) AS last FROM named) WHERE depth = last GROUP BY ALL)
+    SELECT n.conv_id, n.depth, up.parent AS parent_conv_id, n.n_convs, coalesce(kids.k, 0) AS n_children, below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+    FROM n LEFT JOIN up ON up.depth = n.depth AND up.conv_id = n.conv_id LEFT JOIN kids ON kids.depth = n.depth AND kids.conv_id = n.conv_id JOIN below ON below.depth = n.depth AND below.conv_id = n.conv_id LEFT JOIN ends ON ends.depth = n.depth AND ends.conv_id = n.conv_id"""
+
+
+def op12() -> str:
+    words = f"list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '')"
+    letters = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+    orders = " UNION ALL ".join(f"SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, {k} AS step, {x}.bit AS bit, {' + '.join(f'{y}.bit' for y in 'abcde'[: k - 1]) or 0} AS before FROM s" for k, x in enumerate("abcde", 1))
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT r, doc_id, part, t, {words} AS w FROM d),
+    m AS MATERIALIZED (SELECT r, doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+      + 16 * coalesce(min(doc_id) OVER (PARTITION BY sha256(t)) < doc_id OR doc_id IS NULL AND min(doc_id) OVER (PARTITION BY sha256(t)) IS NOT NULL, false)::INT AS mask FROM w),
+    l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+    cells AS MATERIALIZED (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY ALL),
+    f AS (SELECT * FROM {letters} v(f, bit)),
+    s AS MATERIALIZED (SELECT a, b, c, d, e FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+    steps AS MATERIALIZED ({orders}),
+    x AS MATERIALIZED (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+      sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM cells CROSS JOIN steps GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INT) AS step, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))}, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x"""
+
+
+def op13() -> str:
+    return rf"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS text_sha256 FROM documents)
+    SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256 FROM d WINDOW g AS (PARTITION BY text_sha256)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": op2(), "op3_ngram_join": op3(), "op4_chat": op4(), "op7_licenses": op7()}
+    return {"op2_quality": op2(), "op3_ngram_join": op3(), "op4_chat": op4(), "op7_licenses": op7(), "op11_prefix_trie": op11(), "op12_filter_audit": op12(), "op13_exact_dedup": op13()}

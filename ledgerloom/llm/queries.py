@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, chat, licenses, mixing, ngram_join, oracles, pii, ppm, quality, sharding
-from ledgerloom.llm.common import load
+from ledgerloom.llm import ann, bpe, chat, digest_index, filter_audit, licenses, mixing, ngram_join, oracles, pii, ppm, prefix_trie, quality, sharding
+from ledgerloom.llm.common import load, shared_dir
 
 
 def tokenizer_path() -> str:
@@ -62,6 +63,20 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build(vectors), vectors.where("vec_id % 50 = 0"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    return prefix_trie.trie(prefix_trie.regrafted(prefix_trie.sequences(turns), group=5, heads=9))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = digest_index.DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
+    return digest_index.report(load(spark, sf_dir, "documents"), index)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -74,6 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ppm": op8_ppm,
         "op9_pii": op9_pii,
         "op10_nearest": op10_nearest,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
