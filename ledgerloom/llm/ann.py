@@ -5,6 +5,11 @@ sample of a distance. Within each probed list the columns are read block by bloc
 hypothesis test drops the candidates whose partial distance already says, at the chosen significance,
 that they lie beyond the query's current k-th. Survivors are scored exactly on the original vectors.
 
+A query is not settled by its first lists. They are as many as the index measured, and more until they hold k others. With
+its k-th score known, the query goes on to every list that may hold something nearer: none whose members' largest angle from
+the centroid rules that out, and of the rest as many as it takes until those left hold fewer than `miss` nearer ones by
+the lists' sizes and spreads. So a vector far from all others reads more lists than one in a cluster.
+
 Scale: lists are cut into pieces of about `piece` candidates, so a list (or a group of equal vectors)
 of any size spreads over tasks; equal vectors are one candidate that stands for the k+1 smallest ids,
 which is all that the tie rule can return. There are about as many lists as the square root of the rows, up
@@ -36,6 +41,7 @@ class Index:
     vectors: DataFrame  # vec_hash, list_id, vector (original), ids: the smallest k+1 ids of each distinct vector
     keep: int
     probes: int  # lists that hold the wanted share of the nearest
+    stats: np.ndarray  # lists x 3: ids that a list stands for, smallest and mean cosine with its centroid
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -104,12 +110,15 @@ def build(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
         turn, mid = both.value
         for b in batches:
             if len(b):
-                x = unit(np.stack(b["vector"].to_numpy())) @ turn
-                yield b.assign(list_id=(x @ mid.T).argmax(1).astype(np.int32))
+                near = unit(np.stack(b["vector"].to_numpy())) @ turn @ mid.T
+                yield b.assign(list_id=near.argmax(1).astype(np.int32), near=near.max(1))
 
-    listed = distinct.mapInPandas(assign, "vec_hash binary, vector array<double>, ids array<bigint>, list_id int")
+    listed = distinct.mapInPandas(assign, "vec_hash binary, vector array<double>, ids array<bigint>, list_id int, near double")
     listed = materialize(listed, "ann-lists")
-    return Index(rotation, centers, listed, k + 1, _probes(listed, rotation, centers, sample[:tuned_on], k, recall))
+    told = listed.groupBy("list_id").agg(F.sum(F.size("ids")).alias("n"), F.min("near").alias("least"), F.avg("near").alias("mean")).toPandas()  # a row a list
+    stats = np.tile([0.0, 1.0, 1.0], (len(centers), 1))
+    stats[told["list_id"]] = told[["n", "least", "mean"]]
+    return Index(rotation, centers, listed, k + 1, _probes(listed, rotation, centers, sample[:tuned_on], k, recall), stats)
 
 
 def _probes(listed: DataFrame, rotation: np.ndarray, centers: np.ndarray, some: np.ndarray, k: int, recall: float) -> int:
@@ -137,30 +146,87 @@ def _probes(listed: DataFrame, rotation: np.ndarray, centers: np.ndarray, some:
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
 
 
-def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int | None = None, piece: int = 4096, block: int = 16, eps: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def more_lists(near: np.ndarray, kth: np.ndarray, stats: np.ndarray, width: int, miss: float) -> np.ndarray:
+    """Which lists (queries x lists) may hold vectors whose cosine with a query is above its k-th so far.
+
+    near: cosines of queries and centroids. A list is ruled out by its largest angle from the centroid; what the
+    others hold is expected as if their members' cosines were normal around mean * near, with the spread of what
+    the centroid does not explain over the other dimensions. Those that hold fewer than `miss` together are left.
+    """
+    n, least, mean = stats.T
+    bound = np.cos(np.maximum(0.0, np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(least, -1, 1)) - 1e-9))
+    spread = np.sqrt(np.maximum(1 - mean**2, 1e-12) * np.maximum(1 - near**2, 1e-12) / max(1, width - 1))
+    z = (kth[:, None] - mean * near) / spread
+    tail = np.where(z > 0, 0.5 * np.exp(-0.717 * z - 0.416 * z * z), 1 - 0.5 * np.exp(0.717 * z - 0.416 * z * z))  # of the normal distribution, to 0.005 of it
+    expected = np.where((bound >= kth[:, None]) & (n > 0), n * tail, 0.0)
+    order = np.argsort(expected, axis=1, kind="stable")
+    left = np.take_along_axis(expected, order, 1).cumsum(1) < miss
+    out = np.empty_like(left)
+    np.put_along_axis(out, order, ~left, 1)
+    return out
+
+
+def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int | None = None, miss: float = 0.05, piece: int = 4096, block: int = 16, eps: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by cosine, itself left out; ties to the smaller id.
 
-    probes: lists read for each query (None: as many as the index measured). A query given twice is answered once. block: columns between tests. eps: width of the test; larger
-    abandons less. A null or zero vector, or one with null or non-finite components, takes no part.
+    Every query gets k rows, or all candidates if there are fewer. probes: lists read for each query at first (None: as many
+    as the index measured), more if they hold too few. miss: nearer vectors that the lists never read may hold, as expected;
+    0 reads all that the angles do not rule out. A query given twice is answered once. block: columns between tests. eps: width
+    of the test; larger abandons less. A null or zero vector, or one with null or non-finite components, takes no part.
     """
     spark = queries.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if index is None:
         return spark.createDataFrame([], schema)
-    probes = probes or index.probes
+    probes, keep = probes or index.probes, k + 1
     wanted = usable(queries, id_col, vector_col).withColumn("vec_hash", F.unhex(F.md5(F.to_json("vector"))))
-    both = spark.sparkContext.broadcast((index.rotation, index.centroids))
+    both = spark.sparkContext.broadcast((index.rotation, index.centroids, index.stats))
     asked = wanted.groupBy("vec_hash").agg(F.first("vector").alias("vector"))
+    dealt = "vec_hash binary, vector array<double>, list_id int, far double"
+
+    def chosen(near: np.ndarray) -> np.ndarray:
+        """The nearest lists, `probes` of them or as many more as hold `keep` ids."""
+        order = np.argsort(-near, axis=1, kind="stable")
+        before = np.take_along_axis(np.broadcast_to(both.value[2][:, 0], near.shape), order, 1).cumsum(1)
+        take = (np.arange(near.shape[1]) < probes) | (np.pad(before, ((0, 0), (1, 0)))[:, :-1] < keep)
+        out = np.empty_like(take)
+        np.put_along_axis(out, order, take, 1)
+        return out
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn, mid, _ = both.value
+        for b in batches:
+            if len(b):
+                row, lists = np.nonzero(chosen(unit(np.stack(b["vector"].to_numpy())) @ turn @ mid.T))
+                yield pd.DataFrame({"vec_hash": b["vec_hash"].to_numpy()[row], "vector": b["vector"].to_numpy()[row], "list_id": lists.astype(np.int32), "far": np.inf})
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, mid = both.value
-        n = min(probes, len(mid))
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn, mid, stats = both.value
         for b in batches:
             if len(b):
-                near = np.argsort(-(unit(np.stack(b["vector"].to_numpy())) @ turn @ mid.T), axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"vec_hash": b["vec_hash"].repeat(n), "vector": b["vector"].repeat(n), "list_id": near.ravel().astype(np.int32)})
+                near, kth = unit(np.stack(b["vector"].to_numpy())) @ turn @ mid.T, b["kth"].to_numpy(np.float64)
+                row, lists = np.nonzero(more_lists(near, kth, stats, len(turn), miss) & ~chosen(near))
+                yield pd.DataFrame({"vec_hash": b["vec_hash"].to_numpy()[row], "vector": b["vector"].to_numpy()[row], "list_id": lists.astype(np.int32), "far": 2 - 2 * kth[row] + 1e-9})
+
+    def best(hits: DataFrame) -> DataFrame:
+        """Each query's `keep` nearest ids as an array."""
+        top = hits.withColumn("r", F.row_number().over(W.partitionBy("vec_hash").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= keep)
+        return top.groupBy("vec_hash").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+
+    early = materialize(best(_scan(index, asked.mapInPandas(first, dealt), both, keep, piece, block, eps)), "ann-first")
+    # Of equal scores the smaller id counts, so lists that may hold an equal one are read too.
+    bar = F.when(F.size("near") >= keep, F.element_at("near", keep)["score"]).otherwise(-1.0)
+    again = asked.join(early.select("vec_hash", bar.alias("kth")), "vec_hash").mapInPandas(further, dealt)
+    late = _scan(index, again, both, keep, piece, block, eps)
+    lists = best(early.select("vec_hash", F.explode("near").alias("h")).select("vec_hash", "h.vec_id", "h.score").unionByName(late))
+    own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    answered = wanted.select("vec_hash", F.col("vec_id").alias("query_id")).distinct().join(lists, "vec_hash").select("query_id", F.posexplode(own).alias("pos", "hit"))
+    return answered.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+
 
-    probed = asked.mapInPandas(probe, "vec_hash binary, vector array<double>, list_id int")
+def _scan(index: Index, probed: DataFrame, both, keep: int, piece: int, block: int, eps: float) -> DataFrame:
+    """(vec_hash, vec_id, score): the nearest ids of probed (vec_hash, vector, list_id, far) in each piece of their lists; far: the squared distance to beat."""
+    probed = materialize(probed, "ann-probed")
     # Pieces of a list by its size; a table of one row a list.
     pieces = index.vectors.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).cast("int").alias("pieces"))
     asked_of = probed.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).cast("int").alias("q_pieces"))
@@ -171,12 +237,11 @@ def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int |
     )
     dealt = (
         probed.join(cut, "list_id").withColumn("q_piece", F.pmod(F.xxhash64("vec_hash"), F.col("q_pieces")).cast("int"))
-        .select("list_id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "q_piece", "vec_hash", "vector")
+        .select("list_id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "q_piece", "vec_hash", "vector", "far")
     )
-    keep = k + 1
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        turn, _ = both.value
+        turn = both.value[0]
         parts = []
         if len(left) and len(right):
             raw = np.stack(right["vector"].to_numpy()).astype(np.float64)
@@ -185,7 +250,7 @@ def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int |
             for at in range(0, len(left), 512):
                 some = left.iloc[at : at + 512]
                 q = np.stack(some["vector"].to_numpy()).astype(np.float64)
-                row, col = adaptive(turned, unit(q) @ turn, keep, block, eps)
+                row, col = adaptive(turned, unit(q) @ turn, keep, block, eps, some["far"].to_numpy(np.float64))
                 score = cosine(q[row], raw[col])
                 order = np.lexsort((least[col], -score, row))
                 row, col, score = row[order], col[order], score[order]
@@ -194,17 +259,11 @@ def search(index: Index | None, queries: DataFrame, *, k: int = 5, probes: int |
         out = pd.concat(parts) if parts else pd.DataFrame({"vec_hash": [], "vec_id": [], "score": []})
         return out.astype({"vec_id": np.int64})
 
-    hits = dealt.groupBy("list_id", "piece", "q_piece").cogroup(stored.groupBy("list_id", "piece", "q_piece")).applyInPandas(scan, "vec_hash binary, vec_id bigint, score double")
-    best = W.partitionBy("vec_hash").orderBy(F.desc("score"), "vec_id")
-    top = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep)
-    lists = top.groupBy("vec_hash").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    answered = wanted.select("vec_hash", F.col("vec_id").alias("query_id")).distinct().join(lists, "vec_hash").select("query_id", F.posexplode(own).alias("pos", "hit"))
-    return answered.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    return dealt.groupBy("list_id", "piece", "q_piece").cogroup(stored.groupBy("list_id", "piece", "q_piece")).applyInPandas(scan, "vec_hash binary, vec_id bigint, score double")
 
 
-def adaptive(turned: np.ndarray, q: np.ndarray, keep: int, block: int, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, candidate row) pairs that may be among a query's `keep` nearest.
+def adaptive(turned: np.ndarray, q: np.ndarray, keep: int, block: int, eps: float, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, candidate row) pairs that may be among a query's `keep` nearest; far: each query's k-th squared distance so far.
 
     Columns are read in blocks. A pair is abandoned once its partial squared distance exceeds what a
     candidate at the query's threshold would show, but for chance: (1 + eps / sqrt(columns read)).
@@ -217,7 +276,7 @@ def adaptive(turned: np.ndarray, q: np.ndarray, keep: int, block: int, eps: floa
     m = min(n, 4 * keep)
     look = np.argpartition(partial, m - 1, axis=1)[:, :m]
     full = ((turned[look] - q[:, None, :]) ** 2).sum(2)
-    limit = np.partition(full, min(keep, m) - 1, axis=1)[:, min(keep, m) - 1]
+    limit = np.minimum(far, np.partition(full, min(keep, m) - 1, axis=1)[:, min(keep, m) - 1])
     slack = lambda read: (read / d) * (1 + eps / np.sqrt(read)) ** 2 if read < d else 1.0
     row, col = np.nonzero(partial <= limit[:, None] * slack(first) + 1e-9)
     partial = partial[row, col]

@@ -751,6 +751,24 @@ def test_recall_at_the_query_s_settings(spark, clusters):
     assert len(index.centroids) == 64 and (not clusters or index.probes < 16)
 
 
+@pytest.mark.parametrize(("clusters", "each", "lone", "width"), [(250, 8, 40, 32), (50, 6, 15, 32), (400, 3, 25, 64), (0, 0, 4, 16)])
+def test_lone_rows_among_tight_clusters_find_five(spark, clusters, each, lone, width):
+    """The lists that hold a clustered vector's nearest hold no lone one's: each query reads on until it is settled."""
+    r = np.random.default_rng(clusters)
+    x = np.concatenate([np.repeat(r.standard_normal((clusters, width)), each, 0) + 0.01 * r.standard_normal((clusters * each, width)), r.standard_normal((lone, width))])
+    x = np.float32(r.permutation(x))
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    index = ann.build(df)
+    out = defaultdict(list)
+    for h in got(ann.search(index, df)):
+        out[h["query_id"]].append(h["vec_id"])
+    want = exact(list(range(len(x))), x.astype(float), 5)
+    assert len(out) == len(x) and all(len(v) == len(set(v)) == min(5, len(x) - 1) for v in out.values())
+    assert np.mean([len(set(v) & set(want[q])) / len(v) for q, v in out.items()]) >= 0.95
+    alone = [q for q in out if np.sort((x[q].astype(float) * x).sum(1) / np.linalg.norm(x[q]) / np.linalg.norm(x, axis=1))[-2] < 0.95]
+    assert len(alone) >= lone - 2 and np.mean([len(set(out[q]) & set(want[q])) / len(out[q]) for q in alone]) >= 0.9
+
+
 # --- SQL ---
 
 
