@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import ledger, mutate, valuation
 from ledgerloom.plans import history, risk
 from ledgerloom.sources import broker_csv, price_lake, rates
+from ledgerloom.schemas import TABLES
 from ledgerloom.store import Store
 
 
@@ -87,30 +88,29 @@ class Portfolio:
         self.store.change("holdings", lambda t: mutate.upsert_holding(t, self.store.read("sleeves"), **settings))
 
     def delete_holding(self, row_id: int) -> bool:
-        return self._delete("holdings", row_id)
+        return self.store.delete("holdings", row_id)
 
     def add_transaction(self, **trade: Any) -> None:
-        row = mutate.trade_row(self.spark, mutate.next_id(self.store.read("transactions")), **trade)
-        isin = row.first()["isin"]
         with self.store.transaction():
-            self.store.change("transactions", lambda t: t.unionByName(row))
-            self.recompute([isin])
+            row = mutate.trade_row(self.spark, self.store.next_id("transactions"), **trade)
+            self.store.append("transactions", row)
+            self.recompute([row.first()["isin"]])
 
     def delete_transaction(self, row_id: int) -> bool:
         row = self.store.read("transactions").where(F.col("id") == row_id).first()
         if row is None:
             return False
         with self.store.transaction():
-            self._delete("transactions", row_id)
+            self.store.delete("transactions", row_id)
             self.recompute([row["isin"]])
         return True
 
     def add_cash_flow(self, **flow: Any) -> None:
-        row = mutate.flow_row(self.spark, mutate.next_id(self.store.read("cash_flows")), **flow)
-        self.store.change("cash_flows", lambda t: t.unionByName(row))
+        with self.store.transaction():
+            self.store.append("cash_flows", mutate.flow_row(self.spark, self.store.next_id("cash_flows"), **flow))
 
     def delete_cash_flow(self, row_id: int) -> bool:
-        return self._delete("cash_flows", row_id)
+        return self.store.delete("cash_flows", row_id)
 
     def recompute(self, isins: list[str] | None = None) -> None:
         def derive(h: DataFrame) -> DataFrame:
@@ -121,12 +121,6 @@ class Portfolio:
 
         self.store.change("holdings", derive)
 
-    def _delete(self, name: str, row_id: int) -> bool:
-        table, found = mutate.delete_by_id(self.store.read(name), row_id)
-        if found:
-            self.store.write(name, table)
-        return found
-
     # --- import ---
 
     def preview_import(self, path: str) -> dict[str, Any]:
@@ -139,7 +133,10 @@ class Portfolio:
 
         The span is that of all rows of the file; trades are replaced only if it has any, flows likewise.
         """
-        parsed = broker_csv.parse(broker_csv.read(self.spark, path))
+        return self.take(broker_csv.parse(broker_csv.read(self.spark, path)))
+
+    def take(self, parsed: broker_csv.Parsed) -> dict[str, Any]:
+        """What import_csv does, with an export that is parsed."""
         s = parsed.summary.first()
         lo, hi = s["date_min"], s["date_max"]
         with self.store.transaction():
@@ -152,12 +149,12 @@ class Portfolio:
         return s.asDict() | {"open_holdings": open_}
 
     def _replace(self, name: str, rows: DataFrame, lo: str, hi: str) -> None:
-        def replace(table: DataFrame) -> DataFrame:
-            new = mutate.with_ids(rows, mutate.next_id(table))
-            new = new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(t).alias(c) for c, t in table.dtypes])
-            return mutate.replace_range(table, new, lo, hi)
-
-        self.store.change(name, replace)
+        """Only the files that reach into the span are written anew; the new rows are files of their own."""
+        new = mutate.with_ids(rows.withColumn("source", F.lit("avanza")), self.store.next_id(name))
+        new = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+        with self.store.transaction():
+            self.store.change(name, lambda t: mutate.without_range(t, lo, hi), since=lo, until=hi)
+            self.store.append(name, new)
 
     # --- reports ---
 
@@ -228,7 +225,7 @@ class Portfolio:
         table, closes, error = self.store.read("holdings"), None, None
         if self._closes is not None or self._root is not None:
             try:
-                rows = self._closes.withColumn("file", F.lit("")) if self._closes is not None else price_lake.lake(self.spark, self._root)
+                rows = self._closes.withColumn("file", F.lit("")) if self._closes is not None else price_lake.newest(self.spark, self._root)
                 closes = price_lake.latest_closes(rows, table.where("symbol != ''").select(F.col("symbol").alias("ticker")))
                 closes.count()
             except Exception as e:  # a lake out of reach leaves the quotes

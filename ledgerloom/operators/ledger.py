@@ -3,7 +3,8 @@
 The fold is a true ordered recurrence (sells are clamped at what is held, and a sell from nothing leaves a
 negative quantity), so no window expresses it. It runs as one pass over rows that are dealt by isin and
 sorted within partitions: the state of one instrument is carried along, so memory is one Arrow batch
-however long an instrument's history is, and the sort spills to disk.
+however long an instrument's history is, and the sort spills to disk. An instrument of more than LONG trades is
+folded in pieces side by side.
 """
 
 from __future__ import annotations
@@ -39,46 +40,77 @@ def normalized(trades: DataFrame) -> DataFrame:
     ).where("isin != ''")
 
 
-def _fold(trades: DataFrame, every: bool) -> DataFrame:
-    """State after each trade, or only after each instrument's last. Order: date (missing first), id."""
+def _fold(trades: DataFrame, emit: str, long: int) -> DataFrame:
+    """States after each trade ('each'), each instrument's day ('day') or its last trade ('last'). Order: date (missing first), id.
+
+    Instruments of more than `long` trades, of which there are few, are folded in pieces (operators.segments).
+    """
     rows = trades.select("isin", "date", "id", "kind", "quantity", "price", "amount_sek", "name", "currency")
+    hot = [r["isin"] for r in rows.groupBy("isin").count().where(F.col("count") > long).collect()]
+    if not hot:
+        return _one_pass(rows, emit)
+    from ledgerloom.operators.segments import fold_in_pieces
+
+    is_hot = F.col("isin").isin(hot)
+    return _one_pass(rows.where(~is_hot), emit).unionByName(fold_in_pieces(rows.where(is_hot), emit, max(1, long // 4)))
+
+
+def _one_pass(rows: DataFrame, emit: str) -> DataFrame:
     dealt = rows.repartition("isin").sortWithinPartitions("isin", F.col("date").asc_nulls_first(), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        isin, zero = None, Decimal(0)
-        q = c = s = zero
-        since = name = currency = date = last_id = None
+        isin, fold, out = None, None, []
         for b in batches:
-            out: list[tuple] = []
-            for i, d, k, kind, x, p, amount, n, ccy in zip(*(b.column(j).to_pylist() for j in range(9)), strict=True):
+            for i, *trade in zip(*(b.column(j).to_pylist() for j in range(9)), strict=True):
                 if i != isin:
-                    if isin is not None and not every:
-                        out.append((isin, last_id, date, q, c, s, since, name, currency))
-                    isin, q, c, s, since, name, currency = i, zero, zero, zero, None, None, None
-                if kind == "buy":
-                    q += x
-                    c += x * p
-                    s += x * p if amount is None else abs(amount)
-                    if d is not None and (since is None or d < since):
-                        since = d
-                elif q > 0:
-                    r = min(x, q)
-                    c -= c / q * r
-                    s -= s / q * r
-                    q -= r
-                else:
-                    q -= x
-                name, currency, date, last_id = name or n or None, ccy or currency, d, k
-                if every:
-                    out.append((isin, k, d, q, c, s, since, name, currency))
+                    if isin is not None and emit != "each":
+                        out.append((isin, *fold.state()))
+                    isin, fold = i, Fold()
+                elif emit == "day" and trade[0] != fold.date:
+                    out.append((isin, *fold.state()))
+                fold.take(*trade)
+                if emit == "each":
+                    out.append((isin, *fold.state()))
             if out:
                 yield _batch(out)
-        if isin is not None and not every:
-            yield _batch([(isin, last_id, date, q, c, s, since, name, currency)])
+                out = []
+        if isin is not None and emit != "each":
+            yield _batch([(isin, *fold.state())])
 
     return dealt.mapInArrow(run, STATE)
 
 
+class Fold:
+    """One instrument's state: what is held, what it cost in its currency and in SEK, its first buy, first name and last currency."""
+
+    __slots__ = ("id", "date", "q", "c", "s", "since", "name", "currency")
+
+    def __init__(self, q: Decimal = Decimal(0), c: Decimal = Decimal(0), s: Decimal = Decimal(0), since=None, name=None, currency=None):
+        self.id = self.date = None
+        self.q, self.c, self.s, self.since, self.name, self.currency = q, c, s, since, name, currency
+
+    def take(self, date, row_id, kind, x, price, amount, name, currency) -> None:
+        """A sell takes at most what is held, at average cost; a sell from nothing leaves a negative quantity."""
+        q = self.q
+        if kind == "buy":
+            self.q = q + x
+            self.c += x * price
+            self.s += x * price if amount is None else abs(amount)
+            if date is not None and (self.since is None or date < self.since):
+                self.since = date
+        elif q > 0:
+            r = min(x, q)
+            self.c -= self.c / q * r
+            self.s -= self.s / q * r
+            self.q = q - r
+        else:
+            self.q = q - x
+        self.name, self.currency, self.date, self.id = self.name or name or None, currency or self.currency, date, row_id
+
+    def state(self) -> tuple:
+        return self.id, self.date, self.q, self.c, self.s, self.since, self.name, self.currency
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), pa.date32(), pa.decimal128(28, 8), pa.decimal128(38, 16), pa.decimal128(38, 16), pa.date32(), pa.string(), pa.string()]
     places = {3: Decimal(1).scaleb(-8), 4: Decimal(1).scaleb(-16), 5: Decimal(1).scaleb(-16)}
@@ -87,23 +119,25 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_NAMES)
 
 
-def states(trades: DataFrame) -> DataFrame:
+#: Trades of one instrument up to which its history is folded in one task.
+LONG = 1_000_000
+
+
+def states(trades: DataFrame, *, long: int = LONG) -> DataFrame:
     """One state per trade of a normalized ledger: quantity, cost in the instrument's currency and in SEK."""
-    return _fold(trades, True)
+    return _fold(trades, "each", long)
 
 
-def positions(trades: DataFrame, *, through: str | None = None) -> DataFrame:
+def positions(trades: DataFrame, *, through: str | None = None, long: int = LONG) -> DataFrame:
     """Open positions: isin, quantity, avg_price, cost_sek, acquired_at (the first buy ever), name, currency."""
     rows = trades if through is None else trades.where(F.col("date") <= F.lit(through).cast("date"))
-    last = _fold(rows, False).where("quantity > 0")
+    last = _fold(rows, "last", long).where("quantity > 0")
     return last.select("isin", "quantity", (F.col("cost_ccy").cast("decimal(32,14)") / F.col("quantity").cast("decimal(24,8)")).alias("avg_price"), "cost_sek", "acquired_at", "name", "currency")
 
 
-def end_of_day(every_state: DataFrame) -> DataFrame:
-    """The last state of each (isin, date): a partial aggregate by date, no window over whole instruments."""
-    cols = ["quantity", "cost_ccy", "cost_sek", "currency"]
-    last = every_state.where("date is not null").groupBy("isin", "date").agg(F.max(F.struct("id", *cols)).alias("s"))
-    return last.select("isin", "date", *[F.col(f"s.{c}").alias(c) for c in cols])
+def end_of_day(trades: DataFrame, *, long: int = LONG) -> DataFrame:
+    """(isin, date, quantity, cost_ccy, cost_sek, currency): the state after the last trade of each day of an instrument; the others never leave the fold."""
+    return _fold(trades, "day", long).where("date is not null").select("isin", "date", "quantity", "cost_ccy", "cost_sek", "currency")
 
 
 def position_history(trades: DataFrame, isin: str | None = None) -> DataFrame:
@@ -122,8 +156,7 @@ def recompute_holdings(holdings: DataFrame, trades: DataFrame, isins: list[str]
     """
     names = holdings.columns
     scope = None if isins is None else [i.strip().upper() for i in isins]
-    pos = positions(trades)
-    pos = pos if scope is None else pos.where(F.col("isin").isin(scope))
+    pos = positions(trades if scope is None else trades.where(F.col("isin").isin(scope)))
     # Holdings without an isin are never derived; they are not numbered, as they would all meet in one task.
     first = W.partitionBy("_key").orderBy(F.col("sleeve_id").asc_nulls_last(), "symbol", "id")
     keyed = holdings.withColumn("_key", F.upper(F.coalesce("isin", F.lit(""))))

@@ -27,11 +27,15 @@ def with_ids(rows: DataFrame, after: int) -> DataFrame:
     return rows.repartitionByRange("date").sortWithinPartitions("date").withColumn("id", F.monotonically_increasing_id() + F.lit(after))
 
 
+def without_range(table: DataFrame, date_min: str, date_max: str, *, source: str = "avanza") -> DataFrame:
+    """table without the rows of `source` in [date_min, date_max]; rows without a date or source stay."""
+    day = F.col("date").between(F.lit(date_min).cast("date"), F.lit(date_max).cast("date"))
+    return table.where(~F.coalesce((F.col("source") == source) & day, F.lit(False)))
+
+
 def replace_range(table: DataFrame, rows: DataFrame, date_min: str, date_max: str, *, source: str = "avanza") -> DataFrame:
     """table with the rows of `source` in [date_min, date_max] replaced by rows; other sources stay. Doing it twice changes nothing."""
-    day = F.col("date").between(F.lit(date_min).cast("date"), F.lit(date_max).cast("date"))
-    gone = F.coalesce((F.col("source") == source) & day, F.lit(False))
-    return table.where(~gone).unionByName(rows.withColumn("source", F.lit(source)).select(*table.columns))
+    return without_range(table, date_min, date_max, source=source).unionByName(rows.withColumn("source", F.lit(source)).select(*table.columns))
 
 
 def delete_by_id(table: DataFrame, row_id: int) -> tuple[DataFrame, bool]:

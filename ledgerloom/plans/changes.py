@@ -207,12 +207,11 @@ def preview_summary(spark, d):
 
 @register(query("SELECT ticker, close, date FROM closes WHERE date = (SELECT max(date) FROM closes)", "closes"))
 def lake_latest_close(spark, d):
-    """The newest day of a lake of folders, one of which is no date and one of which holds only a later file."""
+    """The newest day of a lake of all closes, a folder a day, beside one that is no date; only that day's folder is read."""
     root, c = folder(spark, "lake"), fixtures.closes(spark, d)
-    newest = c.agg(F.max("date").alias("m"))
-    price_lake.write(c.join(F.broadcast(newest), c["date"] >= F.date_sub("m", 20)).drop("m"), root)
+    price_lake.write(c, root)
     c.limit(1).select("ticker", "close").write.parquet(f"{root}/bars/tf=1day/date=latest")
-    return price_lake.latest_closes(price_lake.lake(spark, root), fixtures.instruments(spark, d).select(F.lower("symbol").alias("ticker")))
+    return price_lake.latest_closes(price_lake.newest(spark, root), fixtures.instruments(spark, d).select(F.lower("symbol").alias("ticker")))
 
 
 # --- the service -------------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ def sleeved(holdings: DataFrame) -> DataFrame:
 
 def _value_changes(trades: DataFrame, holdings: DataFrame, closes: DataFrame, cfg: Config, keep: DataFrame | None) -> DataFrame:
     """(isin, date, value, cost): an instrument's value and cost, in units, from each date on which either changes."""
-    eod = ledger.end_of_day(ledger.states(trades))
+    eod = ledger.end_of_day(trades)
     if keep is not None:
         eod = eod.join(keep, "isin", "left_semi")
     day_close = closes.groupBy("date", F.upper("ticker").alias("symbol")).agg(F.max("close").alias("close"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +16,7 @@ from ledgerloom.plans import history, oracles, risk
 from ledgerloom.plans.oracles import STATE, UNITS, query, units
 from ledgerloom.sources import broker_csv, fixtures, price_lake, rates
 from ledgerloom.sources.fixtures import CFG
+from ledgerloom.stored import folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -61,19 +61,6 @@ def sq(expr: str, name: str, digits: int = 8) -> str:
     return f"CAST(floor(({expr}) * {10**digits}.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS {name}"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under that of the checkpoints, or else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a stored table: computed once, however often a report reads it."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _trades(spark, d):
     return ledger.normalized(fixtures.trades(spark, d))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators import mutate
+from ledgerloom.api import Portfolio
 from ledgerloom.sources import broker_csv
 from ledgerloom.store import Store
 
@@ -17,21 +17,16 @@ HEADER = "Datum string, Konto string, `Typ av transaktion` string, `Värdepapper
 
 
 def export_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(HEADER).option("sep", ";").option("header", True).option("encoding", "UTF-8").csv(folder)
+    return spark.readStream.schema(HEADER).option("sep", ";").option("header", True).option("encoding", "UTF-8").option("maxFilesPerTrigger", 1).csv(folder)
 
 
 def into_store(exports: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of export rows replaces its span of dates, so a batch that is replayed changes nothing. Ends when all files are read."""
+    """Each export, one a micro-batch and the oldest first, is imported as the service does: trades, flows and what is derived
+    in one commit. It replaces its span of dates, so a batch that is replayed changes nothing. Ends when all files are read."""
+    service = Portfolio(store)
 
     def take(batch: DataFrame, _: int) -> None:
-        parsed = broker_csv.parse(batch)
-        s = parsed.summary.first()
-        for name, rows, n in (("transactions", parsed.trades, s["n_trades"]), ("cash_flows", parsed.flows, s["n_flows"])):
-            if n:
-                table = store.read(name)
-                new = mutate.with_ids(rows, mutate.next_id(table))
-                new = new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(t).alias(c) for c, t in table.dtypes])
-                store.write(name, mutate.replace_range(table, new, s["date_min"], s["date_max"]))
+        service.take(broker_csv.parse(batch))
 
     return exports.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,10 +2,11 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.api import Portfolio
 from ledgerloom.operators import ledger, mutate
-from ledgerloom.schemas import SLEEVES, Config
+from ledgerloom.schemas import SLEEVES, TABLES, Config
 from ledgerloom.sources import broker_csv, price_lake, rates
 from ledgerloom.store import ConcurrentChange, Store
 from ledgerloom.streaming import ingest
@@ -106,6 +107,24 @@ def test_price_lake(spark, tmp_path):
     assert price_lake.closes_in_range(lake, wanted, "2026-01-01", "2026-01-02").count() == 2
 
 
+def test_the_newest_day_is_read_from_its_folder_alone(spark, tmp_path):
+    closes = spark.createDataFrame([(dt.date(2026, 1, 1) + dt.timedelta(k), "AAA", float(k)) for k in range(60)], "date date, ticker string, close double")
+    price_lake.write(closes, str(tmp_path))
+    closes.limit(1).select("ticker", "close").write.parquet(f"{tmp_path}/bars/tf=1day/date=latest")
+    (tmp_path / "bars/tf=1day/date=2027-01-01").mkdir()  # a folder without files
+    newest = price_lake.newest(spark, str(tmp_path))
+    assert [str(x) for x in price_lake.days(spark, str(tmp_path))][-2:] == ["2026-03-01", "2027-01-01"]
+    assert len(newest.inputFiles()) == 1 and "date=2026-03-01" in newest.inputFiles()[0]
+    plan = price_lake.latest_closes(newest, closes.select("ticker"))._jdf.queryExecution().toString()
+    assert "date=2026-03-01" in plan and "date=2026-02-28" not in plan and "PartitionFilters: [isnotnull(date" in plan
+    some = price_lake.lake(spark, str(tmp_path), since="2026-01-30", until="2026-02-02")
+    assert some.count() == 4 == len(some.inputFiles())
+    assert price_lake.lake(spark, str(tmp_path), since="2030-01-01").count() == 0 and price_lake.newest(spark, str(tmp_path / "none")).count() == 0
+    port = Portfolio(Store(spark, str(tmp_path / "s")), lake_root=str(tmp_path))
+    port.upsert_holding(symbol="aaa")
+    assert port.refresh_prices(today="2026-03-02")["updated_minio"] == 1 and float(port.holdings().first()["last_price"]) == 59
+
+
 def test_refresh_prices(spark, make):
     h = make.holdings({"id": 1, "symbol": "AAA"}, {"id": 2, "symbol": "EUF", "isin": "IE1", "currency": "SEK"}, {"id": 3, "symbol": "NO"}, {"id": 4})
     closes = spark.createDataFrame([("aaa", 7.0, dt.date(2026, 1, 1))], "ticker string, close double, date date")
@@ -190,3 +209,68 @@ def test_no_writer_undoes_another(spark, tmp_path):
     assert one.config().notes == two.config().notes == "two"
     one.set_config(Config(notes="one"))
     assert two.config().notes == "one" and len(list((tmp_path / "s" / "_commits").glob("0*.json"))) == 2
+
+
+def _ledger_store(spark, tmp_path, days=360):
+    """Twelve months of trades, one file a month."""
+    store = Store(spark, str(tmp_path / "s"))
+    rows = [(k + 1, dt.date(2025, 1, 1) + dt.timedelta(k), f"I{k % 5}", "buy", 2.0, 10.0, ["avanza", "manual"][k % 3 == 0]) for k in range(days)]
+    t = spark.createDataFrame(rows, "id bigint, date date, isin string, kind string, quantity double, price double, source string").withColumn("currency", F.lit("SEK"))
+    for m in range(1, 13):
+        part = t.where(F.month("date") == m)
+        store.append("transactions", part.select(*[(F.col(f.name) if f.name in t.columns else F.lit(None)).alias(f.name) for f in TABLES["transactions"]]))
+    return store
+
+
+def test_changes_write_only_the_files_they_touch(spark, tmp_path):
+    store = _ledger_store(spark, tmp_path)
+    port = Portfolio(store)
+    paths = lambda: {f["path"] for f in store.files("transactions")}
+    before, count = paths(), store.read("transactions").count()
+    assert len(before) >= 12 and store.next_id("transactions") == 361
+    # A month is replaced: the files of the other months stay.
+    march = {f["path"] for f in store.files("transactions", since="2025-03-01", until="2025-03-31")}
+    gone = store.read("transactions", since="2025-03-01", until="2025-03-31").where("source = 'avanza'").count()
+    new = store.read("transactions", since="2025-03-01", until="2025-03-10").where("source = 'avanza'").drop("id", "source")
+    with store.transaction():
+        port._replace("transactions", new, "2025-03-01", "2025-03-31")
+    assert before - march <= paths() and not march & paths()
+    kept = store.read("transactions", since="2025-03-01", until="2025-03-10").where("source = 'avanza'").count()
+    assert store.read("transactions").count() == count - gone + kept and kept > 0
+    # A trade adds a file, a deletion rewrites the one file that holds the row, and readers open only a span's files.
+    before = paths()
+    port.add_transaction(date="2025-12-30", isin="I1", kind="buy", quantity=1, price=10)
+    assert before < paths() and len(paths() - before) == 1
+    before = paths()
+    assert port.delete_transaction(200) and not port.delete_transaction(200)
+    assert len(before - paths()) == 1 == len(paths() - before)
+    plan = store.read("transactions", since="2025-06-01", until="2025-06-30")
+    assert set(plan.inputFiles()) and all(any(f["path"] in x for f in store.files("transactions", since="2025-06-01", until="2025-06-30")) for x in plan.inputFiles()) and len(plan.inputFiles()) <= 2
+    # Compaction keeps the rows.
+    rows, files = sorted(map(str, store.read("transactions").collect())), len(paths())
+    assert store.compact("transactions", small=200) == files - len(paths()) > 5 and sorted(map(str, store.read("transactions").collect())) == rows
+    assert store.read("cash_flows").count() == 0 and store.next_id("cash_flows") == 1 and not store.delete("cash_flows", 1)
+
+
+def test_recompute_folds_only_what_is_asked_for(spark, make):
+    t = ledger.normalized(make.trades(*[(k, "2025-01-01", f"I{k}", "buy", 1, 1) for k in range(5)]))
+    plan = ledger.recompute_holdings(make.holdings({"id": 1, "isin": "I1"}), t, ["i1"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "I1" in plan[plan.index("MapInArrow") :]
+
+
+def test_exports_of_a_stream_are_taken_one_by_one(spark, tmp_path):
+    """Two exports of one span in one folder: the newer one counts, and holdings follow."""
+    import os
+
+    (tmp_path / "in").mkdir()
+    for name, text, at in (("b.csv", BODY, 1_000_000), ("a.csv", BODY.replace("12,5", "13,5"), 2_000_000)):
+        (tmp_path / "in" / name).write_text(HEAD + text)
+        os.utime(tmp_path / "in" / name, (at, at))
+    store, direct = Store(spark, str(tmp_path / "store")), Portfolio(Store(spark, str(tmp_path / "direct")))
+    q = ingest.into_store(ingest.export_files(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    for name in ("b.csv", "a.csv"):
+        direct.import_csv(str(tmp_path / "in" / name))
+    for table in ("transactions", "cash_flows", "holdings"):
+        got, want = (sorted(str(r.asDict() | {"id": 0}) for r in s.read(table).collect()) for s in (store, direct.store))
+        assert got == want and got
