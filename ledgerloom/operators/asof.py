@@ -47,3 +47,28 @@ def on_calendar(calendar: DataFrame, totals: DataFrame, *, on: str, amounts: lis
 
 def dense_days(first: Column, last: Column) -> Column:
     return F.explode(F.sequence(first, last, F.expr("interval 1 day")))
+
+
+def intervals(changes: DataFrame, *, by: list[str], on: str) -> DataFrame:
+    """changes with `until`: the date of the key's next row, from which this one is no longer in force; null for the last."""
+    return changes.withColumn("until", F.lead(on).over(W.partitionBy(*by).orderBy(on)))
+
+
+def interval_join(states: DataFrame, points: DataFrame, *, on: str, by: list[str] | None = None, width_days: int = 366) -> DataFrame:
+    """points with the columns of all states in force on their date: from `on` on, before `until` (null: still in force).
+
+    by: columns that both have and that must be equal. Both sides meet by ranges of width_days: a state is there once
+    for each range that it reaches into and that has points, so the work is that of the pairs in force and not of all pairs.
+    """
+    by = by or []
+    spot = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / width_days).cast("int")
+    dated = points.where(F.col(on).isNotNull()).withColumn("_spot", spot(F.col(on))).withColumnRenamed(on, "_at")
+    span = points.agg(F.min(on).alias("lo"), F.max(on).alias("hi")).first()
+    if span["lo"] is None:
+        return states.join(points.select(F.col(on).alias("_at"), *by, *[c for c in points.columns if c not in by + [on]]).limit(0), F.lit(True)).limit(0).drop("_at", "until")
+    lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
+    used = states.where((F.col(on) <= hi) & (F.col("until").isNull() | (F.col("until") > lo)))
+    last = F.least(hi, F.coalesce(F.date_sub("until", 1), hi))
+    spread = used.withColumn("_spot", F.explode(F.sequence(spot(F.greatest(lo, F.col(on))), spot(last)))).withColumnRenamed(on, "_from")
+    met = spread.join(dated, [*by, "_spot"]).where((F.col("_from") <= F.col("_at")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
+    return met.withColumn(on, F.col("_at")).drop("_spot", "_at", "_from", "until")

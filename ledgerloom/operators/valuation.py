@@ -71,3 +71,13 @@ def allocation_report(valued: DataFrame, sleeves: DataFrame) -> DataFrame:
     loose = unassigned(valued).join(lists.where("sleeve_id is null").select("holdings"), F.lit(True), "left")
     loose = loose.select(*[(F.coalesce("holdings", none) if c == "holdings" else F.col(c) if c in ("current_value", "current_weight", "n_holdings") else F.lit(None).cast(t)).alias(c) for c, t in report.dtypes])
     return report.unionByName(loose)
+
+
+def subtotals(valued: DataFrame, *dimensions: str) -> DataFrame:
+    """Value, cost and number of holdings for every combination of the dimensions, in one pass.
+
+    A dimension that is summed over is null and has its bit set in `summed` (the first dimension the highest), which tells it
+    from holdings where the dimension is null.
+    """
+    sums = valued.cube(*dimensions).agg(F.grouping_id().alias("summed"), F.sum("market_value").alias("market_value"), F.sum("cost_basis").alias("cost_basis"), F.count(F.lit(1)).alias("n_holdings"))
+    return sums.select(*dimensions, "summed", "market_value", "cost_basis", "n_holdings")

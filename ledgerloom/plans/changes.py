@@ -12,7 +12,7 @@ from ledgerloom.functions import exprs as X
 from ledgerloom.operators import ledger, mutate, valuation
 from ledgerloom.plans import oracles, risk
 from ledgerloom.plans.oracles import query, units
-from ledgerloom.plans.queries import MID, _book, _reconstructed, _series, _stored, _trades, _valued, folder, num, q, register, sq
+from ledgerloom.plans.queries import MID, _book, _reconstructed, _series, _stored, _trades, _valued, cost, folder, num, q, register, scost, sq
 from ledgerloom.schemas import Config
 from ledgerloom.sources import broker_csv, fixtures, price_lake, rates
 from ledgerloom.sources.fixtures import CFG
@@ -80,13 +80,15 @@ def upsert_and_delete_holding(spark, d):
     return h.select("id", "symbol", "isin", "sleeve_id", *num("quantity", "last_price"), "price_source")
 
 
-@register("SELECT 1.5::DOUBLE AS leverage_target, 9.5::DOUBLE AS fx_usd_sek, 10.87::DOUBLE AS fx_eur_sek, CAST(NULL AS VARCHAR) AS notes, 0.25::DOUBLE AS belaningsgrad_cliff")
+@register("SELECT 1.0::DOUBLE + (SELECT count(*) FROM region) / 10.0::DOUBLE AS leverage_target, 8.0::DOUBLE + (SELECT count(*) FROM nation) / 100.0::DOUBLE AS fx_usd_sek, 10.87::DOUBLE AS fx_eur_sek, CAST(NULL AS VARCHAR) AS notes, 0.25::DOUBLE AS belaningsgrad_cliff, (SELECT min(r_name) FROM region) AS account_label")
 def update_config(spark, d):
-    """Known settings change; None and unknown names are ignored. Stored and read back."""
+    """Known settings, taken from the tables, change; None and unknown names are ignored. Stored and read back."""
+    regions, nations = fixtures.table(spark, d, "region"), fixtures.table(spark, d, "nation").count()
+    r = regions.agg(F.count(F.lit(1)).alias("n"), F.min("r_name").alias("name")).first()
     port = Portfolio(Store(spark, folder(spark, "config")))
-    port.update_config(leverage_target=1.5, fx_usd_sek=Decimal("9.5"), notes=None, no_such_setting=3)
+    port.update_config(leverage_target=1.0 + r["n"] / 10.0, fx_usd_sek=Decimal(8) + Decimal(nations) / 100, notes=None, no_such_setting=3, account_label=r["name"])
     c = port.config()
-    return spark.createDataFrame([(c.leverage_target, c.fx_usd_sek, c.fx_eur_sek, c.notes, c.belaningsgrad_cliff)], "leverage_target double, fx_usd_sek double, fx_eur_sek double, notes string, belaningsgrad_cliff double")
+    return spark.createDataFrame([(c.leverage_target, float(c.fx_usd_sek), c.fx_eur_sek, c.notes, c.belaningsgrad_cliff, c.account_label)], "leverage_target double, fx_usd_sek double, fx_eur_sek double, notes string, belaningsgrad_cliff double, account_label string")
 
 
 @register(oracles.nav(f"""SELECT DATE '1999-06-20' AS as_of, 1500000000 AS equity, {sq('(150000.0::DOUBLE - equity - 10.0::DOUBLE) / equity', 'twr_period', 5)}, {sq('nav_index * (1.0::DOUBLE + (150000.0::DOUBLE - equity - 10.0::DOUBLE) / equity)', 'nav_index', 4)}, {sq('200000.0::DOUBLE / 150000.0::DOUBLE', 'effective_leverage', 6)}, {sq('50000.0::DOUBLE / 200000.0::DOUBLE', 'belaningsgrad', 6)}, 'by hand' AS notes, k.n + 1 AS rows
@@ -165,14 +167,17 @@ def fake_fetch(json_works: bool, xml_works: bool) -> rates.Fetch:
     return fetch
 
 
-@register("SELECT * FROM (VALUES ('json', true, 10.25::DOUBLE, 11.5::DOUBLE, '2026-03-03', 'riksbank'), ('xml', true, 9.0::DOUBLE, 11.25::DOUBLE, '2026-03-04', 'ecb'), ('none', false, 9.34::DOUBLE, 10.87::DOUBLE, NULL, NULL)) v(which, ok, usd_sek, eur_sek, as_of, source)")
+@register("""SELECT date, n % 3 <> 0 OR n % 2 = 0 AS ok, CASE WHEN n % 3 <> 0 OR n % 2 = 0 THEN CAST(round((8 + n / 64.0::DOUBLE) * 1000000) AS BIGINT) ELSE 9340000 END AS usd_sek, CASE WHEN n % 3 <> 0 OR n % 2 = 0 THEN CAST(round((10 + n / 64.0::DOUBLE) * 1000000) AS BIGINT) ELSE 10870000 END AS eur_sek,
+  CASE WHEN n % 3 <> 0 THEN 'riksbank' WHEN n % 2 = 0 THEN 'ecb' END AS source, CASE WHEN n % 3 <> 0 OR n % 2 = 0 THEN date END AS as_of FROM (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1)""")
 def refresh_fx(spark, d):
-    """Rates from the first source that answers; with none, the stored ones stay and nothing is raised."""
-    rows = []
-    for which, fetch in (("json", fake_fetch(True, True)), ("xml", fake_fetch(False, True)), ("none", fake_fetch(False, False))):
-        _, r = rates.refresh_fx(Config(), fetch)
-        rows.append((which, r["ok"], r["usd_sek"], r["eur_sek"], r["as_of"], r["source"]))
-    return spark.createDataFrame(rows, "which string, ok boolean, usd_sek double, eur_sek double, as_of string, source string")
+    """Each order day's rate documents, some of them malformed: rates from the first source that can be read, else the stored ones."""
+    days = fixtures.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    usd, eur, cfg = F.lit(8.0) + F.col("n") / 64.0, F.lit(10.0) + F.col("n") / 64.0, Config()
+    answer = lambda v: F.when(F.col("n") % 3 != 0, F.to_json(F.struct(F.col("date").cast("string").alias("date"), v.alias("value")))).otherwise("<html>busy</html>")
+    xml = F.format_string('<e:Envelope xmlns:e="x" xmlns="y"><Cube><Cube time="%s"><Cube currency="USD" rate="%s"/><Cube currency="SEK" rate="%s"/></Cube></Cube></e:Envelope>', F.col("date").cast("string"), (eur / usd).cast("string"), eur.cast("string"))
+    docs = days.select("date", answer(usd).alias("usd"), answer(eur.cast("string")).alias("eur"), F.when(F.col("n") % 2 == 0, xml).otherwise("<Cube").alias("xml"))
+    r = docs.select("date", rates.parsed_rates(F.col("usd"), F.col("eur"), F.col("xml")).alias("r")).select("date", F.col("r").isNotNull().alias("ok"), F.coalesce("r.usd_sek", F.lit(float(cfg.fx_usd_sek))).alias("usd_sek"), F.coalesce("r.eur_sek", F.lit(float(cfg.fx_eur_sek))).alias("eur_sek"), F.col("r.source").alias("source"), F.col("r.as_of").cast("date").alias("as_of"))
+    return r.select("date", "ok", q("usd_sek", 6), q("eur_sek", 6), "source", "as_of")
 
 
 EXPORT = """﻿Datum;Konto;Typ av transaktion;Värdepapper/beskrivning;Antal;Kurs;Belopp;Transaktionsvaluta;Courtage;Valutakurs;Instrumentvaluta;ISIN;Resultat
@@ -192,17 +197,32 @@ def _export(spark: SparkSession) -> str:
     return path
 
 
-@register("""SELECT * FROM (VALUES ('A1', 150.0::DOUBLE, 60.0::DOUBLE, 9000.0::DOUBLE, 'Aye', 'SEK', DATE '2026-01-10'), ('B2', 10.0::DOUBLE, 20.0::DOUBLE, 1868.0::DOUBLE, 'Bee', 'USD', DATE '2026-01-12')) v(isin, quantity, avg_price, cost_sek, name, currency, acquired_at)""")
+#: What the export of the tables holds: avanza's trades that are their instrument's one trade of the day, and its flows.
+ALONE = {"trades": f"SELECT * FROM ({oracles.CTES['trades']}) WHERE source = 'avanza' QUALIFY count(*) OVER (PARTITION BY isin, date) = 1"}
+
+
+def _own_export(spark: SparkSession, d: str) -> str:
+    """The export of the tables, as files of text."""
+    path = folder(spark, "export")
+    fixtures.csv_rows(spark, d, alone=True).write.csv(path, sep=";", header=True, encoding="UTF-8", quote='"', escape='"')
+    return path
+
+
+@register(query(f"SELECT isin, quantity, {sq('avg_price', 'avg_price', 6)}, {scost('cost_sek', 'cost_sek')}, name, currency, acquired_at FROM positions", "positions", extra=ALONE))
 def preview_import(spark, d):
-    """What an export alone would make; nothing is stored."""
-    port = Portfolio(Store(spark, folder(spark, "preview")))
-    return port.preview_import(_export(spark))["positions"].select("isin", *num("quantity", "avg_price", "cost_sek"), "name", "currency", "acquired_at")
+    """The positions that an export alone would make; nothing is stored."""
+    store = Store(spark, folder(spark, "preview"))
+    out = Portfolio(store).preview_import(_own_export(spark, d))["positions"]
+    return out.select("isin", *num("quantity"), q("avg_price", 6), cost("cost_sek"), "name", "currency", "acquired_at")
 
 
-@register("SELECT 8 AS rows, 4 AS n_trades, 2 AS n_flows, '2026-01-05' AS date_min, '2026-03-22' AS date_max, 100000.0::DOUBLE AS deposits_total, 98000.0::DOUBLE AS flow_net")
+@register(query("""SELECT t.n + f.n AS rows, t.n AS n_trades, f.n AS n_flows, CAST(least(t.lo, f.lo) AS VARCHAR) AS date_min, CAST(greatest(t.hi, f.hi) AS VARCHAR) AS date_max, f.deposits AS deposits_cents, f.net AS net_cents FROM (SELECT count(*) AS n, min(date) AS lo, max(date) AS hi FROM trades) t,
+  (SELECT count(*) AS n, min(date) AS lo, max(date) AS hi, CAST(sum(c) FILTER (kind = 'deposit') AS BIGINT) AS deposits, CAST(sum(c) AS BIGINT) AS net FROM (SELECT *, CAST(floor(amount_sek * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS c FROM flows WHERE source = 'avanza')) f""", "trades", "flows", extra=ALONE))
 def preview_summary(spark, d):
-    s = broker_csv.parse(broker_csv.read(spark, _export(spark))).summary
-    return s.select("rows", "n_trades", "n_flows", "date_min", "date_max", *num("deposits_total", "flow_net"))
+    """What an export of the tables holds, read from its files."""
+    s = Portfolio(Store(spark, folder(spark, "preview"))).preview_import(_own_export(spark, d))["summary"]
+    cents = lambda x: int(Decimal(str(x)).scaleb(2).to_integral_value())
+    return spark.createDataFrame([(s["rows"], s["n_trades"], s["n_flows"], s["date_min"], s["date_max"], cents(s["deposits_total"]), cents(s["flow_net"]))], "rows bigint, n_trades bigint, n_flows bigint, date_min string, date_max string, deposits_cents bigint, net_cents bigint")
 
 
 @register(query("SELECT ticker, close, date FROM closes WHERE date = (SELECT max(date) FROM closes)", "closes"))

@@ -495,7 +495,7 @@ def list_cash_flows(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.plans import changes  # noqa: F401  (registers its own)
+    from ledgerloom.plans import changes, extras  # noqa: F401  (they register their own)
 
     return dict(_QUERIES)
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from datetime import date
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import Config
@@ -50,6 +50,23 @@ def fetch_rates(fetch: Fetch = http_get) -> dict[str, Any] | None:
     return from_json(fetch) or from_xml(fetch)
 
 
+def parsed_rates(json_usd: Column, json_eur: Column, xml: Column) -> Column:
+    """struct(usd_sek, eur_sek, as_of, source) from one day's documents, as expressions: what fetch_rates gives for the same bodies.
+
+    The JSON answers count if both have a value, else the XML if it has both rates; null if neither can be read. Malformed
+    bodies are no error.
+    """
+    number = lambda c: c.try_cast("double")
+    one = [F.from_json(c, "date string, value string") for c in (json_usd, json_eur)]
+    day = F.coalesce(one[1]["date"], one[0]["date"])
+    first = F.when(F.nvl2(number(one[0]["value"]), number(one[1]["value"]), F.lit(None)).isNotNull(), F.struct(number(one[0]["value"]).alias("usd_sek"), number(one[1]["value"]).alias("eur_sek"), day.alias("as_of"), F.lit("riksbank").alias("source")))
+    cubes = F.from_xml(xml, "Cube struct<Cube: struct<_time: string, Cube: array<struct<_currency: string, _rate: string>>>>", {"ignoreNamespace": "true"})["Cube"]["Cube"]
+    rate = lambda c: number(F.element_at(F.map_from_entries(F.filter(cubes["Cube"], lambda x: x["_currency"] == c)), F.lit(c)))
+    usd, eur = rate("SEK") / rate("USD"), rate("SEK")
+    second = F.when(usd.isNotNull(), F.struct(usd.alias("usd_sek"), eur.alias("eur_sek"), cubes["_time"].alias("as_of"), F.lit("ecb").alias("source")))
+    return F.coalesce(first, second)
+
+
 def refresh_fx(cfg: Config, fetch: Fetch = http_get) -> tuple[Config, dict[str, Any]]:
     """(config with the newest rates, report). On failure the rates stay, and the report says so; nothing is raised."""
     got = fetch_rates(fetch)
