@@ -1,8 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
 Each rule is a Boolean expression that is true for a document to reject. On a sample, every rule's cost
-(seconds over reading the sample and making what all rules share: the median of several runs after one that
-compiles) and selectivity (share it rejects) are measured; rules then run in descending order of rejection
+(seconds on the JVM's clock, read before and after the rule on each row) and selectivity (share it rejects) are measured in one job; rules then run in descending order of rejection
 per cost, and a document that one rule rejects is not shown to the next. Costs are those given what is
 computed in any case: where a count is a column of the result, its rule costs a comparison. The order
 changes only the work, never the verdict: a document is kept if no rule rejects it.
@@ -12,9 +11,8 @@ Everything is row by row inside one scan: no shuffle, no Python, memory of one d
 
 from __future__ import annotations
 
-import time
+import math
 from dataclasses import dataclass
-from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,41 +130,39 @@ def word_char_mean(word_list: Column) -> Column:
     return F.when(F.size(word_list) > 0, F.length(F.array_join(word_list, "")) / F.size(word_list))
 
 
-def measure(docs: DataFrame, rules: list[Rule], *, sample_rows: int = 1000, seed: int = 11, prepare=None, runs: int = 3) -> list[Measured]:
+def measure(docs: DataFrame, rules: list[Rule], *, sample_rows: int = 1000, seed: int = 11, prepare=None, times: int = 3) -> list[Measured]:
     """Each rule's cost and selectivity on a sample of about sample_rows rows drawn over the whole table.
 
-    The bound sets only what the order of the rules is estimated from. prepare: adds the columns the rules read;
-    making them is part of the baseline that is subtracted. The first run of each, which compiles, is not counted.
+    The bound sets only what the order of the rules is estimated from. prepare: adds the columns the rules read; they
+    are stored with the sample, so making them is no rule's cost. One job evaluates every rule `times` times on each row between two
+    readings of the JVM's clock and takes the least, which leaves out pauses; what the readings themselves take is
+    subtracted. It runs twice, as the first run compiles.
     """
     rows = docs.count()
     if not rows:
         return [Measured(r.name, 0.0, 0.0) for r in rules]
-    sample = materialize(docs.sample(min(1.0, sample_rows / rows), seed=seed), "quality-sample")
-    sample = prepare(sample) if prepare else sample
-    n = max(1, sample.count())
-
-    shared = [F.max(F.hash(F.col(f"`{c}`"))) for c in sample.columns]
-
-    def timed(*expr: Column) -> tuple[float, float]:
-        took = []
-        for _ in range(runs + 1):
-            began = time.monotonic()
-            got = sample.agg(F.count(F.lit(1)), *shared, *expr).first()
-            took.append(time.monotonic() - began)
-        return median(took[1:]), float(got[-1] or 0)
-
-    bare, _ = timed()
-    out = []
-    for r in rules:
-        seconds, rejected = timed(F.sum(F.coalesce(r.rejects, F.lit(False)).cast("int")))
-        out.append(Measured(r.name, max(0.0, seconds - bare), rejected / n))
-    return out
+    drawn = docs.sample(min(1.0, sample_rows / rows), seed=seed).repartition(min(16, docs.sparkSession.sparkContext.defaultParallelism))
+    sample = materialize(prepare(drawn) if prepare else drawn, "quality-sample")
+    clock = F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+    def timed(rejects: Column) -> Column:
+        # An element at a time, in the order of the fields; nothing in a lambda is shared between rules or runs.
+        return F.transform(F.sequence(F.lit(1), F.lit(times)), lambda _: F.struct(clock.alias("began"), F.coalesce(rejects, F.lit(False)).alias("rejects"), clock.alias("ended")))
+
+    tried = sample.select(timed(F.lit(False)).alias("r0"), *[timed(r.rejects).alias(f"r{k}") for k, r in enumerate(rules, 1)])
+    least = [F.sum(F.array_min(F.transform(f"r{k}", lambda t: t["ended"] - t["began"]))) for k in range(len(rules) + 1)]
+    told = tried.agg(F.count(F.lit(1)), *least, *[F.sum(F.col(f"r{k}")[0]["rejects"].cast("int")) for k in range(1, len(rules) + 1)])
+    told.first()
+    n, bare, *rest = told.first()
+    nanos, rejected = rest[: len(rules)], rest[len(rules) :]
+    return [Measured(r.name, max(0, (t or 0) - (bare or 0)) / 1e9, (x or 0) / max(1, n)) for r, t, x in zip(rules, nanos, rejected, strict=True)]
 
 
 def ordered(rules: list[Rule], measured: list[Measured]) -> list[Rule]:
-    """Highest rejection per cost first; cheaper first among rules that reject nothing, then by name."""
-    by = {m.name: m for m in measured}
-    return sorted(rules, key=lambda r: (-by[r.name].gain, by[r.name].seconds, r.name))
+    """Highest rejection per cost first; cheaper first among rules that reject nothing. What differs by less than a factor of about two is
+    as good as equal and ordered by name, so that small changes of the clock do not change the order."""
+    by, step = {m.name: m for m in measured}, lambda x: round(math.log2(max(x, 1e-9)))
+    return sorted(rules, key=lambda r: (-step(by[r.name].gain), step(by[r.name].seconds), r.name))
 
 
 def verdict(rules: list[Rule]) -> Column:

@@ -173,6 +173,20 @@ def test_a_slow_rule_is_measured_as_slow(spark):
     assert [r.name for r in quality.ordered(rules, m)] == ["useful", "fast", "slow"]
 
 
+def test_two_measurements_give_one_order(spark):
+    texts = [prose(int(n)) + (" ###" * 300 if k % 9 == 0 else "") + (" !!" * 200 if k % 7 == 0 else "") + ("\n" + "a b c d e f g " * 60 if k % 5 == 0 else "") for k, n in enumerate(rng.integers(100, 900, 600))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    prepare = lambda d: d.withColumn("w", quality.words(F.col("text")))
+    rules = quality.default_rules(F.col("text"), F.col("w"))
+    both = [quality.measure(df, rules, prepare=prepare) for _ in range(2)]
+    some = [r for r, m in zip(rules, both[0], strict=True) if m.rejected > 0.01]
+    assert len(some) >= 3 and all(m.seconds > 0 for ms in both for m in ms)
+    first, second = ([r.name for r in quality.ordered(some, m)] for m in both)
+    assert first == second or sum(a != b for a, b in zip(first, second, strict=True)) == 2  # two whose gains lie at the edge of a step
+    costs = [{m.name: m.seconds for m in ms} for ms in both]
+    assert all(c["repeated_windows"] > 3 * c["few_words"] for c in costs)
+
+
 # --- 3 ---
 
 
