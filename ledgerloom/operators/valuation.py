@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
@@ -42,35 +43,53 @@ def holding_weights(valued: DataFrame) -> DataFrame:
     return valued.crossJoin(total).withColumn("weight", _weight(F.col("market_value"), F.col("gross"))).drop("gross")
 
 
+def _by_sleeve(valued: DataFrame, *more: Column) -> DataFrame:
+    """A row a sleeve, and one for holdings without: current_value, n_holdings, gross (of all) and more sums. One pass over the holdings."""
+    sums = valued.groupBy("sleeve_id").agg(F.sum("market_value").alias("current_value"), F.count(F.lit(1)).alias("n_holdings"), *more)
+    return sums.withColumn("gross", F.sum("current_value").over(W.partitionBy()))  # few rows: the sleeves
+
+
+def _sleeve_rows(by_sleeve: DataFrame, sleeves: DataFrame, *more: str) -> DataFrame:
+    # The total is needed for sleeves without holdings too: it stands in every row, so any has it.
+    total = F.broadcast(by_sleeve.agg(F.coalesce(F.max("gross"), F.lit(0)).alias("gross")))
+    rows = sleeves.join(by_sleeve.drop("gross").where("sleeve_id is not null"), sleeves["id"] == F.col("sleeve_id"), "left").crossJoin(total)  # one row
+    current, target = F.coalesce("current_value", F.lit(0)), F.col("target_weight").cast("double")
+    weight = _weight(current, F.col("gross"))
+    delta = X.to_units(target * X.from_units(F.col("gross"))) - current
+    return rows.select("id", "code", "name", "kind", target.alias("target_weight"), current.alias("current_value"), weight.alias("current_weight"), (weight - target).alias("drift"), delta.alias("rebalance_delta"), F.coalesce("n_holdings", F.lit(0)).alias("n_holdings"), "sort_order", *more)
+
+
 def allocation(valued: DataFrame, sleeves: DataFrame) -> DataFrame:
     """A row per sleeve, in (sort_order, code): current value and weight, drift, and what to buy to reach target.
 
     Sleeves without holdings are kept.
     """
-    sums = valued.where("sleeve_id is not null").groupBy("sleeve_id").agg(F.sum("market_value").alias("current_value"), F.count(F.lit(1)).alias("n_holdings"))
-    rows = sleeves.join(sums, sleeves["id"] == sums["sleeve_id"], "left").crossJoin(F.broadcast(total_gross(valued)))
-    current, target = F.coalesce("current_value", F.lit(0)), F.col("target_weight").cast("double")
-    weight = _weight(current, F.col("gross"))
-    delta = X.to_units(target * X.from_units(F.col("gross"))) - current
-    return rows.select("id", "code", "name", "kind", target.alias("target_weight"), current.alias("current_value"), weight.alias("current_weight"), (weight - target).alias("drift"), delta.alias("rebalance_delta"), F.coalesce("n_holdings", F.lit(0)).alias("n_holdings"), "sort_order").orderBy("sort_order", "code")
+    return _sleeve_rows(_by_sleeve(valued), sleeves).orderBy("sort_order", "code")
 
 
 def unassigned(valued: DataFrame) -> DataFrame:
     """One row: value, weight and number of holdings without a sleeve."""
-    one = valued.where("sleeve_id is null").agg(F.coalesce(F.sum("market_value"), F.lit(0)).alias("current_value"), F.count(F.lit(1)).alias("n_holdings"))
-    return one.crossJoin(F.broadcast(total_gross(valued))).select("current_value", _weight(F.col("current_value"), F.col("gross")).alias("current_weight"), "n_holdings")
+    return _loose(_by_sleeve(valued))
+
+
+def _loose(by_sleeve: DataFrame, *more: Column) -> DataFrame:
+    none = F.col("sleeve_id").isNull()
+    pick = lambda c: F.coalesce(F.max(F.when(none, F.col(c))), F.lit(0)).alias(c)
+    one = by_sleeve.agg(pick("current_value"), F.max("gross").alias("gross"), pick("n_holdings"), *more)
+    return one.select("current_value", _weight(F.col("current_value"), F.coalesce("gross", F.lit(0))).alias("current_weight"), "n_holdings", *one.columns[3:])
 
 
 def allocation_report(valued: DataFrame, sleeves: DataFrame) -> DataFrame:
     """The nested form: each sleeve, and last the unassigned, with its holdings in order of symbol."""
-    fields = ["symbol", "id", "name", "isin", "asset_class", "currency", "quantity", "avg_price", "last_price", "last_price_date", "price_label", "acquired_at", "market_value", "cost_basis", "unrealized_pnl", "weight"]
-    lists = holding_weights(valued).groupBy("sleeve_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("holdings"))
-    kind = lists.schema["holdings"].dataType
-    none = F.array().cast(kind)
-    report = allocation(valued, sleeves).join(lists, F.col("id") == F.col("sleeve_id"), "left").withColumn("holdings", F.coalesce("holdings", none)).drop("sleeve_id")
-    loose = unassigned(valued).join(lists.where("sleeve_id is null").select("holdings"), F.lit(True), "left")
-    loose = loose.select(*[(F.coalesce("holdings", none) if c == "holdings" else F.col(c) if c in ("current_value", "current_weight", "n_holdings") else F.lit(None).cast(t)).alias(c) for c, t in report.dtypes])
-    return report.unionByName(loose)
+    fields = ["symbol", "id", "name", "isin", "asset_class", "currency", "quantity", "avg_price", "last_price", "last_price_date", "price_label", "acquired_at", "market_value", "cost_basis", "unrealized_pnl"]
+    by_sleeve = _by_sleeve(valued, F.array_sort(F.collect_list(F.struct(*fields))).alias("some"))
+    weighed = F.transform("some", lambda h: F.struct(*[h[c].alias(c) for c in fields], _weight(h["market_value"], F.col("gross")).alias("weight")))
+    by_sleeve = by_sleeve.withColumn("holdings", weighed).drop("some")
+    none = F.array().cast(by_sleeve.schema["holdings"].dataType)
+    report = _sleeve_rows(by_sleeve, sleeves, "holdings").withColumn("holdings", F.coalesce("holdings", none))
+    loose = _loose(by_sleeve, F.coalesce(F.first(F.when(F.col("sleeve_id").isNull(), F.col("holdings")), ignorenulls=True), none).alias("holdings"))
+    loose = loose.select(*[(F.col(c) if c in loose.columns else F.lit(None).cast(t)).alias(c) for c, t in report.dtypes])
+    return report.orderBy("sort_order", "code").unionByName(loose)
 
 
 def subtotals(valued: DataFrame, *dimensions: str) -> DataFrame:

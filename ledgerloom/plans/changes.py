@@ -314,10 +314,30 @@ ANSWERS = [
 ]
 
 
-@register("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{what}', '{result}')" for k, (what, result) in enumerate(ANSWERS)) + ") v(step, what, result)")
+@register(query("""SELECT step, what, result FROM (SELECT n.n, m.n AS m, o.n AS o, days, lo, hi FROM (SELECT count(*) AS n, count(DISTINCT date) AS days, min(date) AS lo, max(date) AS hi FROM trades) n, (SELECT count(*) AS n FROM flows WHERE source = 'avanza') m, (SELECT count(*) AS n FROM positions) o) x,
+  LATERAL (VALUES (1, 'import', concat_ws(' ', x.n, x.m, x.o)), (2, 'import', concat_ws(' ', x.n, x.m, x.o)), (3, 'stored', concat_ws(' ', x.n, x.m)), (4, 'days', concat_ws(' ', days, lo, hi)), (5, 'trade added', CAST(x.n + 1 AS VARCHAR)), (6, 'trade deleted', concat_ws(' ', 'True', 'False', x.n)),
+  (7, 'flow added', CAST(x.m + 1 AS VARCHAR)), (8, 'flow deleted', concat_ws(' ', 'True', 'False', x.m)), (9, 'open', CAST(x.o AS VARCHAR))) v(step, what, result)""", "trades", "flows", "positions", extra=ALONE))
 def service_session(spark: SparkSession, d: str) -> DataFrame:
-    """Every operation of the service on a store of its own, and what it answers."""
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(session(spark))], "step bigint, what string, result string")
+    """The service's operations on a store made from the tables' export: imported twice, changed and changed back, and what it answers."""
+    port, out = Portfolio(Store(spark, folder(spark, "service"))), []
+    say = lambda what, *r: out.append((len(out) + 1, what, " ".join(map(str, r))))
+    path = _own_export(spark, d)
+    for _ in range(2):
+        r = port.import_csv(path)
+        say("import", r["n_trades"], r["n_flows"], r["open_holdings"])
+    say("stored", port.transactions().count(), port.cash_flows().count())
+    days = port.trading_days().agg(F.count(F.lit(1)), F.min("date"), F.max("date")).first()
+    say("days", *days)
+    port.add_transaction(date="2002-01-01", isin="xx0000000003", kind="buy", quantity=5, price=10.5)
+    say("trade added", port.transactions().count())
+    last = port.transactions(limit=1, newest_first=True).first()["id"]
+    say("trade deleted", port.delete_transaction(last), port.delete_transaction(last), port.transactions().count())
+    port.add_cash_flow(date="2002-01-01", kind="withdrawal", amount_sek=500)
+    say("flow added", port.cash_flows().count())
+    flow = port.cash_flows(1, newest_first=True).first()["id"]
+    say("flow deleted", port.delete_cash_flow(flow), port.delete_cash_flow(flow), port.cash_flows().count())
+    say("open", port.holdings().where("quantity > 0").count())
+    return spark.createDataFrame(out, "step bigint, what string, result string")
 
 
 # --- display -----------------------------------------------------------------------------------------
