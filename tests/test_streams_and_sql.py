@@ -82,4 +82,4 @@ def test_a_ledger_goes_through_a_database(spark, make, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         database.replace(t.withColumn("price", F.raise_error(F.lit("lost")).cast("decimal(20,8)")), url, "LEDGER", types=types)
     assert database.read(spark, url, "LEDGER").count() == t.count()
-    assert database.read(spark, url, "(SELECT * FROM LEDGER WHERE 1 = 0) AS none", split_by="id").count() == 0
+    assert database.read(spark, url, "(SELECT * FROM LEDGER WHERE 1 = 0) AS nothing", split_by="id").count() == 0
