@@ -24,6 +24,8 @@ from ledgerloom.llm.common import materialize
 
 OTHER = "*other*"
 DIMENSIONS = ("source", "lang", "topic")
+#: Rounds of raking, and how far off a marginal may be: the same for cells on the driver and for a table of them.
+ROUNDS, TOLERANCE = 200, 1e-9
 
 
 def topic(text: Column) -> Column:
@@ -50,7 +52,7 @@ def tempered(marginal: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / whole for k, v in raised.items()}
 
 
-def rake_cells(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], *, rounds: int = 1000, tolerance: float = 1e-9) -> np.ndarray:
+def rake_cells(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], *, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights of cells, given as a code on each axis and tokens, with tokens * weights meeting every marginal.
 
     targets: shares by code. A target share of categories that hold no tokens cannot be met; it is dealt to the
@@ -89,7 +91,7 @@ def _known(column: Column, names: list[str]) -> Column:
     return F.when(column.isin(names), column).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
 
 
-def _rake_table(cells: DataFrame, keys: list[str], power: float, full: float, *, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+def _rake_table(cells: DataFrame, keys: list[str], power: float, full: float, *, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """As rake and the probabilities in calibrate, to tempered own marginals, on (keys, tokens) that need not fit the driver."""
     whole = float(cells.agg(F.sum("tokens")).first()[0])
     now = materialize(cells.withColumn("fitted", F.col("tokens") / whole), "mixing-raked")

@@ -41,3 +41,21 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> Da
     known = told.where("_hot").select(*rows.columns, *values)
     rest = told.where("_hot is null").select(*rows.columns).join(table.where(~hot), keys)
     return known.unionByName(rest.select(*rows.columns, *values))
+
+
+def spread(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, count: str) -> DataFrame:
+    """As attach, where the table's rows may be large: none of them is broadcast.
+
+    counts: a stored table of keys and, in the column `count`, their rows. The rows of a hot key are dealt to as
+    many pieces as it has HOT-ths of all rows, and its row of the table is copied to each. Only the hot keys and
+    their numbers of pieces are broadcast (at most HOT rows); copies are at most HOT more than the keys.
+    """
+    total = counts.agg(F.sum(count)).first()[0]
+    if not total:
+        return rows.join(table, keys)
+    pieces = F.least(F.ceil(F.col(count) * HOT / F.lit(total)), F.col(count)).cast("int")
+    hot = F.broadcast(counts.where(F.col(count) * HOT > F.lit(total)).select(*keys, pieces.alias("_ld_pieces")))
+    at = F.pmod(F.monotonically_increasing_id(), F.coalesce("_ld_pieces", F.lit(1))).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn("_ld_piece", at).drop("_ld_pieces")
+    copies = table.join(hot, keys, "left").withColumn("_ld_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_ld_pieces", F.lit(1)) - 1))).drop("_ld_pieces")
+    return dealt.join(copies, [*keys, "_ld_piece"]).drop("_ld_piece")

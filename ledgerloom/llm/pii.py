@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize
+from ledgerloom.llm.names import spread
 from ledgerloom.llm.quality import bound
 
 #: First names by script and gender, and last names by script: what names are told by and surrogates are made of.
@@ -29,6 +30,11 @@ LAST = {
     "latin": ["Keller", "Moreau", "Garcia", "Fischer", "Bennett", "Dubois", "Navarro", "Hoffman", "Sullivan", "Lambert", "Vargas", "Brandt", "Whitaker", "Fontaine", "Castillo", "Lindner"],
     "cyrillic": ["Коваленко", "Шевченко", "Бондаренко", "Ткаченко", "Мельник", "Гончар", "Савченко", "Руденко"],
 }
+#: What longer family names are made of, one for each hex digit.
+SYLLABLES = {
+    "latin": ["ba", "den", "ko", "lin", "mar", "no", "ral", "sen", "ti", "ver", "wick", "dor", "fel", "gar", "hol", "mi"],
+    "cyrillic": ["ба", "ден", "ко", "лин", "мар", "но", "рал", "сен", "ти", "вер", "вик", "дор", "фел", "гар", "хол", "ми"],
+}
 #: Family names that stand before the given name.
 LEADING = ["Wang", "Zhang", "Liu", "Chen", "Yang", "Huang", "Zhao", "Zhou", "Nguyen", "Tanaka", "Suzuki", "Sato"]
 #: What stands before a name that no list knows.
@@ -41,6 +47,12 @@ _GIVEN = [n for names in FIRST.values() for n in names] + LEADING
 _TAILS = "|".join(sorted({n[1:] for n in _GIVEN}))
 _INITIALS = "".join(sorted({n[0] for n in _GIVEN}))
 _TITLE_BEGINS, _TITLE_ENDS = ("".join(sorted({t[k] for t in TITLES})) for k in (0, -1))
+#: What stands right before a number or a name that its form does not give away.
+CUES = {
+    "phone": r"(?i:tel|phone|phone number|telephone|mobile|cell|fax|call|telefon|mobil|téléphone|teléfono)",
+    "ssn": r"(?i:ssn|social security|social security number|social security no\.)",
+    "name": r"(?:[Nn]ame|NAME|[Nn]ame is|[Ss]igned|[Ss]igned by|[Cc]ontact|[Aa]ttn|[Nn]om|[Nn]ombre)",
+}
 _PARTICLES = "von|van|de|der|den|la|da|di|del|bin|al"
 _WORD = r"\p{Lu}[\p{L}'\-]+"
 #: The rest of a phone number after its area code: in one piece, in two groups, or in groups of two digits.
@@ -52,17 +64,21 @@ DETECTORS = {
     "secret": r"(?<![0-9A-Za-z_\-])(?=[0-9A-Za-z_\-]{12})(?=[_\-]*[0-9A-Za-z])(?<=[=:\s\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[0-9A-Za-z_\-]{12,}+",
     "key": r"(?=AKIA)(?<![0-9A-Za-z])AKIA[0-9A-Z]{12,20}+(?![0-9A-Za-z])",
     "phone": r"(?=[+(0])(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}"
-    rf"|\+\d{{1,3}}[ .\-]\(?\d{{1,4}}\)?(?:[ .\-]\d{{2,4}}){{3,5}}|\(\d{{2,5}}\) ?{_REST}|(?<![.,\-])0\d{{1,4}}[ /]{_REST})(?!\d)",
+    rf"|\+\d{{1,3}}[ .\-]\(?\d{{1,4}}\)?(?:[ .\-]\d{{2,4}}){{3,5}}|\(\d{{2,5}}\) ?{_REST}|(?<![.,\-])0\d{{1,4}}[ /]{_REST})(?!\d)"
+    rf"|(?=[2-9]\d\d[\-.]\d)(?<![\w.+\-])(?:[2-9]\d\d-\d{{3}}-\d{{4}}|[2-9]\d\d\.\d{{3}}\.\d{{4}})(?![\w\-]|\.\d)"
+    rf"|(?=\d{{7}})(?<=[\p{{L}}.:] {{0,1}})(?<=(?<!\p{{L}}){CUES['phone']}[.:]{{0,2}} {{0,1}})(?:\d{{7,8}}|\d{{10,11}})(?![\w\-]|[.,]\d)",
     "ipv4": rf"(?=\d)(?<![\w.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\.?\d)",
     "card": r"(?=\d{4})(?<![\w.])\d{4}(?:\d{9,12}|[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})(?![\d])",
-    "ssn": r"(?=\d{3}-)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "ssn": r"(?=\d{3}-)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+    rf"|(?=\d{{3}} ?\d\d ?\d{{4}})(?<=[\p{{L}}.:#] {{0,1}})(?<=(?<!\p{{L}}){CUES['ssn']}[:#]{{0,1}} {{0,1}})(?:\d{{9}}|\d{{3}} \d\d \d{{4}})(?![\w\-]|[.,]\d)",
     "iban": r"(?=[A-Z]{2}\d)(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "name": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:{'|'.join(_GIVEN)})(?: (?:\p{{Lu}}\.|{_PARTICLES}))*(?: {_WORD}){{1,2}}(?!\p{{L}})"
-    rf"|(?=\p{{Lu}})(?<=[{_TITLE_ENDS}.] )(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? )(?:\p{{Lu}}\. )*{_WORD}(?: {_WORD})?(?!\p{{L}})",
+    rf"|(?=\p{{Lu}})(?<=[{_TITLE_ENDS}.] )(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? )(?:\p{{Lu}}\. )*{_WORD}(?: {_WORD})?(?!\p{{L}})"
+    rf"|(?=\p{{Lu}}[\p{{L}}'\-])(?<=[:sy] )(?<=(?<!\p{{L}}){CUES['name']}:{{0,1}} )(?<=(?:: |is |by )){_WORD}(?: (?:\p{{Lu}}\.|{_PARTICLES}))*(?: {_WORD}){{1,2}}(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in DETECTORS.values())
 #: Every match has one of these in or right before it; texts without are not looked at further.
-HINTS = ("[0-9@=:]|AKIA", rf"[{_INITIALS}](?:{_TAILS}) [\p{{L}}]|(?=[{_TITLE_BEGINS}])(?:{'|'.join(TITLES)})\.? \p{{Lu}}")
+HINTS = ("[0-9@=:]|AKIA", rf"[{_INITIALS}](?:{_TAILS}) [\p{{L}}]|(?=[{_TITLE_BEGINS}])(?:{'|'.join(TITLES)})\.? \p{{Lu}}|(?:ame is|igned by) \p{{Lu}}")
 HEX = "0123456789abcdef"
 
 
@@ -71,9 +87,9 @@ def _type(value: Column) -> Column:
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike(r"^AKIA[0-9A-Z]{12,20}$"), "key")
-        .when(value.rlike(r"^[+(]|^0\d{1,4}[ /]"), "phone")
+        .when(value.rlike(r"^[+(]|^0\d{1,4}[ /]|^(?:\d{7,8}|\d{10,11})$|^[2-9]\d\d([\-.])\d{3}\1\d{4}$"), "phone")
         .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
-        .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(value.rlike(r"^\d{3}([ \-]?)\d{2}\1\d{4}$"), "ssn")
         .when(value.rlike(r"^\d{13,16}$|^\d{4}([ \-]\d{4}){3}$"), "card")
         .when(value.rlike(r"^[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?$"), "iban")
         .when(value.rlike(rf"^(?:\p{{Lu}}[\p{{L}}'\-]*\.?|{_PARTICLES})(?: (?:\p{{Lu}}[\p{{L}}'\-]*\.?|{_PARTICLES}))*$") & value.rlike(r"\p{Ll}|\. "), "name")
@@ -139,11 +155,12 @@ def _person(norm: Column, h: Column, attempt: Column, tries: int) -> Column:
     def family(w: Column, i: Column) -> Column:
         return F.when(cyrillic, pick(LAST["cyrillic"], at(i), w)).otherwise(pick(LAST["latin"], at(i), w))
 
-    # More attempts, more family names: two, then three of them joined, then letters that always leave room.
-    more = F.concat(
-        F.when(attempt > 0, F.concat(F.lit("-"), family(F.lit(""), F.lit(5)))).otherwise(F.lit("")), F.when(attempt > 3, F.concat(F.lit("-"), family(F.lit(""), F.lit(6)))).otherwise(F.lit("")),
-        F.when(attempt > tries, F.initcap(F.translate(F.substring(h, 90, 24), HEX, "abcdefghiklmnopr"))).otherwise(F.lit("")),
-    )
+    # More attempts, longer names: a second family name of 5, 7, 9, ... syllables, and of 32 (128 bits) in the end.
+    def second(script: str) -> Column:
+        digits = F.filter(F.split(F.substring(h, F.lit(90), F.when(attempt > tries, 32).otherwise(3 + 2 * attempt)), ""), lambda c: c != "")
+        return F.initcap(F.array_join(F.transform(digits, lambda c: F.get(F.array(*map(F.lit, SYLLABLES[script])), F.conv(c, 16, 10).cast("int"))), ""))
+
+    more = F.when(attempt > 0, F.concat(F.lit("-"), F.when(cyrillic, second("cyrillic")).otherwise(second("latin")))).otherwise(F.lit(""))
     first_leads = words[0].isin([x.lower() for x in LEADING])
     last_at = F.when(first_leads, F.lit(0)).otherwise(F.size(words) - 1)
 
@@ -197,28 +214,29 @@ def _formed(kind: Column, value: Column, core: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, secret: str, *, tries: int = 12) -> DataFrame:
-    """(kind, norm, core) for a table of distinct (kind, norm).
+    """entities, a table of distinct (kind, norm), with core; other columns stay, but for attempt and probe.
 
     Those whose surrogate is a real entity, or also that of an entity before them, draw again until none is left:
-    after `tries` collisions surrogates have 96 bits or more, so that drawing ends whatever the entities are.
+    after `tries` collisions surrogates have 96 bits or more, so that drawing ends whatever the entities are. A
+    round's draws are looked up among the entities and the settled surrogates; when they are few, neither is shuffled.
     """
-    known = materialize(entities.select("kind", "norm"), "pii-entities")
-    now, settled = known.withColumn("attempt", F.lit(0)), None
+    known = materialize(entities, "pii-entities")
+    at, now, settled = ["kind", "probe"], known.withColumn("attempt", F.lit(0)), None
     while True:
         keyed = _keyed(secret, F.col("kind"), F.col("norm"), F.col("attempt"))  # once an entity, not once a character of it
         drawn = now.withColumn("core", bound(keyed, lambda h: _core(F.col("kind"), F.col("norm"), h, F.col("attempt"), tries)))
-        drawn = drawn.withColumn("probe", _norm(F.col("kind"), F.col("core")))
-        drawn = drawn.withColumn("fresh", F.lit(True))
-        both = drawn if settled is None else drawn.unionByName(settled.withColumn("fresh", F.lit(False)))
-        first = both.groupBy("kind", "probe").agg(F.min(F.struct("fresh", "norm")).alias("first"))
-        real = known.select("kind", F.col("norm").alias("probe"), F.lit(True).alias("real"))
-        judged = both.join(first, ["kind", "probe"]).join(real, ["kind", "probe"], "left")
-        judged = materialize(judged.withColumn("ok", F.col("real").isNull() & (F.col("first.norm") == F.col("norm")) & (F.col("first.fresh") == F.col("fresh"))), "pii-drawn")
-        settled = judged.where("ok").select("kind", "norm", "attempt", "core", "probe")
-        again = judged.where(~F.col("ok"))
-        if not again.limit(1).count():
-            return settled.select("kind", "norm", "core")
-        now = again.select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+        drawn = materialize(drawn.withColumn("probe", _norm(F.col("kind"), F.col("core"))), "pii-drawn")
+        first = materialize(drawn.groupBy(*at).agg(F.min("norm").alias("norm")), "pii-first")
+        taken = known.select("kind", F.col("norm").alias("probe")).join(first.select(*at), at, "left_semi")
+        if settled is not None:
+            taken = taken.union(settled.select(*at).join(first.select(*at), at, "left_semi"))
+        fit = materialize(first.join(taken, at, "left_anti"), "pii-fit")
+        fresh = drawn.join(fit, [*at, "norm"], "left_semi")
+        settled = fresh if settled is None else settled.unionByName(fresh)
+        again = drawn.join(fit, [*at, "norm"], "left_anti")
+        if again.isEmpty():
+            return settled.select(*known.columns, "core")
+        now = again.select(*known.columns, (F.col("attempt") + 1).alias("attempt"))
 
 
 def _again(piece: Column, parts: Column) -> Column:
@@ -242,13 +260,13 @@ def replace(docs: DataFrame, *, secret: str = "corpus", text_col: str = "text",
     has = F.coalesce(F.when(text.rlike(HINTS[0]) | text.rlike(HINTS[1]), text.rlike(PATTERN)), F.lit(False))
     held = materialize(docs.where(has), "pii-texts")
     found = held.select(F.md5(F.encode(text, "utf-8")).alias("_ld_key"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("values"))
-    texts = found.groupBy("_ld_key").agg(F.first("values").alias("values"))
+    texts = materialize(found.groupBy("_ld_key").agg(F.first("values").alias("values"), F.count(F.lit(1)).alias("n")), "pii-lists")
     rows = texts.select("_ld_key", F.posexplode("values").alias("pos", "value")).withColumn("kind", _type(F.col("value")))
     rows = materialize(rows.withColumn("norm", _norm(F.col("kind"), F.col("value"))), "pii-found")
-    cores = surrogates(rows.select("kind", "norm").distinct(), secret)
-    formed = rows.join(cores, ["kind", "norm"]).select("_ld_key", F.struct("pos", _formed(F.col("kind"), F.col("value"), F.col("core")).alias("new"), "kind", "value").alias("_ld_new"))
+    cores = materialize(surrogates(rows.groupBy("kind", "norm").agg(F.count(F.lit(1)).alias("n")), secret), "pii-cores")
+    formed = spread(rows, cores, ["kind", "norm"], cores.select("kind", "norm", "n"), "n").select("_ld_key", F.struct("pos", _formed(F.col("kind"), F.col("value"), F.col("core")).alias("new"), "kind", "value").alias("_ld_new"))
     lists = formed.groupBy("_ld_key").agg(F.sort_array(F.collect_list("_ld_new")).alias("_ld_new"))
-    dirty = held.withColumn("_ld_key", F.md5(F.encode(text, "utf-8"))).join(lists, "_ld_key")
+    dirty = spread(held.withColumn("_ld_key", F.md5(F.encode(text, "utf-8"))), lists, ["_ld_key"], texts.select("_ld_key", F.col("n").alias("_ld_n")), "_ld_n")
     # Texts between the matches, and the surrogates, one after the other.
     between = F.split(text, PATTERN, -1)
     words = lambda e: F.filter(F.transform(F.arrays_zip(F.split(e["value"], " ").alias("old"), F.split(e["new"], " ").alias("new")), lambda p: F.struct(p["old"].alias("old"), p["new"].alias("new"))), lambda p: p["old"].rlike(rf"^\p{{Lu}}[\p{{L}}'\-]+$"))

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize, salted_rank
+from ledgerloom.llm.names import spread
 
 
 class BalancedTree:
@@ -185,7 +186,7 @@ def shard(docs: DataFrame, *, text_col: str = "text", shards: int | None = None,
         F.sha2(F.when(F.col(text_col).isNotNull(), raw), 256).alias("_ld_key"), (F.octet_length(raw) + 1).cast("long").alias("_ld_size"), F.crc32(raw).alias("text_crc32"),
     )
     rows = materialize(rows.withColumn("_ld_key", F.coalesce("_ld_key", F.lit("null"))), "shard-rows")
-    groups = rows.groupBy("_ld_key").agg(F.sum("_ld_size").alias("group_size"))
+    groups = rows.groupBy("_ld_key").agg(F.sum("_ld_size").alias("group_size"), F.count(F.lit(1)).alias("_ld_rows"))
     numbered = materialize(salted_rank(groups, ["group_size"], [F.col("_ld_key")], salts, "_ld_rank", F.xxhash64("_ld_key")), "shard-groups")
     got = numbered.groupBy("group_size").count().toPandas().sort_values("group_size", ascending=False)
     histogram = list(zip(got["group_size"].astype(int).tolist(), got["count"].astype(int).tolist(), strict=True))
@@ -194,7 +195,7 @@ def shard(docs: DataFrame, *, text_col: str = "text", shards: int | None = None,
     # The last run of the size that begins at or before the group's rank.
     at = F.expr("filter(_ld_runs, r -> r.first <= _ld_rank)[size(filter(_ld_runs, r -> r.first <= _ld_rank)) - 1].shard")
     placed = placed.select("_ld_key", "group_size", at.alias("shard"))
-    out = rows.join(placed, "_ld_key")
+    out = spread(rows, placed, ["_ld_key"], numbered.select("_ld_key", "_ld_rows"), "_ld_rows")
     ident = [F.col("_ld_key"), *(F.col(f"`{c}`") for c in docs.columns if c == "doc_id")]
     return salted_rank(out, ["shard"], ident, salts, "slot", F.xxhash64(*ident)).drop("_ld_key")
 

@@ -106,6 +106,19 @@ def test_shards(docs, empty):
         sharding.shard(docs)
 
 
+def test_hot_keys_lose_no_row(spark):
+    """spread equals a plain join, with a key of a third of the rows, keys of one row, and keys on one side only."""
+    from ledgerloom.llm import names
+
+    rows = spark.range(6000).selectExpr("case when id % 3 = 0 then -1 else id end k", "id v", "id _piece").repartition(3)
+    table = rows.groupBy("k").count().where("k <> 1").withColumn("w", F.col("k") * 2)
+    out = names.spread(rows, table, ["k"], table.select("k", "count"), "count")
+    plain = rows.join(table, ["k"])
+    assert sorted(got(out), key=str) == sorted(got(plain), key=str) and out.columns == plain.columns
+    none = table.where("false")
+    assert got(names.spread(rows, none, ["k"], none.select("k", "count"), "count")) == []
+
+
 def test_a_giant_group_has_a_shard_alone():
     load = Counter()
     for r in sharding.into_shards([(1000, 1), (10, 300)], 4):
@@ -705,6 +718,37 @@ def test_keys_without_digits_and_national_phones(spark):
     assert all(shape(out[k]["text"]) == shape(texts[k]) for k in range(1, 5)) and out[2]["text"].startswith("Tel. 0")
 
 
+def test_numbers_and_names_told_by_what_stands_before_them(spark):
+    """Found: a number or name after its cue, and the plain national form. The same without a cue stays, as README says."""
+    found = ["Call 555-123-4567 now", "phone: 5551234567.", "SSN 123456789", "Social Security: 123 45 6789", "Name: Oluwaseun Adeyemi.", "My name is Chinedu Okafor and", "signed by Ana de Souza", "fax 555.123.4567"]
+    left = ["order 5551234567", "item 123456789", "Oluwaseun Adeyemi came", "contact: 12", "v555.123.45678", "name: of the", "lot 155-123-4567-9", "recall 5551234567"]
+    df = spark.createDataFrame(list(enumerate(found + left)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in got(pii.replace(df, count_col="n_entities"))}
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    assert [out[k]["n_entities"] for k in range(len(out))] == [1] * len(found) + [0] * len(left)
+    assert all(out[k]["text"] != t and (k in (4, 5, 6) or shape(out[k]["text"]) == shape(t)) for k, t in enumerate(found))
+    assert [out[k]["text"] for k in range(len(found), len(out))] == left
+    assert re.fullmatch(r"My name is \p{Lu}[^ ]+ [^ ]+ and".replace(r"\p{Lu}", "[A-Z]"), out[5]["text"]) and re.fullmatch("signed by [A-Z][a-z]+ de [A-Z][A-Za-z-]+", out[6]["text"])
+
+
+def test_many_names_still_look_like_names(spark):
+    """5,000 names for 480 plain surrogates: all distinct, all of a given and a family name's form, in few rounds."""
+    table = spark.range(5000).selectExpr("'name' kind", "concat('maria x', lower(translate(hex(id), '0123456789', 'ghijklmnop'))) norm", "id extra")
+    out = got(pii.surrogates(table, "k"))
+    cores = [r["core"] for r in out]
+    assert len(set(cores)) == len(out) == 5000 and {r["extra"] for r in out} == set(range(5000))
+    assert all(re.fullmatch("[A-Z][a-z]+ [A-Z][a-z]+(-[A-Z][a-z]{8,36})?", c) for c in cores)
+
+
+def test_a_hot_entity_and_a_hot_text(spark):
+    """One address in every text and one text in a third of all rows, beside keys of one row each."""
+    texts = ["mail jane.doe@mail.org now"] * 900 + [f"mail jane.doe@mail.org or a{k}@mail.org now" for k in range(1800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    out = {r["doc_id"]: r["text"].split() for r in got(pii.replace(df))}
+    assert sorted(out) == list(range(2700)) and len({t[1] for t in out.values()}) == 1 and out[0][1] != "jane.doe@mail.org"
+    assert len({t[3] for k, t in out.items() if k >= 900}) == 1800
+
+
 def test_surrogates_stay_distinct_when_few_are_left(spark):
     names = [(" ".join((f, x)).lower(),) for f in pii.FIRST["cyrillic", "f"] for x in [*pii.LAST["cyrillic"], *(f"Нова{i}" for i in range(30))]]
     mail = [(f"a@{c}.io",) for c in "abcdefghijklmnopqrstuvwxyz"]
