@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import materialize
 from ledgerloom.llm.quality import bound
 
-MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
+#: Possessive, as a line of very many marks would otherwise take stack for each.
+MARKS = r"^[ \t]{0,3}((?:>[ \t]?)++)"
 
 
 def levels(text: Column) -> Column:
