@@ -55,12 +55,14 @@ CUES = {
 }
 _PARTICLES = "von|van|de|der|den|la|da|di|del|bin|al"
 _WORD = r"\p{Lu}[\p{L}'\-]+"
+#: Between given and family name. It is repeated possessively, as backtracking would take stack for each repetition.
+_MIDDLE = rf"(?:\p{{Lu}}\.|(?:{_PARTICLES})(?!\p{{L}}))"
 #: The rest of a phone number after its area code: in one piece, in two groups, or in groups of two digits.
 _REST = r"(?:\d{6,8}|\d{3,4}[ .\-]\d{3,4}|\d{2,3}(?:[ .\-]\d{2}){2,3})"
 #: Detectors by type, in order of precedence (Java regular expressions without capturing groups). Each begins
 #: with the cheapest test that rules out most places.
 DETECTORS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){0,125}\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z_\-])(?=[0-9A-Za-z_\-]{12})(?=[_\-]*[0-9A-Za-z])(?<=[=:\s\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[0-9A-Za-z_\-]{12,}+",
     "key": r"(?=AKIA)(?<![0-9A-Za-z])AKIA[0-9A-Z]{12,20}+(?![0-9A-Za-z])",
     "phone": r"(?=[+(0])(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}"
@@ -72,9 +74,9 @@ DETECTORS = {
     "ssn": r"(?=\d{3}-)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
     rf"|(?=\d{{3}} ?\d\d ?\d{{4}})(?<=[\p{{L}}.:#] {{0,1}})(?<=(?<!\p{{L}}){CUES['ssn']}[:#]{{0,1}} {{0,1}})(?:\d{{9}}|\d{{3}} \d\d \d{{4}})(?![\w\-]|[.,]\d)",
     "iban": r"(?=[A-Z]{2}\d)(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
-    "name": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:{'|'.join(_GIVEN)})(?: (?:\p{{Lu}}\.|{_PARTICLES}))*(?: {_WORD}){{1,2}}(?!\p{{L}})"
-    rf"|(?=\p{{Lu}})(?<=[{_TITLE_ENDS}.] )(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? )(?:\p{{Lu}}\. )*{_WORD}(?: {_WORD})?(?!\p{{L}})"
-    rf"|(?=\p{{Lu}}[\p{{L}}'\-])(?<=[:sy] )(?<=(?<!\p{{L}}){CUES['name']}:{{0,1}} )(?<=(?:: |is |by )){_WORD}(?: (?:\p{{Lu}}\.|{_PARTICLES}))*(?: {_WORD}){{1,2}}(?!\p{{L}})",
+    "name": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:{'|'.join(_GIVEN)})(?: {_MIDDLE})*+(?: {_WORD}){{1,2}}(?!\p{{L}})"
+    rf"|(?=\p{{Lu}})(?<=[{_TITLE_ENDS}.] )(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? )(?:\p{{Lu}}\. )*+{_WORD}(?: {_WORD})?(?!\p{{L}})"
+    rf"|(?=\p{{Lu}}[\p{{L}}'\-])(?<=[:sy] )(?<=(?<!\p{{L}}){CUES['name']}:{{0,1}} )(?<=(?:: |is |by )){_WORD}(?: {_MIDDLE})*+(?: {_WORD}){{1,2}}(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in DETECTORS.values())
 #: Every match has one of these in or right before it; texts without are not looked at further.
@@ -92,7 +94,7 @@ def _type(value: Column) -> Column:
         .when(value.rlike(r"^\d{3}([ \-]?)\d{2}\1\d{4}$"), "ssn")
         .when(value.rlike(r"^\d{13,16}$|^\d{4}([ \-]\d{4}){3}$"), "card")
         .when(value.rlike(r"^[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?$"), "iban")
-        .when(value.rlike(rf"^(?:\p{{Lu}}[\p{{L}}'\-]*\.?|{_PARTICLES})(?: (?:\p{{Lu}}[\p{{L}}'\-]*\.?|{_PARTICLES}))*$") & value.rlike(r"\p{Ll}|\. "), "name")
+        .when(value.rlike(rf"^(?:\p{{Lu}}[\p{{L}}'\-]*\.?|{_PARTICLES})(?: (?:\p{{Lu}}[\p{{L}}'\-]*+\.?|(?:{_PARTICLES})(?!\p{{L}})))*+$") & value.rlike(r"\p{Ll}|\. "), "name")
         .otherwise("secret")
     )
 
@@ -138,7 +140,19 @@ def _mod97(digits: Column) -> Column:
 
 def _person(norm: Column, h: Column, attempt: Column, tries: int) -> Column:
     """As many words as the name has: given names of its gender and script, a family name at the end; initials stay initials."""
-    words = F.split(norm, " ")
+    once = lambda words, told: _person_of(words, told["girl"], told["cyrillic"], told["last_at"], h, attempt, tries)
+    female, male = ([x.lower() for s in ("latin", "cyrillic") for x in FIRST[s, g]] for g in "fm")
+
+    def told(words: Column) -> Column:
+        """What holds for all words: found once, as a name may have very many."""
+        girl = words[0].isin(female) | (~words[0].isin(male) & (F.conv(F.substring(h, 57, 8), 16, 10).cast("bigint") % 2 == 0))
+        last_at = F.when(words[0].isin([x.lower() for x in LEADING]), F.lit(0)).otherwise(F.size(words) - 1)
+        return F.struct(girl.alias("girl"), norm.rlike(r"\p{IsCyrillic}").alias("cyrillic"), last_at.alias("last_at"))
+
+    return bound(F.split(norm, " "), lambda words: bound(told(words), lambda t: once(words, t)))
+
+
+def _person_of(words: Column, girl: Column, cyrillic: Column, last_at: Column, h: Column, attempt: Column, tries: int) -> Column:
     at = lambda i: F.conv(F.substring(h, (i * 8 % 64 + 1).cast("int"), F.lit(8)), 16, 10).cast("bigint")
 
     def pick(names: list[str], n: Column, word: Column) -> Column:
@@ -146,9 +160,6 @@ def _person(norm: Column, h: Column, attempt: Column, tries: int) -> Column:
         drawn = lambda k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
         return F.when(F.lower(drawn(n)) == word, drawn(n + 1)).otherwise(drawn(n))
 
-    female, male = ([x.lower() for s in ("latin", "cyrillic") for x in FIRST[s, g]] for g in "fm")
-    girl = words[0].isin(female) | (~words[0].isin(male) & (at(F.lit(7)) % 2 == 0))
-    cyrillic = norm.rlike(r"\p{IsCyrillic}")
     def given(w: Column, i: Column) -> Column:
         return F.when(cyrillic & girl, pick(FIRST["cyrillic", "f"], at(i), w)).when(cyrillic, pick(FIRST["cyrillic", "m"], at(i), w)).when(girl, pick(FIRST["latin", "f"], at(i), w)).otherwise(pick(FIRST["latin", "m"], at(i), w))
 
@@ -161,8 +172,6 @@ def _person(norm: Column, h: Column, attempt: Column, tries: int) -> Column:
         return F.initcap(F.array_join(F.transform(digits, lambda c: F.get(F.array(*map(F.lit, SYLLABLES[script])), F.conv(c, 16, 10).cast("int"))), ""))
 
     more = F.when(attempt > 0, F.concat(F.lit("-"), F.when(cyrillic, second("cyrillic")).otherwise(second("latin")))).otherwise(F.lit(""))
-    first_leads = words[0].isin([x.lower() for x in LEADING])
-    last_at = F.when(first_leads, F.lit(0)).otherwise(F.size(words) - 1)
 
     def one(w: Column, i: Column) -> Column:
         initial = F.concat(F.upper(F.translate(F.substring(h, (i * 8 % 64 + 1).cast("int"), F.lit(1)), HEX, "abcdefghiklmnopr")), F.lit("."))
@@ -254,7 +263,8 @@ def replace(docs: DataFrame, *, secret: str = "corpus", text_col: str = "text",
     secret: the key of the hash; whoever has it can recompute surrogates. count_col: also add the number
     of entities. A person's given or family name that stands alone in a document with the full name becomes that
     part of the surrogate (of two persons' common part, the first's). Null and empty texts stay; equal texts get equal replacements; an empty table stays empty.
-    Columns beginning with _ld_ are the operator's own.
+    Columns beginning with _ld_ are the operator's own. Texts of any length are taken whole: the work grows with the text, and
+    no form takes stack for its length. A host of more than 127 labels, which no address has, is replaced up to there.
     """
     names, text = docs.columns, F.col(f"`{text_col}`")
     has = F.coalesce(F.when(text.rlike(HINTS[0]) | text.rlike(HINTS[1]), text.rlike(PATTERN)), F.lit(False))

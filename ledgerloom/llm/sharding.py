@@ -176,7 +176,8 @@ def shard(docs: DataFrame, *, text_col: str = "text", shards: int | None = None,
     Give `shards` (a fixed number, sizes near equal) or `capacity` (bytes a shard, as few shards as
     best fit opens). Rows of equal text, null texts among themselves, stay together. A row's size is its
     text's UTF-8 bytes plus 1. slot is gapless from 0 in each shard. An empty table gives no rows.
-    Columns whose names begin with _ld_ are the operator's own.
+    Columns whose names begin with _ld_ are the operator's own; columns named shard, slot, group_size or text_crc32 are
+    replaced. A text of any length is hashed whole and not carried on.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
