@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ledger import STATE, Fold, _batch
+from ledgerloom.operators.ledger import STATE, Fold, _batch, as_lists
 from ledgerloom.stored import written
 
 TRADE = ["date", "id", "kind", "quantity", "price", "amount_sek", "name", "currency"]
@@ -157,7 +157,7 @@ def _dealt(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str | None, tuple | None]]:
     """(isin and piece, start, trade) of each row: the first of a piece has its start and no trade, if there are starts."""
     for b in batches:
-        for isin, piece, turn, *trade, start in zip(*(b.column(j).to_pylist() for j in range(b.num_columns)), strict=True):
+        for isin, piece, turn, *trade, start in zip(*as_lists(b), strict=True):
             yield (isin, piece), start, trade if turn else None
 
 

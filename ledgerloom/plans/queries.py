@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,25 +68,34 @@ def _trades(spark, d):
 
 @dataclass(frozen=True)
 class Book:
-    """The stored tables that the reports over time read, and the last day in them."""
+    """The stored tables that the reports over time read, and the last day in them.
+
+    metadata: the holdings before anything is derived from the ledger. Reports of the past take sleeves, symbols and
+    names from it and fold the trades themselves.
+    """
 
     trades: DataFrame
     flows: DataFrame
-    holdings: DataFrame
+    metadata: DataFrame
     closes: DataFrame
     end: str
 
+    @cached_property
+    def holdings(self) -> DataFrame:
+        """The holdings derived from the ledger, for reports of the present."""
+        return written(ledger.recompute_holdings(self.metadata, self.trades), "holdings")
+
 
 def _book(spark, d) -> Book:
     trades, closes = written(_trades(spark, d), "trades"), written(fixtures.closes(spark, d), "closes")
     flows = fixtures.flows(spark, d)
-    holdings = written(ledger.recompute_holdings(fixtures.bare_holdings(spark, d, closes), trades), "holdings")
+    metadata = written(fixtures.bare_holdings(spark, d, closes), "metadata")
     last = trades.select("date").union(flows.select("date")).agg(F.max("date").alias("last")).first()["last"]
-    return Book(trades, flows, holdings, closes, str(last or fixtures.END))
+    return Book(trades, flows, metadata, closes, str(last or fixtures.END))
 
 
 def _reconstructed(b: Book) -> DataFrame:
-    return history.reconstruct(b.trades, b.flows, b.holdings, b.closes, CFG, end=b.end)
+    return history.reconstruct(b.trades, b.flows, b.metadata, b.closes, CFG, end=b.end)
 
 
 def _series(spark, d):
@@ -94,7 +104,7 @@ def _series(spark, d):
 
 def _journal(spark, d):
     b = _book(spark, d)
-    return history.journal(b.trades, b.holdings, b.closes, CFG, end=b.end)
+    return history.journal(b.trades, b.metadata, b.closes, CFG, end=b.end)
 
 
 def _valued(spark, d):
@@ -265,7 +275,7 @@ def refresh_price_counts(spark, d):
   WHERE l.q > 0 AND i.sleeve_id IS NOT NULL)""", "folded", "instruments", "closes"))
 def holdings_on(spark, d):
     b = _book(spark, d)
-    h = history.holdings_on(b.trades, b.holdings, b.closes, CFG, MID)
+    h = history.holdings_on(b.trades, b.metadata, b.closes, CFG, MID)
     return h.withColumns({"price": q("price", 6), "quantity": F.col("quantity").cast("double")})
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal, localcontext
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -162,3 +163,13 @@ def test_pieces_spread_over_tasks(spark):
         for x in (5, -9, 3, -20, 7):
             want = want + x if x > 0 else max(want + x, 0) if want > 0 else want + x
         assert segments.QuantityMap.load(m.dump())(q) == want == m(q)
+
+
+def test_columns_as_python_objects():
+    """The same objects as one scalar at a time, nulls and days at either end of the calendar too; no rows, only nulls."""
+    some = [("a", None, ""), (dt.date(1, 1, 1), None, dt.date(9999, 12, 31)), (2**62 + 1, None, -1), (Decimal("0.00000001"), None, Decimal("-12345678901234567890.5"))]
+    kinds = [pa.string(), pa.date32(), pa.int64(), pa.decimal128(28, 8)]
+    full = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, kinds, strict=True)], names=list("abcd"))
+    for b in (full, full.slice(0, 0), full.slice(1, 1), full.slice(2, 1)):
+        got, want = ledger.as_lists(b), [c.to_pylist() for c in b.columns]
+        assert got == want and [list(map(type, c)) for c in got] == [list(map(type, c)) for c in want]
