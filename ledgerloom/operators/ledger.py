@@ -5,6 +5,9 @@ negative quantity), so no window expresses it. It runs as one pass over rows tha
 sorted within partitions: the state of one instrument is carried along, so memory is one Arrow batch
 however long an instrument's history is, and the sort spills to disk. An instrument of more than LONG trades is
 folded in pieces side by side.
+
+Numbers are decimals, in which sums are exact, unless the ledger is normalized with exact=False: then they are doubles, added up
+one trade after another, bit for bit as SQL over tables of doubles does it.
 """
 
 from __future__ import annotations
@@ -19,44 +22,59 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
 from ledgerloom.schemas import MONEY, PRICE, QTY
+from ledgerloom.stored import written
 
 #: Quantities and costs are decimals throughout: sums are exact, and quotients have 28 digits.
 STATE = "isin string, id bigint, date date, quantity decimal(28,8), cost_ccy decimal(38,16), cost_sek decimal(38,16), acquired_at date, name string, currency string"
+#: The same over doubles.
+STATE_DOUBLES = "isin string, id bigint, date date, quantity double, cost_ccy double, cost_sek double, acquired_at date, name string, currency string"
 _NAMES = ["isin", "id", "date", "quantity", "cost_ccy", "cost_sek", "acquired_at", "name", "currency"]
 
 
-def normalized(trades: DataFrame) -> DataFrame:
+def normalized(trades: DataFrame, *, exact: bool = True) -> DataFrame:
     """isin and currency upper-cased, kind lower-cased, missing numbers zero; rows without isin are dropped.
 
-    Columns a ledger may lack (id, name, amount_sek, ...) are added as null.
+    Columns a ledger may lack (id, name, amount_sek, ...) are added as null. exact: quantities and amounts are decimals, else doubles.
     """
+    qty, unit, money = (QTY, PRICE, MONEY) if exact else ("double",) * 3
     have = set(trades.columns)
     col = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
     return trades.select(
         F.coalesce(col("id", "bigint"), F.lit(0)).alias("id"), col("date", "date").alias("date"), X.norm_isin(col("isin", "string")).alias("isin"), col("symbol", "string").alias("symbol"),
         col("name", "string").alias("name"), X.norm_currency(col("currency", "string")).alias("currency"), F.lower(col("kind", "string")).alias("kind"),
-        F.coalesce(col("quantity", QTY), F.lit(0)).cast(QTY).alias("quantity"), F.coalesce(col("price", PRICE), F.lit(0)).cast(PRICE).alias("price"), col("amount_sek", MONEY).alias("amount_sek"),
+        F.coalesce(col("quantity", qty), F.lit(0)).cast(qty).alias("quantity"), F.coalesce(col("price", unit), F.lit(0)).cast(unit).alias("price"), col("amount_sek", money).alias("amount_sek"),
         F.coalesce(col("fees_sek", "double"), F.lit(0.0)).alias("fees_sek"), col("fx_rate", "double").alias("fx_rate"), col("source", "string").alias("source"), col("note", "string").alias("note"),
     ).where("isin != ''")
 
 
+def is_exact(trades: DataFrame) -> bool:
+    return dict(trades.dtypes)["quantity"] != "double"
+
+
 def _fold(trades: DataFrame, emit: str, long: int) -> DataFrame:
     """States after each trade ('each'), each instrument's day ('day') or its last trade ('last'). Order: date (missing first), id.
 
     Instruments of more than `long` trades, of which there are few, are folded in pieces (operators.segments).
     """
     rows = trades.select("isin", "date", "id", "kind", "quantity", "price", "amount_sek", "name", "currency")
-    hot = [r["isin"] for r in rows.groupBy("isin").count().where(F.col("count") > long).collect()]
+    counts = rows.groupBy("isin").count().where(F.col("count") > long).select("isin")
+    hot = [r["isin"] for r in counts.limit(FEW + 1).collect()]
     if not hot:
         return _one_pass(rows, emit)
     from ledgerloom.operators.segments import fold_in_pieces
 
-    is_hot = F.col("isin").isin(hot)
-    return _one_pass(rows.where(~is_hot), emit).unionByName(fold_in_pieces(rows.where(is_hot), emit, max(1, long // 4)))
+    if len(hot) > FEW:  # too many for a list in the plan
+        counts = written(counts, "fold-hot")
+        cold, warm = rows.join(counts, "isin", "left_anti"), rows.join(counts, "isin", "left_semi")
+    else:
+        is_hot = F.col("isin").isin(hot)
+        cold, warm = rows.where(~is_hot), rows.where(is_hot)
+    return _one_pass(cold, emit).unionByName(fold_in_pieces(warm, emit, max(1, long // 4)))
 
 
 def _one_pass(rows: DataFrame, emit: str) -> DataFrame:
     dealt = rows.repartition("isin").sortWithinPartitions("isin", F.col("date").asc_nulls_first(), "id")
+    exact = is_exact(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         isin, fold, out = None, None, []
@@ -65,19 +83,19 @@ def _one_pass(rows: DataFrame, emit: str) -> DataFrame:
                 if i != isin:
                     if isin is not None and emit != "each":
                         out.append((isin, *fold.state()))
-                    isin, fold = i, Fold()
+                    isin, fold = i, Fold.empty(exact)
                 elif emit == "day" and trade[0] != fold.date:
                     out.append((isin, *fold.state()))
                 fold.take(*trade)
                 if emit == "each":
                     out.append((isin, *fold.state()))
             if out:
-                yield _batch(out)
+                yield _batch(out, exact)
                 out = []
         if isin is not None and emit != "each":
-            yield _batch([(isin, *fold.state())])
+            yield _batch([(isin, *fold.state())], exact)
 
-    return dealt.mapInArrow(run, STATE)
+    return dealt.mapInArrow(run, STATE if exact else STATE_DOUBLES)
 
 
 class Fold:
@@ -89,6 +107,10 @@ class Fold:
         self.id = self.date = None
         self.q, self.c, self.s, self.since, self.name, self.currency = q, c, s, since, name, currency
 
+    @classmethod
+    def empty(cls, exact: bool) -> Fold:
+        return cls() if exact else cls(0.0, 0.0, 0.0)
+
     def take(self, date, row_id, kind, x, price, amount, name, currency) -> None:
         """A sell takes at most what is held, at average cost; a sell from nothing leaves a negative quantity."""
         q = self.q
@@ -113,12 +135,24 @@ class Fold:
 
 def as_lists(batch: pa.RecordBatch) -> list[list]:
     """The columns as lists of Python objects, None where null; to_pylist makes them one scalar at a time, some eight times slower."""
-    slow = lambda c: c.null_count and pa.types.is_integer(c.type)  # noqa: E731  numpy has no null integers
-    return [c.to_pylist() if slow(c) else c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns]
+    return [_as_list(c) for c in batch.columns]
+
+
+def _as_list(c: pa.Array) -> list:
+    if not c.null_count or not (pa.types.is_integer(c.type) or pa.types.is_floating(c.type)):
+        return c.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_integer(c.type):  # numpy has no null integers
+        return c.to_pylist()
+    out = c.to_numpy(zero_copy_only=False).astype(object)  # nor null doubles: they would be NaN
+    out[c.is_null().to_numpy(zero_copy_only=False)] = None
+    return out.tolist()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], exact: bool = True) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), pa.date32(), pa.decimal128(28, 8), pa.decimal128(38, 16), pa.decimal128(38, 16), pa.date32(), pa.string(), pa.string()]
+    if not exact:
+        kinds[3:6] = [pa.float64()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
     places = {3: Decimal(1).scaleb(-8), 4: Decimal(1).scaleb(-16), 5: Decimal(1).scaleb(-16)}
     with localcontext(prec=38):
         cols = [[x.quantize(places[j]) for x in c] if j in places else list(c) for j, c in enumerate(zip(*rows, strict=True))]
@@ -127,6 +161,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 #: Trades of one instrument up to which its history is folded in one task.
 LONG = 1_000_000
+#: Instruments up to which those with long histories are listed in the plan; more are joined.
+FEW = 1000
 
 
 def states(trades: DataFrame, *, long: int = LONG) -> DataFrame:
@@ -138,7 +174,8 @@ def positions(trades: DataFrame, *, through: str | None = None, long: int = LONG
     """Open positions: isin, quantity, avg_price, cost_sek, acquired_at (the first buy ever), name, currency."""
     rows = trades if through is None else trades.where(F.col("date") <= F.lit(through).cast("date"))
     last = _fold(rows, "last", long).where("quantity > 0")
-    return last.select("isin", "quantity", (F.col("cost_ccy").cast("decimal(32,14)") / F.col("quantity").cast("decimal(24,8)")).alias("avg_price"), "cost_sek", "acquired_at", "name", "currency")
+    cost, quantity = (F.col("cost_ccy").cast("decimal(32,14)"), F.col("quantity").cast("decimal(24,8)")) if is_exact(rows) else (F.col("cost_ccy"), F.col("quantity"))
+    return last.select("isin", "quantity", (cost / quantity).alias("avg_price"), "cost_sek", "acquired_at", "name", "currency")
 
 
 def end_of_day(trades: DataFrame, *, long: int = LONG) -> DataFrame:

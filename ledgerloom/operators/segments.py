@@ -11,25 +11,35 @@ over the pieces do what one pass over the history would:
 
 The pieces are ranges of the sorted rows, written once. A piece's maps are a few numbers (a breakpoint for each sell that could
 have met nothing left), so what runs along an instrument's pieces is small.
+
+Doubles round off after each trade, which no map can tell before the start is known. There each piece is packed into what the
+fold needs (some 30 bytes a trade) instead of passes 1 and 2, and one pass along an instrument's packed pieces finds their starts, bit for
+bit; sorting, and the states from the starts, are done side by side as well.
+
+How many pieces there are is settled by piece_rows, how many tasks by the rows alone: a task holds many small pieces.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date as Date
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ledger import STATE, Fold, _batch, as_lists
+from ledgerloom.operators.ledger import STATE, STATE_DOUBLES, Fold, _batch, as_lists, is_exact
 from ledgerloom.stored import written
 
 TRADE = ["date", "id", "kind", "quantity", "price", "amount_sek", "name", "currency"]
-MAPPED = "isin string, piece int, map string"
+MAPPED = "isin string, piece bigint, map string"
+#: Rows of a task that sorts them into pieces; trades in a packed row.
+TASK_ROWS, PACK = 100_000, 512
 _INF = float("inf")
 
 
@@ -116,14 +126,14 @@ def _dump(f: Fold, *more: str) -> str:
     return json.dumps([str(f.q), str(f.c), str(f.s), f.since and f.since.isoformat(), f.name, f.currency, f.date and f.date.isoformat(), f.id, *more])
 
 
-def _fill(f: Fold, x: list) -> Fold:
-    f.q, f.c, f.s, f.since, f.name, f.currency = Decimal(x[0]), Decimal(x[1]), Decimal(x[2]), x[3] and Date.fromisoformat(x[3]), x[4], x[5]
+def _fill(f: Fold, x: list, number: type = Decimal) -> Fold:
+    f.q, f.c, f.s, f.since, f.name, f.currency = number(x[0]), number(x[1]), number(x[2]), x[3] and Date.fromisoformat(x[3]), x[4], x[5]
     f.date, f.id = x[6] and Date.fromisoformat(x[6]), x[7]
     return f
 
 
 def _mapped(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], names=["isin", "piece", "map"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["isin", "piece", "map"])
 
 
 def _over_pieces(rows: DataFrame, starts: DataFrame | None, begin, take, end) -> DataFrame:
@@ -182,16 +192,92 @@ def _along(maps: DataFrame, begin, follow) -> DataFrame:
     return maps.repartition("isin").sortWithinPartitions("isin", "piece").mapInArrow(run, MAPPED)
 
 
-def _hundred_millionths(x: Decimal) -> int:
-    return int(x.scaleb(8))
+PACKED = "isin string, piece bigint, at bigint, n int, trades string, since date, name string, currency string, date date, id bigint"
 
 
-def fold_in_pieces(rows: DataFrame, emit: str, piece_rows: int) -> DataFrame:
-    """What ledger._one_pass gives, for instruments of any length; costs agree to the last digits that decimals of 28 carry."""
-    order = ["isin", "date", "id"]
-    parts = max(1, -(-rows.count() // piece_rows))
-    rows = written(rows.repartitionByRange(parts, *order).withColumn("piece", F.spark_partition_id()), "fold-pieces")
+def _packed(rows: DataFrame) -> DataFrame:
+    """Up to PACK trades of a piece a row, in order: for each its quantity (sells below zero), price and amount."""
+    number = np.dtype([("buy", "?"), ("x", "f8"), ("price", "f8"), ("paid", "f8")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, held = None, 0, []
+
+        def row() -> tuple:
+            day, _, kind, x, price, paid, name, currency = zip(*held, strict=True)
+            buy = [k == "buy" for k in kind]
+            a = np.empty(len(held), number)
+            # No amount: the priced one, as the fold has it.
+            a["buy"], a["x"], a["price"], a["paid"] = buy, x, price, [abs(m) if m is not None else q * p for q, p, m in zip(x, price, paid, strict=True)]
+            since = min((d for d, b in zip(day, buy, strict=True) if b and d is not None), default=None)
+            return (*at, n, len(held), base64.b64encode(a.tobytes()).decode(), since, next((c for c in name if c), None), next((c for c in reversed(currency) if c), None), held[-1][0], held[-1][1])
+
+        for b in batches:
+            out = []
+            for key, _, trade in _in_order([b]):
+                if key != at or len(held) == PACK:
+                    if held:
+                        out.append(row())
+                    at, n, held = key, 0 if key != at else n + 1, []
+                held.append(trade)
+            if out:
+                yield _packed_batch(out)
+        if held:
+            yield _packed_batch([row()])
+
+    return _dealt(rows, None).mapInArrow(run, PACKED)
+
+
+def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.date32(), pa.string(), pa.string(), pa.date32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _along_packed(packed: DataFrame) -> DataFrame:
+    """What _along gives, from packed trades of doubles."""
+    number = np.dtype([("buy", "?"), ("x", "f8"), ("price", "f8"), ("paid", "f8")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        isin, at, f = None, None, None
+        for b in batches:
+            out = []
+            for i, piece, _, _, trades, since, name, currency, day, row_id in zip(*as_lists(b), strict=True):
+                if i != isin:
+                    if isin is not None:
+                        out.append((isin, -1, _dump(f)))
+                    isin, at, f = i, None, Fold.empty(False)
+                if piece != at:
+                    at = piece
+                    out.append((i, piece, _dump(f)))
+                q, c, s = f.q, f.c, f.s
+                for buy, x, price, paid in np.frombuffer(base64.b64decode(trades), number).tolist():
+                    if buy:
+                        q += x
+                        c += x * price
+                        s += paid
+                    elif q > 0:
+                        r = min(x, q)
+                        c -= c / q * r
+                        s -= s / q * r
+                        q -= r
+                    else:
+                        q -= x
+                f.q, f.c, f.s, f.date, f.id = q, c, s, day, row_id
+                f.since = since if f.since is None or (since is not None and since < f.since) else f.since
+                f.name, f.currency = f.name or name, currency or f.currency
+            if out:
+                yield _mapped(out)
+        if isin is not None:
+            yield _mapped([(isin, -1, _dump(f))])
+
+    return packed.repartition("isin").sortWithinPartitions("isin", "piece", "at").mapInArrow(run, MAPPED)
+
+
+def _starts_of_doubles(rows: DataFrame) -> DataFrame:
+    return _along_packed(_packed(rows))
 
+
+def _starts_of_decimals(rows: DataFrame) -> DataFrame:
     def move(m: QuantityMap, trade) -> None:
         (m.buy if trade[2] == "buy" else m.sell)(_hundred_millionths(trade[3]))
 
@@ -205,15 +291,30 @@ def fold_in_pieces(rows: DataFrame, emit: str, piece_rows: int) -> DataFrame:
         m.share = Decimal(x[8])
         return _dump(m.after(_fill(Fold(), json.loads(start))))
 
-    starts = written(_along(costs, _dump(Fold()), follow), "fold-starts")
+    return _along(costs, _dump(Fold()), follow)
+
+
+def _hundred_millionths(x: Decimal) -> int:
+    return int(x.scaleb(8))
+
+
+def fold_in_pieces(rows: DataFrame, emit: str, piece_rows: int) -> DataFrame:
+    """What ledger._one_pass gives, for instruments of any length: of doubles bit for bit, of decimals costs agree to the last digits that 28 carry."""
+    order, exact = [F.col("isin"), F.col("date").asc_nulls_first(), F.col("id")], is_exact(rows)
+    parts = -(-rows.count() // TASK_ROWS) or 1
+    place = F.monotonically_increasing_id()  # in the high bits the task, below them the row in it
+    piece = F.shiftright(place, 33) * (1 << 33) + F.floor(place.bitwiseAND((1 << 33) - 1) / piece_rows)
+    rows = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("piece", piece.cast("bigint")), "fold-pieces")
+    starts = written(_starts_of_decimals(rows) if exact else _starts_of_doubles(rows), "fold-starts")
+    number = Decimal if exact else float
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield _batch([(i, *_fill(Fold(), json.loads(text)).state()) for i, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)])
+                yield _batch([(i, *_fill(Fold(), json.loads(text), number).state()) for i, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)], exact)
 
     if emit == "last":
-        return starts.where("piece = -1").mapInArrow(ends, STATE)
+        return starts.where("piece = -1").mapInArrow(ends, STATE if exact else STATE_DOUBLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, fold, out = None, None, []
@@ -221,7 +322,7 @@ def fold_in_pieces(rows: DataFrame, emit: str, piece_rows: int) -> DataFrame:
             if key != at:
                 if at is not None and emit == "day":
                     out.append((at[0], *fold.state()))
-                at, fold = key, _fill(Fold(), json.loads(start))
+                at, fold = key, _fill(Fold(), json.loads(start), number)
                 fold.id = None  # no trade of this piece yet
             if trade is None:
                 continue
@@ -231,14 +332,14 @@ def fold_in_pieces(rows: DataFrame, emit: str, piece_rows: int) -> DataFrame:
             if emit == "each":
                 out.append((at[0], *fold.state()))
             if len(out) >= 10_000:
-                yield _batch(out)
+                yield _batch(out, exact)
                 out = []
         if at is not None and emit == "day":
             out.append((at[0], *fold.state()))
         if out:
-            yield _batch(out)
+            yield _batch(out, exact)
 
-    every = _dealt(rows, starts.where("piece >= 0")).mapInArrow(run, STATE)
+    every = _dealt(rows, starts.where("piece >= 0")).mapInArrow(run, STATE if exact else STATE_DOUBLES)
     # A day that spans pieces has a state at the end of each; the last one counts.
     return every if emit == "each" else _last_of_day(every)
 
