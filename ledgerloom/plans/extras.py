@@ -64,7 +64,7 @@ def sql_as_of(spark, d):
 def stream_positions(spark, d):
     """Trades streamed in shuffled files, so that most come late: the last states are those of the batch fold."""
     source, out, checkpoint = (folder(spark, f"stream-{x}") for x in ("trades", "states", "checkpoint"))
-    t = _trades(spark, d)
+    t = ledger.normalized(fixtures.trades(spark, d))  # the stream keeps decimals
     t.repartition(6, F.xxhash64("id")).write.parquet(source)
     positions.keep_positions(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 3).parquet(source), out, checkpoint)
     return positions.latest(spark, out).select("isin", *num("quantity"), cost("cost_ccy"), cost("cost_sek"), "n_trades", "n_late")
