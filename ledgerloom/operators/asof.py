@@ -24,13 +24,14 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], on: str, valu
     return filled.select(*keys, *[F.col(f"_l.`{c}`").alias(c) for c in l_cols], *[F.col(f"_r.`{v}`").alias(v) for v in values])
 
 
-def totals_by_day(changes: DataFrame, *, by: str, on: str, amounts: list[str]) -> DataFrame:
+def totals_by_day(changes: DataFrame, *, by: str, on: str, amounts: list[str], then: list[str] | None = None) -> DataFrame:
     """Running totals over all keys at each date on which any of them changes.
 
     changes: (by, on, amounts...) with each key's new whole-number amounts. Differences per key are summed by
-    date, and only the table of dates is summed up in order, so the cost is that of the changes.
+    date, and only the table of dates is summed up in order, so the cost is that of the changes. A key may change more than once a
+    date if the columns `then` say in which order; the last amounts count.
     """
-    w = W.partitionBy(by).orderBy(on)
+    w = W.partitionBy(by).orderBy(on, *(then or []))
     steps = changes.select(on, *[(F.col(a) - F.coalesce(F.lag(a).over(w), F.lit(0))).alias(a) for a in amounts])
     days = steps.groupBy(on).agg(*[F.sum(a).alias(a) for a in amounts])
     run = W.orderBy(on).rowsBetween(W.unboundedPreceding, W.currentRow)

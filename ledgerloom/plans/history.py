@@ -31,22 +31,25 @@ def sleeved(holdings: DataFrame) -> DataFrame:
 
 
 def _value_changes(trades: DataFrame, holdings: DataFrame, closes: DataFrame, cfg: Config, keep: DataFrame | None) -> DataFrame:
-    """(isin, date, value, cost): an instrument's value and cost, in units, from each date on which either changes."""
+    """(isin, date, turn, value, cost): an instrument's value and cost, in units, from each date on which either changes.
+
+    A date on which both a price and a position change has a row for each (turn 0 and 1), the last of which counts: to bring them
+    into one would take another shuffle, and what is wanted of them is differences, which add up to the same.
+    """
     eod = ledger.end_of_day(trades)
     if keep is not None:
         eod = eod.join(keep, "isin", "left_semi")
     day_close = closes.groupBy("date", F.upper("ticker").alias("symbol")).agg(F.max("close").alias("close"))
     priced = day_close.join(symbol_map(holdings, trades), "symbol").select("isin", "date", "close")
     state = F.struct("quantity", "cost_ccy", "cost_sek", "currency")
-    both = eod.select("isin", "date", state.alias("s"), F.lit(None).cast("double").alias("close"))
-    both = both.unionByName(priced.select("isin", "date", F.lit(None).cast(both.schema["s"].dataType).alias("s"), "close"))
-    points = both.groupBy("isin", "date").agg(F.first("s", ignorenulls=True).alias("s"), F.max("close").alias("close"))
-    w = W.partitionBy("isin").orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
-    filled = points.select("isin", "date", F.last("s", ignorenulls=True).over(w).alias("s"), F.last("close", ignorenulls=True).over(w).alias("close")).where("s is not null")
+    points = eod.select("isin", "date", F.lit(1).alias("turn"), state.alias("s"), F.lit(None).cast("double").alias("close"))
+    points = points.unionByName(priced.select("isin", "date", F.lit(0).alias("turn"), F.lit(None).cast(points.schema["s"].dataType).alias("s"), "close"))
+    w = W.partitionBy("isin").orderBy("date", "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = points.select("isin", "date", "turn", F.last("s", ignorenulls=True).over(w).alias("s"), F.last("close", ignorenulls=True).over(w).alias("close")).where("s is not null")
     held = F.col("s.quantity") > 0
     price = F.coalesce("close", F.when(held, F.col("s.cost_ccy").cast("double") / F.col("s.quantity").cast("double")))
     value = F.when(held, X.to_units(F.col("s.quantity") * price * X.fx_factor(F.col("s.currency"), cfg))).otherwise(F.lit(0))
-    return filled.select("isin", "date", value.alias("value"), F.when(held, X.to_units(F.col("s.cost_sek"))).otherwise(F.lit(0)).alias("cost"))
+    return filled.select("isin", "date", "turn", value.alias("value"), F.when(held, X.to_units(F.col("s.cost_sek"))).otherwise(F.lit(0)).alias("cost"))
 
 
 def _lookback(closes: DataFrame, start: Column, days: int | None) -> DataFrame:
@@ -69,7 +72,7 @@ def reconstruct(trades: DataFrame, flows: DataFrame, holdings: DataFrame, closes
     ends = span.select(F.explode(F.array("lo", "hi")).alias("date"))
     calendar = in_range.union(ends).distinct().crossJoin(any_close).select("date")
 
-    totals = totals_by_day(_value_changes(trades, holdings, usable, cfg, None), by="isin", on="date", amounts=["value", "cost"])
+    totals = totals_by_day(_value_changes(trades, holdings, usable, cfg, None), by="isin", on="date", then=["turn"], amounts=["value", "cost"])
     valued = on_calendar(calendar, totals, on="date", amounts=["value", "cost"])
     moved = on_calendar(calendar, cash.by_day(cash.movements(trades, flows, cfg)), on="date", amounts=["cash", "flows"])
     days = valued.join(moved, "date")
@@ -91,7 +94,7 @@ def journal(trades: DataFrame, holdings: DataFrame, closes: DataFrame, cfg: Conf
     span = F.broadcast(trades.agg(F.min("date").alias("first")).select(F.greatest("first", F.date_sub(last, days - 1)).alias("lo")).where(F.col("lo") <= last))
     calendar = span.select(dense_days(F.col("lo"), last).alias("date"))
     usable = _lookback(closes.crossJoin(span), F.col("lo"), lookback_days).select("date", "ticker", "close")
-    totals = totals_by_day(_value_changes(trades, holdings, usable, cfg, keep), by="isin", on="date", amounts=["value", "cost"])
+    totals = totals_by_day(_value_changes(trades, holdings, usable, cfg, keep), by="isin", on="date", then=["turn"], amounts=["value", "cost"])
     valued = on_calendar(calendar, totals, on="date", amounts=["value", "cost"]).withColumn("pnl", F.col("value") - F.col("cost"))
     kept = trades if keep is None else trades.join(keep, "isin", "left_semi")
     mark = F.coalesce(F.when(F.col("symbol") != "", F.col("symbol")), F.col("isin"))

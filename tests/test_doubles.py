@@ -7,8 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from ledgerloom.operators import ledger, nav, segments
-from ledgerloom.plans import queries
+from ledgerloom.operators import asof, ledger, nav, segments
+from ledgerloom.plans import history, queries
 from ledgerloom.schemas import Config
 
 BIG = "/root/testdata/sf0.1"
@@ -84,3 +84,19 @@ def test_equity_beyond_what_doubles_count_in_units(spark, monkeypatch, name):
     want = {d: int(np.floor(e * 10_000.0 + 0.5)) for d, e in equity.items()}
     got = {r["as_of"]: r["equity"] for r in queries.queries()[name](spark, "").collect()}
     assert got and all(want[d] == e for d, e in got.items())
+
+
+def test_a_day_with_a_price_and_a_trade_is_not_brought_into_one_row(spark, make):
+    """Daily values shuffle positions and prices once; they were aggregated by instrument and day first."""
+    t = ledger.normalized(make.trades((1, "2026-01-02", "A", "buy", 10, 5, {"symbol": "AA"}), (2, "2026-01-03", "A", "sell", 4, 7, {"symbol": "AA"})), exact=False)
+    changes = history._value_changes(t, make.holdings({"id": 1, "isin": "A", "symbol": "AA"}), make.closes(("2026-01-03", "AA", 6), ("2026-01-04", "AA", 8)), Config(), None)
+    assert "first(s" not in changes._jdf.queryExecution().optimizedPlan().toString()
+    days = asof.totals_by_day(changes, by="isin", on="date", then=["turn"], amounts=["value", "cost"]).orderBy("date").collect()
+    assert [(str(r["date"]), r["value"], r["cost"]) for r in days] == [("2026-01-02", 500_000, 500_000), ("2026-01-03", 360_000, 300_000), ("2026-01-04", 480_000, 300_000)]
+
+
+def test_trades_are_numbered_before_texts_are_joined(spark):
+    from ledgerloom.sources import fixtures
+
+    plan = fixtures.trades(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # the window is below the join
