@@ -12,6 +12,7 @@ from ledgerloom.plans import history, risk
 from ledgerloom.sources import broker_csv, price_lake, rates
 from ledgerloom.schemas import TABLES
 from ledgerloom.store import Store
+from ledgerloom.stored import written
 
 
 def listing(rows: DataFrame, order: list[str], limit: int | None = None, newest_first: bool = False) -> DataFrame:
@@ -133,7 +134,8 @@ class Portfolio:
 
         The span is that of all rows of the file; trades are replaced only if it has any, flows likewise.
         """
-        return self.take(broker_csv.parse(broker_csv.read(self.spark, path)))
+        raw = written(broker_csv.read(self.spark, path), "import-rows")  # read as text once: what follows reads it some seven times
+        return self.take(broker_csv.parse(raw))
 
     def take(self, parsed: broker_csv.Parsed) -> dict[str, Any]:
         """What import_csv does, with an export that is parsed."""

@@ -100,3 +100,16 @@ def test_trades_are_numbered_before_texts_are_joined(spark):
 
     plan = fixtures.trades(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Window")  # the window is below the join
+
+
+def test_an_export_is_read_as_text_once(spark, monkeypatch, tmp_path):
+    """The rows that an import parses are a stored table, not the text that each step would read again."""
+    from ledgerloom import api
+    from ledgerloom.store import Store
+
+    (tmp_path / "export.csv").write_text("Datum;Typ av transaktion;Antal;Kurs;ISIN\n2026-01-10;Köp;1;50,00;A1\n")
+    seen = []
+    monkeypatch.setattr(api.Portfolio, "take", lambda self, parsed: seen.append(parsed) or {})
+    api.Portfolio(Store(spark, str(tmp_path / "store"))).import_csv(str(tmp_path / "export.csv"))
+    plan = seen[0].trades._jdf.queryExecution().executedPlan().toString().lower()
+    assert "parquet" in plan and "csv" not in plan.replace("export.csv", "") and seen[0].trades.count() == 1
