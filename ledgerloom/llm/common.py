@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings with these values, and afterwards as they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write df once as a table in the shared folder and read it back.
 
@@ -47,12 +62,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    try:  # long texts and arrays: what a Python worker holds at a time is a batch
-        spark.conf.set(rows, str(min(int(before), BATCH)) if int(before) > 0 else str(BATCH))
+    now = int(spark.conf.get(rows))
+    # Long texts and arrays: what a Python worker holds at a time is a batch.
+    with settings(spark, {rows: str(min(now, BATCH) if now > 0 else BATCH)}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

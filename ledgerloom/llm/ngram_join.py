@@ -29,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, materialize, mix64, slices, word_hashes
+from ledgerloom.llm.common import as_bytes, materialize, mix64, settings, slices, word_hashes
 from ledgerloom.llm.graph import components
 
 BUCKETS, CHUNK = 1 << 22, 1 << 14
 BITS = 1 << 23
 #: Sets and n-grams in a block of the product, on average; documents of an n-gram that meet in a piece.
 BLOCK_SETS, BLOCK_GRAMS, HOT = 256, 1 << 20, 1000
+#: Joins stay sort-merge joins, of which only the tables that are small to begin with are broadcast: each shuffled side that proved
+#: small would pass through the driver, dozens of them in a run, and take its memory and a thread.
+_JOINS = {"spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -62,8 +65,14 @@ def digest(grams: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits, in the same order: themselves below 16,384, then a thousand levels for each doubling."""
+    far = np.floor(np.log2(np.maximum(counts, 1 << 14)) * 1000).astype(np.int64) - 14_000 + (1 << 14)
+    return np.where(counts < 1 << 14, counts, far).astype("<u2")
+
+
 def _sketch(docs: DataFrame, span: int) -> np.ndarray:
-    """Counts of n-grams over the whole corpus, hashed into BUCKETS cells."""
+    """Levels of the counts of n-grams over the whole corpus, hashed into BUCKETS cells: 8 MB on the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -93,21 +102,22 @@ def _sketch(docs: DataFrame, span: int) -> np.ndarray:
         for b in batches:
             for kind, cells in zip(b.column("kind").to_pylist(), b.column("cells").to_pylist(), strict=True):
                 total += np.frombuffer(cells, kind)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array(["<i8"]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "part", "kind", "cells"])
+        total = total if len(key) > 1 else _levels(total)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.dtype.str]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "part", "kind", "cells"])
 
     schema = "chunk int, part int, kind string, cells binary"
     parts = docs.mapInArrow(count, schema)
     some = parts.groupBy("chunk", "part").applyInArrow(add, schema)
     rows = some.groupBy("chunk").applyInArrow(add, schema).select("chunk", "cells").collect()  # BUCKETS numbers
-    cells = np.zeros(BUCKETS, np.int64)
+    cells = np.zeros(BUCKETS, "<u2")
     for r in rows:
-        cells[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], np.int64)
+        cells[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], "<u2")
     return cells
 
 
 def _signatures(rows: DataFrame, cells: np.ndarray, span: int, percent: int) -> DataFrame:
     """id, row, n, k1, k2 and the prefix of each row's set, in the order of rising counts."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.minimum(cells, np.iinfo(np.uint32).max).astype(np.uint32))
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +335,11 @@ def classes(docs: DataFrame, *, span: int = 4, percent: int = 85, id_col: str =
     nothing and are their own component; repeated rows are equal sets; a null id takes part with its text, but
     is nobody's smallest, so a component of null ids alone has none. Extra columns are left out.
     """
+    with settings(docs.sparkSession, _JOINS):
+        return _classes(docs, span, percent, id_col, text_col, count_links)
+
+
+def _classes(docs: DataFrame, span: int, percent: int, id_col: str, text_col: str, count_links: bool) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.select("id", F.xxhash64("id", "text").alias("row"), "text")
     cells = _sketch(rows.select("text"), span)
