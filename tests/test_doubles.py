@@ -113,3 +113,41 @@ def test_an_export_is_read_as_text_once(spark, monkeypatch, tmp_path):
     api.Portfolio(Store(spark, str(tmp_path / "store"))).import_csv(str(tmp_path / "export.csv"))
     plan = seen[0].trades._jdf.queryExecution().executedPlan().toString().lower()
     assert "parquet" in plan and "csv" not in plan.replace("export.csv", "") and seen[0].trades.count() == 1
+
+
+#: Trades in EUR whose costs are exact halves of a unit: kind, quantity, price, whether an amount is booked. Decimals put each on the other side than doubles.
+HALVES = {
+    10: [("buy", 39, 1164, True), ("buy", 41, 903, True), ("sell", 14, 2083, True), ("buy", 2, 3192, True)],
+    20: [("buy", 45, 1512, True), ("buy", 11, 4450, True), ("buy", 24, 873, True), ("sell", 19, 4387, False)],
+    30: [("buy", 23, 2116, True), ("buy", 15, 2533, True), ("buy", 42, 2414, False), ("sell", 2, 395, False)],
+}
+
+
+@pytest.fixture
+def halves(tmp_path):
+    """Tables of instruments without closes, which are valued at cost, and a connection with their views."""
+    con = duckdb.connect()
+    lines = [(k * 100 + n, k, n, float(x), (p + 0.5) * x * 10.87, "R" if kind == "sell" else "N", "F" if booked else "O", dt.datetime(2001, 3, 1 + 3 * n)) for k, trades in HALVES.items() for n, (kind, x, p, booked) in enumerate(trades)]
+    con.execute("CREATE TABLE given (o BIGINT, k BIGINT, n INTEGER, x DOUBLE, p DOUBLE, r VARCHAR, s VARCHAR, d TIMESTAMP)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?, ?, ?, ?, ?, ?)", lines)
+    made = {
+        "region": "SELECT i AS r_regionkey, 'R' || i AS r_name FROM range(5) t(i)",
+        "nation": "SELECT i AS n_nationkey, 'N' || i AS n_name, i % 5 AS n_regionkey FROM range(25) t(i)",
+        "supplier": "SELECT DISTINCT k AS s_suppkey, 'S' || k AS s_name, (k // 10 * 4 - 2)::INTEGER AS s_nationkey FROM given",
+        "orders": "SELECT o AS o_orderkey, d AS o_orderdate, 'O' AS o_orderstatus, 10.0::DOUBLE AS o_totalprice, '5-LOW' AS o_orderpriority FROM given",
+        "lineitem": "SELECT o AS l_orderkey, 1::BIGINT AS l_partkey, k AS l_suppkey, n AS l_linenumber, x AS l_quantity, p AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, r AS l_returnflag, s AS l_linestatus, d AS l_shipdate FROM given",
+    }
+    for t, sql in made.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    return con, str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["daily_journal"])
+def test_amounts_at_exact_halves_equal_the_sql(spark, halves, name):
+    from tests.test_queries import canonical
+
+    con, folder = halves
+    got, want = queries.queries()[name](spark, folder).toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(want)
+    assert canonical(got) == canonical(want)
