@@ -143,7 +143,7 @@ def halves(tmp_path):
     return con, str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["daily_journal", "day_pnl_summary"])
+@pytest.mark.parametrize("name", ["daily_journal", "day_pnl_summary", "heatmap_weeks"])
 def test_amounts_at_exact_halves_equal_the_sql(spark, halves, name):
     from tests.test_queries import canonical
 
