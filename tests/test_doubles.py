@@ -143,7 +143,7 @@ def halves(tmp_path):
     return con, str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["daily_journal", "day_pnl_summary", "heatmap_weeks", "holding_valuation", "allocation_cube", "allocation_holdings", "holding_rows"])
+@pytest.mark.parametrize("name", ["daily_journal", "day_pnl_summary", "heatmap_weeks", "holding_valuation", "allocation_cube", "allocation_holdings", "holding_rows", "allocation_nested"])
 def test_amounts_at_exact_halves_equal_the_sql(spark, halves, name):
     from tests.test_queries import canonical
 
