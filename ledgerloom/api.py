@@ -124,10 +124,11 @@ class Portfolio:
 
     # --- import ---
 
-    def preview_import(self, path: str) -> dict[str, Any]:
-        """What an export holds and the positions it alone would make; nothing is stored."""
-        parsed = broker_csv.parse(broker_csv.read(self.spark, path))
-        return {"summary": parsed.summary.first().asDict(), "positions": ledger.positions(ledger.normalized(parsed.trades))}
+    def preview_import(self, path: str, *, exact: bool = True) -> dict[str, Any]:
+        """What an export holds and the positions it alone would make; nothing is stored. exact: positions are folded in decimals, else in doubles."""
+        raw = broker_csv.read(self.spark, path)
+        trades = ledger.normalized(broker_csv.parse(raw, exact=exact).trades, exact=exact)
+        return {"summary": broker_csv.parse(raw).summary.first().asDict(), "positions": ledger.positions(trades)}
 
     def import_csv(self, path: str) -> dict[str, Any]:
         """Replace the imported rows in the export's span of dates by it, all tables at once; importing again changes nothing.

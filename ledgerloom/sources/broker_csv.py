@@ -42,10 +42,14 @@ def _column(raw: DataFrame, *names: str) -> Column:
     return found[0].cast("string") if found else F.lit(None).cast("string")
 
 
-def parse(raw: DataFrame) -> Parsed:
-    """Rows by type. Trades need isin, quantity, price and date, flows a date and an amount; others are left out."""
+def parse(raw: DataFrame, *, exact: bool = True) -> Parsed:
+    """Rows by type. Trades need isin, quantity, price and date, flows a date and an amount; others are left out.
+
+    exact: numbers are decimals, else the doubles nearest to what is written (the same texts count as numbers).
+    """
     text = lambda key: F.trim(F.coalesce(_column(raw, *HEADERS[key]), F.lit("")))
-    number = lambda key: locale_number(_column(raw, *HEADERS[key]))
+    decimal = lambda key: locale_number(_column(raw, *HEADERS[key]))
+    number = decimal if exact else lambda key: F.when(decimal(key).isNotNull(), locale_number(_column(raw, *HEADERS[key]), "double"))
     filled = lambda c: F.when(c != "", c)
     day = filled(text("date"))
     rows = raw.select(

@@ -151,3 +151,37 @@ def test_amounts_at_exact_halves_equal_the_sql(spark, halves, name):
     got, want = queries.queries()[name](spark, folder).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(want)
     assert canonical(got) == canonical(want)
+
+
+#: Trades in EUR: what decimals make of the average price falls on the other side of a half of its sixth place than doubles.
+PRICED = {
+    10: [("buy", 42, 1539, True), ("buy", 42, 1727, True), ("buy", 16, 1647, True), ("sell", 17, 1487, True), ("buy", 45, 1512, True)],
+    20: [("buy", 38, 1882, True), ("buy", 37, 1786, True), ("buy", 5, 1896, True), ("sell", 7, 1452, True), ("buy", 7, 1588, True)],
+    30: [("buy", 37, 2002, True), ("buy", 43, 1163, True), ("sell", 31, 1244, True), ("buy", 7, 1733, True), ("sell", 12, 1620, True)],
+}
+
+
+def test_a_preview_of_doubles_equals_the_sql(spark, monkeypatch, tmp_path, request):
+    from tests.test_queries import canonical
+
+    monkeypatch.setitem(globals(), "HALVES", PRICED)
+    con, folder = request.getfixturevalue("halves")
+    con.execute(f"COPY (SELECT * REPLACE (1 AS l_linenumber, l_linenumber AS l_partkey) FROM '{folder}/lineitem.parquet') TO '{tmp_path}/odd.parquet' (FORMAT parquet)")  # imported trades have odd numbers
+    os.replace(f"{tmp_path}/odd.parquet", f"{folder}/lineitem.parquet")
+    got, want = queries.queries()["preview_import"](spark, folder).toPandas(), con.execute(queries.oracle_sql()["preview_import"]).df()
+    assert len(want) == 3 and canonical(got) == canonical(want)
+
+
+def test_an_export_keeps_the_doubles_of_amounts(spark, monkeypatch):
+    """A product of doubles is not the number with four decimals that it shows as."""
+    from ledgerloom.sources import broker_csv, fixtures
+
+    amounts = [-(39.0 * 1164.0 * 10.87), 0.1 + 0.2, 12345678901.25, None, 7.0]
+    t = spark.createDataFrame([(k, dt.date(2026, 1, 1 + k), "A1", "n", "EUR", "buy", 1.0, 2.0, a, 0.0, "avanza") for k, a in enumerate(amounts)], "id long, date date, isin string, name string, currency string, kind string, quantity double, price double, amount_sek double, fees_sek double, source string")
+    monkeypatch.setattr(fixtures, "trades", lambda spark, d: t)
+    monkeypatch.setattr(fixtures, "flows", lambda spark, d: spark.createDataFrame([], "date date, amount_sek double, kind string, source string"))
+    read = broker_csv.parse(fixtures.csv_rows(spark, ""), exact=False).trades.orderBy("date").collect()
+    assert [r["amount_sek"] for r in read] == amounts
+    odd = spark.createDataFrame([("2026-01-01", "Köp", x, "2", "A1") for x in ("1,5", "1 0", "NaN", "Infinity", "2d", "x", "")], "Datum string, `Typ av transaktion` string, Antal string, Kurs string, ISIN string")
+    both = [[float(r["quantity"]) for r in broker_csv.parse(odd, exact=e).trades.collect()] for e in (True, False)]
+    assert both == [[1.5, 10.0]] * 2
