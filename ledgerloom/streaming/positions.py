@@ -19,18 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerloom.operators.ledger import Fold
+from ledgerloom.operators.ledger import Fold, is_exact
 from ledgerloom.operators.segments import _dump, _fill
 
 LIVE = "isin string, date date, id bigint, quantity decimal(28,8), cost_ccy decimal(38,16), cost_sek decimal(38,16), acquired_at date, n_trades bigint, n_late bigint"
+#: The same over doubles.
+LIVE_DOUBLES = "isin string, date date, id bigint, quantity double, cost_ccy double, cost_sek double, acquired_at date, n_trades bigint, n_late bigint"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class Replay(StatefulProcessor):
     """State by month ('' for trades without a date, which come first): its trades, the fold's state at its end, and how many trades there were."""
 
-    def __init__(self, lateness_days: int | None):
-        self.lateness = lateness_days
+    def __init__(self, lateness_days: int | None, exact: bool = True):
+        self.lateness, self.exact = lateness_days, exact
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.months = handle.getMapState("months", "month string", "trades string, state string, n long")
@@ -51,23 +53,26 @@ class Replay(StatefulProcessor):
                 fresh.setdefault((d or "")[:7], []).append([d, int(t.id), plain(t.kind), plain(t.quantity), plain(t.price), plain(t.amount_sek), plain(t.name), plain(t.currency)])
         known = sorted({k[0] for k in self.months.keys()} | set(fresh))
         first = min(fresh, default=None)
-        fold, total = Fold(), 0
+        number = Decimal if self.exact else float  # of the texts in which numbers are kept: repr tells each double
+        fold, total = Fold.empty(self.exact), 0
         for m in known:
             trades, state, n = self.months.getValue((m,)) if self.months.containsKey((m,)) else ("[]", None, 0)
             if first is None or m < first:  # as it was
-                fold, total = _fill(Fold(), json.loads(state)), total + n
+                fold, total = _fill(Fold(), json.loads(state), number), total + n
                 continue
             all_ = sorted(json.loads(trades) + fresh.get(m, []), key=lambda t: (t[0] or "", t[1]))
             for d, i, kind, x, p, amount, name, currency in all_:
-                fold.take(d and Date.fromisoformat(d), i, kind, Decimal(x), Decimal(p), amount and Decimal(amount), name, currency)
+                fold.take(d and Date.fromisoformat(d), i, kind, number(x), number(p), amount and number(amount), name, currency)
             total += len(all_)
             self.months.updateValue((m,), (json.dumps(all_), _dump(fold), len(all_)))
         if self.lateness is not None and newest:
             self._close((Date.fromisoformat(newest) - timedelta(self.lateness)).isoformat()[:7], known)
         self.late.update((n_late, newest))
-        places = [Decimal(1).scaleb(-8), Decimal(1).scaleb(-16), Decimal(1).scaleb(-16)]
-        with localcontext(prec=38):
-            q, c, s = (x.quantize(p) for x, p in zip((fold.q, fold.c, fold.s), places, strict=True))
+        q, c, s = fold.q, fold.c, fold.s
+        if self.exact:
+            places = [Decimal(1).scaleb(-8), Decimal(1).scaleb(-16), Decimal(1).scaleb(-16)]
+            with localcontext(prec=38):
+                q, c, s = (x.quantize(p) for x, p in zip((q, c, s), places, strict=True))
         yield pd.DataFrame({"isin": [key[0]], "date": [fold.date], "id": [fold.id], "quantity": [q], "cost_ccy": [c], "cost_sek": [s], "acquired_at": [fold.since], "n_trades": [total], "n_late": [n_late]})
 
     def _close(self, month: str, known: list[str]) -> None:
@@ -89,7 +94,8 @@ def live_positions(trades: DataFrame, *, lateness_days: int | None = None) -> Da
     n_trades: the trades counted. lateness_days: trades of months wholly further back than so many days before the newest one are not
     counted but reported in n_late, and the state keeps only months that can still change; None counts every trade, however late.
     """
-    return trades.groupBy("isin").transformWithStateInPandas(Replay(lateness_days), LIVE, "Update", "None")
+    exact = is_exact(trades)
+    return trades.groupBy("isin").transformWithStateInPandas(Replay(lateness_days, exact), LIVE if exact else LIVE_DOUBLES, "Update", "None")
 
 
 @contextmanager

@@ -185,3 +185,14 @@ def test_an_export_keeps_the_doubles_of_amounts(spark, monkeypatch):
     odd = spark.createDataFrame([("2026-01-01", "Köp", x, "2", "A1") for x in ("1,5", "1 0", "NaN", "Infinity", "2d", "x", "")], "Datum string, `Typ av transaktion` string, Antal string, Kurs string, ISIN string")
     both = [[float(r["quantity"]) for r in broker_csv.parse(odd, exact=e).trades.collect()] for e in (True, False)]
     assert both == [[1.5, 10.0]] * 2
+
+
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no test tables")
+def test_a_stream_of_doubles_ends_where_the_sql_does(spark, tmp_path):
+    """An instrument whose cost in decimals falls on the other side of the point of rounding."""
+    con = duckdb.connect()
+    for t, which in (("supplier", "WHERE s_suppkey IN (381, 490)"), ("nation", ""), ("lineitem", "WHERE l_suppkey IN (381, 490)")):
+        con.execute(f"COPY (SELECT * FROM '{BIG}/{t}.parquet' {which}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = queries.queries()["stream_positions"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.oracle_sql()["stream_positions"]).fetchall())
