@@ -117,8 +117,8 @@ class Portfolio:
         def derive(h: DataFrame) -> DataFrame:
             first = mutate.next_id(h)
             out = ledger.recompute_holdings(h, self._trades(), isins)
-            fresh = out.where("id is null").withColumn("id", F.monotonically_increasing_id() + F.lit(first))
-            return out.where("id is not null").unionByName(fresh.withColumns({"asset_class": F.lit("equity"), "price_source": F.lit("none")}))
+            of_new = lambda new, c: F.when(F.col("id").isNull(), new).otherwise(F.col(c))
+            return out.withColumns({"id": of_new(F.monotonically_increasing_id() + F.lit(first), "id"), "asset_class": of_new(F.lit("equity"), "asset_class"), "price_source": of_new(F.lit("none"), "price_source")})
 
         self.store.change("holdings", derive)
 
@@ -135,8 +135,8 @@ class Portfolio:
 
         The span is that of all rows of the file; trades are replaced only if it has any, flows likewise.
         """
-        raw = written(broker_csv.read(self.spark, path), "import-rows")  # read as text once: what follows reads it some seven times
-        return self.take(broker_csv.parse(raw))
+        # Read and parsed once: what follows reads the rows some seven times.
+        return self.take(broker_csv.parse(broker_csv.read(self.spark, path), keep=lambda rows: written(rows, "import-rows")))
 
     def take(self, parsed: broker_csv.Parsed) -> dict[str, Any]:
         """What import_csv does, with an export that is parsed."""
@@ -157,7 +157,7 @@ class Portfolio:
         new = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]])
         with self.store.transaction():
             self.store.change(name, lambda t: mutate.without_range(t, lo, hi), since=lo, until=hi)
-            self.store.append(name, new)
+            self.store.append(name, new, ranged=True)
 
     # --- reports ---
 

@@ -109,7 +109,7 @@ def headrooms(drawdown: Column, belaningsgrad: Column, cfg: Config) -> list[Colu
 
 def locale_number(text: Column, kind: str = "decimal(38,10)") -> Column:
     """A number with decimal comma and blanks between digits; anything else is null."""
-    return F.regexp_replace(F.regexp_replace(text, "[ \\u00A0]", ""), ",", ".").try_cast(kind)
+    return F.translate(text, ", \u00a0", ".").try_cast(kind)
 
 
 # --- display -----------------------------------------------------------------------------------------

@@ -76,41 +76,19 @@ def _one_pass(rows: DataFrame, emit: str) -> DataFrame:
     dealt = rows.repartition("isin").sortWithinPartitions("isin", F.col("date").asc_nulls_first(), "id")
     exact = is_exact(rows)
 
-    if not exact:
-        return dealt.mapInArrow(lambda batches: _doubles(batches, emit), STATE_DOUBLES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        isin, fold, out = None, None, []
-        for b in batches:
-            for i, *trade in zip(*as_lists(b), strict=True):
-                if i != isin:
-                    if isin is not None and emit != "each":
-                        out.append((isin, *fold.state()))
-                    isin, fold = i, Fold()
-                elif emit == "day" and trade[0] != fold.date:
-                    out.append((isin, *fold.state()))
-                fold.take(*trade)
-                if emit == "each":
-                    out.append((isin, *fold.state()))
-            if out:
-                yield _batch(out)
-                out = []
-        if isin is not None and emit != "each":
-            yield _batch([(isin, *fold.state())])
-
-    return dealt.mapInArrow(run, STATE)
-
-
-def _doubles(batches: Iterator[pa.RecordBatch], emit: str) -> Iterator[pa.RecordBatch]:
-    """What run in _one_pass does, with doubles: the state in local variables, as Python calls cost more than the sums."""
-    isin = None
+    return dealt.mapInArrow(lambda batches: _run(batches, emit, exact), STATE if exact else STATE_DOUBLES)
+
+
+def _run(batches: Iterator[pa.RecordBatch], emit: str, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Fold.take of each row, with the state in local variables, as Python calls cost more than the sums."""
+    isin, zero = None, Decimal(0) if exact else 0.0
     for b in batches:
         out = []
         for i, date, row_id, kind, x, price, amount, n, cur in zip(*as_lists(b), strict=True):
             if i != isin:
                 if isin is not None and emit != "each":
                     out.append((isin, at, day, q, c, s, since, name, currency))
-                isin, q, c, s, since, name, currency = i, 0.0, 0.0, 0.0, None, None, None
+                isin, q, c, s, since, name, currency = i, zero, zero, zero, None, None, None
             elif emit == "day" and date != day:
                 out.append((i, at, day, q, c, s, since, name, currency))
             if kind == "buy":
@@ -127,16 +105,16 @@ def _doubles(batches: Iterator[pa.RecordBatch], emit: str) -> Iterator[pa.Record
                 else:
                     c -= c / q * q
                     s -= s / q * q
-                    q = 0.0
+                    q = zero
             else:
                 q -= x
             at, day, name, currency = row_id, date, name or n or None, cur or currency
             if emit == "each":
                 out.append((i, at, day, q, c, s, since, name, currency))
         if out:
-            yield _batch(out, False)
+            yield _batch(out, exact)
     if isin is not None and emit != "each":
-        yield _batch([(isin, at, day, q, c, s, since, name, currency)], False)
+        yield _batch([(isin, at, day, q, c, s, since, name, currency)], exact)
 
 
 class Fold:

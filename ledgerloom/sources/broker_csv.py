@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +43,11 @@ def _column(raw: DataFrame, *names: str) -> Column:
     return found[0].cast("string") if found else F.lit(None).cast("string")
 
 
-def parse(raw: DataFrame, *, exact: bool = True) -> Parsed:
+def parse(raw: DataFrame, *, exact: bool = True, keep: Callable[[DataFrame], DataFrame] | None = None) -> Parsed:
     """Rows by type. Trades need isin, quantity, price and date, flows a date and an amount; others are left out.
 
     exact: numbers are decimals, else the doubles nearest to what is written (the same texts count as numbers).
+    keep: stores the rows, typed, before they are told apart; what is made of them reads what it returns.
     """
     text = lambda key: F.trim(F.coalesce(_column(raw, *HEADERS[key]), F.lit("")))
     decimal = lambda key: locale_number(_column(raw, *HEADERS[key]))
@@ -58,7 +60,7 @@ def parse(raw: DataFrame, *, exact: bool = True) -> Parsed:
         F.coalesce(number("fees"), F.lit(0)).alias("fees_sek"), number("fx_rate").alias("fx_rate"),
     )
     kind = F.when(F.col("type").isin(*BUY), "buy").when(F.col("type").isin(*SELL), "sell").when(F.col("type").isin(*DEPOSIT), "deposit").when(F.col("type").isin(*WITHDRAWAL), "withdrawal")
-    rows = rows.withColumn("kind", kind)
+    rows = rows.withColumn("kind", kind) if keep is None else keep(rows.withColumn("kind", kind))
     trades = rows.where("kind in ('buy', 'sell') and isin != '' and quantity is not null and price is not null and date is not null")
     trades = trades.select("date", "isin", "name", "currency", "kind", F.abs("quantity").alias("quantity"), "price", "amount_sek", "fees_sek", "fx_rate")
     flows = rows.where("kind in ('deposit', 'withdrawal') and amount_sek is not null and amount_sek != 0 and date is not null")

@@ -196,3 +196,40 @@ def test_a_stream_of_doubles_ends_where_the_sql_does(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     got = queries.queries()["stream_positions"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(queries.oracle_sql()["stream_positions"]).fetchall())
+
+
+def test_an_import_parses_ranges_and_folds_once(spark, monkeypatch, tmp_path):
+    """Each table's new rows were put in ranges twice, texts were parsed for each of some seven reads, and holdings were derived twice."""
+    from ledgerloom import api
+    from ledgerloom.store import Store
+
+    lines = [f"2026-0{1 + k % 6}-{1 + k % 27:02d};{('Köp', 'Sälj', 'Insättning')[k % 3]};{k % 7 + 1};5{k % 10},50;{k}00,00;A{k % 4}" for k in range(60)]
+    (tmp_path / "export.csv").write_text("\n".join(["Datum;Typ av transaktion;Antal;Kurs;Belopp;ISIN", *lines]))
+    frame = type(spark.range(1))
+    ranged, plans, real, put = [], {}, frame.repartitionByRange, Store._written
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: (ranged.append(a), real(self, *a))[1])
+    monkeypatch.setattr(Store, "_written", lambda self, name, rows, *a, **k: (plans.setdefault(name, rows._jdf.queryExecution().optimizedPlan().toString()), put(self, name, rows, *a, **k))[1])
+    port = api.Portfolio(Store(spark, str(tmp_path / "store")))
+    assert (port.import_csv(str(tmp_path / "export.csv"))["n_trades"], len(ranged)) == (40, 2)
+    assert plans["holdings"].count("MapInArrow") == 1 and "translate" not in plans["transactions"] and "regexp" not in plans["transactions"]
+    for name in ("transactions", "cash_flows"):  # files hold ranges of dates one after the other, with ids of their own
+        files = port.store.files(name)
+        assert all(a["hi"] < b["lo"] and a["last"] < b["first"] for a, b in zip(files, files[1:], strict=False))
+    assert port.transactions().select("id").distinct().count() == 40
+    new = port.holdings().collect()
+    assert len({r["id"] for r in new}) == len(new) and {(r["asset_class"], r["price_source"]) for r in new} == {("equity", "none")}
+    port.upsert_holding(id=new[0]["id"], asset_class="etf", last_price=7)
+    port.recompute()
+    again = {r["id"]: r for r in port.holdings().collect()}
+    assert set(again) == {r["id"] for r in new} and (again[new[0]["id"]]["asset_class"], again[new[0]["id"]]["price_source"]) == ("etf", "manual")
+
+
+def test_decimals_fold_as_the_fold_of_one_trade_does(spark):
+    _, t = book(spark, 3000, 4)
+    t = ledger.normalized(t)
+    want, folds = {}, {}
+    for r in sorted(t.collect(), key=lambda r: (r["date"] or dt.date.min, r["id"])):
+        f = folds.setdefault(r["isin"], ledger.Fold())
+        f.take(r["date"], r["id"], r["kind"], r["quantity"], r["price"], r["amount_sek"], r["name"], r["currency"])
+        want[r["id"]] = ledger._batch([(r["isin"], *f.state())]).to_pylist()[0]
+    assert {r["id"]: r.asDict() for r in ledger.states(t).collect()} == want
