@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,61 @@ def test_a_ledger_goes_through_a_database(spark, make, tmp_path):
         database.replace(t.withColumn("price", F.raise_error(F.lit("lost")).cast("decimal(20,8)")), url, "LEDGER", types=types)
     assert database.read(spark, url, "LEDGER").count() == t.count()
     assert database.read(spark, url, "(SELECT * FROM LEDGER WHERE 1 = 0) AS nothing", split_by="id").count() == 0
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_long_histories_in_pieces_end_where_the_batch_fold_does(spark, tmp_path, exact):
+    """Histories of several pieces, in shuffled batches and days that span pieces; each batch's state is that of all trades so far."""
+    rows = spark.range(9000).select(
+        "id", F.when(F.col("id") % 1000 != 7, F.expr("date_add(date'1969-01-01', int((id * 7919) % 9000 / 9))")).alias("date"), F.concat(F.lit("I"), F.col("id") % 3 % 2).alias("isin"),
+        F.when(F.hash("id") % 9 < 4, "buy").otherwise("sell").alias("kind"), (F.abs(F.hash("id")) % 50 / 3 + 1).alias("quantity"), (F.abs(F.hash("id")) % 900 / 7).alias("price"), F.when(F.col("id") % 4 == 0, F.col("id") / 11).alias("amount_sek"),
+    )
+    t = ledger.normalized(rows, exact=exact)
+    for k in range(3):
+        t.where(F.pmod(F.hash("id"), F.lit(3)) == k).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+        stream = spark.readStream.schema(t.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        positions.keep_positions(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        so_far = t.where(F.pmod(F.hash("id"), F.lit(3)) <= k)
+        columns = ["isin", "date", "id", "quantity", "cost_ccy", "cost_sek", "acquired_at"]
+        got, counts = positions.latest(spark, str(tmp_path / "out")), so_far.groupBy("isin").count().collect()
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, ledger._fold(so_far, "last", ledger.LONG).select(*columns).collect()))
+        assert {(r["isin"], r["n_trades"], r["n_late"]) for r in got.collect()} == {(r["isin"], r["count"], 0) for r in counts}
+    assert max(r["count"] for r in counts) > 2 * positions.PIECE
+
+
+def test_the_state_of_a_key_is_read_and_written_in_one_call_each(spark):
+    """Months were a state each: some 250 calls for seven years of trades, each a round trip to the JVM."""
+
+    class Kept:
+        def __init__(self, calls):
+            self.calls, self.value = calls, None
+
+        def __getattr__(self, name):
+            def call(*given):
+                self.calls.append(name)
+                if name == "update":
+                    self.value = given[0]
+                return self.value if name == "get" else None
+
+            return call
+
+    calls, out = [], []
+    replay = positions.Replay(None, False)
+    replay.head, replay.pieces = Kept(calls), Kept(calls)
+    for batch in range(2):
+        rows = np.zeros(300, positions.PACKED[False])
+        rows["day"], rows["id"], rows["flags"], rows["quantity"], rows["price"] = np.arange(300) * 9 - batch, np.arange(300) + 300 * batch, 1, 2.0, 3.0
+        out += list(replay.handleInputRows(("A",), iter([{"trades": rows.tobytes()}]), None))
+    assert calls == ["get", "update"] * 2 and [(r["n_trades"], r["quantity"], r["cost_ccy"]) for r in out] == [(300, 600.0, 1800.0), (600, 1200.0, 3600.0)]
+
+
+def test_settled_pieces_are_not_kept(spark, tmp_path):
+    rows = spark.range(6000).select("id", F.expr("date_add(date'2020-01-01', int(id / 20))").alias("date"), F.lit("A").alias("isin"), F.lit("buy").alias("kind"), F.lit(1.0).alias("quantity"), F.lit(2.0).alias("price"))
+    t, late = ledger.normalized(rows, exact=False), ledger.normalized(rows.where("id in (5, 5990)").withColumn("id", F.col("id") + 10_000), exact=False)
+    for k, part in enumerate((t, late)):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+        positions.keep_positions(spark.readStream.schema(t.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), lateness_days=30)
+    (r,) = positions.latest(spark, str(tmp_path / "out")).collect()
+    assert (r["n_trades"], r["n_late"], r["quantity"], r["cost_sek"]) == (6001, 1, 6001.0, 12002.0)
+    head = spark.read.format("statestore").option("stateVarName", "head").load(str(tmp_path / "cp")).where("value is not null").select("value.*").first()
+    assert head["settled"] >= 3000 and head["first"] >= 3 and head["settled"] + 2 * positions.PIECE + 1000 >= 6001
